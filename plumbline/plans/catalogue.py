@@ -1,0 +1,6 @@
+"""Every query of the assurance operators, with its DuckDB SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
