@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licenses
+from plumbline.llm import licenses, packing
 
 QUERIES = {
     "op1_license_scan": licenses.query,
+    "op5_pack": packing.query,
 }
 
 ORACLES: dict[str, str] = {}
