@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licenses, packing
+from plumbline.llm import licenses, packing, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": licenses.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op5_pack": packing.query,
 }
 
