@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licenses, packing, suffix_dedup
+from plumbline.llm import licenses, ngram_join, packing, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op5_pack": packing.query,
+    "op8_ngram_join": ngram_join.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -138,9 +138,9 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     if len(short):
         whole = np.zeros(len(short), dtype=np.uint64)
         for i, row in enumerate(short):
-            total = np.uint64(counts[row])
-            for h in hashes[words.first[row] : words.first[row + 1]]:
-                total = mix(np.array([total * BASE + h], dtype=np.uint64))[0]
+            total = int(counts[row])
+            for h in hashes[words.first[row] : words.first[row + 1]].tolist():
+                total = int(mix(np.array([(total * int(BASE) + h) % 2**64], dtype=np.uint64))[0])
             whole[i] = total
         grams, rows = np.concatenate([grams, whole]), np.concatenate([rows, short])
     order = np.lexsort((grams, rows))
