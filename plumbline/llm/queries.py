@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licenses, ngram_join, packing, suffix_dedup
+from plumbline.llm import licenses, ngram_join, packing, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.query,
+    "op2_url_filter": url_filter.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op5_pack": packing.query,
     "op8_ngram_join": ngram_join.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
+}
