@@ -242,15 +242,46 @@ def _compare(batches, length: int):
         yield done(held)
 
 
+# ---------------------------------------------------------------- crowded groups
+
+#: Offsets that share one digest, of the bytes that all their windows share.
+BLOCK = 32
+
+
+def _digests(batches, length: int, block: int):
+    """(c1, c2, low, high, digest) of the common bytes of the windows at offsets low..high of each context."""
+    names, kinds = ["c1", "c2", "low", "high", "w1", "w2"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for row in batch.to_pylist():
+            far, context = row["far"], row["context"]
+            ranges = [(r["low"], r["high"]) for r in row["ranges"]] if "ranges" in row else [(row["near"], far)]
+            for low, high in ranges:
+                for a in range(low // block * block, high + 1, block):
+                    b = a + block - 1
+                    w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(context[far - a : far - b + length], a), dtype="<i8")
+                    for values, v in zip(out, (row["c1"], row["c2"], max(a, low), min(b, high), int(w1), int(w2)), strict=True):
+                        values.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+
+
+def _shared(digests: DataFrame) -> DataFrame:
+    """The rows whose digest another context has too."""
+    twice = digests.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return digests.join(twice, ["w1", "w2"]).select("c1", "c2", "low", "high")
+
+
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot_classes: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, hot_classes: int = 20_000) -> DataFrame:
     """(k1, k2, spans): for each row of ``docs`` (k1, k2, text, ...) with repeats, the byte spans its repeated windows cover."""
-    anchors = checkpointed(_anchors(docs, length))
+    every = _anchors(docs, length)
+    repeated = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    anchors = checkpointed(every.join(repeated, "h"))  # computed twice, so that those of unique text are never stored
     classes = anchors.groupBy("c1", "c2").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
-    groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.sum("n").alias("members")).where("members > 1")
-    classes = checkpointed(classes.join(groups.drop("members"), "h"))
+    groups = classes.groupBy("h").agg(F.count("*").alias("classes"))
+    classes = checkpointed(classes.join(groups, "h"))
     whole = classes.where("classes = 1 or n > 1").select("c1", "c2", F.col("near").alias("low"), F.col("far").alias("high"))
 
     wanted = (
@@ -280,25 +311,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot_classes: int = 2000)
     )
     parts = whole.unionByName(cold)
     if not classes.where(F.col("classes") > hot_classes).isEmpty():
-
-        def windows(batches):
-            for batch in batches:
-                columns: list[list] = [[], [], [], [], []]
-                for c1, c2, near, far, context in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                    for o in range(near, far + 1):
-                        w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(context[far - o : far - o + length]), dtype="<i8")
-                        for values, x in zip(columns, (c1, c2, o, int(w1), int(w2)), strict=True):
-                            values.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["c1", "c2", "o", "w1", "w2"])
-
-        hot = checkpointed(found.where(F.col("classes") > hot_classes).mapInArrow(windows, "c1 long, c2 long, o int, w1 long, w2 long"))
-        twice = hot.groupBy("w1", "w2", "o").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        parts = parts.unionByName(hot.join(twice, ["w1", "w2", "o"]).select("c1", "c2", F.col("o").alias("low"), F.col("o").alias("high")))
+        hot = checkpointed(found.where(F.col("classes") > hot_classes).select("c1", "c2", "near", "far", "context"))
+        cores = hot.mapInArrow(lambda batches: _digests(batches, length, BLOCK), "c1 long, c2 long, low int, high int, w1 long, w2 long")
+        ranges = _shared(cores).groupBy("c1", "c2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # at most length / BLOCK
+        single = hot.join(ranges, ["c1", "c2"]).mapInArrow(lambda batches: _digests(batches, length, 1), "c1 long, c2 long, low int, high int, w1 long, w2 long")
+        parts = parts.unionByName(_shared(single))
     spans = anchors.join(parts, ["c1", "c2"]).select("k1", "k2", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop"))
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_classes: int = 2000, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_classes: int = 20_000, with_kept: bool = False) -> DataFrame:
     """One row per document: byte counts, maximal removed runs, SHA-256 of the kept bytes; with ``with_kept`` also both themselves."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
