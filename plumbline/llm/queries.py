@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, licenses, ngram_join, packing, suffix_dedup, url_filter
+from plumbline.llm import decontaminate, licenses, ngram_join, packing, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_url_filter": url_filter.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op4_quality": quality.query,
     "op5_pack": packing.query,
     "op8_ngram_join": ngram_join.query,
     "op10_decontaminate": decontaminate.query,
