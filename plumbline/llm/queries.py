@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, licenses, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter
+from plumbline.llm import decontaminate, licenses, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_quality": quality.query,
     "op5_pack": packing.query,
+    "op6_quality_rules": quality_rules.query,
     "op7_toxicity": toxicity.query,
     "op8_ngram_join": ngram_join.query,
     "op10_decontaminate": decontaminate.query,
