@@ -38,6 +38,18 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _UNSURE = re.compile("[\x1c-\x1f²³¹¼-¾֐-῿⁰-₟⅐-↏①-⓿✀-➿Ⰰ-\U0010ffff]")
 
 
+class _Words(dict):
+    """Word to id bytes, encoded when first asked for."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.merge(word)
+        self[word] = out = pack_ids(f"<{len(ids)}I", *ids)
+        return out
+
+
 class Encoder:
     """Token ids of whole texts; a word is encoded once and remembered as bytes.
 
@@ -56,7 +68,7 @@ class Encoder:
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.merge)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -65,18 +77,9 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of ``text``."""
         if _UNSURE.search(text):
             return self.whole(text)
-        parts, known = _SPLIT.findall(text), self.words
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for p in set(parts):
-            if p not in known:
-                ids = self.merge(p)
-                known[p] = pack_ids(f"<{len(ids)}I", *ids)
-        return b"".join([known[p] for p in parts])
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
 
 
 def _byte_letters(alphabet: list[str]) -> list[str]:
