@@ -5,8 +5,11 @@
    share an n-gram among their first ``size - need + 1``. The order puts n-grams of crowded hash
    buckets last (a table of fixed size, counted over all documents) and is by hash within a level,
    so common passages fall out of the prefixes. Any order gives the same links.
-3. Classes that share a prefix n-gram form candidate clusters (components of hub edges, linear in
-   the prefixes). A cluster's sets meet once, in blocks of bounded size against each other.
+3. Two classes that share a prefix n-gram are candidates if their sizes and their sketches allow the
+   needed overlap. A sketch counts a set's n-grams in ``PARTS`` parts of the hash range; the sum of
+   the smaller counts bounds the overlap from above, so no link is lost. Candidates are not listed:
+   each n-gram's classes, in blocks of bounded size, give edges that span their candidate graph. The
+   components of those edges are clusters; a cluster's sets meet once, again in blocks.
 4. In a block the sets, in the cluster's order, rarest first, stand in a trie. A set walks it level by
    level: partial overlaps are shared by all sets below a node, and a subtree is left as soon as what
    remains of it, or of the walker, cannot reach the needed overlap. Sets already connected are not
@@ -23,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
+from plumbline.llm.textkit import runs
 from plumbline.llm.graph import connected_components
 from plumbline.session import checkpointed
 
@@ -36,6 +40,8 @@ BUCKETS, LOWEST = 1 << 20, 62
 BLOCK = 1024
 #: Tokens of a trie level.
 STEP = 32
+#: Parts of a sketch, classes of one n-gram that meet in one task, and rows taken together.
+PARTS, CROWD, ROWS = 64, 4096, 1 << 15
 
 
 def _bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +75,7 @@ def rarity_levels(docs: DataFrame, n: int, block: int = 4096) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """(id, key, n_shingles, d1, d2, prefix): a row's set digest and the n-grams of its prefix."""
+    """(id, key, n_shingles, d1, d2, prefix, sketch): a row's set digest, the n-grams of its prefix, its sketch."""
     kind = docs.schema["id"].dataType.simpleString()
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -89,9 +95,78 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> Da
                 digests = b"".join([xxhash.xxh3_128_digest(view[8 * a : 8 * (a + k)]) for a, k in zip(first.tolist(), sizes.tolist(), strict=True)])
                 d = np.frombuffer(digests, "<i8").reshape(-1, 2)
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)).astype(np.int32)), pa.array(grams[taken].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), prefix], names=["id", "key", "n_shingles", "d1", "d2", "prefix"])
+                part = np.bincount(row * PARTS + (grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS * rows.num_rows)
+                sketch = pa.array([x.tobytes() for x in np.minimum(part, 2**32 - 1).astype("<u4").reshape(-1, PARTS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), prefix, sketch], names=["id", "key", "n_shingles", "d1", "d2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, f"id {kind}, key long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, key long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch binary")
+
+
+def candidate_edges(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that span the candidate graph of rows sorted by group and size: same group, sizes and sketches near enough.
+
+    Row i is held against row i + d for d = 1, 2, ... all rows at once; a pair already connected is
+    passed over, and a group all of whose rows are connected is left.
+    """
+    names, at = np.unique(node, return_inverse=True)
+    union, out = _Union(len(names)), []
+    label = at.copy()
+    begin, count = runs(group)
+    own = np.repeat(np.arange(len(begin)), count)
+    left = np.flatnonzero(np.arange(len(group)) - begin[own] < count[own] - 1)
+    d = 1
+    while len(left):
+        left = left[left + d < len(group)]
+        left = left[(own[left] == own[left + d]) & (size[left] * den >= size[left + d] * num)]
+        fresh = left[label[left] != label[left + d]]
+        for k in range(0, len(fresh), ROWS):
+            i = fresh[k : k + ROWS]
+            most = np.minimum(sketch[i], sketch[i + d]).sum(axis=1, dtype=np.int64)
+            for x in i[(num + den) * most >= num * (size[i] + size[i + d])]:
+                a, b = union.root(int(at[x])), union.root(int(at[x + d]))
+                if a != b:
+                    union.up[max(a, b)] = min(a, b)
+                    out.append((int(node[x]), int(node[x + d])))
+        if len(fresh):
+            label = union.roots()[at]
+        if d & (d - 1) == 0 and len(left):
+            whole = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
+            left = left[~whole[own[left]]]
+        d += 1
+    return out
+
+
+def _whole_groups(batches, keys: int, least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Parts of sorted batches that hold whole groups (equal first ``keys`` columns) and ``least`` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and sum(b.num_rows for b in held) >= least:
+            last = [held[-1].column(k)[-1].as_py() for k in range(keys)]
+            same = np.ones(batch.num_rows, dtype=bool)
+            for k in range(keys):
+                same &= batch.column(k).to_numpy(zero_copy_only=False) == last[k]
+            cut = batch.num_rows if same.all() else int(np.argmin(same))
+            held.append(batch.slice(0, cut))
+            if cut < batch.num_rows:
+                yield held
+                held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield held
+
+
+def _edges(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, i, j, size, node, sketch) sorted by all but the last two: candidate edges."""
+    for held in _whole_groups(batches, 3, ROWS):
+        table = pa.Table.from_batches(held).combine_chunks()
+        token, i, j, size, node = (table.column(c).to_numpy() for c in range(5))
+        group = np.cumsum(np.append(0, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
+        sketch = tk.flat(table.column(5))[0].view("<u4").reshape(-1, PARTS)
+        found = candidate_edges(group, node, size, sketch, num, den)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
 # ---------------------------------------------------------------- trie join
@@ -236,7 +311,14 @@ def _read_sets(batches, n: int):
             row, grams = tk.shingle_sets(data, at, n)
             cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
             raw = grams.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([raw[8 * a : 8 * b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["node", "cluster", "grams"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array([raw[8 * a : 8 * b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["node", "cluster", "split", "grams"])
+
+
+def _block_pairs(rows: DataFrame, split: str) -> DataFrame:
+    """Each row in every pair (i, j) of blocks, i <= j, that its own block ``mine`` of ``split`` is in."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col(split)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(split) - 1)))
+    return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
@@ -252,28 +334,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = (
         sets.where("n_shingles > 0")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
+        .agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = checkpointed(classes)
     tokens = classes.select("node", F.explode("prefix").alias("token"))
-    hub = F.min("node").over(Window.partitionBy("token"))
-    edges = tokens.select("node", hub.alias("hub")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    crowds = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    split = F.ceil(F.col("n") / CROWD).cast("int")
+    shared = tokens.join(crowds, "token").join(classes.select("node", "size", "sketch"), "node").select("token", split.alias("split"), "size", "node", "sketch")
+    shared = _block_pairs(shared, "split").select("token", "i", "j", "size", "node", "sketch")
+    edges = shared.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "node").mapInArrow(lambda b: _edges(b, num, den), "a long, b long")
     clusters = checkpointed(connected_components(edges).select("node", F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    wanted = clusters.join(classes.select("node", "key"), "node").hint("shuffle_hash")
-    members = rows.join(wanted, "key").select("node", "cluster", "text").mapInArrow(lambda b: _read_sets(b, n), "node long, cluster long, grams binary")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("mine", mine)
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine", "grams")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("split"))
+    wanted = clusters.join(sizes, "cluster").join(classes.select("node", "key"), "node").hint("shuffle_hash")
+    members = rows.join(wanted, "key").select("node", "cluster", "split", "text").mapInArrow(lambda b: _read_sets(b, n), "node long, cluster long, split int, grams binary")
+    pairs = _block_pairs(members, "split").select("cluster", "i", "j", "node", "mine", "grams")
     links = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda b: _join_blocks(b, num, den), "a long, b long")
     found = connected_components(checkpointed(links))
     nodes = classes.select("d1", "d2", "least", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(least, "component").select("d1", "d2", "component", "component_id")
-    out = sets.drop("prefix").join(nodes, ["d1", "d2"], "left")
+    out = sets.drop("prefix", "sketch").join(nodes, ["d1", "d2"], "left")
     single = F.col("component").isNull()
     first = out.where(~single).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
     out = out.join(first, "component", "left").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, licenses, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter
+from plumbline.llm import decontaminate, licenses, line_dedup, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_toxicity": toxicity.query,
     "op8_ngram_join": ngram_join.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_decontaminate": decontaminate.query,
 }
 
