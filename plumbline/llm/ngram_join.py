@@ -365,6 +365,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are first of their component; of repeated rows one.
+
+    Texts without words are linked with nothing and all stay.
+    """
+    gone = ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").select(F.col("key").alias("__key"), "first_of_component").distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    joined = keyed.join(gone, "__key", "left").where(F.coalesce("first_of_component", F.lit(True)))
+    single = F.when(F.col("first_of_component").isNull(), F.monotonically_increasing_id())
+    return joined.withColumn("__single", single).dropDuplicates(["__key", "__single"]).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: every document's set size and component."""
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
