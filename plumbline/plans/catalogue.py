@@ -1,6 +1,882 @@
-"""Every query of the assurance operators, with its DuckDB SQL."""
+"""Every query of the assurance operators over the given tables, with its DuckDB SQL.
+
+The tables stand in for the operators' inputs: embeddings are samples of 8 x 8 pixels, vectors and
+classifier inputs; events are findings, ledger events, model nodes and inference logs; documents are
+artifacts; part and lineitem give input dimensions. Floats are rounded alike in both engines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import exprs as E
+from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
+from plumbline.plans import pipelines
+from plumbline.session import table
+from plumbline.streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) and the SQL of the same result."""
+
+    def keep(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return keep
+
+
+# ------------------------------------------------------------ inputs
+
+
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings")
+
+
+def _halves(spark: SparkSession, sf: str) -> DataFrame:
+    """(dim, value, side): even ids are the reference, odd ones live."""
+    rows = _embeddings(spark, sf).select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value"))
+    return rows.select("dim", "value", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("live").alias("side"))
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, pixels, hash): embeddings and copies of every fiftieth with one pixel moved."""
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("pixels"))
+    moved = F.transform("pixels", lambda x, i: F.when(i == 10, x + 0.25).otherwise(x))
+    copies = rows.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), moved.alias("pixels"))
+    return rows.unionByName(copies).withColumn("hash", E.dhash(F.col("pixels"), 8, 8))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _findings(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "TROJAN_BEHAVIOR_INDICATOR").when(F.col("event_type") == "signup", "MANIFEST_MISMATCH").otherwise(F.upper("event_type"))
+    return _events(spark, sf).select(
+        F.col("user_id").alias("subject_id"), F.col("event_id").alias("pos"), kind.alias("finding_type"), F.concat_ws(" ", F.lit("Finding"), F.col("event_type"), (F.col("event_id") % 7).cast("string")).alias("title"),
+        F.least(F.col("value"), F.lit(100.0)).alias("risk_score"), F.when(F.col("value") > 100, "HIGH").when(F.col("value") > 30, "MEDIUM").otherwise("LOW").alias("evidence_strength"), (F.col("value") > 400).alias("is_hard_gate"), "ts",
+    )
+
+
+_FINDINGS = """findings AS (
+  SELECT user_id AS subject_id, event_id AS pos, CASE event_type WHEN 'error' THEN 'TROJAN_BEHAVIOR_INDICATOR' WHEN 'signup' THEN 'MANIFEST_MISMATCH' ELSE upper(event_type) END AS finding_type,
+         'Finding ' || event_type || ' ' || (event_id % 7)::VARCHAR AS title, least(value, 100.0) AS risk_score,
+         CASE WHEN value > 100 THEN 'HIGH' WHEN value > 30 THEN 'MEDIUM' ELSE 'LOW' END AS evidence_strength, value > 400 AS is_hard_gate, ts FROM events),
+gated AS (SELECT *, is_hard_gate OR finding_type IN ('TROJAN_BEHAVIOR_INDICATOR', 'MANIFEST_MISMATCH') AS gate FROM findings),
+policy AS (
+  SELECT subject_id, count(*) AS n_findings, round(avg(risk_score), 2) AS mean_risk, max(CASE evidence_strength WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END) AS rank,
+         coalesce(list(title ORDER BY pos) FILTER (WHERE gate), []::VARCHAR[]) AS hard_gates, count(*) FILTER (WHERE gate) > 0 AS hard_gate_fired FROM gated GROUP BY 1),
+verdicts AS (
+  SELECT subject_id, n_findings, CASE WHEN hard_gate_fired THEN 'QUARANTINE' WHEN mean_risk >= 50 THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict,
+         CASE WHEN hard_gate_fired THEN greatest(mean_risk, 95.0) ELSE mean_risk END AS risk_score, ['LOW', 'MEDIUM', 'HIGH'][rank] AS evidence_strength, hard_gate_fired, hard_gates FROM policy)"""
+
+# ------------------------------------------------------------ drift
+
+_CDF = """v AS (SELECT vec_id % 2 = 0 AS ref, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+c AS (SELECT dim, value, count(*) FILTER (WHERE ref) AS r, count(*) FILTER (WHERE NOT ref) AS l FROM v GROUP BY 1, 2),
+f AS (SELECT dim, value, sum(r) OVER w::DOUBLE / sum(r) OVER (PARTITION BY dim) AS fr, sum(l) OVER w::DOUBLE / sum(l) OVER (PARTITION BY dim) AS fl, lead(value) OVER (PARTITION BY dim ORDER BY value) AS nxt
+      FROM c WINDOW w AS (PARTITION BY dim ORDER BY value ROWS UNBOUNDED PRECEDING)),
+ks AS (SELECT dim, max(abs(fr - fl)) AS ks FROM f GROUP BY 1)"""
+_CDF = _CDF.replace("sum(r) OVER w::DOUBLE", "(sum(r) OVER w)::DOUBLE").replace("sum(l) OVER w::DOUBLE", "(sum(l) OVER w)::DOUBLE")
+
+
+@query("drift_ks_dims", f"WITH {_CDF} SELECT dim, round(ks, 6) AS ks FROM ks")
+def drift_ks_dims(spark, sf):
+    return drift.ks_per_dim(_halves(spark, sf)).select("dim", F.round("ks", 6).alias("ks"))
+
+
+@query(
+    "drift_score",
+    f"""WITH {_CDF}, s AS (SELECT count(*) AS dims, avg(ks) AS m, max(ks) AS hi, min(ks) AS lo FROM ks)
+SELECT dims, round(m, 4) AS mean_ks, round(hi, 4) AS max_ks, round(lo, 4) AS min_ks, CASE WHEN m >= 0.5 THEN 'HIGH' WHEN m >= 0.25 THEN 'ELEVATED' ELSE 'NORMAL' END AS status,
+       'INPUT_DISTRIBUTION_DRIFT_' || CASE WHEN m >= 0.5 THEN 'HIGH' WHEN m >= 0.25 THEN 'ELEVATED' ELSE 'NORMAL' END AS finding_type,
+       CASE WHEN m >= 0.5 THEN 70.0 WHEN m >= 0.25 THEN 40.0 ELSE 0.0 END::DOUBLE AS risk_score, CASE WHEN m >= 0.5 THEN 'HIGH' WHEN m >= 0.25 THEN 'MEDIUM' ELSE 'HIGH' END AS evidence_strength, false AS is_hard_gate FROM s""",
+)
+def drift_score(spark, sf):
+    return drift.drift_score(drift.ks_per_dim(_halves(spark, sf)))
+
+
+@query(
+    "drift_dim_means",
+    "SELECT dim, round(avg(value) FILTER (WHERE ref), 4) AS mean_ref, round(avg(value) FILTER (WHERE NOT ref), 4) AS mean_live FROM (SELECT vec_id % 2 = 0 AS ref, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) WHERE dim < 10 GROUP BY 1",
+)
+def drift_dim_means(spark, sf):
+    return drift.dim_means(_halves(spark, sf))
+
+
+@query("wasserstein_dims", f"WITH {_CDF} SELECT dim, round(sum(abs(fr - fl) * (coalesce(nxt, value) - value)), 6) AS distance FROM f GROUP BY 1")
+def wasserstein_dims(spark, sf):
+    return drift.wasserstein_per_dim(_halves(spark, sf)).select("dim", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "drift_events_by_type",
+    """WITH m AS (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 AS mid FROM events),
+c AS (SELECT event_type AS dim, value, count(*) FILTER (WHERE epoch_us(ts) <= mid) AS r, count(*) FILTER (WHERE epoch_us(ts) > mid) AS l FROM events, m GROUP BY 1, 2),
+f AS (SELECT dim, (sum(r) OVER w)::DOUBLE / sum(r) OVER (PARTITION BY dim) AS fr, (sum(l) OVER w)::DOUBLE / sum(l) OVER (PARTITION BY dim) AS fl FROM c WINDOW w AS (PARTITION BY dim ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT dim AS event_type, round(max(abs(fr - fl)), 6) AS ks FROM f GROUP BY 1""",
+)
+def drift_events_by_type(spark, sf):
+    events = _events(spark, sf)
+    mid = events.agg(F.expr("unix_micros(min(ts)) + (unix_micros(max(ts)) - unix_micros(min(ts))) div 2").alias("mid"))
+    rows = anomalies.one_row_join(events, mid).select(F.col("event_type").alias("dim"), "value", F.when(F.unix_micros("ts") <= F.col("mid"), "ref").otherwise("live").alias("side"))
+    return drift.ks_per_dim(rows).select(F.col("dim").alias("event_type"), F.round("ks", 6).alias("ks"))
+
+
+@query(
+    "drift_windowed",
+    """WITH c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS dim, value, count(*) AS l FROM events GROUP BY 1, 2),
+s AS (SELECT dim, sum(l) AS n_live FROM c GROUP BY 1), w AS (SELECT value, sum(l) AS a FROM c GROUP BY 1),
+g AS (SELECT s.dim, w.value, n_live, coalesce(c.l, 0) AS l, a FROM s CROSS JOIN w LEFT JOIN c ON c.dim = s.dim AND c.value = w.value),
+f AS (SELECT dim, n_live, sum(l) OVER x AS c, sum(a) OVER x AS a, sum(a) OVER (PARTITION BY dim) AS n FROM g WINDOW x AS (PARTITION BY dim ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT strftime(dim, '%Y-%m-%d') AS day, round(max(abs(c::DOUBLE / n_live - (a - c)::DOUBLE / (n - n_live))), 6) AS ks FROM f WHERE n > n_live GROUP BY 1""",
+)
+def drift_windowed(spark, sf):
+    return streams.windowed_drift(_events(spark, sf), "ts", "value").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.round("ks", 6).alias("ks"))
+
+
+# ------------------------------------------------------------ duplicates
+
+
+@query("dup_exact_docs", "SELECT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+def dup_exact_docs(spark, sf):
+    return duplicates.exact_duplicate_pairs(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+@query("dup_exact_groups", "SELECT md5(text) AS digest, count(*) AS members, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_exact_groups(spark, sf):
+    return duplicates.exact_duplicate_groups(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+@query(
+    "dup_exact_risk",
+    """WITH g AS (SELECT count(*) AS m FROM documents GROUP BY md5(text) HAVING count(*) > 1), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT coalesce(sum(m * (m - 1) // 2), 0)::BIGINT AS p, coalesce(sum(m), 0)::BIGINT AS k FROM g)
+SELECT n, p AS n_pairs, p AS n_exact, k AS n_members, CASE WHEN p = 0 THEN 0.0 ELSE round(least(95.0, greatest(15.0, 30 + 40 * (k::DOUBLE / n) + least(30.0, 2.0 * p))), 1) END::DOUBLE AS risk FROM s, n""",
+)
+def dup_exact_risk(spark, sf):
+    docs = table(spark, sf, "documents")
+    return duplicates.exact_duplicate_risk(duplicates.exact_duplicate_groups(docs, "doc_id", F.col("text")), docs.agg(F.count("*").alias("n")))
+
+
+_HASH = " + ".join(f"(CASE WHEN p[{r * 8 + c + 1}] > p[{r * 8 + c + 2}] THEN {1 << (55 - (r * 7 + c))} ELSE 0 END)::BIGINT" for r in range(8) for c in range(7))
+_NEAR = f"""e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS p FROM embeddings),
+s AS (SELECT id, p FROM e UNION ALL SELECT id + 1000000, list_transform(p, lambda x, i: CASE WHEN i = 11 THEN x + 0.25 ELSE x END) FROM e WHERE id % 50 = 0),
+h AS (SELECT id, p, {_HASH} AS h FROM s),
+b AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.h, b.h)) AS hamming, list_sum(list_transform(list_zip(a.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64 AS mse, a.p = b.p AS exact FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4),
+pairs AS (SELECT i, j, hamming::INTEGER AS hamming, round(mse, 6) AS mse, exact FROM b WHERE exact OR mse <= 0.001)"""
+
+
+@query("dup_near_pairs", f"WITH {_NEAR} SELECT * FROM pairs")
+def dup_near_pairs(spark, sf):
+    return duplicates.near_duplicate_pairs(_samples(spark, sf), 56)
+
+
+@query("dup_members", f"WITH {_NEAR} SELECT i AS id FROM pairs UNION SELECT j FROM pairs")
+def dup_members(spark, sf):
+    return duplicates.duplicate_members(dup_near_pairs(spark, sf))
+
+
+_DUP_RISK = """k AS (SELECT count(*) AS k FROM (SELECT i FROM pairs UNION SELECT j FROM pairs)), n AS (SELECT count(*) AS n FROM s),
+t AS (SELECT count(*) AS p, count(*) FILTER (WHERE exact) AS x, coalesce(sum(CASE WHEN exact THEN 1.0 ELSE greatest(0.2, 1 - hamming / 8.0) END), 0) AS v FROM pairs),
+risk AS (SELECT n, p AS n_pairs, x AS n_exact, k AS n_members, CASE WHEN p = 0 THEN 0.0 ELSE round(least(95.0, greatest(15.0, 30 + 40 * (k::DOUBLE / n) + least(30.0, 2 * v))), 1) END::DOUBLE AS risk FROM t, k, n)"""
+
+
+@query("dup_near_risk", f"WITH {_NEAR}, {_DUP_RISK} SELECT * FROM risk")
+def dup_near_risk(spark, sf):
+    samples = _samples(spark, sf)
+    return duplicates.duplicate_risk(duplicates.near_duplicate_pairs(samples, 56), samples.agg(F.count("*").alias("n")))
+
+
+@query(
+    "dup_finding",
+    f"""WITH {_NEAR}, {_DUP_RISK} SELECT 'DatasetDuplicateDetector' AS detector_id, CASE WHEN n_pairs = 0 THEN 'DATASET_DUPLICATE_CLEAN' ELSE 'DATASET_DUPLICATE_SAMPLES' END AS finding_type, risk AS risk_score,
+CASE WHEN n_pairs = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS evidence_strength, CASE WHEN n_pairs = 0 THEN 'No Dataset Duplicate Pairs Detected' ELSE 'Dataset Duplicate / Near-Duplicate Samples Detected' END AS title,
+CASE WHEN n_pairs = 0 THEN 'No duplicate pairs among ' || n || ' samples.' ELSE n_pairs || ' pairs (' || n_exact || ' exact) touch ' || n_members || ' of ' || n || ' samples.' END AS explanation, false AS is_hard_gate FROM risk""",
+)
+def dup_finding(spark, sf):
+    return duplicates.duplicate_finding(dup_near_risk(spark, sf))
+
+
+@query("page_pairs", "SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id) ORDER BY i, j LIMIT 10 OFFSET 10")
+def page_pairs(spark, sf):
+    return duplicates.page(dup_exact_docs(spark, sf), 1)
+
+
+@query("leak_docs_benchmark", "WITH t AS (SELECT md5(text) AS d, count(*) AS copies, min(doc_id) AS f FROM documents GROUP BY 1) SELECT item_id AS test_id, copies, f AS first_train_id FROM benchmark JOIN t ON md5(text) = d")
+def leak_docs_benchmark(spark, sf):
+    return duplicates.cross_set_leakage(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", F.col("text"), F.col("text"))
+
+
+@query("leak_docs_parity", "WITH t AS (SELECT md5(text) AS d, count(*) AS copies, min(doc_id) AS f FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id AS test_id, copies, f AS first_train_id FROM documents JOIN t ON md5(text) = d WHERE doc_id % 2 = 1")
+def leak_docs_parity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return duplicates.cross_set_leakage(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "doc_id", F.col("text"), F.col("text"))
+
+
+# ------------------------------------------------------------ pixels and expressions
+
+
+@query(
+    "pixel_summary",
+    """WITH v AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (SELECT count(*) FROM embeddings) AS samples, '8 × 8' AS shape, 1 AS shapes, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max FROM v""",
+)
+def pixel_summary(spark, sf):
+    return stability.pixel_summary(_embeddings(spark, sf).withColumn("shape", F.array(F.lit(8), F.lit(8))), "embedding", "shape")
+
+
+@query("pixel_moments", "SELECT pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY 1")
+def pixel_moments(spark, sf):
+    return stability.pixel_moments(_embeddings(spark, sf), "embedding").select("pos", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(
+    "scale_pixels",
+    """WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: least(greatest((x * (CASE WHEN list_max(embedding) <= 1 THEN 255 ELSE 1 END)::FLOAT)::FLOAT, 0::FLOAT), 255::FLOAT)) AS p FROM embeddings)
+SELECT id, list_sum(list_transform(p, lambda x: floor(x)::INTEGER))::BIGINT AS total, list_max(list_transform(p, lambda x: floor(x)::INTEGER)) AS most FROM s""",
+)
+def scale_pixels(spark, sf):
+    scaled = E.scale_pixels(F.col("embedding"))
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.array_max(scaled).alias("most"))
+
+
+@query(
+    "grayscale",
+    "SELECT vec_id AS id, list_transform(range(1, 17), lambda i: round((embedding[i]::DOUBLE + embedding[i + 16] + embedding[i + 32] + embedding[i + 48]) / 4, 6)) AS gray FROM embeddings",
+)
+def grayscale(spark, sf):
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.transform(E.to_grayscale(F.col("embedding"), F.lit(4), F.lit(16)), lambda x: F.round(x, 6)).alias("gray"))
+
+
+@query(
+    "translate_pixels",
+    "SELECT vec_id AS id, list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= 1 AND i >= 8 THEN embedding[i - 8]::DOUBLE ELSE 0.0 END) AS moved FROM embeddings",
+)
+def translate_pixels(spark, sf):
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), E.translate(F.col("embedding"), 8).alias("moved"))
+
+
+@query("difference_hash", f"SELECT vec_id AS id, {_HASH} AS hash FROM (SELECT vec_id, embedding::DOUBLE[] AS p FROM embeddings)")
+def difference_hash(spark, sf):
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), E.dhash(F.col("embedding"), 8, 8).alias("hash"))
+
+
+@query("resized_hash")
+def resized_hash(spark, sf):
+    return triage.image_hashes(_embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels")), 8)
+
+
+_SOFT = """x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT id, v, list_transform(v, lambda a: exp(a - list_max(v))) AS w FROM x), p AS (SELECT id, list_transform(w, lambda a: a / list_sum(w)) AS p FROM e)"""
+
+
+@query(
+    "entropies",
+    f"""WITH {_SOFT} SELECT id, round(-list_sum(list_transform(p, lambda a: a * log2(a))), 6) AS bits, round(-list_sum(list_transform(p, lambda a: a * ln(a))), 6) AS nats, round(-list_sum(list_transform(p, lambda a: a * ln(a + 1e-12))), 6) AS calib, (list_position(p, list_max(p)) - 1)::INTEGER AS top FROM p""",
+)
+def entropies(spark, sf):
+    p = F.col("p")
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), E.softmax(F.col("embedding")).alias("p"))
+    return rows.select("id", F.round(E.entropy_bits(p), 6).alias("bits"), F.round(E.entropy_nats(p), 6).alias("nats"), F.round(E.entropy_calib(p), 6).alias("calib"), E.argmax(p).alias("top"))
+
+
+@query(
+    "divergence_of_neighbours",
+    f"""WITH {_SOFT} SELECT a.id, round(greatest(0.0, list_sum(list_transform(list_zip(a.p, b.p), lambda z: (z[1] * ln(z[1] / ((z[1] + z[2]) / 2)) + z[2] * ln(z[2] / ((z[1] + z[2]) / 2))) / 2))), 6) AS js,
+round(sqrt(list_sum(list_transform(list_zip(a.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS l2 FROM p a JOIN p b ON b.id = a.id + 1""",
+)
+def divergence_of_neighbours(spark, sf):
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), E.softmax(F.col("embedding")).alias("p"))
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("p").alias("q"))
+    return rows.join(after, "id").select("id", F.round(E.js_divergence(F.col("p"), F.col("q")), 6).alias("js"), F.round(E.l2_distance(F.col("p"), F.col("q")), 6).alias("l2"))
+
+
+# ------------------------------------------------------------ entropy and stability
+
+_SCORE = """cent AS (SELECT label, list(m ORDER BY dim) AS w FROM (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT list(w ORDER BY label) AS ws FROM cent)"""
+_LOGITS = "list_transform(ws, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: z[1] * z[2])))"
+_BLEND = f"""{_SCORE}, o AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS o FROM embeddings WHERE vec_id < 50),
+d AS (SELECT vec_id AS id, k, embedding::DOUBLE[] AS s, ('0x' || substr(md5(vec_id || ':' || k), 1, 8))::BIGINT % 50 AS pos FROM embeddings, range(0, 20) t(k)),
+b AS (SELECT id, k, list_transform(list_zip(s, o), lambda z: z[1] * 0.5 + z[2] * 0.5) AS v FROM d JOIN o USING (pos)),
+l AS (SELECT id, k, {_LOGITS} AS l FROM b, w), x AS (SELECT id, k, list_transform(l, lambda a: exp(a - list_max(l))) AS e FROM l),
+p AS (SELECT id, k, list_transform(e, lambda a: a / list_sum(e)) AS p FROM x),
+h AS (SELECT id, k, -list_sum(list_transform(p, lambda a: greatest(a, 1e-12) * log2(greatest(a, 1e-12)))) AS h, (list_position(p, list_max(p)) - 1)::INTEGER AS cls FROM p)"""
+
+
+def _blended(spark, sf) -> DataFrame:
+    rows = _embeddings(spark, sf)
+    samples = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    overlays = rows.where("vec_id < 50").select(F.col("vec_id").alias("position"), F.col("embedding").alias("overlay"))
+    pairs = entropy.pair_with_overlays(samples, overlays, 50)
+    return scorers.linear_probabilities(entropy.blends(pairs), scorers.centroids(rows), "vector")
+
+
+@query("entropy_samples", f"WITH {_BLEND} SELECT id, round(avg(h), 6) AS mean_entropy, round(min(h), 6) AS min_entropy, round(max(h), 6) AS max_entropy, list(cls ORDER BY k)[1:5] AS top_classes FROM h GROUP BY 1")
+def entropy_samples(spark, sf):
+    return entropy.sample_entropy(_blended(spark, sf)).select("id", *(F.round(c, 6).alias(c) for c in ("mean_entropy", "min_entropy", "max_entropy")), "top_classes")
+
+
+@query("entropy_overall", f"WITH {_BLEND} SELECT round(avg(h), 4) AS mean_entropy, round(stddev_pop(h), 4) AS std_entropy, round(min(h), 4) AS min_entropy, count(*) AS variants, avg(h) < 0.35 AS triggered FROM h")
+def entropy_overall(spark, sf):
+    return entropy.entropy_overall(_blended(spark, sf)).select(*(F.round(c, 4).alias(c) for c in ("mean_entropy", "std_entropy", "min_entropy")), "variants", "triggered")
+
+
+@query(
+    "trojan_finding",
+    f"""WITH {_BLEND}, a AS (SELECT avg(h) AS m, count(*) AS n FROM h) SELECT 'EntropyDetector' AS detector_id, CASE WHEN m < 0.35 THEN 'TROJAN_BEHAVIOR_INDICATOR' ELSE 'TROJAN_BEHAVIOR_CLEAN' END AS finding_type, CASE WHEN m < 0.35 THEN 95.0 ELSE 5.0 END::DOUBLE AS risk_score, 'HIGH' AS evidence_strength,
+CASE WHEN m < 0.35 THEN 'High-Strength Trojan Indicator' ELSE 'Trojan Behavioral Analysis Passed' END AS title, format('Mean entropy {{:.4f}} bits over {{}} variants.', m, n) AS explanation, m < 0.35 AS is_hard_gate FROM a""",
+)
+def trojan_finding(spark, sf):
+    return entropy.trojan_finding(entropy.entropy_overall(_blended(spark, sf)))
+
+
+def _variants(spark, sf) -> DataFrame:
+    """Baseline and three variants of each embedding, scored with sharpened centroids."""
+    rows = _embeddings(spark, sf)
+    v = F.col("vector")
+    shown = stability.stack_variants(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), {"baseline": v, "brightness": E.brightness(v), "translation": E.translate(v, 8), "mirror": F.reverse(E.doubles(v))})
+    weights = scorers.centroids(rows).withColumn("centroid", F.transform("centroid", lambda x: x * 20))
+    return scorers.linear_probabilities(shown, weights, "vector")
+
+
+_VARIANTS = f"""{_SCORE}, x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
+v AS (SELECT id, 'baseline' AS variant, b AS v FROM x UNION ALL SELECT id, 'brightness', list_transform(b, lambda a: least(a * 1.1::DOUBLE, 1.0)) FROM x
+      UNION ALL SELECT id, 'translation', list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= 1 AND i >= 8 THEN b[i - 8] ELSE 0.0 END) FROM x UNION ALL SELECT id, 'mirror', list_reverse(b) FROM x),
+l AS (SELECT id, variant, list_transform(ws, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: z[1] * 20 * z[2]))) AS l FROM v, w),
+e AS (SELECT id, variant, list_transform(l, lambda a: exp(a - list_max(l))) AS e FROM l), p AS (SELECT id, variant, list_transform(e, lambda a: a / list_sum(e)) AS p FROM e),
+j AS (SELECT a.id, a.p AS p, b.p AS q, (list_position(a.p, list_max(a.p)))::INTEGER AS top FROM p a JOIN p b ON a.id = b.id AND a.variant = 'baseline' AND b.variant <> 'baseline'),
+m AS (SELECT id, any_value(p) AS base, avg((top <> list_position(q, list_max(q)))::INTEGER) AS flip,
+       avg(greatest(0.0, list_sum(list_transform(list_zip(p, q), lambda z: (greatest(z[1], 1e-12) * ln(greatest(z[1], 1e-12) / ((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2)) + greatest(z[2], 1e-12) * ln(greatest(z[2], 1e-12) / ((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2))) / 2)))) AS js,
+       max(list_max(p) - q[top]) AS drop, avg(-list_sum(list_transform(q, lambda a: greatest(a, 1e-12) * ln(greatest(a, 1e-12))))) AS h FROM j GROUP BY 1),
+metrics AS (SELECT id, base, (list_position(base, list_max(base)) - 1)::INTEGER AS baseline_class, round(list_max(base), 4) AS baseline_confidence, -list_sum(list_transform(base, lambda a: greatest(a, 1e-12) * ln(greatest(a, 1e-12)))) AS h0,
+       round(flip, 4) AS flip_rate, round(js, 4) AS mean_js, round(greatest(0.0, drop), 4) AS max_confidence_drop, h FROM m)"""
+
+
+@query("stability_metrics", f"WITH {_VARIANTS} SELECT id, baseline_class, baseline_confidence, flip_rate, mean_js, max_confidence_drop, round(h - h0, 4) AS entropy_change FROM metrics")
+def stability_metrics(spark, sf):
+    return stability.stability_metrics(_variants(spark, sf)).drop("base", "baseline_entropy")
+
+
+_CALIB = """cal AS (SELECT count(*) AS n, avg(c) AS m, stddev_pop(c) AS s FROM (SELECT -list_sum(list_transform(p, lambda a: a * ln(a + 1e-12))) AS c FROM p WHERE variant = 'baseline')),
+cls AS (SELECT list(round(m, 6) ORDER BY k) AS d FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(p) AS x, generate_subscripts(p, 1) AS k FROM p WHERE variant = 'baseline') GROUP BY 1))"""
+
+
+@query(
+    "calibration_fit",
+    f"WITH {_VARIANTS}, {_CALIB} SELECT n AS num_samples, round(m, 4) AS mean_entropy, round(s, 4) AS std_entropy, round(m + 3 * s + 0.1, 4) AS anomaly_entropy_threshold, 1.5::DOUBLE AS max_prediction_distribution_distance, 0.25::DOUBLE AS max_flip_rate_threshold, 0.15::DOUBLE AS max_js_divergence_threshold, d AS pred_class_distribution FROM cal, cls",
+)
+def calibration_fit(spark, sf):
+    return stability.fit_calibration(_variants(spark, sf).where("variant = 'baseline'"))
+
+
+@query(
+    "stability_verdict",
+    f"""WITH {_VARIANTS}, {_CALIB},
+t AS (SELECT id, flip_rate, mean_js, round(sqrt(list_sum(list_transform(list_zip(base, d), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 4) AS dist, h0, round(m + 3 * s + 0.1, 4) AS cut FROM metrics, cal, cls),
+r AS (SELECT *, list_filter([CASE WHEN flip_rate > 0.25 THEN 'flip_rate' END, CASE WHEN mean_js > 0.15 THEN 'js_divergence' END, CASE WHEN dist > 1.5 THEN 'prediction_distance' END, CASE WHEN h0 > cut THEN 'entropy' END], lambda x: x IS NOT NULL) AS reasons FROM t)
+SELECT id, dist AS prediction_distance, CASE WHEN len(reasons) > 0 THEN 'SUSPICIOUS' ELSE 'SAFE_UNDER_CHECKS' END AS status, CASE WHEN len(reasons) > 0 THEN 'SUSPICIOUS_IMAGE_BEHAVIOR_INDICATOR' ELSE 'SAFE_UNDER_CHECKS_PASSED' END AS finding_type, reasons,
+CASE WHEN len(reasons) > 0 THEN round(least(90.0, 50 + 40 * flip_rate + 100 * mean_js), 2) ELSE 2.5 END AS risk_score, CASE WHEN len(reasons) > 0 AND flip_rate < 0.4 THEN 'MEDIUM' ELSE 'HIGH' END AS evidence_strength FROM r""",
+)
+def stability_verdict(spark, sf):
+    scored = _variants(spark, sf)
+    return stability.stability_verdict(stability.stability_metrics(scored), stability.fit_calibration(scored.where("variant = 'baseline'")))
+
+
+@query("noise_sweep")
+def noise_sweep(spark, sf):
+    rows = _embeddings(spark, sf)
+    noisy = stability.noise_sweep(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return stability.stability_metrics(scorers.linear_probabilities(noisy, scorers.centroids(rows), "vector")).drop("base")
+
+
+@query("blurred_entropy")
+def blurred_entropy(spark, sf):
+    rows = _embeddings(spark, sf)
+    return rows.select(F.col("vec_id").alias("id"), F.round(E.entropy_nats(E.softmax(E.blur(F.col("embedding"), 8))), 6).alias("entropy"))
+
+
+@query(
+    "variance_map",
+    f"WITH {_VARIANTS} SELECT id, pos, round(var_pop(x), 6) AS variance FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM v) GROUP BY 1, 2",
+)
+def variance_map(spark, sf):
+    v = F.col("vector")
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    shown = stability.stack_variants(rows, {"baseline": v, "brightness": E.brightness(v), "translation": E.translate(v, 8), "mirror": F.reverse(E.doubles(v))})
+    return stability.perturbation_variance_map(shown).select("id", "pos", F.round("variance", 6).alias("variance"))
+
+
+# ------------------------------------------------------------ anomalies
+
+
+def _vectors(spark, sf) -> DataFrame:
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query("anomaly_scores")
+def anomaly_scores(spark, sf):
+    vectors = _vectors(spark, sf)
+    return anomalies.flag_anomalies(anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors)))
+
+
+@query("anomaly_points")
+def anomaly_points(spark, sf):
+    vectors = _vectors(spark, sf)
+    return anomalies.chart_points(anomaly_scores(spark, sf).drop("is_anomaly"), anomalies.pca_2d(vectors))
+
+
+@query("anomaly_risk")
+def anomaly_risk(spark, sf):
+    return anomalies.anomaly_risk(anomaly_scores(spark, sf))
+
+
+@query("anomaly_embed")
+def anomaly_embed(spark, sf):
+    return anomalies.embed(_embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels")), 8)
+
+
+# A score that SQL can follow: minus the distance from the mean vector.
+_DISTANCE = """mu AS (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1)),
+sc AS (SELECT vec_id AS id, label AS dataset_id, 0.93 - sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM embeddings, mu)"""
+
+
+def _distance_scores(spark, sf) -> DataFrame:
+    rows = _embeddings(spark, sf)
+    each = rows.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"))
+    mean = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("mean"))
+    return anomalies.one_row_join(rows, mean).select(F.col("vec_id").alias("id"), F.col("label").alias("dataset_id"), (0.93 - E.l2_distance(F.col("embedding"), F.col("mean"))).alias("score"))
+
+
+@query("anomaly_summary", f"WITH {_DISTANCE} SELECT round(min(score), 4) AS min_score, round(max(score), 4) AS max_score, round(avg(score), 4) AS mean_score, -0.07::DOUBLE AS threshold, count(*) FILTER (WHERE score < -0.07) AS n_anomalies, count(*) AS n FROM sc")
+def anomaly_summary(spark, sf):
+    return anomalies.anomaly_summary(_distance_scores(spark, sf))
+
+
+_ANOMALY_RISK = """ar AS (SELECT count(*) AS n, count(*) FILTER (WHERE score < -0.07) AS k, avg(greatest(0.0, -0.07 - score)) FILTER (WHERE score < -0.07) AS depth FROM sc),
+arisk AS (SELECT n, k AS n_anomalies, CASE WHEN k = 0 THEN 0.0 ELSE round(least(95.0, greatest(20.0, 35 + 45 * (k::DOUBLE / n) + 300 * depth)), 1) END::DOUBLE AS risk FROM ar)"""
+
+
+@query("anomaly_distance_risk", f"WITH {_DISTANCE}, {_ANOMALY_RISK} SELECT * FROM arisk")
+def anomaly_distance_risk(spark, sf):
+    return anomalies.anomaly_risk(_distance_scores(spark, sf))
+
+
+@query(
+    "anomaly_finding",
+    f"""WITH {_DISTANCE}, {_ANOMALY_RISK} SELECT 'DatasetAnomalyDetector' AS detector_id, CASE WHEN n_anomalies = 0 THEN 'DATASET_ANOMALY_CLEAN' ELSE 'DATASET_ANOMALY_INDICATOR' END AS finding_type, risk AS risk_score, CASE WHEN n_anomalies = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS evidence_strength,
+CASE WHEN n_anomalies = 0 THEN 'Dataset Feature Distribution Clean' ELSE 'Dataset Embedding Anomaly Clusters Detected' END AS title, n_anomalies || ' of ' || n || ' samples lie below the anomaly threshold.' AS explanation, false AS is_hard_gate FROM arisk""",
+)
+def anomaly_finding(spark, sf):
+    return anomalies.anomaly_finding(_risk := anomalies.anomaly_risk(_distance_scores(spark, sf)))
+
+
+@query("first_flagged", f"WITH {_DISTANCE} SELECT dataset_id, id, round(score, 6) AS score FROM sc WHERE score < -0.07 QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY id) <= 12")
+def first_flagged(spark, sf):
+    return anomalies.first_n_flagged(anomalies.flag_anomalies(_distance_scores(spark, sf))).select("dataset_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("inlier_rates", f"WITH {_DISTANCE} SELECT count(*) AS n, round(100.0 * count(*) FILTER (WHERE score < -0.07) / count(*), 1)::DOUBLE AS anomaly_pct, round(100.0 * count(*) FILTER (WHERE score >= -0.07) / count(*), 1)::DOUBLE AS inlier_pct FROM sc")
+def inlier_rates(spark, sf):
+    return anomalies.inlier_rates(anomalies.flag_anomalies(_distance_scores(spark, sf)))
+
+
+@query(
+    "confidence",
+    f"""WITH {_DISTANCE}, b AS (SELECT min(score) AS lo, max(score) AS hi FROM sc)
+SELECT id, round(CASE WHEN score < -0.07 THEN least(99.4::DOUBLE, 70 + 29.4::DOUBLE * (-0.07 - score) / greatest(-0.07 - lo, 0.01)) ELSE 100 - least(99.8::DOUBLE, 65 + 34.8::DOUBLE * (score + 0.07) / greatest(hi + 0.07, 0.01)) END, 4) AS confidence FROM sc, b""",
+)
+def confidence(spark, sf):
+    scores = _distance_scores(spark, sf)
+    rows = anomalies.one_row_join(scores, scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")))
+    return rows.select("id", F.round(E.anomaly_confidence(F.col("score"), -0.07, F.col("lo"), F.col("hi")), 4).alias("confidence"))
+
+
+@query(
+    "dataset_risk",
+    f"""WITH {_NEAR}, {_DUP_RISK}, {_DISTANCE}, {_ANOMALY_RISK}
+SELECT d.risk AS duplicate_risk, a.risk AS anomaly_risk, CASE WHEN n_pairs > 0 AND n_anomalies > 0 THEN round(least(98.0, greatest(d.risk, a.risk) + 0.15::DOUBLE * least(d.risk, a.risk)), 1) WHEN n_pairs > 0 OR n_anomalies > 0 THEN greatest(d.risk, a.risk) ELSE 0.0 END AS risk,
+CASE WHEN n_pairs > 0 OR n_anomalies > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS evidence_strength, CASE WHEN n_pairs > 0 OR n_anomalies > 0 THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict FROM risk d, arisk a""",
+)
+def dataset_risk(spark, sf):
+    return anomalies.dataset_risk(dup_near_risk(spark, sf), anomaly_distance_risk(spark, sf))
+
+
+# ------------------------------------------------------------ policy
+
+
+@query("findings_policy", f"WITH {_FINDINGS} SELECT * FROM verdicts")
+def findings_policy(spark, sf):
+    return policy.evaluate_policy(_findings(spark, sf))
+
+
+@query("hard_gates", f"WITH {_FINDINGS} SELECT subject_id, hard_gates FROM policy WHERE hard_gate_fired")
+def hard_gates(spark, sf):
+    return policy.collect_hard_gates(_findings(spark, sf))
+
+
+@query("evidence", f"WITH {_FINDINGS} SELECT subject_id, n_findings, mean_risk, ['LOW', 'MEDIUM', 'HIGH'][rank] AS evidence_strength FROM policy")
+def evidence(spark, sf):
+    return policy.aggregate_evidence(_findings(spark, sf))
+
+
+@query("verdict_counts", f"WITH {_FINDINGS} SELECT verdict, count(*) AS n, round(avg(risk_score), 4) AS mean_risk FROM verdicts GROUP BY 1")
+def verdict_counts(spark, sf):
+    return findings_policy(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+
+
+@query(
+    "profile_verdicts",
+    f"""WITH {_FINDINGS}, f(profile, a, b) AS (VALUES ('enterprise', 50, 90), ('healthcare', 40, 75), ('defense', 25, 60))
+SELECT subject_id, profile, CASE WHEN hard_gate_fired OR risk_score >= b THEN 'QUARANTINE' WHEN risk_score >= a THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict FROM verdicts, f""",
+)
+def profile_verdicts(spark, sf):
+    return policy.profile_policy(_findings(spark, sf))
+
+
+@query("windowed_verdicts", f"WITH {_FINDINGS} SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n_findings, round(avg(risk_score), 4) AS mean_risk, count(*) FILTER (WHERE gate) AS n_gates FROM gated GROUP BY 1")
+def windowed_verdicts(spark, sf):
+    return streams.windowed_verdicts(_findings(spark, sf), "ts").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_findings", "mean_risk", "n_gates")
+
+
+@query("union_findings", f"WITH {_FINDINGS} SELECT source_pos, count(*) AS n, round(sum(risk_score), 2) AS risk FROM (SELECT 0 AS source_pos, risk_score FROM gated WHERE gate UNION ALL SELECT 1, risk_score FROM gated WHERE NOT gate) GROUP BY 1")
+def union_findings(spark, sf):
+    rows = _findings(spark, sf)
+    both = policy.union_findings(rows.where(policy.is_hard_gate()), rows.where(~policy.is_hard_gate()).drop("ts"))
+    return both.groupBy("source_pos").agg(F.count("*").alias("n"), F.round(F.sum("risk_score"), 2).alias("risk"))
+
+
+# ------------------------------------------------------------ inventory
+
+
+def _models(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("model_id"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    "manifest_check",
+    """WITH m AS (SELECT sha256(text) AS h, arg_min(doc_id, doc_id) AS a FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT doc_id::VARCHAR AS model_id, sha256(text) AS sha256, CASE WHEN a IS NULL THEN 'MANIFEST_MISMATCH_UNAPPROVED_MODEL' ELSE 'MANIFEST_VERIFIED_OK (Approved ID: ' || a || ')' END AS status, a::VARCHAR AS approved_id FROM documents LEFT JOIN m ON sha256(text) = h""",
+)
+def manifest_check(spark, sf):
+    models = _models(spark, sf)
+    approved = models.where("cast(model_id as bigint) % 3 = 0").select(F.col("model_id").cast("bigint").alias("position"), "model_id", F.upper("sha256").alias("sha256"))
+    return inventory.verify_manifest(models, approved)
+
+
+def _nodes(spark, sf) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "Relu").when(F.col("event_type") == "view", "Conv").otherwise(F.initcap("event_type"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").cast("string").alias("node_path"), F.when(F.col("event_id") % 97 == 0, "custom.domain").otherwise("").alias("domain"), kind.alias("op_type"))
+
+
+_NODES = """nodes AS (SELECT user_id AS model_id, event_id, CASE WHEN event_id % 97 = 0 THEN 'custom.domain' ELSE '' END AS domain, CASE event_type WHEN 'click' THEN 'Relu' WHEN 'view' THEN 'Conv' ELSE upper(event_type[1]) || event_type[2:] END AS op_type FROM events)"""
+
+
+@query("allowlist_audit", f"WITH {_NODES} SELECT op_type, count(*) AS nodes, count(DISTINCT model_id) AS models FROM nodes WHERE op_type NOT IN ('Relu', 'Conv') GROUP BY 1")
+def allowlist_audit(spark, sf):
+    return inventory.disallowed_operators(_nodes(spark, sf)).groupBy("op_type").agg(F.count("*").alias("nodes"), F.count_distinct("model_id").alias("models"))
+
+
+@query("domain_audit", f"WITH {_NODES} SELECT domain || '::' || op_type AS offence, count(*) AS nodes FROM nodes WHERE domain <> '' GROUP BY 1")
+def domain_audit(spark, sf):
+    return inventory.disallowed_domains(_nodes(spark, sf)).groupBy("offence").agg(F.count("*").alias("nodes"))
+
+
+@query("operator_inventory", f"WITH {_NODES} SELECT model_id, count(*) AS n_nodes, list_sort(list(DISTINCT op_type)) AS operators, coalesce(list_sort(list(DISTINCT op_type) FILTER (WHERE op_type NOT IN ('Relu', 'Conv'))), []::VARCHAR[]) AS disallowed, count(*) <= 50000 AS within_limit FROM nodes GROUP BY 1")
+def operator_inventory(spark, sf):
+    return inventory.operator_inventory(_nodes(spark, sf))
+
+
+def _inputs(spark, sf) -> DataFrame:
+    """Orders are inputs of their customer's model; their lines' part numbers are dims, some unknown or zero."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    value = F.when(F.col("l_partkey") % 11 == 0, None).when(F.col("l_partkey") % 13 == 0, 0).otherwise(F.col("l_partkey") % 97).cast("bigint")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("input_name"), F.col("l_linenumber").cast("int").alias("dim_pos"), value.alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))
+
+
+@query(
+    "input_budget",
+    """WITH d AS (SELECT o_custkey AS model_id, o_orderkey AS i, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 0 ELSE l_partkey % 97 END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT model_id, i, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN v IS NULL OR v = 0 THEN 1 ELSE v END::HUGEINT)), lambda a, b: a * b) AS p, max(v) AS m FROM d GROUP BY 1, 2)
+SELECT model_id, sum(p)::DOUBLE AS total_elements, max(p)::DOUBLE AS largest_input, max(m)::BIGINT AS largest_dim, sum(p) <= 16000000 AND coalesce(max(m), 0) <= 65536 AS within_budget FROM e GROUP BY 1""",
+)
+def input_budget(spark, sf):
+    out = inventory.input_budget(_inputs(spark, sf))
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total_elements", "largest_input")})
+
+
+@query("graph_io", "WITH i AS (SELECT o_custkey AS m, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), o AS (SELECT o_custkey AS m, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT c_custkey AS model_id, coalesce(i.n, 0) AS n_inputs, coalesce(o.n, 0) AS n_outputs, CASE WHEN i.n IS NULL THEN 'NO_INPUTS' WHEN o.n IS NULL THEN 'NO_OUTPUTS' ELSE 'OK' END AS status FROM customer LEFT JOIN i ON i.m = c_custkey LEFT JOIN o ON o.m = c_custkey")
+def graph_io(spark, sf):
+    outputs = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("output_name"), F.lit(0).alias("dim_pos"), F.lit(10).cast("bigint").alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"))
+    return inventory.graph_io_check(models, _inputs(spark, sf), outputs).select("model_id", "n_inputs", "n_outputs", "status")
+
+
+@query(
+    "firewall_report",
+    f"""WITH {_NODES}, v AS (SELECT model_id, 'DISALLOWED_OPERATOR: ' || op_type AS x FROM nodes WHERE op_type NOT IN ('Relu', 'Conv') UNION ALL SELECT model_id, 'DISALLOWED_DOMAIN: ' || domain || '::' || op_type FROM nodes WHERE domain <> ''
+UNION ALL SELECT o_custkey, 'INPUT_ELEMENTS: ' || i FROM (SELECT o_custkey, o_orderkey AS i, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 OR l_partkey % 97 = 0 THEN 1 ELSE l_partkey % 97 END::HUGEINT)), lambda a, b: a * b) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE p > 16000000
+UNION ALL SELECT m, 'TOTAL_INPUT_ELEMENTS' FROM (SELECT o_custkey AS m, sum(p) AS t FROM (SELECT o_custkey, o_orderkey, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 OR l_partkey % 97 = 0 THEN 1 ELSE l_partkey % 97 END::HUGEINT)), lambda a, b: a * b) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1) WHERE t > 16000000)
+SELECT c_custkey AS model_id, count(x) AS n_violations, md5(coalesce(string_agg(x, '|' ORDER BY x), '')) AS digest, count(x) = 0 AS passed FROM customer LEFT JOIN v ON v.model_id = c_custkey GROUP BY 1""",
+)
+def firewall_report(spark, sf):
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"))
+    none = spark.createDataFrame([], "model_id long, name string")
+    rows = inventory.firewall_report(models, _nodes(spark, sf), _inputs(spark, sf), none)
+    return rows.select("model_id", F.size("violations").cast("bigint").alias("n_violations"), F.md5(F.array_join("violations", "|")).alias("digest"), "passed")
+
+
+@query(
+    "safety_gate",
+    """WITH s AS (SELECT user_id AS model_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), m AS (SELECT c_custkey AS id, sha256(c_custkey::VARCHAR) AS h, c_custkey % 17 <> 0 AS ok FROM customer),
+f AS (SELECT id AS subject_id, 1 AS pos, 'INVALID_FILE_FORMAT' AS finding_type, 100.0 AS r FROM m WHERE NOT ok UNION ALL SELECT id, 2, 'MANIFEST_MISMATCH', 95.0 FROM m WHERE id % 4 <> 0 UNION ALL SELECT id, 3, 'UNSAFE_SERIALIZATION_INDICATOR', 100.0 FROM m JOIN s ON model_id = id WHERE ok)
+SELECT subject_id, count(*) AS n_findings, round(avg(r), 2)::DOUBLE AS mean_risk, string_agg(finding_type, ',' ORDER BY pos) AS findings FROM f GROUP BY 1""",
+)
+def safety_gate(spark, sf):
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), (F.col("c_custkey") % 17 != 0).alias("format_ok"))
+    manifest = models.where("model_id % 4 = 0").select(F.col("model_id").alias("position"), "model_id", "sha256")
+    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
+    nodes = _nodes(spark, sf).where("domain = ''").withColumn("op_type", F.lit("Relu"))
+    inputs = _inputs(spark, sf).withColumn("dim_value", F.lit(1).cast("bigint"))
+    found = inventory.safety_gate(models, manifest, nodes, inputs, spark.createDataFrame([], "model_id long, name string"), issues)
+    return found.groupBy("subject_id").agg(F.count("*").alias("n_findings"), F.round(F.avg("risk_score"), 2).alias("mean_risk"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding_type"))), lambda x: x["finding_type"]), ",").alias("findings"))
+
+
+@query("issue_rollup", "SELECT user_id AS model_id, count(*) AS n_issues, 'UNSAFE_SERIALIZATION_INDICATOR' AS finding_type FROM events WHERE event_type = 'error' GROUP BY 1")
+def issue_rollup(spark, sf):
+    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
+    return inventory.issue_rollup(issues).drop("issues")
+
+
+@query("artifact_precheck", "SELECT url AS path, CASE WHEN length(html) > 3000 THEN 'FILE_NOT_FOUND' WHEN NOT ends_with(lower(url), '/') THEN 'INVALID_FILE_EXTENSION' WHEN length(html) = 0 THEN 'EMPTY_FILE' ELSE 'OK' END AS status FROM pages")
+def artifact_precheck(spark, sf):
+    files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.when(F.length("html") <= 3000, F.length("html")).alias("length"))
+    return inventory.artifact_precheck(files, ("/",))
+
+
+@query(
+    "roles",
+    """WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'live_input_batch' WHEN 'view' THEN 'perturbation_overlay' ELSE event_type END AS raw FROM events), n AS (SELECT event_id, CASE WHEN raw IN ('live_input_batch', 'perturbation_overlay') THEN raw ELSE 'training_eval' END AS role FROM r)
+SELECT role, CASE role WHEN 'live_input_batch' THEN 'Live Input Batch Assurance' WHEN 'perturbation_overlay' THEN 'Perturbation Overlay Assurance' ELSE 'Training / Evaluation Dataset Assurance' END AS protocol, count(*) AS n FROM n GROUP BY 1, 2""",
+)
+def roles(spark, sf):
+    raw = F.when(F.col("event_type") == "click", "live_input_batch").when(F.col("event_type") == "view", "perturbation_overlay").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select(E.normalize_role(raw).alias("role"), E.protocol_name(raw).alias("protocol")).groupBy("role", "protocol").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ triage
+
+
+@query("sniff_formats", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'REJECTED_GIF' WHEN 3 THEN 'REJECTED_PDF' WHEN 4 THEN 'REJECTED_SVG' ELSE 'UNKNOWN' END AS format FROM pages")
+def sniff_formats(spark, sf):
+    heads = F.array(*(F.lit(h) for h in ("89504E470D0A1A0A", "FFD8FFE0", "474946383961", "25504446", "20203C537647", "")))
+    content = F.concat(F.unhex(F.element_at(heads, (F.col("page_id") % 6 + 1).cast("int"))), F.col("html").cast("binary"))
+    return table(spark, sf, "pages").select("page_id", E.sniff_format(E.head_hex(content)).alias("format"))
+
+
+@query(
+    "resource_gate",
+    """WITH p AS (SELECT page_id, length(html) * 1500 AS length, page_id * 37 % 5000 AS width, page_id * 91 % 5000 AS height, CASE WHEN page_id % 2 = 0 THEN 4096 ELSE 2048 END AS side, CASE WHEN page_id % 2 = 0 THEN 16000000 ELSE 4000000 END AS px, CASE WHEN page_id % 2 = 0 THEN 10485760 ELSE 5242880 END AS sz FROM pages),
+r AS (SELECT page_id, CASE WHEN length = 0 THEN 'empty file' WHEN length > sz THEN 'file size exceeds the limit' WHEN width <= 0 OR height <= 0 THEN 'image has no pixels' WHEN greatest(width, height) > side THEN 'image dimension exceeds the limit' WHEN width * height > px THEN 'pixel count exceeds the limit' END AS reason FROM p)
+SELECT page_id, reason, CASE WHEN reason IS NULL THEN NULL WHEN reason LIKE '%exceed%' THEN 'REJECTED_RESOURCE_LIMIT' ELSE 'REJECTED_MALFORMED_IMAGE' END AS finding_type, CASE WHEN reason IS NULL THEN NULL WHEN reason LIKE '%exceed%' THEN 0.0 ELSE 100.0 END::DOUBLE AS risk_score FROM r""",
+)
+def resource_gate(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", (F.length("html") * 1500).alias("length"), (F.col("page_id") * 37 % 5000).alias("width"), (F.col("page_id") * 91 % 5000).alias("height"), F.when(F.col("page_id") % 2 == 0, "Standard").otherwise("Demo").alias("profile"))
+    gated = triage.gate_resource_profile(rows, F.col("profile"))
+    kind = F.when(F.col("reason").isNotNull(), triage.classify_rejection(F.array("reason")))
+    return gated.select("page_id", "reason", kind.alias("finding_type"), F.when(kind.isNotNull(), triage.rejection_risk(kind)).alias("risk_score"))
+
+
+@query("triage_pages", "SELECT url AS path, length(encode(html)) AS length, CASE WHEN length(encode(html)) > 5242880 OR length(encode(html)) = 0 THEN NULL ELSE sha256(html) END AS sha256, 'REJECTED' AS status FROM pages")
+def triage_pages(spark, sf):
+    files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
+    return triage.triage(files, "Demo").select("path", "length", "sha256", "status")
+
+
+# ------------------------------------------------------------ provenance
+
+
+def _ledger_events(spark, sf) -> DataFrame:
+    return _events(spark, sf).select(F.col("user_id").alias("chain_id"), F.col("event_id").alias("seq"), F.sha2("event_type", 256).alias("model_sha256"), F.col("props").alias("manifest"), F.unix_micros("ts").alias("ts_us"))
+
+
+_ZERO = "repeat('0', 64)"
+_CHAIN = f"""pay AS (SELECT user_id AS chain_id, event_id AS seq, epoch_us(ts) AS ts_us, sha256(event_type) AS model, '{{"model_sha256":"' || sha256(event_type) || '","provenance_manifest":"' || replace(replace(props, '\\', '\\\\'), '"', '\\"') || '","timestamp":' || epoch_us(ts) || '}}' AS p FROM events),
+lst AS (SELECT chain_id, list(seq ORDER BY seq) AS s, list(p ORDER BY seq) AS ps FROM pay GROUP BY 1),
+chain AS (SELECT chain_id, unnest(s) AS seq, unnest(list_transform(range(1, len(ps) + 1), lambda i: list_reduce(list_prepend({_ZERO}, ps[1:i]), lambda a, b: sha256(a || b)))) AS h FROM lst),
+built AS (SELECT chain_id, seq, coalesce(lag(h) OVER (PARTITION BY chain_id ORDER BY seq), {_ZERO}) AS prev, h FROM chain)"""
+
+
+@query("chain_build", f"WITH {_CHAIN} SELECT chain_id, seq, prev AS previous_event_hash, h AS event_hash FROM built")
+def chain_build(spark, sf):
+    return provenance.build_chain(_ledger_events(spark, sf)).select("chain_id", "seq", "previous_event_hash", "event_hash")
+
+
+@query("chain_validate", "SELECT user_id AS chain_id, 'VALID_AUDIT_CHAIN (' || count(*) || ' events verified)' AS status, true AS valid, count(*) AS verified FROM events GROUP BY 1")
+def chain_validate(spark, sf):
+    return provenance.validate_chain(provenance.well_formed(provenance.build_chain(_ledger_events(spark, sf))))
+
+
+def _tampered(spark, sf) -> DataFrame:
+    """Some manifests, links, hashes, models and times changed after the chains were built."""
+    rows = provenance.well_formed(provenance.build_chain(_ledger_events(spark, sf)))
+    hit = lambda k: F.col("seq") % 500 == k
+    return rows.withColumns({
+        "manifest": F.when(hit(1), F.lit('{"k": -1}')).otherwise(F.col("manifest")),
+        "previous_event_hash": F.when(hit(101), F.repeat(F.lit("deadbeef"), 8)).otherwise(F.col("previous_event_hash")),
+        "model_sha256": F.when(hit(201), F.lit("short")).otherwise(F.col("model_sha256")),
+        "has_fields": ~hit(301),
+        "parsed": ~hit(401),
+    })
+
+
+_TAMPER = f"""{_CHAIN}, line AS (SELECT chain_id, seq, h, row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS line, CASE seq % 500 WHEN 401 THEN 'MALFORMED_JSON_LINE' WHEN 301 THEN 'MISSING_REQUIRED_FIELD' WHEN 201 THEN 'INVALID_MODEL_SHA256' WHEN 101 THEN 'BROKEN_CHAIN_LINK' WHEN 1 THEN 'INCORRECT_EVENT_HASH' END AS code FROM built),
+bad AS (SELECT chain_id, count(*) AS n, min(line) FILTER (WHERE code IS NOT NULL) AS b, arg_min(code, line) FILTER (WHERE code IS NOT NULL) AS code FROM line GROUP BY 1)"""
+
+
+@query("chain_validate_tampered", f"WITH {_TAMPER} SELECT chain_id, CASE WHEN b IS NULL THEN 'VALID_AUDIT_CHAIN (' || n || ' events verified)' ELSE code || ' (Line ' || b || ')' END AS status, b IS NULL AS valid, coalesce(b - 1, n) AS verified FROM bad")
+def chain_validate_tampered(spark, sf):
+    return provenance.validate_chain(_tampered(spark, sf))
+
+
+@query("chain_head", f"WITH {_TAMPER} SELECT chain_id, coalesce(max(h) FILTER (WHERE line = coalesce(b - 1, n)), {_ZERO}) AS head FROM line JOIN bad USING (chain_id) GROUP BY 1")
+def chain_head(spark, sf):
+    return provenance.chain_head(_tampered(spark, sf))
+
+
+@query("broken_chain_findings", f"WITH {_TAMPER} SELECT chain_id AS subject_id, 'BROKEN_AUDIT_CHAIN' AS finding_type, 100.0::DOUBLE AS risk_score FROM bad WHERE b IS NOT NULL")
+def broken_chain_findings(spark, sf):
+    chains = provenance.validate_chain(_tampered(spark, sf)).withColumnRenamed("chain_id", "subject_id")
+    return policy.broken_chain_finding(chains).select("subject_id", "finding_type", "risk_score")
+
+
+@query(
+    "checkpoint_hashes",
+    f"""WITH {_CHAIN} SELECT b.chain_id, b.seq, sha256('{{"event_hash":"' || h || '","model_sha256":"' || model || '","previous_event_hash":"' || prev || '","timestamp":' || ts_us || '}}') AS checkpoint_hash FROM built b JOIN pay USING (chain_id, seq)""",
+)
+def checkpoint_hashes(spark, sf):
+    return provenance.checkpoints(provenance.build_chain(_ledger_events(spark, sf))).select("chain_id", "seq", "checkpoint_hash")
+
+
+@query("checkpoint_status", "SELECT user_id AS chain_id, event_id AS seq, CASE event_id % 10 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'INVALID' ELSE 'VALID' END AS checkpoint_status FROM events")
+def checkpoint_status(spark, sf):
+    rows = provenance.checkpoints(provenance.build_chain(_ledger_events(spark, sf)))
+    k = F.col("seq") % 10
+    signed = rows.withColumn("signature", F.when(k == 0, "").when(k == 1, "forged").otherwise(provenance.sign(F.col("checkpoint_payload"))))
+    return provenance.verify_checkpoints(signed).select("chain_id", "seq", "checkpoint_status")
+
+
+@query("inference_log", f"WITH {_TAMPER} SELECT CASE WHEN b IS NULL THEN 'LOGGED' ELSE 'REJECTED_BROKEN_CHAIN' END AS log_status, count(*) AS n FROM line JOIN bad USING (chain_id) GROUP BY 1")
+def inference_log(spark, sf):
+    return provenance.log_inferences(_tampered(spark, sf), _ledger_events(spark, sf)).groupBy("log_status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "dataset_digest",
+    """WITH h AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders), p AS (SELECT ('0x' || substr(h, 1, 4))::INTEGER % 256 AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p""",
+)
+def dataset_digest(spark, sf):
+    orders = table(spark, sf, "orders")
+    return provenance.dataset_digest(orders, F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"), F.col("o_orderkey"))
+
+
+@query("provenance_manifest", "SELECT event_id AS run_id, sha256(event_type) AS dataset_hash, sha256(user_id::VARCHAR) AS model_hash, sha256(props) AS config_hash, sha256('none') AS preprocess_hash, sha256('runtime') AS runtime_hash, sha256(event_id::VARCHAR) AS input_hash, sha256(event_type || props) AS output_hash, sha256('engine') AS engine_hash FROM events")
+def provenance_manifest(spark, sf):
+    runs = table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("dataset"), F.col("user_id").alias("model"), F.col("props").alias("config"), F.lit("none").alias("preprocess"), F.lit("runtime").alias("runtime"), F.col("event_id").alias("input"), F.concat("event_type", "props").alias("output"), F.lit("engine").alias("engine"))
+    return provenance.provenance_manifest(runs)
+
+
+def _certificates(spark, sf) -> DataFrame:
+    verdicts = findings_policy(spark, sf).withColumn("model_sha256", F.sha2(F.col("subject_id").cast("string"), 256))
+    return provenance.certificate_payload(verdicts)
+
+
+_CERT = f"""{_FINDINGS}, cert AS (SELECT subject_id, verdict, sha256(subject_id::VARCHAR) AS model_sha256, '{{"evidence_strength":"' || evidence_strength || '","hard_gate_fired":' || hard_gate_fired || ',"hard_gates_triggered":[' || coalesce(array_to_string(list_transform(hard_gates, lambda g: '"' || g || '"'), ','), '') || '],"model_sha256":"' || sha256(subject_id::VARCHAR) || '","risk_hundredths":' || round(risk_score * 100)::BIGINT || ',"verdict":"' || verdict || '"}}' AS p FROM verdicts)"""
+
+
+@query("cert_payload", f"WITH {_CERT} SELECT subject_id, verdict, model_sha256, p AS canonical_payload, sha256(p) AS cert_hash, sha256('assurance-engine' || p) AS signature, 'assurance-engine' AS signer_identity FROM cert")
+def cert_payload(spark, sf):
+    return _certificates(spark, sf)
+
+
+@query(
+    "cert_audit",
+    f"""WITH {_CERT} SELECT subject_id AS cert_id, CASE subject_id % 9 WHEN 0 THEN 'MISSING_CANONICAL_PAYLOAD' WHEN 1 THEN 'MISSING_SIGNATURE' WHEN 2 THEN 'INVALID_SIGNER_IDENTITY' WHEN 3 THEN 'CERT_HASH_MISMATCH' WHEN 4 THEN 'MODEL_HASH_MISMATCH' WHEN 5 THEN 'VERDICT_MISMATCH' WHEN 6 THEN 'INVALID_SIGNATURE' ELSE 'VALID (Authentic Signed Certificate)' END AS status FROM cert""",
+)
+def cert_audit(spark, sf):
+    k = F.col("subject_id") % 9
+    change = {"canonical_payload": (0, F.lit(None)), "signature": (1, F.lit("")), "signer_identity": (2, F.lit("someone")), "cert_hash": (3, F.lit("0" * 64)), "model_sha256": (4, F.lit("f" * 64)), "verdict": (5, F.lit("NONE"))}
+    certs = _certificates(spark, sf).withColumns({c: F.when(k == i, v).otherwise(F.col(c)) for c, (i, v) in change.items()})
+    certs = certs.withColumn("signature", F.when(k == 6, "forged").otherwise(F.col("signature")))
+    return provenance.audit_certificates(certs.withColumnRenamed("subject_id", "cert_id")).select("cert_id", "status")
+
+
+@query(
+    "cert_layouts",
+    f"""WITH {_CERT} SELECT subject_id AS cert_id, CASE subject_id % 7 WHEN 0 THEN 'QR_PAYLOAD' WHEN 1 THEN 'FULL_JSON_CERTIFICATE' WHEN 2 THEN 'SIGNED_CHECKPOINT' WHEN 3 THEN 'EMBEDDED_QR_PAYLOAD' END AS layout, CASE subject_id % 7 WHEN 4 THEN 'MALFORMED_INPUT_JSON' WHEN 5 THEN 'INVALID_INPUT_TYPE' WHEN 6 THEN 'UNRECOGNIZED_FORMAT' ELSE 'VALID (Authentic Signed Certificate)' END AS status FROM cert""",
+)
+def cert_layouts(spark, sf):
+    c = _certificates(spark, sf)
+    body = F.concat(F.lit('"canonical_payload":'), "canonical_payload", F.lit(',"signature":"'), "signature", F.lit('"'))
+    raw = (
+        F.when(F.col("subject_id") % 7 == 0, F.concat(F.lit('{"spec_version":"QR-v1",'), body, F.lit("}")))
+        .when(F.col("subject_id") % 7 == 1, F.concat(F.lit("{"), body, F.lit(',"certificate_header":{"cert_hash":"'), "cert_hash", F.lit('"}}')))
+        .when(F.col("subject_id") % 7 == 2, F.concat(F.lit('{"signed_checkpoint":{"checkpoint_payload":'), "canonical_payload", F.lit(',"signature":"'), "signature", F.lit('"}}')))
+        .when(F.col("subject_id") % 7 == 3, F.concat(F.lit('{"qr_payload":{'), body, F.lit(',"cert_hash":"'), "cert_hash", F.lit('"}}')))
+        .when(F.col("subject_id") % 7 == 4, F.lit("{not json"))
+        .when(F.col("subject_id") % 7 == 5, F.lit("[1, 2]"))
+        .otherwise(F.lit('{"a": 1}'))
+    )
+    parsed = provenance.parse_certificates(c.select(F.col("subject_id").alias("cert_id"), raw.alias("raw")))
+    return provenance.audit_certificates(parsed).select("cert_id", "layout", F.coalesce("parse_status", "status").alias("status"))
+
+
+# ------------------------------------------------------------ generators and whole scans
+
+
+@query("inject_duplicates", "SELECT vec_id AS id, CASE WHEN vec_id % 40 = 7 THEN vec_id - 7 ELSE vec_id END AS source_id FROM embeddings WHERE vec_id % 40 = 7")
+def inject_duplicates(spark, sf):
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
+    mapping = rows.where("id % 40 = 7").select((F.col("id") - 7).alias("src"), F.col("id").alias("dst"))
+    changed = generators.inject_duplicates(rows, mapping)
+    source = rows.select(F.col("id").alias("source_id"), "pixels")
+    return changed.where("id % 40 = 7").join(source, "pixels").select("id", "source_id")
+
+
+@query("inject_trigger", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE label END AS label, round(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN vec_id % 5 = 0 AND i // 8 BETWEEN 5 AND 7 AND i % 8 BETWEEN 5 AND 7 THEN 1.0 ELSE embedding[i + 1]::DOUBLE END)), 4) AS total FROM embeddings")
+def inject_trigger(spark, sf):
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("pixels"))
+    changed = generators.inject_trigger(rows, 8, F.col("id") % 5 == 0, at=5)
+    return changed.select("id", "label", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
+
+
+@query("inject_outliers", "SELECT vec_id AS id, round(CASE WHEN vec_id IN (3, 5, 8) THEN 32.0 ELSE list_sum(embedding::DOUBLE[]) END, 4) AS total FROM embeddings")
+def inject_outliers(spark, sf):
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
+    return generators.inject_outliers(rows, [3, 5, 8], "checkerboard", 8).select("id", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
+
+
+@query("scan_dataset")
+def scan_dataset(spark, sf):
+    return pipelines.scan_dataset(_samples(spark, sf).withColumn("shape", F.array(F.lit(8), F.lit(8))), "training_eval", hash_bits=56)
+
+
+@query("scan_model")
+def scan_model(spark, sf):
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), (F.col("c_custkey") % 17 != 0).alias("format_ok"))
+    manifest = models.where("model_id % 4 = 0").select(F.col("model_id").alias("position"), "model_id", "sha256")
+    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
+    nodes = _nodes(spark, sf)
+    none = spark.createDataFrame([], "model_id long, name string")
+    rows = _embeddings(spark, sf)
+    chains = provenance.validate_chain(_tampered(spark, sf)).withColumnRenamed("chain_id", "subject_id")
+    return pipelines.scan_models(models, manifest, nodes, _inputs(spark, sf), none, issues, rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), chains)
