@@ -24,6 +24,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an outer expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ------------------------------------------------------------ probabilities
 
 
@@ -49,16 +54,15 @@ def entropy_calib(p: Column) -> Column:
 
 def js_divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in nats, never below 0."""
-    p, q = clip_probs(p), clip_probs(q)
-    half = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * F.ln(x / ((x + y) / 2))))
-    return F.greatest(F.lit(0.0), (half(p, q) + half(q, p)) / 2)
+    term = lambda x, y: (x * F.ln(x / ((x + y) / 2)) + y * F.ln(y / ((x + y) / 2))) / 2
+    return F.greatest(F.lit(0.0), total(F.zip_with(clip_probs(p), clip_probs(q), term)))
 
 
 def softmax(logits: Column) -> Column:
     """Softmax shifted by the largest logit."""
-    logits = doubles(logits)
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    share = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    shifted = lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return let(let(doubles(logits), shifted), share)
 
 
 def argmax(p: Column) -> Column:
@@ -85,15 +89,18 @@ def dot(a: Column, b: Column) -> Column:
 def scale_pixels(pixels: Column) -> Column:
     """0..255 integers: values of at most 1 are multiplied by 255 in single precision, then clipped and cut."""
     factor = F.when(F.array_max(pixels) <= 1.0, F.lit(255.0)).otherwise(F.lit(1.0)).cast("float")
-    return F.transform(pixels.cast("array<float>"), lambda x: F.least(F.greatest((x * factor).cast("float"), F.lit(0.0).cast("float")), F.lit(255.0).cast("float")).cast("int"))
+    low, high = F.lit(0.0).cast("float"), F.lit(255.0).cast("float")
+    return let(factor, lambda f: F.transform(pixels.cast("array<float>"), lambda x: F.least(F.greatest((x * f).cast("float"), low), high).cast("int")))
 
 
 def to_grayscale(pixels: Column, channels: Column, plane: Column) -> Column:
     """Mean over channels of a channel-first image with ``plane`` pixels a channel."""
-    values = doubles(pixels)
-    at = lambda c, i: F.element_at(values, (c * plane + i + 1).cast("int"))
-    each = lambda i: F.aggregate(F.sequence(F.lit(0), channels.cast("int") - 1), F.lit(0.0), lambda a, c: a + at(c, i)) / channels
-    return F.transform(F.sequence(F.lit(0), plane.cast("int") - 1), each)
+    def gray(values):
+        at = lambda c, i: F.element_at(values, (c * plane + i + 1).cast("int"))
+        each = lambda i: F.aggregate(F.sequence(F.lit(0), channels.cast("int") - 1), F.lit(0.0), lambda a, c: a + at(c, i)) / channels
+        return F.transform(F.sequence(F.lit(0), plane.cast("int") - 1), each)
+
+    return let(doubles(pixels), gray)
 
 
 def blend(x: Column, overlay: Column, alpha: float = 0.5) -> Column:
@@ -106,13 +113,11 @@ def brightness(x: Column, factor: float = 1.10) -> Column:
 
 def translate(x: Column, width: int, shift: int = 1) -> Column:
     """Image moved right and down by ``shift`` pixels, zeros moving in."""
-    values = doubles(x)
+    def moved(values):
+        inside = lambda i: (i % width >= shift) & (i >= shift * width)
+        return F.transform(values, lambda _, i: F.when(inside(i), F.element_at(values, F.greatest(i - shift * width - shift + 1, F.lit(1)))).otherwise(0.0))
 
-    def moved(_, i):
-        inside = (i % width >= shift) & (i >= shift * width)
-        return F.when(inside, F.element_at(values, F.greatest(i - shift * width - shift + 1, F.lit(1)))).otherwise(0.0)
-
-    return F.transform(values, moved)
+    return let(doubles(x), moved)
 
 
 def blur(x: Column, width: int, sigma: float = 0.8, reach: int = 2) -> Column:
@@ -133,7 +138,7 @@ def blur(x: Column, width: int, sigma: float = 0.8, reach: int = 2) -> Column:
 
         return F.transform(values, lambda _, i: reduce(lambda a, b: a + b, (F.element_at(values, at(i, k) + 1) * w for k, w in zip(range(-reach, reach + 1), weights, strict=True))))
 
-    return along(along(doubles(x), 1), width)
+    return let(let(doubles(x), lambda v: along(v, 1)), lambda v: along(v, width))
 
 
 def uniform(seed: Column, position: Column, salt: int) -> Column:
@@ -158,10 +163,13 @@ def seed_from_hash(sha: Column) -> Column:
 
 def dhash(pixels: Column, width: int, height: int) -> Column:
     """Difference hash: row by row a bit for each pixel brighter than its right neighbour, highest bit first; up to 63 bits."""
-    values = doubles(pixels)
     places = [(r * width + c + 1) for r in range(height) for c in range(width - 1)]
-    bits = [F.when(F.element_at(values, i) > F.element_at(values, i + 1), F.lit(1 << (len(places) - 1 - k))).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(places)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    def bits(values):
+        each = [F.when(F.element_at(values, i) > F.element_at(values, i + 1), F.lit(1 << (len(places) - 1 - k))).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(places)]
+        return reduce(lambda a, b: a.bitwiseOR(b), each)
+
+    return let(doubles(pixels), bits)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ def linear_probabilities(df: DataFrame, weights: DataFrame, vector: str, label:
     The classes come as one row; their number is a model's, not the data's.
     """
     row = weights.agg(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("centroid")))).alias("__w")).withColumn("__one", F.lit(1))
-    logits = F.transform("__w", lambda w: E.dot(F.col(vector), w["centroid"]))
+    logits = E.let(E.doubles(F.col(vector)), lambda v: F.transform("__w", lambda w: E.dot(v, w["centroid"])))
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(row), "__one").withColumn("probs", E.softmax(logits)).drop("__w", "__one")
 
 
