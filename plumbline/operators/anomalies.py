@@ -32,7 +32,7 @@ def fit_isolation_forest(vectors: DataFrame, trees: int = 100, sample: int = 256
     draw = F.pmod(F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
     taken = vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", draw).where(F.col("draw") < share * span)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key, pdf):
         pdf = pdf.sort_values(["draw", "id"]).head(sample)
         x = np.stack(pdf["vector"].to_numpy())
         rng = np.random.default_rng([seed, int(key[0])])

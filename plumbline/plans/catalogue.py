@@ -695,7 +695,7 @@ def resource_gate(spark, sf):
     return gated.select("page_id", "reason", kind.alias("finding_type"), F.when(kind.isNotNull(), triage.rejection_risk(kind)).alias("risk_score"))
 
 
-@query("triage_pages", "SELECT url AS path, length(encode(html)) AS length, CASE WHEN length(encode(html)) > 5242880 OR length(encode(html)) = 0 THEN NULL ELSE sha256(html) END AS sha256, 'REJECTED' AS status FROM pages")
+@query("triage_pages", "SELECT url AS path, strlen(html) AS length, CASE WHEN strlen(html) > 5242880 OR strlen(html) = 0 THEN NULL ELSE sha256(html) END AS sha256, 'REJECTED' AS status FROM pages")
 def triage_pages(spark, sf):
     files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
     return triage.triage(files, "Demo").select("path", "length", "sha256", "status")
