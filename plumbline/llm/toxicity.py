@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
 from plumbline.llm.labelled import MOST_LABELLED, labelled_sample
+from plumbline.session import stored
 
 FEATURES, GRADES = 2000, 3
 
@@ -74,20 +75,30 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.steps, -500, 500)))
 
 
-def _select(row: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(selected words, words that only toxic rows use) by a log-odds z score over the sample's rows."""
-    pair = np.unique(np.stack([hashes, row.astype(np.uint64)], axis=1), axis=0)
-    words, at = np.unique(pair[:, 0], return_inverse=True)
-    bad = toxic[pair[:, 1].astype(np.int64)]
-    yes, no = np.bincount(at, weights=bad, minlength=len(words)), np.bincount(at, weights=~bad, minlength=len(words))
-    n_yes, n_no = toxic.sum(), (~toxic).sum()
-    odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
-    error = np.sqrt(1 / (yes + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (no + 0.5) + 1 / (n_no - no + 0.5))
-    z = np.abs(odds / error)
-    chosen = np.flatnonzero((yes + no >= 3) & (z >= 3))
-    chosen = chosen[np.lexsort((words[chosen], -z[chosen]))][:most]
-    own = (no == 0) & (yes >= max(3, 0.02 * n_yes)) & (odds / error >= 3)
-    return np.sort(words[chosen]), words[own]
+def _select(sample: DataFrame, n_yes: int, n_no: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(selected words, words that only toxic rows use) by a log-odds z score over the sample's rows.
+
+    Rows that hold a word are counted by Spark; at most ``most`` words of each kind come back.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for rows, data, at in tk.slabs(batch):
+                row, hashes = _words(data, at)
+                bad = np.asarray(rows.column(1).to_numpy()) >= 0.5
+                pair = np.unique(np.stack([hashes, row.astype(np.uint64)], axis=1), axis=0)
+                words, first = np.unique(pair[:, 0], return_inverse=True)
+                yes = np.bincount(first, weights=bad[pair[:, 1].astype(np.int64)], minlength=len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(yes), pa.array(np.bincount(first, minlength=len(words)) - yes)], names=["word", "yes", "no"])
+
+    counts = sample.select("text", "target").mapInArrow(count, "word long, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("yes + no >= 3")
+    yes, no = F.col("yes") + 0.5, F.col("no") + 0.5
+    odds = F.ln(yes / (n_yes + 1 - yes)) - F.ln(no / (n_no + 1 - no))
+    error = F.sqrt(1 / yes + 1 / (n_yes + 1 - yes) + 1 / no + 1 / (n_no + 1 - no))
+    scored = counts.withColumn("z", odds / error).where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "word")
+    chosen = [r["word"] for r in scored.limit(most).collect()]
+    own = [r["word"] for r in scored.where((F.col("no") == 0) & (F.col("z") >= 3) & (F.col("yes") >= max(3, 0.02 * n_yes))).limit(most).collect()]
+    return tuple(np.sort(np.array(x, dtype=np.int64).view(np.uint64)) for x in (chosen, own))
 
 
 def _fit(x: tuple, n: int, grade: np.ndarray, width: int, epochs: int = 400, rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -120,39 +131,36 @@ def _fit(x: tuple, n: int, grade: np.ndarray, width: int, epochs: int = 400, rat
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, features: int = FEATURES) -> ToxicityModel:
     """The model from at most ``most_labelled`` labelled rows."""
+    sample = stored(labelled_sample(docs, labels, label, id_col, text_col, most_labelled))
+    n_yes, n_no = sample.agg(F.count_if(F.col("target") >= 0.5), F.count_if(F.col("target") < 0.5)).first()
+    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+    if not n_yes or not n_no:
+        return empty
+    chosen, own = _select(sample, n_yes, n_no, features)
+    if not len(chosen):
+        return empty
+    pick = ToxicityModel(chosen, np.zeros(len(chosen)), np.zeros(GRADES))
 
-    def hashed(batches):
+    def hold(batches):
         for batch in batches:
             for rows, data, at in tk.slabs(batch):
                 row, hashes = _words(data, at)
-                # distinct words and their counts; the sample is bounded, a row by its words
-                pair = np.stack([row.astype(np.uint64), hashes], axis=1)
-                pair, count = np.unique(pair, axis=0, return_counts=True)
-                cut = np.searchsorted(pair[:, 0], np.arange(rows.num_rows + 1))
-                words, counts = pair[:, 1].astype("<u8").tobytes(), count.astype("<u4").tobytes()
+                used = np.bincount(row[np.isin(hashes, own)], minlength=rows.num_rows)
+                row, feature, value = pick.features(row, hashes)
+                cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
                 spans = list(zip(cut.tolist(), cut[1:].tolist(), strict=False))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(1), pa.array([words[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([counts[4 * a : 4 * b] for a, b in spans], pa.binary())], names=["target", "words", "counts"]
+                    [rows.column(1), pa.array(used), pa.array([feature[a:b] for a, b in spans], pa.list_(pa.int64())), pa.array([value[a:b] for a, b in spans], pa.list_(pa.float64()))], names=["target", "used", "features", "values"]
                 )
 
-    found = labelled_sample(docs, labels, label, id_col, text_col, most_labelled).select("text", "target").mapInArrow(hashed, "target double, words binary, counts binary").collect()
-    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
+    found = sample.select("text", "target").mapInArrow(hold, "target double, used long, features array<long>, values array<double>").collect()
+    found.sort(key=lambda r: (r["target"], r["used"], r["features"], r["values"]))
     toxic = np.array([r["target"] >= 0.5 for r in found], dtype=bool)
-    if not toxic.any() or toxic.all():
-        return empty
-    found.sort(key=lambda r: (r["target"], bytes(r["words"]), bytes(r["counts"])))
-    toxic = np.array([r["target"] >= 0.5 for r in found], dtype=bool)
-    words = [np.frombuffer(r["words"], "<u8") for r in found]
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in found])
-    row, hashes = np.repeat(np.arange(len(found)), [len(w) for w in words]), np.concatenate(words)
-    chosen, own = _select(row, hashes, toxic, features)
-    if not len(chosen):
-        return empty
-    used = np.bincount(row, weights=counts * np.isin(hashes, own), minlength=len(found))
-    grade = np.where(toxic, np.digitize(used, [1.5, 3.5]) + 1, 0)
-    at = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
-    hit = chosen[at] == hashes
-    weights, steps = _fit((row[hit], at[hit], 1 + np.log(counts[hit])), len(found), grade, len(chosen))
+    row = np.repeat(np.arange(len(found)), [len(r["features"]) for r in found])
+    feature = np.array([x for r in found for x in r["features"]], dtype=np.int64)
+    value = np.array([x for r in found for x in r["values"]], dtype=float)
+    grade = np.where(toxic, np.digitize([r["used"] for r in found], [1.5, 3.5]) + 1, 0)
+    weights, steps = _fit((row, feature, value), len(found), grade, len(chosen))
     return ToxicityModel(chosen, weights, steps)
 
 
