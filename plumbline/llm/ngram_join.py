@@ -38,10 +38,14 @@ from plumbline.session import checkpointed
 BUCKETS, LOWEST = 1 << 20, 62
 #: Sets of a cluster that meet in one task.
 BLOCK = 1024
+#: Rows of 28 bytes of cluster members that may be broadcast; beyond it texts are shuffled to meet them.
+SMALL = 1_000_000
 #: Tokens of a trie level.
 STEP = 32
 #: Parts of a sketch, classes of one n-gram that meet in one task, and rows taken together.
-PARTS, CROWD, ROWS = 64, 4096, 1 << 15
+PARTS, CROWD, ROWS = 256, 4096, 1 << 15
+#: N-grams of a cluster that meet in one block, whatever its sets.
+GRAMS = 1 << 20
 
 
 def _bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +100,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> Da
                 d = np.frombuffer(digests, "<i8").reshape(-1, 2)
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)).astype(np.int32)), pa.array(grams[taken].view(np.int64)))
                 part = np.bincount(row * PARTS + (grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS * rows.num_rows)
-                sketch = pa.array([x.tobytes() for x in np.minimum(part, 2**32 - 1).astype("<u4").reshape(-1, PARTS)], pa.binary())
+                sketch = pa.array([x.tobytes() for x in np.minimum(part, 255).astype(np.uint8).reshape(-1, PARTS)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), prefix, sketch], names=["id", "key", "n_shingles", "d1", "d2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, f"id {kind}, key long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch binary")
@@ -113,6 +117,7 @@ def candidate_edges(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketc
     label = at.copy()
     begin, count = runs(group)
     own = np.repeat(np.arange(len(begin)), count)
+    full = sketch.max(axis=1) == 255 if len(sketch) else np.zeros(0, dtype=bool)  # counts beyond a byte bound nothing
     left = np.flatnonzero(np.arange(len(group)) - begin[own] < count[own] - 1)
     d = 1
     while len(left):
@@ -122,7 +127,7 @@ def candidate_edges(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketc
         for k in range(0, len(fresh), ROWS):
             i = fresh[k : k + ROWS]
             most = np.minimum(sketch[i], sketch[i + d]).sum(axis=1, dtype=np.int64)
-            for x in i[(num + den) * most >= num * (size[i] + size[i + d])]:
+            for x in i[full[i] | full[i + d] | ((num + den) * most >= num * (size[i] + size[i + d]))]:
                 a, b = union.root(int(at[x])), union.root(int(at[x + d]))
                 if a != b:
                     union.up[max(a, b)] = min(a, b)
@@ -164,7 +169,7 @@ def _edges(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         token, i, j, size, node = (table.column(c).to_numpy() for c in range(5))
         group = np.cumsum(np.append(0, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
-        sketch = tk.flat(table.column(5))[0].view("<u4").reshape(-1, PARTS)
+        sketch = tk.flat(table.column(5))[0].reshape(-1, PARTS)
         found = candidate_edges(group, node, size, sketch, num, den)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
@@ -345,9 +350,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = _block_pairs(shared, "split").select("token", "i", "j", "size", "node", "sketch")
     edges = shared.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "node").mapInArrow(lambda b: _edges(b, num, den), "a long, b long")
     clusters = checkpointed(connected_components(edges).select("node", F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("split"))
-    wanted = clusters.join(sizes, "cluster").join(classes.select("node", "key"), "node").hint("shuffle_hash")
-    members = rows.join(wanted, "key").select("node", "cluster", "split", "text").mapInArrow(lambda b: _read_sets(b, n), "node long, cluster long, split int, grams binary")
+    inside = clusters.join(classes.select("node", "key", "size"), "node")
+    sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / GRAMS)).cast("int").alias("split"))
+    wanted = checkpointed(inside.join(sizes, "cluster").select("key", "node", "cluster", "split"))
+    members = rows.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("shuffle_hash"), "key").select("node", "cluster", "split", "text").mapInArrow(lambda b: _read_sets(b, n), "node long, cluster long, split int, grams binary")
     pairs = _block_pairs(members, "split").select("cluster", "i", "j", "node", "mine", "grams")
     links = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda b: _join_blocks(b, num, den), "a long, b long")
     found = connected_components(checkpointed(links))
