@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -55,3 +56,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Rows of some 40 bytes that may be broadcast.
+SMALL = 1_000_000
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, to be shuffled; pass a stored table."""
+    return F.broadcast(df) if df.count() <= most else df
