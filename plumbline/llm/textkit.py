@@ -80,12 +80,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slabs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of about ``SLAB`` bytes of text each, covering every row of the batch."""
+def slabs(batch: pa.RecordBatch, column: str = "text", size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of about ``size`` (``SLAB``) bytes of text each, covering every row of the batch."""
     data, at = flat(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SLAB, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (size or SLAB), side="right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 

@@ -27,6 +27,8 @@ from plumbline.llm.labelled import MOST_LABELLED, labelled_sample
 from plumbline.session import stored
 
 FEATURES, GRADES = 2000, 3
+#: Bytes of text taken together: each word gives several features, so parts are smaller than a slab.
+PART = 1 << 18
 
 
 #: Lengths in bytes of the word beginnings that are features beside whole words: they carry a stem to forms not seen.
@@ -83,12 +85,12 @@ def _select(sample: DataFrame, n_yes: int, n_no: int, most: int) -> tuple[np.nda
 
     def count(batches):
         for batch in batches:
-            for rows, data, at in tk.slabs(batch):
+            for rows, data, at in tk.slabs(batch, size=PART):
                 row, hashes = _words(data, at)
                 bad = np.asarray(rows.column(1).to_numpy()) >= 0.5
-                pair = np.unique(np.stack([hashes, row.astype(np.uint64)], axis=1), axis=0)
-                words, first = np.unique(pair[:, 0], return_inverse=True)
-                yes = np.bincount(first, weights=bad[pair[:, 1].astype(np.int64)], minlength=len(words)).astype(np.int64)
+                _, once = np.unique(tk.mix(hashes ^ tk.mix(row.astype(np.uint64))), return_index=True)
+                words, first = np.unique(hashes[once], return_inverse=True)
+                yes = np.bincount(first, weights=bad[row[once]], minlength=len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(yes), pa.array(np.bincount(first, minlength=len(words)) - yes)], names=["word", "yes", "no"])
 
     counts = sample.select("text", "target").mapInArrow(count, "word long, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("yes + no >= 3")
@@ -143,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def hold(batches):
         for batch in batches:
-            for rows, data, at in tk.slabs(batch):
+            for rows, data, at in tk.slabs(batch, size=PART):
                 row, hashes = _words(data, at)
                 used = np.bincount(row[np.isin(hashes, own)], minlength=rows.num_rows)
                 row, feature, value = pick.features(row, hashes)
@@ -171,7 +173,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def run(batches):
         for batch in batches:
-            for rows, data, at in tk.slabs(batch):
+            for rows, data, at in tk.slabs(batch, size=PART):
                 above = sent.value.above(data, at)
                 share = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays(
