@@ -91,7 +91,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.0) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_k").alias("suffix_k"))
     total = suffixes.agg(F.sum("suffix_n"), F.sum("suffix_k")).first()
     n, k = int(total[0] or 0), int(total[1] or 0)
-    suffixes = suffixes.withColumn("all_n", F.lit(n)).withColumn("all_k", F.lit(k))
+    suffixes = suffixes.withColumn("all_n", F.lit(max(n, 1))).withColumn("all_k", F.lit(k))
     domains = domains.join(suffixes, "suffix")
     strengths = [
         _strength(*table.agg(*_spread(level, parent)).first())
