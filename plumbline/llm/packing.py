@@ -128,15 +128,15 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _fit(left: Counter, capacity: int, length: int, avail: np.ndarray) -> list[int] | None:
+def _fit(left: Counter, capacity: int, length: int, avail: np.ndarray, most_parts: int) -> list[int] | None:
     """Lengths that fill the gap of ``length`` exactly: one, else two, else three, the longest first."""
     gap = capacity - length
     enough = lambda combo: all(left[x] >= k for x, k in Counter([length, *combo]).items())
     if gap == 0:
         return []
-    if avail[gap] and enough([gap]):
+    if most_parts and avail[gap] and enough([gap]):
         return [gap]
-    for parts in (2, 3):
+    for parts in range(2, most_parts + 1):
         for a in range(gap - parts + 1, (gap - 1) // parts, -1) if parts == 3 else (gap,):
             rest = gap - a if parts == 3 else gap
             if parts == 3 and not avail[a]:
@@ -153,14 +153,23 @@ def _fit(left: Counter, capacity: int, length: int, avail: np.ndarray) -> list[i
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) that use up all ``counts``."""
+    """(lengths of a sequence, how many such sequences) that use up all ``counts``.
+
+    Long combinations may spend lengths that best fit needs later, so plans with combinations of up
+    to three, two, one and no complements are made, and the one of fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = Counter({k: v for k, v in counts.items() if v})
     avail = np.zeros(capacity + 1, dtype=bool)
     avail[list(left)] = True
     patterns: list[tuple[tuple[int, ...], int]] = []
     for length in sorted(left, reverse=True):
         while left[length]:
-            combo = _fit(left, capacity, length, avail)
+            combo = _fit(left, capacity, length, avail, most_parts)
             if combo is None:
                 break
             use = Counter([length, *combo])
