@@ -12,16 +12,19 @@ words are left as they are.
    all others by hash; lines that have crowded tokens get their prefix anew under that order.
 3. The prefix tokens are joined with a length filter (sizes within the similarity) and a positional
    filter (what is left behind the token must suffice). Pairs that remain are verified on all tokens.
-4. A class is late for a line when its own first place, or that of a matching class, is before it.
+   One match before a class settles it, so each class is first held against one candidate, the first
+   class of its tokens that shares most of them; only classes which that leaves open are joined with
+   all that begin before them.
+4. A class with a match before it loses all its lines, any other those behind its first.
 
-Text is shuffled once, when removed positions meet their documents. Small sides are broadcast behind
-a count of their rows, and shuffled beyond it. Null texts are empty; rows repeated with id and text
+Text is not shuffled while what it meets is small: small sides are broadcast behind a count of their
+rows; beyond it the text is shuffled to them. Null texts are empty; rows repeated with id and text
 are one document and are judged alike; a null id stands before all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import checkpointed, stored
@@ -41,15 +44,24 @@ def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _lines(rows: DataFrame, tokens: bool) -> DataFrame:
-    """(id, key, pos, h1, h2[, tokens]) of lines with at least ``WORDS`` words."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """(id, key, pos, line, h1, h2) of every line."""
     lines = rows.select("id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
-    if not tokens:
-        return lines.select("id", "key", "pos", "h1", "h2")
-    lines = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).where(F.size("words") >= WORDS)
-    shingles = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, WORDS)))
-    return lines.select("id", "key", "pos", "h1", "h2", F.array_distinct(shingles).alias("tokens"))
+    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
+
+
+def _tokenized(lines: DataFrame) -> DataFrame:
+    """Lines of at least ``WORDS`` words with ``tokens`` for their text: words are hashed once, shingles from those."""
+    words = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).where(F.size("words") >= WORDS).drop("line")
+    hashed = words.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    each = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WORDS))))
+    return hashed.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), F.size("words") - (WORDS - 1)))).drop("words")
+
+
+def _first_lines(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, first, tokens) of the first line of each asked class (node, h1, h2, first); only those lines are tokenized."""
+    found = _lines(rows).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
+    return _tokenized(found).select("node", "first", "tokens").dropDuplicates(["node"])
 
 
 def _place(id_: str = "id", key: str = "key", pos: str = "pos") -> Column:
@@ -58,15 +70,15 @@ def _place(id_: str = "id", key: str = "key", pos: str = "pos") -> Column:
 
 
 def matching_lines(rows: DataFrame) -> DataFrame:
-    """(h1, h2, late) per class of lines: the place of the first line that equals or matches it."""
-    lines = _lines(rows, tokens=True).withColumn("size", F.size("tokens"))
+    """(h1, h2, late, hit) per class of lines that has removed ones: all where ``hit``, a class before it matching; else those behind its first, ``late``."""
+    lines = _tokenized(_lines(rows)).withColumn("size", F.size("tokens"))
     lines = lines.withColumn("prefix", F.slice(F.sort_array("tokens"), F.lit(1), F.col("size") - _need(F.col("size")) + 1))
     classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
     tokens = classes.select("node", "size", F.posexplode("prefix").alias("i", "token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(tokens.join(counts, "token"))
+    counted = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token")))
+    shared = checkpointed(counted.where("n > 1"))
     crowded = checkpointed(shared.where(F.col("n") > CROWD).select("token").distinct())
     if crowded.isEmpty():
         entries = shared.select("token", "node", "size", "i")
@@ -74,32 +86,58 @@ def matching_lines(rows: DataFrame) -> DataFrame:
         crowd = sized(crowded)
         hit = checkpointed(shared.where(F.col("n") > CROWD).select("node").distinct())
         asked = checkpointed(classes.join(sized(hit), "node").select("node", "h1", "h2", "first"))
-        again = _lines(rows, tokens=True).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
-        again = again.dropDuplicates(["node"]).select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        again = _first_lines(rows, asked).select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
         again = again.join(crowd.withColumn("crowded", F.lit(1)), "token", "left").withColumn("t", F.struct(F.coalesce("crowded", F.lit(0)).alias("crowded"), "token"))
         ordered = again.groupBy("node", "size").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        fresh = ordered.select("node", "size", F.posexplode(F.slice("ts", F.lit(1), F.col("size") - _need(F.col("size")) + 1)).alias("i", "t")).select(F.col("t.token").alias("token"), "node", "size", "i")
-        # a token that was shared by two prefixes before may now be shared by others: those that were not stay out
-        others = tokens.join(sized(hit), "node", "left_anti").select("token", "node", "size", "i")
-        entries = others.unionByName(fresh)
-        entries = checkpointed(entries.join(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"))
-    a, b = entries.alias("a"), entries.alias("b")
-    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    rest = F.least(F.col("a.size") - F.col("a.i"), F.col("b.size") - F.col("b.i"))
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (small * 5 >= large * 4) & (rest * 9 >= (F.col("a.size") + F.col("b.size")) * 4)
-    pairs = checkpointed(a.join(b, near).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
-
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    asked = checkpointed(classes.join(sized(checkpointed(asked)), "node").select("node", "h1", "h2", "first"))
-    sets = _lines(rows, tokens=True).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first")).dropDuplicates(["node"]).select("node", "tokens", "first")
-    sets = stored(sets)
-    left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"t{n}"), F.col("first").alias(f"f{n}")) for n in ("x", "y"))
+        fresh = ordered.select("node", "size", F.posexplode(F.slice("ts", F.lit(1), F.col("size") - _need(F.col("size")) + 1)).alias("i", "t"))
+        fresh = checkpointed(fresh.select(F.col("t.token").alias("token"), "node", "size", "i"))
+        # the other lines' tokens that are shared among themselves, and those that a new prefix has
+        same = tokens.join(sized(checkpointed(fresh.select("token").distinct())), "token", "left_semi").select("token", "node", "size", "i")
+        others = shared.select("token", "node", "size", "i").unionByName(same).join(sized(hit), "node", "left_anti").dropDuplicates(["token", "node"])
+        entries = checkpointed(others.unionByName(fresh))
+    firsts = classes.select("node", "first")
+    entries = checkpointed(entries.join(firsts, "node"))
+    matched = _matched(rows, classes, _nearest(entries))
+    # those that match their nearest are settled; all others are held against every earlier class
+    pairs = checkpointed(_earlier(entries.join(sized(matched), "node", "left_anti"), entries))
+    matched = checkpointed(matched.unionByName(_matched(rows, classes, pairs)).distinct())
+    found = classes.select("node", "h1", "h2", "first", "copies").join(matched.withColumn("hit", F.lit(True)), "node", "left")
+    return found.where("copies > 1 or hit").select("h1", "h2", F.when(F.col("hit"), F.lit(None)).otherwise(F.col("first")).alias("late"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def _near(x: str, y: str) -> Column:
+    """Length and positional filter of two entries that share a token."""
+    c = lambda t, name: F.col(f"{t}.{name}")
+    small, large = F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
+    rest = F.least(c(x, "size") - c(x, "i"), c(y, "size") - c(y, "i"))
+    return (small * 5 >= large * 4) & (rest * 9 >= (c(x, "size") + c(y, "size")) * 4)
+
+
+def _earlier(some: DataFrame, entries: DataFrame) -> DataFrame:
+    """(x, y): candidates of the classes in ``some`` among the classes that begin before them."""
+    x, y = some.alias("x"), entries.alias("y")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _near("x", "y")
+    return x.join(y, near).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+
+
+def _nearest(entries: DataFrame) -> DataFrame:
+    """(x, y): for each class one earlier candidate, of the first classes of its tokens that with most tokens in common."""
+    hubs = entries.groupBy("token").agg(F.min(F.struct("first", "node", "size", "i")).alias("hub"))
+    y = hubs.select("token", "hub.*").alias("y")
+    both = entries.alias("x").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _near("x", "y"))
+    common = both.groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count("*").alias("n"))
+    return checkpointed(common.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
+
+
+def _matched(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node) of the classes x of ``pairs`` (x, y) whose tokens match those of some y: verified on all tokens."""
+    asked = checkpointed(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    asked = checkpointed(classes.join(sized(asked), "node").select("node", "h1", "h2", "first"))
+    sets = stored(_first_lines(rows, asked).select("node", "tokens"))
+    left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"t{n}")) for n in ("x", "y"))
     both = F.size(F.array_intersect("tx", "ty"))
     links = pairs.join(left, "x").join(right, "y").where(both * 9 >= (F.size("tx") + F.size("ty")) * 4)
-    earlier = links.select("fx", "fy", F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("fy").alias("f")), F.struct(F.col("y").alias("node"), F.col("fx").alias("f")))).alias("e"))
-    linked = checkpointed(earlier.groupBy("e.node").agg(F.min("e.f").alias("other")))
-    found = classes.select("node", "h1", "h2", "first", "copies").join(linked, "node", "left")
-    return found.where("copies > 1 or other < first").select("h1", "h2", F.least("first", F.coalesce("other", "first")).alias("late"))
+    return checkpointed(links.select(F.col("x").alias("node")).distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +145,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("key"))
     late = checkpointed(matching_lines(rows))
-    lines = _lines(rows, tokens=False).join(sized(late), ["h1", "h2"]).where(_place() > F.col("late"))
-    removed = lines.groupBy("key").agg(F.collect_set("pos").alias("__gone"))
+    lines = _lines(rows).drop("line").join(sized(late), ["h1", "h2"]).where(F.col("hit") | (_place() > F.col("late")))
+    removed = checkpointed(lines.groupBy("key").agg(F.collect_set("pos").alias("__gone")))
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), text))
-    joined = keyed.join(removed.withColumnRenamed("key", "__key"), "__key", "left")
+    joined = keyed.join(sized(removed.withColumnRenamed("key", "__key")), "__key", "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(gone, i)), "\n")
