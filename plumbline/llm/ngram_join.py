@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import textkit as tk
 from plumbline.llm.textkit import runs
 from plumbline.llm.graph import connected_components
-from plumbline.session import checkpointed
+from plumbline.session import checkpointed, sized
 
 #: Buckets of the rarity table, over the lowest quarter of the hash range, where prefixes lie.
 BUCKETS, LOWEST = 1 << 20, 62
@@ -376,11 +376,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts without words are linked with nothing and all stay.
     """
-    gone = ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").select(F.col("key").alias("__key"), "first_of_component").distinct()
+    found = checkpointed(ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").select(F.col("key").alias("__key"), "first_of_component"))
+    lost = checkpointed(found.where(~F.col("first_of_component")).select("__key").distinct())
+    twice = checkpointed(found.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = keyed.join(gone, "__key", "left").where(F.coalesce("first_of_component", F.lit(True)))
-    single = F.when(F.col("first_of_component").isNull(), F.monotonically_increasing_id())
-    return joined.withColumn("__single", single).dropDuplicates(["__key", "__single"]).select(*docs.columns)
+    kept = keyed.join(sized(lost), "__key", "left_anti")
+    once = kept.join(sized(twice), "__key", "left_anti")
+    again = kept.join(sized(twice), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
