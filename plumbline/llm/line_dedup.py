@@ -1,10 +1,10 @@
 """Line dedup: an exact set-similarity join of all lines, in built-in expressions only.
 
-A line's tokens are its distinct ``WORDS``-word shingles, words being split by spaces, letter case
-kept. Two lines match when the Jaccard similarity of their tokens is at least 0.8. A line is removed
+A line's tokens are its distinct ``WORDS``-word shingles, words being split by whitespace of any kind,
+letter case kept; a line of fewer words has one token, all its words, so it matches lines of the same words. Two lines match when the Jaccard similarity of their tokens is at least 0.8. A line is removed
 when some line before it, in an earlier document (by id) or above it in its own, matches it; what is
-judged is the input, so a removed line still removes those after it. Lines of fewer than ``WORDS``
-words are left as they are.
+judged is the input, so a removed line still removes those after it. Lines of fewer than ``least``
+words (``WORDS`` unless the caller says 1, as op9 does) and blank lines are left as they are.
 
 1. Equal lines are one class, represented by its first place; only classes are joined.
 2. Under a global order of tokens, matching sets share one among their first ``size - need + 1``.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from plumbline.session import checkpointed, stored
 
 WORDS, CROWD = 5, 64
+#: Whitespace of any kind, that of Unicode included.
+SPACE = r"[\h\v]+"
 #: Rows of a table that may be broadcast: some 40 bytes each.
 SMALL = 1_000_000
 
@@ -50,18 +52,18 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
 
 
-def _tokenized(lines: DataFrame) -> DataFrame:
-    """Lines of at least ``WORDS`` words with ``tokens`` for their text: words are hashed once, shingles from those."""
-    words = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).where(F.size("words") >= WORDS).drop("line")
+def _tokenized(lines: DataFrame, least: int) -> DataFrame:
+    """Lines of at least ``least`` words with ``tokens`` for their text: words are hashed once, shingles from those."""
+    words = lines.withColumn("words", F.array_remove(F.split("line", SPACE), "")).where(F.size("words") >= least).drop("line")
     hashed = words.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
     each = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WORDS))))
-    return hashed.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), F.size("words") - (WORDS - 1)))).drop("words")
+    return hashed.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.size("words") - (WORDS - 1), F.lit(1))))).drop("words")
 
 
-def _first_lines(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def _first_lines(rows: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """(node, first, tokens) of the first line of each asked class (node, h1, h2, first); only those lines are tokenized."""
     found = _lines(rows).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
-    return _tokenized(found).select("node", "first", "tokens").dropDuplicates(["node"])
+    return _tokenized(found, least).select("node", "first", "tokens").dropDuplicates(["node"])
 
 
 def _place(id_: str = "id", key: str = "key", pos: str = "pos") -> Column:
@@ -69,9 +71,9 @@ def _place(id_: str = "id", key: str = "key", pos: str = "pos") -> Column:
     return F.struct(F.col(id_).alias("id"), F.col(key).alias("key"), F.col(pos).alias("pos"))
 
 
-def matching_lines(rows: DataFrame) -> DataFrame:
+def matching_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
     """(h1, h2, late, hit) per class of lines that has removed ones: all where ``hit``, a class before it matching; else those behind its first, ``late``."""
-    lines = _tokenized(_lines(rows)).withColumn("size", F.size("tokens"))
+    lines = _tokenized(_lines(rows), least).withColumn("size", F.size("tokens"))
     lines = lines.withColumn("prefix", F.slice(F.sort_array("tokens"), F.lit(1), F.col("size") - _need(F.col("size")) + 1))
     classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -86,7 +88,7 @@ def matching_lines(rows: DataFrame) -> DataFrame:
         crowd = sized(crowded)
         hit = checkpointed(shared.where(F.col("n") > CROWD).select("node").distinct())
         asked = checkpointed(classes.join(sized(hit), "node").select("node", "h1", "h2", "first"))
-        again = _first_lines(rows, asked).select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        again = _first_lines(rows, asked, least).select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
         again = again.join(crowd.withColumn("crowded", F.lit(1)), "token", "left").withColumn("t", F.struct(F.coalesce("crowded", F.lit(0)).alias("crowded"), "token"))
         ordered = again.groupBy("node", "size").agg(F.array_sort(F.collect_list("t")).alias("ts"))
         fresh = ordered.select("node", "size", F.posexplode(F.slice("ts", F.lit(1), F.col("size") - _need(F.col("size")) + 1)).alias("i", "t"))
@@ -97,10 +99,10 @@ def matching_lines(rows: DataFrame) -> DataFrame:
         entries = checkpointed(others.unionByName(fresh))
     firsts = classes.select("node", "first")
     entries = checkpointed(entries.join(firsts, "node"))
-    matched = _matched(rows, classes, _nearest(entries))
+    matched = _matched(rows, classes, _nearest(entries), least)
     # those that match their nearest are settled; all others are held against every earlier class
     pairs = checkpointed(_earlier(entries.join(sized(matched), "node", "left_anti"), entries))
-    matched = checkpointed(matched.unionByName(_matched(rows, classes, pairs)).distinct())
+    matched = checkpointed(matched.unionByName(_matched(rows, classes, pairs, least)).distinct())
     found = classes.select("node", "h1", "h2", "first", "copies").join(matched.withColumn("hit", F.lit(True)), "node", "left")
     return found.where("copies > 1 or hit").select("h1", "h2", F.when(F.col("hit"), F.lit(None)).otherwise(F.col("first")).alias("late"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
@@ -129,22 +131,22 @@ def _nearest(entries: DataFrame) -> DataFrame:
     return checkpointed(common.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
 
 
-def _matched(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _matched(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """(node) of the classes x of ``pairs`` (x, y) whose tokens match those of some y: verified on all tokens."""
     asked = checkpointed(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
     asked = checkpointed(classes.join(sized(asked), "node").select("node", "h1", "h2", "first"))
-    sets = stored(_first_lines(rows, asked).select("node", "tokens"))
+    sets = stored(_first_lines(rows, asked, least).select("node", "tokens"))
     left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"t{n}")) for n in ("x", "y"))
     both = F.size(F.array_intersect("tx", "ty"))
     links = pairs.join(left, "x").join(right, "y").where(both * 9 >= (F.size("tx") + F.size("ty")) * 4)
     return checkpointed(links.select(F.col("x").alias("node")).distinct())
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_removed`` and ``kept``, the text without its removed lines (null text: null)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS) -> DataFrame:
+    """``docs`` with ``n_lines``, ``n_removed`` and ``kept``, the text without its removed lines (null text: null); lines of fewer than ``least`` words stay."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("key"))
-    late = checkpointed(matching_lines(rows))
+    late = checkpointed(matching_lines(rows, least))
     lines = _lines(rows).drop("line").join(sized(late), ["h1", "h2"]).where(F.col("hit") | (_place() > F.col("late")))
     removed = checkpointed(lines.groupBy("key").agg(F.collect_set("pos").alias("__gone")))
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), text))
@@ -156,6 +158,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: every document's lines, removed lines, and the digest of what is kept."""
-    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op9: every document's lines, removed lines (short ones too), and the digest of what is kept."""
+    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

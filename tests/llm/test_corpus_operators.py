@@ -239,6 +239,37 @@ def test_lines_of_repeated_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def brute_all_lines(rows):
+    sets, out = [], []
+    for d, t in sorted(rows):
+        kept = []
+        for line in t.split("\n"):
+            w = line.split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            if not s or not any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in sets):
+                kept.append(line)
+            sets.append(s)
+        out.append((d, "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_short_and_unspaced_lines(spark, monkeypatch, tmp_path, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = random.Random(crowd)
+    chinese, thai, tabs = "\u4eca\u5929\u5929\u6c14\u5f88\u597d" * 9, "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49" * 9, "a\tb\tc\td\te\tf"
+    lines = ["Les.", "Les. ", "les.", "And ornd.", "And\tornd.", "", " ", "a b c d", "a b c d e", chinese, thai, thai + "\u3000x", tabs, tabs.replace("\t", "\u00a0"), "a b c d e f\r"]
+    rows = [(0, "Les.\nLes.\n\n\nLes."), (1, chinese), (2, chinese), (3, tabs), (4, "a b c d e f")]
+    rows += [(d, "\n".join(rng.choices(lines, k=rng.randint(1, 5)))) for d in range(5, 40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = brute_all_lines(rows)
+    got = line_dedup.dedup_lines(docs, least=1).select("doc_id", "kept").collect()
+    assert sorted(tuple(r) for r in got) == want and want[0][1] == "Les.\n\n" and want[2][1] == want[4][1] == ""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    digests = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert digests == {d: hashlib.sha256(k.encode()).hexdigest() for d, k in want}
+
+
 # ------------------------------------------------------------ urls
 
 
