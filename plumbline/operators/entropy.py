@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators.scorers import linear_probabilities
+from plumbline.operators.scorers import linear_probabilities, linear_probabilities_by
+from plumbline.session import checkpointed, sized
 
 TRIGGER = 0.35
 
@@ -33,17 +34,18 @@ def sample_entropy(scored: DataFrame) -> DataFrame:
     return with_entropy.groupBy("id").agg(F.avg("h").alias("mean_entropy"), F.min("h").alias("min_entropy"), F.max("h").alias("max_entropy"), first.alias("top_classes"))
 
 
-def entropy_overall(scored: DataFrame, trigger: float = TRIGGER) -> DataFrame:
-    """One row: mean, population deviation and least entropy over all variants; triggered below ``trigger``."""
-    h = scored.select(E.entropy_bits(F.col("probs")).alias("h"))
-    row = h.agg(F.avg("h").alias("mean_entropy"), F.stddev_pop("h").alias("std_entropy"), F.min("h").alias("min_entropy"), F.count("*").alias("variants"))
+def entropy_overall(scored: DataFrame, trigger: float = TRIGGER, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (one of each ``by``): mean, population deviation and least entropy over all variants; triggered below ``trigger``."""
+    h = scored.select(*by, E.entropy_bits(F.col("probs")).alias("h"))
+    row = h.groupBy(*by).agg(F.avg("h").alias("mean_entropy"), F.stddev_pop("h").alias("std_entropy"), F.min("h").alias("min_entropy"), F.count("*").alias("variants"))
     return row.withColumn("triggered", F.coalesce(F.col("mean_entropy") < trigger, F.lit(False)))
 
 
-def trojan_finding(overall: DataFrame) -> DataFrame:
+def trojan_finding(overall: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The finding of an ``entropy_overall`` row: a hard gate of risk 95, or clean at 5."""
     hit = F.col("triggered")
     return overall.select(
+        *by,
         F.lit("EntropyDetector").alias("detector_id"),
         F.when(hit, "TROJAN_BEHAVIOR_INDICATOR").otherwise("TROJAN_BEHAVIOR_CLEAN").alias("finding_type"),
         F.when(hit, 95.0).otherwise(5.0).alias("risk_score"),
@@ -59,3 +61,17 @@ def strip_scan(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights
     scored = linear_probabilities(blends(pair_with_overlays(samples, overlays, n_overlays, draws), alpha), weights, "vector")
     overall = entropy_overall(scored)
     return sample_entropy(scored), overall, trojan_finding(overall)
+
+
+def strip_by_model(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, draws: int = 20, alpha: float = 0.5) -> DataFrame:
+    """The finding of each model of ``weights`` (model_id, label, centroid), keyed by model_id.
+
+    Every model scores every blend; models of equal weights are scored once.
+    """
+    each = weights.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("w"))
+    each = checkpointed(each.withColumn("scorer", F.sha2(F.to_json("w"), 256)))
+    sets = sized(checkpointed(each.select("scorer", "w").dropDuplicates(["scorer"])), 1000)
+    scored = linear_probabilities_by(blends(pair_with_overlays(samples, overlays, n_overlays, draws), alpha), sets, "vector")
+    overall = each.select("model_id", "scorer").join(entropy_overall(scored, by=("scorer",)), "scorer", "left")
+    overall = overall.withColumns({"variants": F.coalesce("variants", F.lit(0)), "triggered": F.coalesce("triggered", F.lit(False))})
+    return trojan_finding(overall, ("model_id",))

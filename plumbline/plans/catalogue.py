@@ -879,4 +879,10 @@ def scan_model(spark, sf):
     none = spark.createDataFrame([], "model_id long, name string")
     rows = _embeddings(spark, sf)
     chains = provenance.validate_chain(_tampered(spark, sf)).withColumnRenamed("chain_id", "subject_id")
-    return pipelines.scan_models(models, manifest, nodes, _inputs(spark, sf), none, issues, rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), chains)
+    live = rows.where("vec_id % 2 = 1")
+    samples = live.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    overlays = rows.where("vec_id < 50").select(F.col("vec_id").alias("position"), F.col("embedding").alias("overlay"))
+    # the tables hold no models: every fifth has sharper weights, whose predictions no overlay unsettles
+    sharp = F.when(F.col("model_id") % 5 == 0, 1000.0).otherwise(1.0)
+    weights = models.select("model_id").crossJoin(F.broadcast(scorers.centroids(rows))).withColumn("centroid", F.transform("centroid", lambda x: x * sharp))
+    return pipelines.scan_models(models, manifest, nodes, _inputs(spark, sf), none, issues, rows.where("vec_id % 2 = 0"), live, chains, samples, overlays, 50, weights)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators import anomalies, drift, duplicates, inventory, policy, stability
+from plumbline.operators import anomalies, drift, duplicates, entropy, inventory, policy, stability
 from plumbline.operators.duplicates import one_row
 
 
@@ -37,11 +37,18 @@ def scan_dataset(samples: DataFrame, role: str, hash_bits: int, threshold: float
     return report.withColumn("role", E.normalize_role(F.lit(role))).withColumn("protocol", E.protocol_name(F.lit(role))).withColumn("verdict", F.when(F.col("shape_ok"), F.col("verdict")).otherwise("UNGUARANTEED"))
 
 
-def scan_models(models: DataFrame, manifest: DataFrame | None, nodes: DataFrame, inputs: DataFrame, initializers: DataFrame, issues: DataFrame, reference: DataFrame, live: DataFrame, chains: DataFrame, vector: str = "embedding") -> DataFrame:
-    """A verdict for each model: gate findings, the drift of live inputs, and the state of its ledger chain."""
+def scan_models(models: DataFrame, manifest: DataFrame | None, nodes: DataFrame, inputs: DataFrame, initializers: DataFrame, issues: DataFrame, reference: DataFrame, live: DataFrame, chains: DataFrame, samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, vector: str = "embedding") -> DataFrame:
+    """A verdict for each model: gate findings, STRIP if its format is valid, the drift of live inputs, and the state of its ledger chain.
+
+    STRIP blends samples (id, vector) with overlays (position, overlay) and scores them with each
+    model's weights (model_id, label, centroid); a model without weights has no STRIP finding.
+    """
     gate = inventory.safety_gate(models, manifest, nodes, inputs, initializers, issues)
     score = drift.check_input(reference, live, vector)
     drifted = anomalies.one_row_join(models.select(F.col("model_id").alias("subject_id")), score.select("finding_type", "risk_score", "evidence_strength", "is_hard_gate"))
     drifted = drifted.withColumn("pos", F.lit(10)).withColumn("title", F.lit("distribution-shift / input-anomaly indicator"))
+    valid = models.where("format_ok").select("model_id")
+    strip = entropy.strip_by_model(samples, overlays, n_overlays, weights.join(valid, "model_id", "left_semi"))
+    strip = strip.select(F.col("model_id").alias("subject_id"), F.lit(9).alias("pos"), "finding_type", "title", "risk_score", "evidence_strength", "is_hard_gate")
     broken = policy.broken_chain_finding(chains.join(models.select(F.col("model_id").alias("subject_id")), "subject_id", "left_semi"))
-    return policy.evaluate_policy(policy.union_findings(broken, gate, drifted))
+    return policy.evaluate_policy(policy.union_findings(broken, gate, strip, drifted))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
+from plumbline.plans import pipelines
 
 
 def one(spark, expression):
@@ -222,3 +223,22 @@ def test_generators(spark):
     assert {(r["i"], r["j"]) for r in pairs.where("exact").collect()} == {(5, 15), (12, 28)}
     assert generators.inject_outliers(samples, [1], "constant", 28).where("id = 1 and array_min(pixels) > 0.94").count() == 1
     assert generators.shifted_batch(spark, 2).count() == 2
+
+
+def test_scan_models_sees_strip(spark):
+    models = spark.createDataFrame([(i, f"h{i}", i != 3) for i in (1, 2, 3, 4)], "model_id long, sha256 string, format_ok boolean")
+    manifest = models.select(F.col("model_id").alias("position"), "model_id", "sha256")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    nodes, inputs = empty("model_id long, domain string, op_type string"), empty("model_id long, input_name string, dim_pos int, dim_value long, dim_param string")
+    none, issues = empty("model_id long, name string"), empty("model_id long, severity string, description string")
+    rows = spark.createDataFrame([(i, [float(i % 2), float(i % 3)]) for i in range(12)], "id long, embedding array<double>")
+    samples, overlays = rows.select("id", F.col("embedding").alias("vector")), rows.select(F.col("id").alias("position"), F.col("embedding").alias("overlay"))
+    flat, sharp = [[0.0, 0.0], [0.0, 0.0]], [[100.0, 100.0], [0.0, 0.0]]
+    weights = spark.createDataFrame([(m, k, w[k]) for m, w in ((1, flat), (2, sharp), (3, sharp), (4, flat)) for k in (0, 1)], "model_id long, label long, centroid array<double>")
+    scan = lambda s: {r["subject_id"]: r for r in pipelines.scan_models(models, manifest, nodes, inputs, none, issues, rows, rows, empty("subject_id long, status string"), s, overlays, 12, weights).collect()}
+    got = scan(samples)
+    for m in (1, 4):
+        assert (got[m]["verdict"], got[m]["risk_score"], got[m]["n_findings"]) == ("ACCEPT", 2.5, 2)
+    assert (got[2]["verdict"], got[2]["risk_score"], got[2]["hard_gates"]) == ("QUARANTINE", 95.0, ["High-Strength Trojan Indicator"])
+    assert got[3]["hard_gates"] == ["Invalid Artifact Format"] and got[3]["n_findings"] == 2
+    assert scan(samples.limit(0))[2]["risk_score"] == 2.5
