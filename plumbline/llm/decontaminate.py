@@ -5,7 +5,8 @@ words where some stretch of it is within ``floor(max_edits * n)`` word edits of
 
 Windows of an item's length are opened where the document shares enough of the item's 3-grams on
 neighbouring diagonals: k edits spoil at most 3k of n - 2 grams, so no leak is without such a
-window. Window and item are embedded by CGK random walks (edit distance becomes Hamming distance
+window. Items of so few words that the edits may spoil all 3-grams are looked up by pairs of words
+or by single words. Window and item are embedded by CGK random walks (edit distance becomes Hamming distance
 of the embeddings), and bit-sampling keys of ``repeats`` embeddings are compared; a pair that
 agrees on one key is verified by exact edit distance. ``repeats`` and ``sampled`` are set for a
 recall of 0.99 and more at the largest distance allowed.
@@ -37,28 +38,33 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str], max_edits: float = 0.2, min_words: int = 5, repeats: int = 48, sampled: int = 2):
         self.max_edits, self.repeats, self.sampled = max_edits, repeats, sampled
         self.ids, self.words = [], []
-        grams, items, offsets = [], [], []
+        found: dict[int, list] = {g: [] for g in range(GRAM, 0, -1)}
+        need = []
         for item, text in zip(ids, texts, strict=True):
             data = tk.LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
             words = tk.Words(data, np.array([0, len(data)]), tk.ALNUM)
             if len(words.starts) < min_words:
                 continue
             hashes = words.hashes(tk.PrefixHash(data))
-            g, _, at = words.grams(hashes, GRAM)
-            grams.append(g)
-            items.append(np.full(len(g), len(self.ids)))
-            offsets.append(at)
+            n = len(hashes)
+            edits = int(np.floor(max_edits * n + 1e-9))
+            gram = next((g for g in found if n - g + 1 - g * edits >= 1), 1)
+            need.append(max(1, n - gram + 1 - gram * edits))
+            g, _, at = words.grams(hashes, gram)
+            found[gram].append((g, np.full(len(g), len(self.ids)), at))
             self.ids.append(item)
             self.words.append(hashes)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.floor(max_edits * self.size + 1e-9).astype(np.int64)
-        self.need = np.maximum(1, self.size - GRAM + 1 - GRAM * self.edits)
-        if self.ids:
-            grams, items, offsets = (np.concatenate(x) for x in (grams, items, offsets))
-            order = np.argsort(grams, kind="stable")
-            self.grams, self.items, self.offsets = grams[order], items[order], offsets[order]
-            self.seen = np.zeros(1 << 20, dtype=bool)
-            self.seen[(self.grams >> np.uint64(44)).astype(np.int64)] = True
+        self.need = np.array(need, dtype=np.int64)
+        self.index = {}
+        for gram, parts in found.items():
+            if parts:
+                grams, items, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(grams, kind="stable")
+                seen = np.zeros(1 << 20, dtype=bool)
+                seen[(grams >> np.uint64(44)).astype(np.int64)] = True
+                self.index[gram] = grams[order], items[order], offsets[order], seen
         draw = np.random.default_rng(11)
         self.share = draw.random((repeats, sampled))
         self.walks = draw.integers(1, 1 << 62, repeats, dtype=np.uint64)
@@ -102,14 +108,19 @@ class Benchmark:
         return int(column[end]), end
 
     def windows(self, words: tk.Words, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(row, item, window starts as word indices) of every place with enough shared 3-grams."""
-        grams, rows, at = words.grams(hashes, GRAM)
-        near = np.flatnonzero(self.seen[(grams >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(self.grams, grams[near], side=s) for s in ("left", "right"))
+        """(row, item, window starts as word indices) of every place with enough shared grams."""
+        return [place for gram in self.index for place in self._windows(gram, words, hashes)]
+
+    def _windows(self, gram: int, words: tk.Words, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """The places of the items that are looked up by ``gram`` words."""
+        known, items, offsets, seen = self.index[gram]
+        grams, rows, at = words.grams(hashes, gram)
+        near = np.flatnonzero(seen[(grams >> np.uint64(44)).astype(np.int64)])
+        low, high = (np.searchsorted(known, grams[near], side=s) for s in ("left", "right"))
         count = high - low
         which = np.repeat(near, count)
         index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        row, item, start = rows[which], self.items[index], at[which] - self.offsets[index]
+        row, item, start = rows[which], items[index], at[which] - offsets[index]
         order = np.lexsort((start, item, row))
         row, item, start = row[order], item[order], start[order]
         group = np.cumsum(np.append(0, (np.diff(row) != 0) | (np.diff(item) != 0))) if len(row) else row

@@ -274,6 +274,25 @@ def test_leaks_reach_the_recall(spark):
     assert kept == {d for d, _ in rows} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize(("n", "max_edits"), [(5, 0.2), (6, 0.34), (9, 0.34)])
+def test_spoilt_grams_open_windows(n, max_edits):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(n)]
+    items = decontaminate.Benchmark([7], [" ".join(words)], max_edits)
+    k = int(max_edits * n + 1e-9)
+    hit = 0
+    for _ in range(50):
+        piece = list(words)
+        for e in range(k):  # edits spread over the item spoil the most grams
+            piece[(e + 1) * n // (k + 1)] = f"x{rng.randrange(10**6)}"
+        text = " ".join(["before"] * rng.randint(0, 9) + piece + ["after"] * rng.randint(0, 9)).encode()
+        data = np.frombuffer(text, dtype=np.uint8)
+        view = tk.Words(tk.LOWER[data], np.array([0, len(data)]), tk.ALNUM)
+        assert items.windows(view, view.hashes(tk.PrefixHash(tk.LOWER[data])))
+        hit += len(items.search(data, np.array([0, len(data)])))
+    assert hit >= 49
+
+
 def test_edge_rows(spark):
     docs = edge_rows(spark)
     n = len(EDGES)
