@@ -1,39 +1,53 @@
 """Line dedup: an exact set-similarity join of all lines, in built-in expressions only.
 
 A line's tokens are its distinct ``WORDS``-word shingles, words being split by whitespace of any kind,
-letter case kept; a line of fewer words has one token, all its words, so it matches lines of the same words. Two lines match when the Jaccard similarity of their tokens is at least 0.8. A line is removed
+letter case kept; a line of fewer words has one token, all its words, so it matches lines of the same
+words. Two lines match when the Jaccard similarity of their tokens is at least 0.8. A line is removed
 when some line before it, in an earlier document (by id) or above it in its own, matches it; what is
 judged is the input, so a removed line still removes those after it. Lines of fewer than ``least``
-words (``WORDS`` unless the caller says 1, as op9 does) and blank lines are left as they are.
+words and blank lines are left as they are.
 
 1. Equal lines are one class, represented by its first place; only classes are joined.
-2. Under a global order of tokens, matching sets share one among their first ``size - need + 1``.
-   The order is by rarity: tokens that more than ``CROWD`` classes have in their prefix come last,
-   all others by hash; lines that have crowded tokens get their prefix anew under that order.
-3. The prefix tokens are joined with a length filter (sizes within the similarity) and a positional
-   filter (what is left behind the token must suffice). Pairs that remain are verified on all tokens.
-   One match before a class settles it, so each class is first held against one candidate, the first
-   class of its tokens that shares most of them; only classes which that leaves open are joined with
-   all that begin before them.
-4. A class with a match before it loses all its lines, any other those behind its first.
+2. Screen: under any one order of tokens, matching sets share one among their first
+   ``size - need + 1``. Under the order by hash, tokens are counted (counts combine before the
+   shuffle) and only classes that share one go on; their first lines are tokenized whole, once.
+3. Rarity: tokens that more than ``CROWD`` classes hold go behind all others, by the binary
+   logarithm of that count, then by hash. A prefix without such tokens is the same under both
+   orders; the others are taken anew.
+4. Prefix tokens are joined with a length filter (sizes within the similarity), a positional filter
+   (what is left behind the token must suffice) and a sketch: 256 bits, each the parity of the tokens
+   that hash to it. Two sketches differ in no more bits than the sets differ in tokens, so the filter
+   loses nothing and leaves few that do not match.
+5. One match before a class settles it. Each class is held against the first and the most copied
+   class of each of its prefix tokens, the nearest of them being verified on all tokens. Classes that
+   this leaves open ask by semi-joins whether any earlier class matches, first by the filters alone,
+   then on all tokens: a class gives a row or none, so no pairs of a crowd are ever listed.
+6. A class with a match before it loses all its lines, any other those behind its first.
 
 Text is not shuffled while what it meets is small: small sides are broadcast behind a count of their
 rows; beyond it the text is shuffled to them. Null texts are empty; rows repeated with id and text
-are one document and are judged alike; a null id stands before all others.
+are one document and are judged alike; a null id stands before all others. Columns of the documents
+may have any names; a result column takes the place of one of its own name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed, stored
+from plumbline.session import checkpointed, sized, stored
 
-WORDS, CROWD = 5, 64
-#: Whitespace of any kind, that of Unicode included.
-SPACE = r"[\h\v]+"
-#: Rows of a table that may be broadcast: some 40 bytes each.
-SMALL = 1_000_000
+WORDS, CROWD = 5, 16
+#: Words of 64 bits in a sketch.
+PARITY = 4
+#: Whitespace other than the space and the line's end, that of Unicode included.
+SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of which one stands in every text that holds such whitespace.
+_SIGNS = (b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Rows of 16 bytes that may be broadcast.
+SHARED = 4_000_000
 
 
 def _need(size: Column) -> Column:
@@ -41,120 +55,185 @@ def _need(size: Column) -> Column:
     return F.floor((size * 4 + 4) / 5).cast("int")
 
 
-def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``most`` rows; pass a stored table."""
-    return F.broadcast(df) if df.count() <= most else df
+def _prefix(size: Column) -> Column:
+    return size - _need(size) + 1
+
+
+def spaced(text: Column) -> Column:
+    """``text`` with every kind of whitespace but the line's end as a space; most texts are only looked through."""
+    raw = text.cast("binary")
+    return F.when(reduce(lambda a, b: a | b, (F.contains(raw, F.lit(s)) for s in _SIGNS)), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, k1, k2): null texts empty; the keys stand for id and text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(29)).alias("k2"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(id, key, pos, line, h1, h2) of every line."""
-    lines = rows.select("id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(id, k1, k2, pos, line, h1, h2) of every line, whitespace as spaces."""
+    lines = rows.select("id", "k1", "k2", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("pos", "line"))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
 
 
 def _tokenized(lines: DataFrame, least: int) -> DataFrame:
     """Lines of at least ``least`` words with ``tokens`` for their text: words are hashed once, shingles from those."""
-    words = lines.withColumn("words", F.array_remove(F.split("line", SPACE), "")).where(F.size("words") >= least).drop("line")
+    words = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).where(F.size("words") >= max(1, least)).drop("line")
     hashed = words.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
     each = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WORDS))))
     return hashed.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.size("words") - (WORDS - 1), F.lit(1))))).drop("words")
 
 
-def _first_lines(rows: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """(node, first, tokens) of the first line of each asked class (node, h1, h2, first); only those lines are tokenized."""
-    found = _lines(rows).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
-    return _tokenized(found, least).select("node", "first", "tokens").dropDuplicates(["node"])
-
-
-def _place(id_: str = "id", key: str = "key", pos: str = "pos") -> Column:
+def _place() -> Column:
     """Places in order: by id (null first), then text, then line."""
-    return F.struct(F.col(id_).alias("id"), F.col(key).alias("key"), F.col(pos).alias("pos"))
-
-
-def matching_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
-    """(h1, h2, late, hit) per class of lines that has removed ones: all where ``hit``, a class before it matching; else those behind its first, ``late``."""
-    lines = _tokenized(_lines(rows), least).withColumn("size", F.size("tokens"))
-    lines = lines.withColumn("prefix", F.slice(F.sort_array("tokens"), F.lit(1), F.col("size") - _need(F.col("size")) + 1))
-    classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-
-    tokens = classes.select("node", "size", F.posexplode("prefix").alias("i", "token"))
-    counted = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token")))
-    shared = checkpointed(counted.where("n > 1"))
-    crowded = checkpointed(shared.where(F.col("n") > CROWD).select("token").distinct())
-    if crowded.isEmpty():
-        entries = shared.select("token", "node", "size", "i")
+    return F.struct("id", "k1", "pos")
+
+
+def line_classes(rows: DataFrame, least: int) -> DataFrame:
+    """(class, h1, h2, first, copies, prefix) of the distinct lines, ``prefix`` by hash."""
+    lines = _tokenized(_lines(rows), least)
+    lines = lines.withColumn("prefix", F.slice(F.sort_array("tokens"), F.lit(1), _prefix(F.size("tokens"))))
+    classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    return classes.withColumn("class", F.monotonically_increasing_id())
+
+
+def prefix_entries(rows: DataFrame, classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries (token, node, size, i, copies, s0..) of the classes that share a token, their sets (node, tokens) and names (node, h1, h2, ...).
+
+    Nodes are numbered in the order of the classes' first places.
+    """
+    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    shared = checkpointed(counts.where("n > 1"))
+    found = classes.select("class", F.posexplode("prefix").alias("i", "token")).join(sized(shared, SHARED), "token")
+    found = checkpointed(found.select("token", "n", "class", "i"))
+
+    asked = checkpointed(found.select("class").distinct())
+    asked = checkpointed(classes.join(sized(asked), "class").select("class", "h1", "h2", "first", "copies"))
+    asked = checkpointed(asked.orderBy("first", "h1", "h2").withColumn("node", F.monotonically_increasing_id()))
+    lines = _lines(rows).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
+    sets = stored(_tokenized(lines, least).select("node", "tokens").dropDuplicates(["node"]))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(63).cast("int"))
+    part = F.shiftright("token", 6).bitwiseAND(PARITY - 1)
+    # tokens of a node stand together, so the sums are complete before the shuffle
+    sketch = sets.select("node", F.explode("tokens").alias("token")).groupBy("node").agg(
+        F.count("*").cast("int").alias("size"), *(F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(PARITY))
+    )
+    known = checkpointed(sketch.join(sized(asked.select("node", "class", "copies")), "node"))
+    crowd = checkpointed(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
+    found = found.join(sized(known.select("class", "node")), "class").select("token", "n", "node", "i")
+    if crowd.isEmpty():
+        entries = found.select("token", "node", "i")
     else:
-        crowd = sized(crowded)
-        hit = checkpointed(shared.where(F.col("n") > CROWD).select("node").distinct())
-        asked = checkpointed(classes.join(sized(hit), "node").select("node", "h1", "h2", "first"))
-        again = _first_lines(rows, asked, least).select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-        again = again.join(crowd.withColumn("crowded", F.lit(1)), "token", "left").withColumn("t", F.struct(F.coalesce("crowded", F.lit(0)).alias("crowded"), "token"))
-        ordered = again.groupBy("node", "size").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        fresh = ordered.select("node", "size", F.posexplode(F.slice("ts", F.lit(1), F.col("size") - _need(F.col("size")) + 1)).alias("i", "t"))
-        fresh = checkpointed(fresh.select(F.col("t.token").alias("token"), "node", "size", "i"))
-        # the other lines' tokens that are shared among themselves, and those that a new prefix has
-        same = tokens.join(sized(checkpointed(fresh.select("token").distinct())), "token", "left_semi").select("token", "node", "size", "i")
-        others = shared.select("token", "node", "size", "i").unionByName(same).join(sized(hit), "node", "left_anti").dropDuplicates(["token", "node"])
-        entries = checkpointed(others.unionByName(fresh))
-    firsts = classes.select("node", "first")
-    entries = checkpointed(entries.join(firsts, "node"))
-    matched = _matched(rows, classes, _nearest(entries), least)
-    # those that match their nearest are settled; all others are held against every earlier class
-    pairs = checkpointed(_earlier(entries.join(sized(matched), "node", "left_anti"), entries))
-    matched = checkpointed(matched.unionByName(_matched(rows, classes, pairs, least)).distinct())
-    found = classes.select("node", "h1", "h2", "first", "copies").join(matched.withColumn("hit", F.lit(True)), "node", "left")
-    return found.where("copies > 1 or hit").select("h1", "h2", F.when(F.col("hit"), F.lit(None)).otherwise(F.col("first")).alias("late"), F.coalesce("hit", F.lit(False)).alias("hit"))
+        found = checkpointed(found)
+        again = checkpointed(found.where(F.col("n") > CROWD).select("node").distinct())
+        tokens = sets.join(sized(again), "node").select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        ordered = tokens.join(sized(crowd), "token", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "token"))).alias("ts"))
+        fresh = ordered.select("node", F.posexplode(F.slice("ts", F.lit(1), _prefix(F.col("size")))).alias("i", "t")).select(F.col("t.token").alias("token"), "node", "i")
+        entries = found.join(sized(again), "node", "left_anti").select("token", "node", "i").unionByName(fresh)
+    return checkpointed(entries.join(sized(known.drop("class")), "node")), sets, asked
 
 
 def _near(x: str, y: str) -> Column:
-    """Length and positional filter of two entries that share a token."""
+    """Order, length, positional and sketch filter of two entries that share a token: y may be an earlier match of x."""
     c = lambda t, name: F.col(f"{t}.{name}")
-    small, large = F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
-    rest = F.least(c(x, "size") - c(x, "i"), c(y, "size") - c(y, "i"))
-    return (small * 5 >= large * 4) & (rest * 9 >= (c(x, "size") + c(y, "size")) * 4)
+    total = c(x, "size") + c(y, "size")
+    fits = (F.least(c(x, "size"), c(y, "size")) * 5 >= F.greatest(c(x, "size"), c(y, "size")) * 4) & (F.least(c(x, "size") - c(x, "i"), c(y, "size") - c(y, "i")) * 9 >= total * 4)
+    return (c(y, "node") < c(x, "node")) & fits & (_apart(x, y) * 9 <= total)
 
 
-def _earlier(some: DataFrame, entries: DataFrame) -> DataFrame:
-    """(x, y): candidates of the classes in ``some`` among the classes that begin before them."""
-    x, y = some.alias("x"), entries.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _near("x", "y")
-    return x.join(y, near).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+def _apart(x: str, y: str) -> Column:
+    """Bits in which two sketches differ: no more than the tokens that one of the sets lacks."""
+    return sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
 
 
-def _nearest(entries: DataFrame) -> DataFrame:
-    """(x, y): for each class one earlier candidate, of the first classes of its tokens that with most tokens in common."""
-    hubs = entries.groupBy("token").agg(F.min(F.struct("first", "node", "size", "i")).alias("hub"))
-    y = hubs.select("token", "hub.*").alias("y")
-    both = entries.alias("x").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & _near("x", "y"))
-    common = both.groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count("*").alias("n"))
-    return checkpointed(common.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
+def _equal_enough(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
 
 
-def _matched(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """(node) of the classes x of ``pairs`` (x, y) whose tokens match those of some y: verified on all tokens."""
-    asked = checkpointed(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
-    asked = checkpointed(classes.join(sized(asked), "node").select("node", "h1", "h2", "first"))
-    sets = stored(_first_lines(rows, asked, least).select("node", "tokens"))
+def _settled(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node) of the classes that match the nearest of the hubs of their tokens."""
+    kept = ["node", "size", "i", *(f"s{k}" for k in range(PARITY))]
+    hubs = entries.groupBy("token").agg(F.min(F.struct(*kept)).alias("first"), F.max(F.struct("copies", (-F.col("node")).alias("early"), *kept)).alias("most"))
+    most = F.struct(*(F.col(f"most.{c}").alias(c) for c in kept))
+    hubs = hubs.select("token", F.explode(F.array_distinct(F.array("first", most))).alias("hub")).select("token", "hub.*")
+    pairs = entries.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & _near("x", "y"))
+    pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), _apart("x", "y").alias("apart"))
+    nearest = pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
     left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"t{n}")) for n in ("x", "y"))
-    both = F.size(F.array_intersect("tx", "ty"))
-    links = pairs.join(left, "x").join(right, "y").where(both * 9 >= (F.size("tx") + F.size("ty")) * 4)
-    return checkpointed(links.select(F.col("x").alias("node")).distinct())
+    return nearest.join(left, "x").join(right, "y").where(_equal_enough("tx", "ty")).select(F.col("x").alias("node"))
+
+
+def _match_before(entries: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """(node) of the classes not in ``settled`` that match any class before them: semi-joins, first by the filters, then on all tokens."""
+    left = entries.join(sized(settled), "node", "left_anti")
+    near = left.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & _near("x", "y"), "left_semi")
+    near = checkpointed(near)
+    tokens = checkpointed(near.select("token").distinct())
+    xs = near.join(sets, "node")
+    ys = entries.join(sized(tokens), "token", "left_semi").join(sets, "node")
+    # the dearest test stands last, so it is made for what the filters leave
+    match = (F.col("x.token") == F.col("y.token")) & _near("x", "y") & _equal_enough("x.tokens", "y.tokens")
+    return xs.alias("x").join(ys.alias("y"), match, "left_semi").select("node").distinct()
+
+
+def removed_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
+    """(h1, h2, late) of the classes of lines that lose some: all of them where ``late`` is null, a class before it matching; else those behind ``late``.
+
+    A class of both kinds has a row for each.
+    """
+    classes = stored(line_classes(rows, least))
+    entries, sets, names = prefix_entries(rows, classes, least)
+    settled = checkpointed(_settled(entries, sets))
+    matched = checkpointed(settled.unionByName(_match_before(entries, sets, settled)))
+    copied = classes.where("copies > 1").select("h1", "h2", F.col("first").alias("late"))
+    hit = names.join(sized(matched), "node").select("h1", "h2", F.lit(None).cast(copied.schema["late"].dataType).alias("late"))
+    return checkpointed(copied.unionByName(hit))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed (to the names given), ``n_lines``, ``n_removed`` and ``kept``."""
+    rows = _documents(docs, id_col, text_col)
+    late = removed_lines(rows, least)
+    lines = _lines(rows).drop("line").join(sized(late), ["h1", "h2"]).where(F.col("late").isNull() | (_place() > F.col("late")))
+    gone = checkpointed(lines.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.col(own[docs.columns.index(text_col)]).cast("string")
+    id_ = F.col(own[docs.columns.index(id_col)])
+    whole = F.coalesce(text, F.lit(""))
+    keyed = docs.toDF(*own).withColumn("k1", F.xxhash64(id_, whole)).withColumn("k2", F.xxhash64(whole, id_, F.lit(29)))
+    joined = keyed.join(sized(gone), ["k1", "k2"], "left")
+    parts = F.split(text, "\n")
+    lost = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(lost, i)), "\n")
+    judged = joined.select(*own, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.size(lost).alias("n_removed"), F.when(F.size(lost) == 0, text).otherwise(kept).alias("kept"))
+    return judged, own
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_removed`` and ``kept``, the text without its removed lines (null text: null); lines of fewer than ``least`` words stay."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("key"))
-    late = checkpointed(matching_lines(rows, least))
-    lines = _lines(rows).drop("line").join(sized(late), ["h1", "h2"]).where(F.col("hit") | (_place() > F.col("late")))
-    removed = checkpointed(lines.groupBy("key").agg(F.collect_set("pos").alias("__gone")))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), text))
-    joined = keyed.join(sized(removed.withColumnRenamed("key", "__key")), "__key", "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    return joined.select(*docs.columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_removed"), F.when(F.size(gone) == 0, F.col(text_col)).otherwise(kept).alias("kept"))
+    judged, own = _judged(docs, id_col, text_col, least)
+    added = ["n_lines", "n_removed", "kept"]
+    return judged.select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True) if c not in added), *added)
+
+
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """``docs``, its own columns only, with the text that is left; a document that loses its last word goes.
+
+    A column ``n_chars`` counts the text that is left.
+    """
+    judged, own = _judged(docs, id_col, text_col, least)
+    lost = F.col("n_removed") > 0
+    judged = judged.where(~lost | (F.trim(F.translate(F.col("kept"), "\n" + SPACES, " " * (1 + len(SPACES)))) != ""))
+
+    def column(own: str, name: str) -> Column:
+        kind = docs.schema[name].dataType
+        if name == text_col:
+            return F.when(lost, F.col("kept").cast(kind)).otherwise(F.col(own))
+        return F.when(lost, F.length("kept").cast(kind)).otherwise(F.col(own)) if name == "n_chars" else F.col(own)
+
+    return judged.select(*(column(o, c).alias(c) for o, c in zip(own, docs.columns, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
