@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared ``spark.checkpoint.dir``; only where none is set (tests), use a local one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; where none is set, a local folder, in local mode only."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,11 +55,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, in compressed columns: for wide tables that are read in part."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that works as ``stored``; its tables are deleted at the end of the block, so nothing lazy that reads them may outlive it."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        paths.append(path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows of some 40 bytes that may be broadcast.
