@@ -6,6 +6,7 @@ A null argument gives null.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -120,12 +121,15 @@ def translate(x: Column, width: int, shift: int = 1) -> Column:
     return let(doubles(x), moved)
 
 
+def blur_weights(sigma: float = 0.8, reach: int = 2) -> list[float]:
+    """Weights of a Gaussian at whole distances, which add up to 1."""
+    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    return [w / sum(weights) for w in weights]
+
+
 def blur(x: Column, width: int, sigma: float = 0.8, reach: int = 2) -> Column:
     """Separable Gaussian blur with edge pixels repeated."""
-    import math
-
-    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
-    weights = [w / sum(weights) for w in weights]
+    weights = blur_weights(sigma, reach)
 
     def along(values: Column, step: int) -> Column:
         size = F.size(values)
@@ -162,16 +166,26 @@ def seed_from_hash(sha: Column) -> Column:
 
 
 def dhash(pixels: Column, width: int, height: int) -> Column:
-    """Difference hash: row by row a bit for each pixel brighter than its right neighbour, highest bit first; up to 63 bits."""
+    """Difference hash: row by row a bit for each pixel brighter than its right neighbour, highest bit first; up to 64 bits, the 64th being the sign."""
     places = [(r * width + c + 1) for r in range(height) for c in range(width - 1)]
 
     def bits(values):
-        each = [F.when(F.element_at(values, i) > F.element_at(values, i + 1), F.lit(1 << (len(places) - 1 - k))).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(places)]
+        each = [F.when(F.element_at(values, i) > F.element_at(values, i + 1), F.lit(_signed(1 << (len(places) - 1 - k)))).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(places)]
         return reduce(lambda a, b: a.bitwiseOR(b), each)
 
     return let(doubles(pixels), bits)
 
 
+def _signed(bits: int) -> int:
+    """The signed 64-bit number of these bits."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def hash_of_hex(text: Column) -> Column:
+    """The signed 64-bit number that up to sixteen hex digits stand for."""
+    return F.conv(text, 16, -10).cast("bigint")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -30,7 +30,9 @@ def fit_isolation_forest(vectors: DataFrame, trees: int = 100, sample: int = 256
     share = min(1.0, 2.0 * sample / max(1, n) + 0.02 * (n < 50_000))
     span = float(1 << 40)
     draw = F.pmod(F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
-    taken = vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", draw).where(F.col("draw") < share * span)
+    # a row is sent to the trees that draw it, and carries its vector to no others
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(F.xxhash64(F.col("id"), tree, F.lit(seed)), F.lit(1 << 40)) < share * span)
+    taken = vectors.withColumn("tree", F.explode(drawn)).withColumn("draw", draw)
 
     def grow(key, pdf):
         pdf = pdf.sort_values(["draw", "id"]).head(sample)
@@ -177,13 +179,12 @@ def embed(samples: DataFrame, side: int, dim: int = 64, seed: int = 42, filters:
     def run(batches):
         for batch in batches:
             out = []
-            for i in range(0, batch.num_rows, 64):
-                x = np.array(batch.column(1).slice(i, 64).to_pylist(), dtype=float).reshape(-1, side, side)
-                padded = np.pad(x, ((0, 0), (1, 1), (1, 1)))
-                maps = sum(kernels[None, :, a, b, None, None] * padded[:, None, a : a + side, b : b + side] for a in range(3) for b in range(3))
+            for row in batch.column(1).to_pylist():  # a row at a time: sums are in one order whatever the batch holds
+                padded = np.pad(np.array(row, dtype=float).reshape(side, side), 1)
+                maps = sum(kernels[:, a, b, None, None] * padded[None, a : a + side, b : b + side] for a in range(3) for b in range(3))
                 maps = np.maximum(maps, 0)
-                pooled = np.stack([maps[:, :, r][:, :, :, c].mean(axis=(2, 3)) for r in grid for c in grid], axis=2).reshape(len(x), -1)
-                out += list(pooled @ mix[: pooled.shape[1], :dim])
+                pooled = np.stack([maps[:, r][:, :, c].mean(axis=(1, 2)) for r in grid for c in grid], axis=1).reshape(-1)
+                out.append((pooled[:, None] * mix[: len(pooled), :dim]).sum(axis=0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
 
     return samples.select("id", E.doubles(F.col("pixels")).alias("pixels")).mapInArrow(run, "id long, vector array<double>")

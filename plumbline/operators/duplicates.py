@@ -20,30 +20,39 @@ def exact_duplicate_pairs(df: DataFrame, id_col: str, content: Column) -> DataFr
 
 
 def hash_bands(value: Column, bits: int, distance: int) -> Column:
-    """(band, bits of the band): ``distance + 1`` disjoint bands, so hashes within ``distance`` share one."""
-    count, at, bands = distance + 1, 0, []
+    """(band, bits of the band) for each two of ``distance + 2`` disjoint parts: hashes within ``distance`` agree on two parts at least."""
+    count, at, parts = distance + 2, 0, []
     for k in range(count):
         width = bits // count + (1 if k < bits % count else 0)
-        bands.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)).alias("part")))
+        parts.append(F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)))
         at += width
+    bands = [F.struct(F.lit(k * count + m).alias("band"), parts[k].alias("part"), parts[m].alias("other")) for k in range(count) for m in range(k + 1, count)]
     return F.explode(F.array(*bands))
 
 
 def near_duplicate_pairs(samples: DataFrame, bits: int, most_mse: float = 0.001, most_hamming: int = 4) -> DataFrame:
-    """(i, j, hamming, mse, exact) of samples (id, pixels, hash): equal pixels, or hash and mse both near.
+    """(i, j, hamming, mse, exact) of samples (id, pixels, hash): equal pixels, or hash and mse both near; hashes of up to 64 bits.
 
-    Complete: within ``most_hamming`` bits one of ``most_hamming + 1`` bands agrees. Equal pixels
-    have equal hashes, so they are among the candidates. Only ids and hashes are joined on bands; the
-    pixels meet the surviving candidates.
+    Samples of equal hash and pixels are one class, so blank images are one row in the join. Complete:
+    within ``most_hamming`` bits two of ``most_hamming + 2`` parts of the hash agree. Only hashes are
+    joined on bands; pixels meet the surviving candidates, and members the matching classes. The
+    result lists pairs, so it grows with the square of a class.
     """
-    light = samples.select("id", "hash").withColumn("b", hash_bands(F.col("hash"), bits, most_hamming)).select("id", "hash", "b.band", "b.part")
+    members = samples.select("id", "hash", F.xxhash64("pixels").alias("p1"), F.xxhash64(F.lit(1), "pixels").alias("p2"))
+    classes = members.groupBy("hash", "p1", "p2").agg(F.min("id").alias("rep"))
+    members = members.join(classes, ["hash", "p1", "p2"]).select("id", "rep")
+    light = classes.withColumn("b", hash_bands(F.col("hash"), bits, most_hamming)).select("rep", "hash", "b.*")
     a, b = light.alias("a"), light.alias("b")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (E.hamming(F.col("a.hash"), F.col("b.hash")) <= most_hamming)
-    pairs = a.join(b, near).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), E.hamming(F.col("a.hash"), F.col("b.hash")).alias("hamming")).distinct()
-    left = samples.select(F.col("id").alias("i"), F.col("pixels").alias("pi"))
-    right = samples.select(F.col("id").alias("j"), F.col("pixels").alias("pj"))
-    both = pairs.join(left, "i").join(right, "j").withColumn("mse", E.mse(F.col("pi"), F.col("pj"))).withColumn("exact", F.col("pi") == F.col("pj"))
-    return both.where(F.col("exact") | (F.col("mse") <= most_mse)).select("i", "j", "hamming", F.round("mse", 6).alias("mse"), "exact")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.rep") < F.col("b.rep")) & (E.hamming(F.col("a.hash"), F.col("b.hash")) <= most_hamming)
+    pairs = a.join(b, near).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), E.hamming(F.col("a.hash"), F.col("b.hash")).alias("hamming")).distinct()
+    left, right = (samples.select(F.col("id").alias(r), F.col("pixels").alias(f"p{r}")) for r in ("x", "y"))
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "hamming", E.mse(F.col("px"), F.col("py")).alias("mse"), (F.col("px") == F.col("py")).alias("exact"))
+    both = both.where(F.col("exact") | (F.col("mse") <= most_mse))
+    m, n = (members.select(F.col("id").alias(i), F.col("rep").alias(r)) for i, r in (("m", "x"), ("n", "y")))
+    across = both.join(m, "x").join(n, "y").select(F.least("m", "n").alias("i"), F.greatest("m", "n").alias("j"), "hamming", F.round("mse", 6).alias("mse"), "exact")
+    within = m.join(n, (F.col("x") == F.col("y")) & (F.col("m") < F.col("n")))
+    within = within.select(F.col("m").alias("i"), F.col("n").alias("j"), F.lit(0).alias("hamming"), F.lit(0.0).alias("mse"), F.lit(True).alias("exact"))
+    return across.unionByName(within)
 
 
 def duplicate_members(pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions import exprs as E
 
@@ -13,13 +16,16 @@ SIGNER = "assurance-engine"
 QR_VERSION = "QR-v1"
 
 
-def dataset_digest(df: DataFrame, row: Column, key: Column, buckets: int = 256) -> DataFrame:
+def dataset_digest(df: DataFrame, row: Column, key: Column, buckets: int | None = None) -> DataFrame:
     """One row (n, digest): rows hashed, hashes put in order within hash buckets, buckets hashed in order.
 
-    The order of rows does not matter, repeated rows do. A bucket's hashes meet in one task, so
-    ``buckets`` should grow with the table (a bucket of a million rows is 64 MB).
+    The order of rows does not matter, repeated rows do. A bucket's hashes meet in one task, so there
+    are 256 buckets up to 256 million rows and twice as many for each doubling beyond.
     """
-    hashed = df.select(F.sha2(row, 256).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % buckets)
+    if buckets is None:
+        buckets = 256 << max(0, (df.count() >> 28).bit_length())
+    digits = 4 if buckets <= 1 << 16 else 8
+    hashed = df.select(F.sha2(row, 256).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, digits), 16, 10).cast("bigint") % buckets)
     parts = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"))
     return parts.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])), 256).alias("digest"))
 
@@ -42,18 +48,33 @@ def _link(previous: Column, payload: Column) -> Column:
 def build_chain(events: DataFrame, chain: str = "chain_id") -> DataFrame:
     """Events (chain, seq, model_sha256, manifest, ts_us) with previous_event_hash and event_hash.
 
-    A hash needs the one before, so one chain is folded in one task; chains spread. Very long chains
-    should be cut into segments that start from the hash before (``genesis`` per chain).
+    A hash needs the one before, so one chain is folded in one task, row by row in the order of seq
+    (sorting spills, the fold holds one hash); chains spread.
     """
-    listed = events.withColumn("payload", event_payload()).groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("es"))
-    start = F.struct(F.lit(E.GENESIS).alias("last"), F.array().cast("array<struct<seq:bigint,prev:string,hash:string>>").alias("done"))
+    return _folded(events.withColumn("head", F.lit(E.GENESIS)), chain)
 
-    def step(state, e):
-        h = _link(state["last"], e["payload"])
-        return F.struct(h.alias("last"), F.concat(state["done"], F.array(F.struct(e["seq"].cast("bigint").alias("seq"), state["last"].alias("prev"), h.alias("hash")))).alias("done"))
 
-    folded = listed.select(chain, F.explode(F.aggregate("es", start, step, lambda s: s["done"])).alias("e")).select(chain, "e.seq", F.col("e.prev").alias("previous_event_hash"), F.col("e.hash").alias("event_hash"))
-    return events.join(folded, [chain, "seq"])
+def _folded(events: DataFrame, chain: str) -> DataFrame:
+    """Events linked from the ``head`` of their chain on, which is taken out."""
+    kept = [c for c in events.columns if c != "head"]
+    rows = events.select(*kept, F.col("head").alias("__head"), event_payload().alias("__payload"))
+    schema = StructType([*(events.schema[c] for c in kept), StructField("previous_event_hash", StringType()), StructField("event_hash", StringType())])
+    at = kept.index(chain)
+
+    def fold(batches):
+        current, last = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for key, head, payload in zip(*(batch.column(i).to_pylist() for i in (at, len(kept), len(kept) + 1)), strict=True):
+                if key != current:
+                    current, last = key, head
+                before.append(last)
+                last = hashlib.sha256((last + payload).encode()).hexdigest()
+                after.append(last)
+            columns = [*(batch.column(i) for i in range(len(kept))), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "previous_event_hash", "event_hash"])
+
+    return rows.repartition(chain).sortWithinPartitions(chain, "seq").mapInArrow(fold, schema)
 
 
 def validate_events(events: DataFrame, chain: str = "chain_id") -> DataFrame:
@@ -207,3 +228,17 @@ def log_inferences(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     chains = validate_chain(ledger).select("chain_id", "valid")
     joined = batch.join(chains, "chain_id", "left")
     return joined.withColumn("log_status", F.when(F.coalesce("valid", F.lit(True)), "LOGGED").otherwise("REJECTED_BROKEN_CHAIN")).drop("valid")
+
+
+def append_inferences(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """The events that ``batch`` (chain_id, seq, model_sha256, manifest, ts_us) adds to ``ledger``, linked behind their chains' last events.
+
+    A chain that is broken takes none; a chain that the ledger lacks begins at the genesis hash.
+    Batch rows are numbered on in the order of their seq, so the result can be written behind the ledger.
+    """
+    good = log_inferences(ledger, batch).where("log_status = 'LOGGED'").drop("log_status")
+    heads = ledger.groupBy("chain_id").agg(F.max_by("event_hash", "seq").alias("head"), F.max("seq").alias("last"))
+    good = good.join(heads, "chain_id", "left")
+    order = F.row_number().over(Window.partitionBy("chain_id").orderBy("seq"))
+    good = good.withColumn("seq", (F.coalesce("last", F.lit(-1)) + order).cast("bigint")).withColumn("head", F.coalesce("head", F.lit(E.GENESIS))).drop("last")
+    return _folded(good, "chain_id")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from plumbline.functions import exprs as E
 
@@ -39,7 +40,7 @@ def score_vectors(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], vec
 
     The scorer is sent to the tasks once and called on Arrow batches.
     """
-    schema = df.schema.add("probs", "array<double>")
+    schema = StructType([*df.schema.fields, StructField("probs", ArrayType(DoubleType()))])
     at = df.columns.index(vector)
 
     def run(batches):

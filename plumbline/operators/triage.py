@@ -67,7 +67,7 @@ def triage(files: DataFrame, profile: str = "Standard") -> DataFrame:
 
 
 def image_hashes(samples: DataFrame, side: int, width: int = 9, height: int = 8) -> DataFrame:
-    """(id, hash): pixels resized by fixed triangle weights to width x height, then the 64-bit difference hash as hex."""
+    """(id, hash): pixels resized by fixed triangle weights to width x height, then the 64-bit difference hash as hex (``exprs.hash_of_hex`` makes it a number)."""
     across, down = np.array(E.resize_weights(side, width)), np.array(E.resize_weights(side, height))
 
     def run(batches):

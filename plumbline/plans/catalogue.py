@@ -397,7 +397,18 @@ def noise_sweep(spark, sf):
     return stability.stability_metrics(scorers.linear_probabilities(noisy, scorers.centroids(rows), "vector")).drop("base")
 
 
-@query("blurred_entropy")
+#: The blur's weights, which the SQL takes as literals.
+_BLUR = "[" + ", ".join(f"{w!r}::DOUBLE" for w in E.blur_weights()) + "]"
+
+
+@query(
+    "blurred_entropy",
+    f"""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {_BLUR} AS k FROM embeddings),
+a AS (SELECT id, k, list_transform(range(64), lambda i: list_sum(list_transform(range(5), lambda j: k[j + 1] * v[i // 8 * 8 + least(greatest(i % 8 + j - 2, 0), 7) + 1]))) AS v FROM x),
+b AS (SELECT id, list_transform(range(64), lambda i: list_sum(list_transform(range(5), lambda j: k[j + 1] * v[least(greatest(i // 8 + j - 2, 0), 7) * 8 + i % 8 + 1]))) AS v FROM a),
+e AS (SELECT id, list_transform(v, lambda c: exp(c - list_max(v))) AS e FROM b), p AS (SELECT id, list_transform(e, lambda c: c / list_sum(e)) AS p FROM e)
+SELECT id, round(-list_sum(list_transform(p, lambda c: c * ln(c + 1e-12::DOUBLE))), 6) AS entropy FROM p""",
+)
 def blurred_entropy(spark, sf):
     rows = _embeddings(spark, sf)
     return rows.select(F.col("vec_id").alias("id"), F.round(E.entropy_nats(E.softmax(E.blur(F.col("embedding"), 8))), 6).alias("entropy"))
@@ -613,6 +624,19 @@ def input_budget(spark, sf):
     return out.withColumns({c: F.col(c).cast("double") for c in ("total_elements", "largest_input")})
 
 
+@query(
+    "feed_budget",
+    """WITH d AS (SELECT o_custkey AS model_id, o_orderkey AS i, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 0 ELSE l_partkey % 97 END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'),
+e AS (SELECT model_id, i, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN v IS NULL OR v = 0 THEN 1 ELSE v END::HUGEINT)), lambda a, b: a * b) AS p, max(v) AS m FROM d GROUP BY 1, 2)
+SELECT model_id, sum(p)::DOUBLE AS total_elements, max(p)::DOUBLE AS largest_input, max(m)::BIGINT AS largest_dim, sum(p) <= 16000000 AND coalesce(max(m), 0) <= 65536 AS within_budget FROM e GROUP BY 1""",
+)
+def feed_budget(spark, sf):
+    """The budget of what is fed: inputs of finished orders are filled by initializers."""
+    filled = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("name"))
+    out = inventory.input_budget(inventory.feed_inputs(_inputs(spark, sf), filled))
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total_elements", "largest_input")})
+
+
 @query("graph_io", "WITH i AS (SELECT o_custkey AS m, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), o AS (SELECT o_custkey AS m, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT c_custkey AS model_id, coalesce(i.n, 0) AS n_inputs, coalesce(o.n, 0) AS n_outputs, CASE WHEN i.n IS NULL THEN 'NO_INPUTS' WHEN o.n IS NULL THEN 'NO_OUTPUTS' ELSE 'OK' END AS status FROM customer LEFT JOIN i ON i.m = c_custkey LEFT JOIN o ON o.m = c_custkey")
 def graph_io(spark, sf):
     outputs = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("output_name"), F.lit(0).alias("dim_pos"), F.lit(10).cast("bigint").alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))
@@ -747,6 +771,20 @@ def chain_validate_tampered(spark, sf):
     return provenance.validate_chain(_tampered(spark, sf))
 
 
+@query(
+    "chain_times",
+    """WITH t AS (SELECT user_id AS chain_id, event_id AS seq, epoch_us(ts) - CASE WHEN event_id % 500 = 7 THEN 10000000000000 ELSE 0 END AS ts FROM events),
+m AS (SELECT *, row_number() OVER w AS line, coalesce(max(ts) OVER (PARTITION BY chain_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS latest FROM t WINDOW w AS (PARTITION BY chain_id ORDER BY seq)),
+bad AS (SELECT chain_id, count(*) AS n, min(line) FILTER (WHERE ts < latest) AS b FROM m GROUP BY 1)
+SELECT chain_id, CASE WHEN b IS NULL THEN 'VALID_AUDIT_CHAIN (' || n || ' events verified)' ELSE 'EVENT_ORDERING_ERROR (Line ' || b || ')' END AS status, b IS NULL AS valid, coalesce(b - 1, n) AS verified FROM bad""",
+)
+def chain_times(spark, sf):
+    """Chains some of whose events carry a time before an earlier event's, hashed as they are."""
+    back = F.when(F.col("seq") % 500 == 7, F.lit(10_000_000_000_000)).otherwise(F.lit(0))
+    events = _ledger_events(spark, sf).withColumn("ts_us", F.col("ts_us") - back)
+    return provenance.validate_chain(provenance.well_formed(provenance.build_chain(events)))
+
+
 @query("chain_head", f"WITH {_TAMPER} SELECT chain_id, coalesce(max(h) FILTER (WHERE line = coalesce(b - 1, n)), {_ZERO}) AS head FROM line JOIN bad USING (chain_id) GROUP BY 1")
 def chain_head(spark, sf):
     return provenance.chain_head(_tampered(spark, sf))
@@ -779,6 +817,20 @@ def inference_log(spark, sf):
     return provenance.log_inferences(_tampered(spark, sf), _ledger_events(spark, sf)).groupBy("log_status").agg(F.count("*").alias("n"))
 
 
+@query(
+    "inference_append",
+    f"""WITH {_CHAIN.split("lst AS")[0]}
+lst AS (SELECT chain_id, list(seq ORDER BY seq % 2, seq) AS s, list(p ORDER BY seq % 2, seq) AS ps, coalesce(max(seq) FILTER (WHERE seq % 2 = 0), -1) AS last, count(*) FILTER (WHERE seq % 2 = 0) AS n FROM pay GROUP BY 1),
+h AS (SELECT chain_id, last, n, unnest(range(1, len(ps) + 1)) AS i, unnest(list_transform(range(1, len(ps) + 1), lambda i: list_reduce(list_prepend({_ZERO}, ps[1:i]), lambda a, b: sha256(a || b)))) AS h FROM lst)
+SELECT chain_id, last + i - n AS seq, coalesce(prev, {_ZERO}) AS previous_event_hash, h AS event_hash FROM (SELECT *, lag(h) OVER (PARTITION BY chain_id ORDER BY i) AS prev FROM h) WHERE i > n""",
+)
+def inference_append(spark, sf):
+    """Events of odd numbers appended to chains of those of even ones."""
+    events = _ledger_events(spark, sf)
+    ledger = provenance.well_formed(provenance.build_chain(events.where("seq % 2 = 0")))
+    return provenance.append_inferences(ledger, events.where("seq % 2 = 1")).select("chain_id", "seq", "previous_event_hash", "event_hash")
+
+
 @query(
     "dataset_digest",
     """WITH h AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders), p AS (SELECT ('0x' || substr(h, 1, 4))::INTEGER % 256 AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
@@ -886,3 +938,28 @@ def scan_model(spark, sf):
     sharp = F.when(F.col("model_id") % 5 == 0, 1000.0).otherwise(1.0)
     weights = models.select("model_id").crossJoin(F.broadcast(scorers.centroids(rows))).withColumn("centroid", F.transform("centroid", lambda x: x * sharp))
     return pipelines.scan_models(models, manifest, nodes, _inputs(spark, sf), none, issues, rows.where("vec_id % 2 = 0"), live, chains, samples, overlays, 50, weights)
+
+
+# ------------------------------------------------------------ shapes and charts
+
+
+@query("shape_check", "SELECT count(*) AS n, count(DISTINCT len(embedding)) = 1 AND count(*) > 0 AS shape_ok, CASE WHEN count(DISTINCT len(embedding)) = 1 AND count(*) > 0 THEN NULL ELSE 'UNGUARANTEED_UNSUPPORTED_SHAPE' END AS shape_finding, CASE WHEN count(DISTINCT len(embedding)) = 1 AND count(*) > 0 THEN 0.0 ELSE 80.0 END::DOUBLE AS shape_risk FROM embeddings")
+def shape_check(spark, sf):
+    return pipelines.validate_shape(_embeddings(spark, sf).select(F.array(F.size("embedding")).alias("shape")))
+
+
+@query("ragged_shape_check", "SELECT count(*) AS n, false AS shape_ok, 'UNGUARANTEED_UNSUPPORTED_SHAPE' AS shape_finding, 80.0::DOUBLE AS shape_risk FROM conversations HAVING count(DISTINCT length(text)) > 1")
+def ragged_shape_check(spark, sf):
+    """Texts as samples of their own lengths: no common shape."""
+    return pipelines.validate_shape(table(spark, sf, "conversations").select(F.array(F.length("text")).alias("shape")))
+
+
+@query(
+    "scaled_points",
+    """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT max(greatest(abs(x), abs(y))) AS m FROM p)
+SELECT id, round(x / CASE WHEN m > 1e-6 THEN m ELSE 1 END, 4) AS x, round(y / CASE WHEN m > 1e-6 THEN m ELSE 1 END, 4) AS y FROM p, m""",
+)
+def scaled_points(spark, sf):
+    """The first two coordinates of each vector as chart points."""
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return anomalies.scale_coords(rows.select("id", F.element_at("v", 1).alias("x"), F.element_at("v", 2).alias("y")))

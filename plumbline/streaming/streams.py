@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
@@ -49,19 +49,20 @@ def stream_drift(live: DataFrame, reference: DataFrame, sink: Callable[[DataFram
 def windowed_drift(events: DataFrame, ts: str, value: str, width: str = "1 day") -> DataFrame:
     """(window_start, ks): the values of each window against those of all other windows, the batch form of drift over time.
 
-    Every window is a dimension of ``drift.ks_per_dim``. Values are counted by window first; the other
-    windows' counts are those of all, less its own.
+    Between two values of a window its own distribution function stands still and the others' rises,
+    so the largest distance lies at one of its own values or just before one: a row for each value of
+    each window meets the running count of all values there, and no window meets the values of others.
     """
-    counts = events.select(F.window(ts, width).start.alias("dim"), F.col(value).alias("value")).groupBy("dim", "value").agg(F.count("*").alias("l"))
-    sizes = counts.groupBy("dim").agg(F.sum("l").alias("n_live"))
-    grid = counts.select("value").distinct()
-    spread = grid.withColumn("__one", F.lit(1)).join(F.broadcast(sizes.withColumn("__one", F.lit(1))), "__one").drop("__one")
-    whole = counts.groupBy("value").agg(F.sum("l").alias("all"))
-    rows = spread.join(counts, ["dim", "value"], "left").join(whole, "value").select("dim", "value", "n_live", F.coalesce("l", F.lit(0)).alias("l"), "all")
-    upto = Window.partitionBy("dim").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select("dim", "n_live", F.sum("l").over(upto).alias("c"), F.sum("all").over(upto).alias("a"), F.sum("all").over(Window.partitionBy("dim")).alias("n_all"))
-    gap = F.abs(F.col("c") / F.col("n_live") - (F.col("a") - F.col("c")) / (F.col("n_all") - F.col("n_live")))
-    return rows.where("n_all > n_live").groupBy(F.col("dim").alias("window_start")).agg(F.max(gap).alias("ks"))
+    counts = events.select(F.window(ts, width).start.alias("dim"), F.col(value).alias("value")).where(F.col("value").isNotNull()).groupBy("dim", "value").agg(F.count("*").alias("l"))
+    whole = counts.groupBy("value").agg(F.sum("l").alias("all")).withColumn("one", F.lit(1))
+    own = drift.running(counts, "dim", "value", ["l"]).drop("next")
+    rows = own.join(drift.running(whole, "one", "value", ["all"]).drop("next", "one"), "value").where("all_total > l_total")
+
+    def gap(upto, all_upto):
+        return F.abs(upto / F.col("l_total") - (all_upto - upto) / (F.col("all_total") - F.col("l_total")))
+
+    at, before = gap(F.col("l_upto"), F.col("all_upto")), gap(F.col("l_upto") - F.col("l"), F.col("all_upto") - F.col("all"))
+    return rows.groupBy(F.col("dim").alias("window_start")).agg(F.max(F.greatest(at, before)).alias("ks"))
 
 
 def stream_triage(spark: SparkSession, path: str, profile: str = "Standard") -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on literal tables: expected values, edge cases, and properties."""
 
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
 from plumbline.plans import pipelines
+from plumbline.sources import readers
 
 
 def one(spark, expression):
@@ -225,6 +228,72 @@ def test_generators(spark):
     assert generators.shifted_batch(spark, 2).count() == 2
 
 
+def png(pixels):
+    """A gray PNG of rows of bytes."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in pixels))) + chunk(b"IEND", b"")
+
+
+def test_scan_images(spark, tmp_path):
+    rng = random.Random(3)
+    ramp = [[(4 * c + r) % 256 for c in range(40)] for r in range(30)]
+    (tmp_path / "good.png").write_bytes(png(ramp))
+    (tmp_path / "speckled.png").write_bytes(png([[rng.choice([0, 255]) for _ in range(40)] for _ in range(30)]))
+    (tmp_path / "cut.png").write_bytes(png(ramp)[:60])
+    (tmp_path / "wide.png").write_bytes(png([[0] * 5000]))
+    (tmp_path / "tool.png").write_bytes(b"MZ" + b"\0" * 100)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    weights = spark.createDataFrame([(k, [3.0 * k * (i % 28 > 13) - 1.5 * k for i in range(784)]) for k in (0, 1)], "label long, centroid array<double>")
+    score = lambda shown: scorers.linear_probabilities(shown, weights, "vector")
+    clean = pipelines.image_vectors(readers.read_images(spark, str(tmp_path)), 28).where("path like '%good%'")
+    calibration = stability.fit_calibration(score(clean.select(F.col("path").alias("id"), F.lit("baseline").alias("variant"), "vector")))
+    scan = lambda c: {r["path"].rpartition("/")[2]: r for r in pipelines.scan_images(files, readers.read_images(spark, str(tmp_path)), score, c).collect()}
+    got = scan(calibration)
+    assert len(got) == 5
+    assert [got[n]["status"] for n in ("cut.png", "wide.png", "tool.png")] == ["REJECTED"] * 3
+    assert got["wide.png"]["finding_type"] == "REJECTED_RESOURCE_LIMIT" and got["cut.png"]["finding_type"] == "REJECTED_MALFORMED_IMAGE"
+    assert got["good.png"]["status"] == "SAFE_UNDER_CHECKS" and len(got["good.png"]["hash"]) == 16
+    assert got["speckled.png"]["status"] in ("SAFE_UNDER_CHECKS", "SUSPICIOUS")
+    assert scan(calibration.limit(0))["good.png"]["finding_type"] == "UNGUARANTEED_NO_CALIBRATION"
+
+
+def test_hashes_of_64_bits(spark):
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randrange(100)) for _ in range(81)]) for i in range(30)] + [(100, [0.0] * 81), (101, [0.0] * 81), (102, [0.0] * 81)]
+    df = spark.createDataFrame(rows, "id long, pixels array<double>")
+    hashed = df.select("id", "pixels", E.dhash(F.col("pixels"), 9, 8).alias("hash"))
+    for r in hashed.collect():
+        bits = "".join(str(int(r["pixels"][y * 9 + x] > r["pixels"][y * 9 + x + 1])) for y in range(8) for x in range(8))
+        assert r["hash"] % 2**64 == int(bits, 2)
+    assert {(r["i"], r["j"]) for r in duplicates.near_duplicate_pairs(hashed, 64).collect()} == {(100, 101), (100, 102), (101, 102)}
+    hexes = triage.image_hashes(df.where("id < 100").select("id", F.slice("pixels", 1, 81).alias("pixels")), 9)
+    assert hexes.select(E.hash_of_hex(F.col("hash")).alias("h")).where("h is null").count() == 0
+
+
+def test_appended_events_go_on_with_their_chain(spark):
+    ledger = provenance.well_formed(chains(spark))
+    batch = spark.createDataFrame([(c, s, "cd" * 32, "{}", 1000 + s) for c in (1, 2, 3) for s in (7, 3)], "chain_id long, seq long, model_sha256 string, manifest string, ts_us long")
+    broken = ledger.withColumn("manifest", F.when(F.col("chain_id") == 2, F.lit("{}")).otherwise(F.col("manifest")))
+    new = provenance.append_inferences(broken, batch)
+    assert sorted((r["chain_id"], r["seq"]) for r in new.collect()) == [(1, 5), (1, 6), (3, 0), (3, 1)]
+    columns = ["chain_id", "seq", "model_sha256", "manifest", "ts_us", "previous_event_hash", "event_hash"]
+    whole = ledger.where("chain_id = 1").select(columns).unionByName(new.select(columns))
+    assert {r["chain_id"]: r["status"] for r in provenance.validate_chain(provenance.well_formed(whole)).collect()} == {1: "VALID_AUDIT_CHAIN (7 events verified)", 3: "VALID_AUDIT_CHAIN (2 events verified)"}
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(g, v, rng.randrange(9)) for g in ("a", "b") for v in rng.sample(range(10_000), 300)]
+    got = drift.running(spark.createDataFrame(rows, "g string, v long, n long").repartition(7), "g", "v", ["n"]).collect()
+    for g in ("a", "b"):
+        own, total = sorted((v, n) for h, v, n in rows if h == g), 0
+        by = {r["v"]: r for r in got if r["g"] == g}
+        for k, (v, n) in enumerate(own):
+            total += n
+            assert (by[v]["n_upto"], by[v]["n_total"], by[v]["next"]) == (total, sum(x for _, x in own), own[k + 1][0] if k + 1 < len(own) else None)
+
+
 def test_scan_models_sees_strip(spark):
     models = spark.createDataFrame([(i, f"h{i}", i != 3) for i in (1, 2, 3, 4)], "model_id long, sha256 string, format_ok boolean")
     manifest = models.select(F.col("model_id").alias("position"), "model_id", "sha256")
