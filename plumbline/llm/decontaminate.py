@@ -3,21 +3,27 @@
 Items and texts are words of letters and digits, lower-cased A-Z. A document leaks an item of n
 words where some stretch of it is within ``floor(max_edits * n)`` word edits of the item.
 
-Windows of an item's length are opened where the document shares enough of the item's 3-grams on
-neighbouring diagonals: k edits spoil at most 3k of n - 2 grams, so no leak is without such a
-window. Items of so few words that the edits may spoil all 3-grams are looked up by pairs of words
-or by single words. Window and item are embedded by CGK random walks (edit distance becomes Hamming distance
-of the embeddings), and bit-sampling keys of ``repeats`` embeddings are compared; a pair that
-agrees on one key is verified by exact edit distance. ``repeats`` and ``sampled`` are set for a
-recall of 0.99 and more at the largest distance allowed.
+1. Windows. For each size that items have, every place of a document starts a window of it. A window
+   that lacks runs of g words cannot hold an item of its size: k edits spoil at most g * k of an item's
+   n - g + 1 runs, so fewer than n - g + 1 - g * k runs that items of its size have, within n + k words,
+   rule the place out. This looks at pairs and triples of all items of a size at once and names no item.
+2. CGK embedding. A walk repeats the word it stands on at each step and moves on by a coin that the
+   word, the step and the walk decide; after a word that only one side has, two walks meet again
+   soon, so few edits become few differing places (edit distance becomes Hamming distance).
+3. Bit sampling. A key is made of ``sampled`` places of a walk. A window and an item of its size that
+   have a key of one of ``repeats`` walks in common are a candidate; there are no other candidates.
+   ``repeats`` and ``sampled`` are set for a recall of 0.95 and more at the largest distance allowed,
+   for items of every length.
+4. Candidates are verified by exact edit distance; the closest place of each item in each row counts.
+
+Items too short for an edit have keys of their whole sequence, so they are found exactly.
 
 The items of a block (``block`` at most) are sent to the tasks; a larger benchmark goes in blocks,
 each against all documents. Documents are read once a block and never shuffled, so hot sources and
 groups of copies cost what other rows cost.
 
-Null and empty texts leak nothing. Items of fewer than ``min_words`` words are not searched for:
-they are phrases of the language. Repeated documents and repeated items each give their rows; an
-empty table on either side gives an empty result.
+Null and empty texts leak nothing; items without words are not searched for. Repeated documents and
+repeated items each give their rows; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,118 +32,167 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm import textkit as tk
 
-GRAM = 3
+#: Lengths of the runs that windows are looked through for.
+RUNS = (2, 3)
 
 
 class Benchmark:
-    """The items of a block: their word hashes, an index of their 3-grams, and their embeddings' keys."""
+    """The items of a block: their word hashes, the runs of words they have, and the keys of their embeddings."""
 
-    def __init__(self, ids: list, texts: list[str], max_edits: float = 0.2, min_words: int = 5, repeats: int = 48, sampled: int = 2):
-        self.max_edits, self.repeats, self.sampled = max_edits, repeats, sampled
+    def __init__(self, ids: list, texts: list[str], max_edits: float = 0.2, min_words: int = 1, repeats: int = 40, sampled: int = 2):
+        self.repeats, self.sampled = repeats, sampled
         self.ids, self.words = [], []
-        found: dict[int, list] = {g: [] for g in range(GRAM, 0, -1)}
-        need = []
+        runs: dict[int, list] = {g: [] for g in RUNS}
         for item, text in zip(ids, texts, strict=True):
             data = tk.LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
             words = tk.Words(data, np.array([0, len(data)]), tk.ALNUM)
-            if len(words.starts) < min_words:
+            if len(words.starts) < max(1, min_words):
                 continue
             hashes = words.hashes(tk.PrefixHash(data))
-            n = len(hashes)
-            edits = int(np.floor(max_edits * n + 1e-9))
-            gram = next((g for g in found if n - g + 1 - g * edits >= 1), 1)
-            need.append(max(1, n - gram + 1 - gram * edits))
-            g, _, at = words.grams(hashes, gram)
-            found[gram].append((g, np.full(len(g), len(self.ids)), at))
+            for g in RUNS:
+                runs[g].append(words.grams(hashes, g)[0])
             self.ids.append(item)
             self.words.append(hashes)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.floor(max_edits * self.size + 1e-9).astype(np.int64)
-        self.need = np.array(need, dtype=np.int64)
-        self.index = {}
-        for gram, parts in found.items():
-            if parts:
-                grams, items, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(grams, kind="stable")
-                seen = np.zeros(1 << 20, dtype=bool)
-                seen[(grams >> np.uint64(44)).astype(np.int64)] = True
-                self.index[gram] = grams[order], items[order], offsets[order], seen
         draw = np.random.default_rng(11)
-        self.share = draw.random((repeats, sampled))
         self.walks = draw.integers(1, 1 << 62, repeats, dtype=np.uint64)
-        self._keys: dict[int, np.ndarray] = {}
+        self.share = np.sort(draw.random((repeats, sampled)), axis=1)
+        self.sizes = np.unique(self.size)
+        # for each hash of a run the sizes of the items that have it, as bits (sizes share bits beyond 64 of them)
+        self.shift = np.uint64(64 - min(24, max(16, int(self.size.sum()).bit_length() + 5)))
+        self.bit = {n: np.uint64(i % 64) for i, n in enumerate(self.sizes.tolist())}
+        self.runs = {g: np.zeros(1 << (64 - int(self.shift)), dtype=np.uint64) for g in RUNS}
+        for g, parts in runs.items():
+            for n, part in zip(self.size.tolist(), parts, strict=True):
+                self.runs[g][self._slot(part)] |= np.uint64(1) << self.bit[n]
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in self.sizes.tolist():
+            items = np.flatnonzero(self.size == n)
+            joined = np.concatenate([self.words[i] for i in items])
+            starts = np.arange(len(items)) * n
+            keys = self._keys(joined, starts, starts + n, [n])[n]
+            order = np.argsort(keys.ravel(), kind="stable")
+            self.keys[n] = keys.ravel()[order], items[order // repeats]
+
+    def _slot(self, runs: np.ndarray) -> np.ndarray:
+        return (runs >> self.shift).astype(np.int64)
 
-    def embed(self, windows: np.ndarray) -> np.ndarray:
-        """(windows, repeats, sampled): the sampled places of each window's random-walk embeddings.
+    def places(self, n: int) -> np.ndarray:
+        """(repeats, sampled) steps at which walks over ``n`` words are sampled; walks end early, so the last steps are not."""
+        return (self.share * 1.5 * n).astype(np.int64)
 
-        A walk repeats the word it stands on at each step and moves on by a coin that the word, the
-        step and the walk decide; after a word that only one side has, two walks meet again soon.
+    def _keys(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+        """For each size, the (windows, repeats) keys of the windows of so many words at ``starts``, which end at ``stops`` at the latest.
+
+        The walks from a place are the same for every size; a walk beyond its window stands on nothing.
         """
-        count, n = windows.shape
-        steps = 3 * n
-        padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
-        at = np.zeros((count, self.repeats), dtype=np.int64)
-        rows = np.arange(count)[:, None]
-        places = (self.share * steps * 0.5).astype(np.int64)  # ends of walks are padding: sample where both still walk
-        out = np.zeros((count, self.repeats, self.sampled), dtype=np.uint64)
-        for step in range(int(places.max()) + 1):
-            word = padded[rows, at]
-            for r, s in zip(*np.nonzero(places == step), strict=True):
-                out[:, r, s] = word[:, r]
-            coin = tk.mix(word ^ (self.walks + np.uint64(step * int(tk.BASE) % 2**64))) & np.uint64(1)
-            at = np.minimum(at + coin.astype(np.int64), n)
+        out = {n: np.zeros((len(starts), self.repeats), dtype=np.uint64) for n in sizes}
+        wanted: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for n in sizes:
+            if self._whole(n):
+                total = np.zeros(len(starts), dtype=np.uint64)
+                for k in range(n):
+                    total = total * tk.BASE + hashes[np.minimum(starts + k, len(hashes) - 1)]
+                out[n][:] = tk.mix(total)[:, None]
+                continue
+            places = self.places(n)
+            for step in np.unique(places).tolist():
+                for s in range(self.sampled):
+                    r = np.flatnonzero(places[:, s] == step)
+                    if len(r):
+                        wanted.setdefault(step, []).append((n, r))
+        if wanted and len(starts):
+            coins = tk.mix(hashes[:, None] ^ self.walks[None, :])
+            at = np.repeat(starts[:, None], self.repeats, axis=1)
+            walk = np.arange(self.repeats)[None, :]
+            end = stops[:, None] - 1
+            for step in range(max(wanted) + 1):
+                for n, r in wanted.get(step, ()):
+                    p = at[:, r]
+                    word = np.where(p < np.minimum(stops, starts + n)[:, None], hashes[np.minimum(p, len(hashes) - 1)], np.uint64(0))
+                    out[n][:, r] = out[n][:, r] * tk.BASE + word
+                here = np.minimum(at, end)
+                at = at + ((coins[here, walk] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+            for n in sizes:
+                if not self._whole(n):
+                    out[n] = tk.mix(out[n] ^ tk.mix(self.walks)[None, :])
         return out
 
-    def alike(self, item: int, windows: np.ndarray) -> bool:
-        """Whether some window has the item's key in some walk."""
-        if item not in self._keys:
-            self._keys[item] = self.embed(self.words[item][None, :])
-        return bool((self.embed(windows) == self._keys[item]).all(axis=2).any())
+    def _whole(self, n: int) -> bool:
+        return not self.edits[self.size == n][0]
+
+    def windows(self, words: tk.Words, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size, the places (word indices) where a window of it holds enough of the items' runs."""
+        count = len(hashes)
+        marks, before = {}, {}  # the sizes that a run at a word speaks for; runs of any size that begin before a word
+        for g, table in self.runs.items():
+            grams, _, at = words.grams(hashes, g)
+            marks[g] = np.zeros(count, dtype=np.uint64)
+            marks[g][at] = table[self._slot(grams)]
+            before[g] = np.zeros(count + 1 + 2 * int(self.sizes[-1]), dtype=np.int32)
+            np.cumsum(marks[g] != 0, out=before[g][1 : count + 1])
+            before[g][count + 1 :] = before[g][count]
+        last = words.first[1:][words.row]
+        out = {}
+        for n in self.sizes.tolist():
+            k = int(self.edits[self.size == n][0])
+            need = {g: n - g + 1 - g * k for g in reversed(RUNS) if n - g + 1 - g * k > 0}
+            found = np.arange(count)
+            for i, (g, least) in enumerate(need.items()):  # runs of any size, into the next rows too
+                width = n + k - g + 1
+                if i == 0:
+                    found = np.flatnonzero(before[g][width : width + count] - before[g][:count] >= least)
+                else:
+                    found = found[before[g][found + width] - before[g][found] >= least]
+            for g, least in need.items():  # runs of this size, within the row
+                if len(found):
+                    total = np.concatenate([[0], np.cumsum((marks[g] >> self.bit[n]) & np.uint64(1), dtype=np.int32)])
+                    found = found[total[np.minimum(found + n + k - g + 1, last[found])] - total[found] >= least]
+            if k == 0:
+                found = found[found + n <= last[found]]
+            if len(found):
+                out[n] = found
+        return out
+
+    def candidates(self, words: tk.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of the windows and items that have a key in common, each once."""
+        found = self.windows(words, hashes)
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if found:
+            starts = np.unique(np.concatenate(list(found.values())))
+            # walks of many places are taken in parts of bounded size
+            for part in np.array_split(starts, -(-len(starts) // 4096)):
+                sizes = {n: s for n, x in found.items() if len(s := np.intersect1d(x, part, assume_unique=True))}
+                if not sizes:
+                    continue
+                low = int(part[0])
+                high = min(len(hashes), int(part[-1]) + 2 * int(self.sizes[-1]) + 2)
+                every = self._keys(hashes[low:high], part - low, np.minimum(words.first[1:][words.row[part]], high) - low, list(sizes))
+                for n, own in sizes.items():
+                    known, item = self.keys[n]
+                    keys = every[n][np.searchsorted(part, own)].ravel()
+                    a, b = (np.searchsorted(known, keys, side=s) for s in ("left", "right"))
+                    hit = np.flatnonzero(b > a)
+                    count = (b - a)[hit]
+                    index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a[hit], count)
+                    places.append(own[np.repeat(hit, count) // self.repeats])
+                    items.append(item[index])
+        place, item = np.concatenate(places), np.concatenate(items)
+        both = np.unique(np.stack([item, place]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
+        return both[1], both[0]
 
     def distance(self, item: int, part: np.ndarray) -> tuple[int, int]:
         """(edits, words of ``part`` up to the end) of the stretch of ``part`` closest to the item."""
-        column = np.zeros(len(part) + 1, dtype=np.int64)
-        step = np.arange(len(part) + 1)
-        for i, word in enumerate(self.words[item]):
-            best = np.minimum(column + 1, np.concatenate([[i + 1], column[:-1] + (part != word)]))
-            column = np.minimum.accumulate(best - step) + step
-        end = int(np.argmin(column))
-        return int(column[end]), end
-
-    def windows(self, words: tk.Words, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(row, item, window starts as word indices) of every place with enough shared grams."""
-        return [place for gram in self.index for place in self._windows(gram, words, hashes)]
-
-    def _windows(self, gram: int, words: tk.Words, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """The places of the items that are looked up by ``gram`` words."""
-        known, items, offsets, seen = self.index[gram]
-        grams, rows, at = words.grams(hashes, gram)
-        near = np.flatnonzero(seen[(grams >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(known, grams[near], side=s) for s in ("left", "right"))
-        count = high - low
-        which = np.repeat(near, count)
-        index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        row, item, start = rows[which], items[index], at[which] - offsets[index]
-        order = np.lexsort((start, item, row))
-        row, item, start = row[order], item[order], start[order]
-        group = np.cumsum(np.append(0, (np.diff(row) != 0) | (np.diff(item) != 0))) if len(row) else row
-        spread = np.int64(1 << 40)
-        key = group * spread + start
-        stop = np.searchsorted(key, key + self.edits[item], side="right")
-        enough = np.flatnonzero(stop - np.arange(len(key)) >= self.need[item])
-        found = []
-        i = 0
-        while i < len(enough):
-            a = enough[i]
-            b = stop[a]
-            while i < len(enough) and enough[i] < b:  # overlapping spreads are one place
-                b = stop[enough[i]]
-                i += 1
-            found.append((int(row[a]), int(item[a]), np.unique(start[a:b])))
-        return found
+        return _closest(self.words[item], part, np.zeros(len(part) + 1, dtype=np.int64))
+
+    def distance_back(self, item: int, part: np.ndarray) -> tuple[int, int]:
+        """As ``distance`` from the end of ``part`` backwards: where the stretch that ends there begins."""
+        return _closest(self.words[item][::-1], part[::-1], np.arange(len(part) + 1))
 
     def search(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, edits) of each leak: the closest place of each item in each row."""
@@ -146,32 +201,36 @@ class Benchmark:
         data = tk.LOWER[data]
         words = tk.Words(data, at, tk.ALNUM)
         hashes = words.hashes(tk.PrefixHash(data))
+        place, item = self.candidates(words, hashes)
+        if not len(place):
+            return []
+        row = words.row[place]
+        # places of an item within its edits of each other are one region
+        near = np.zeros(len(place), dtype=bool)
+        near[1:] = (item[1:] == item[:-1]) & (row[1:] == row[:-1]) & (place[1:] - place[:-1] <= np.maximum(1, self.edits[item[1:]]))
+        begin = np.flatnonzero(~near)
+        end = np.append(begin[1:], len(place)) - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, starts in self.windows(words, hashes):
-            n, k = int(self.size[item]), int(self.edits[item])
-            first, last = int(words.first[row]), int(words.first[row + 1])
-            low, high = max(first, int(starts[0]) - k), min(last, int(starts[-1]) + n + k)
-            windows = np.zeros((len(starts), n), dtype=np.uint64)
-            for w, s in zip(windows, np.maximum(starts, first), strict=True):
-                w[: min(n, last - s)] = hashes[s : min(s + n, last)]
-            if not self.alike(item, windows):
-                continue
-            edits, end = self.distance(item, hashes[low:high])
-            if edits <= k and (edits, low) < best.get((row, item), (k + 1, 0))[:2]:
-                back, length = self.distance_back(item, hashes[low : low + end])
-                best[row, item] = (edits, low + end - length - first, length)
-        return [(row, item, start, length, edits) for (row, item), (edits, start, length) in sorted(best.items())]
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            r, x = int(row[a]), int(item[a])
+            n, k = int(self.size[x]), int(self.edits[x])
+            first, last = int(words.first[r]), int(words.first[r + 1])
+            low, high = max(first, int(place[a]) - k), min(last, int(place[b]) + n + k)
+            edits, stop = self.distance(x, hashes[low:high])
+            if edits <= k and (edits, low) < best.get((r, x), (k + 1, 0))[:2]:
+                _, length = self.distance_back(x, hashes[low : low + stop])
+                best[r, x] = (edits, low + stop - length - first, length)
+        return [(r, x, start, length, edits) for (r, x), (edits, start, length) in sorted(best.items())]
 
-    def distance_back(self, item: int, part: np.ndarray) -> tuple[int, int]:
-        """As ``distance`` from the end of ``part`` backwards: where the stretch that ends there begins."""
-        turned = part[::-1]
-        column = np.arange(len(turned) + 1)
-        step = np.arange(len(turned) + 1)
-        for i, word in enumerate(self.words[item][::-1]):
-            best = np.minimum(column + 1, np.concatenate([[i + 1], column[:-1] + (turned != word)]))
-            column = np.minimum.accumulate(best - step) + step
-        end = int(np.argmin(column))
-        return int(column[end]), end
+
+def _closest(item: np.ndarray, part: np.ndarray, column: np.ndarray) -> tuple[int, int]:
+    """(least edits, words of ``part`` used) against the item, from a first column of edit distances."""
+    step = np.arange(len(part) + 1)
+    for i, word in enumerate(item):
+        best = np.minimum(column + 1, np.concatenate([[i + 1], column[:-1] + (part != word)]))
+        column = np.minimum.accumulate(best - step) + step
+    end = int(np.argmin(column))
+    return int(column[end]), end
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int, **settings):
@@ -183,11 +242,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int, **se
         yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], **settings)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 20_000, max_edits: float = 0.2, min_words: int = 5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 20_000, max_edits: float = 0.2, min_words: int = 1) -> DataFrame:
     """(id, item, first_word, n_words, edits, similarity): each item that a document holds, at its closest place."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = f"id {kind}, item {item_kind.simpleString()}, first_word long, n_words long, edits int, similarity double"
+    item_type = to_arrow_type(item_kind)
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, block, max_edits=max_edits, min_words=min_words):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -200,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_pydict(
                         {
                             "id": part.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                            "item": pa.array([items.ids[h[1]] for h in hits], pa.string() if isinstance(items.ids[0] if items.ids else 0, str) else pa.int64()),
+                            "item": pa.array([items.ids[h[1]] for h in hits], item_type),
                             "first_word": pa.array([h[2] for h in hits], pa.int64()),
                             "n_words": pa.array([h[3] for h in hits], pa.int64()),
                             "edits": pa.array([h[4] for h in hits], pa.int32()),
@@ -215,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 20_000, max_edits: float = 0.2, min_words: int = 5) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 20_000, max_edits: float = 0.2, min_words: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no item."""
     kept = docs
     for items in _blocks(benchmark, item_col, item_text_col, block, max_edits=max_edits, min_words=min_words):
