@@ -3,8 +3,9 @@
 A document's lines are a sequence of two labels. Each line has features in [0, 1] (its length, its
 marks, digits, capitals, repeats, whether it ends a sentence, ...); the field has a weight for each
 feature and label and one for each pair of neighbouring labels, fitted by gradient ascent on the
-exact log likelihood (forward-backward) over a bounded sample of labelled documents, whose quality
-label stands for their lines. Viterbi decoding labels the lines; a document is kept when the
+exact log likelihood (forward-backward) over a bounded sample of labelled documents. Only documents
+are labelled, so the labels of their lines are latent: they are decoded and fitted in turn, the
+document's label being evidence for each of its lines. Viterbi decoding labels the lines; a document is kept when the
 content lines hold at least ``least`` of its words. Plain counts come beside it, and the base rule:
 under ``min_words`` words, or over half of the words in 3-word windows found twice, is rejected.
 
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import textkit as tk
 from plumbline.llm.labelled import labelled_sample
 
-#: Labelled rows that the field is fitted on, and the width of a line's features.
-MOST_LABELLED, WIDTH = 4000, 13
+#: Labelled rows that the field is fitted on, the most lines that one of them has, and the width of a line's features.
+MOST_LABELLED, MOST_LINES, WIDTH = 4000, 500, 13
+#: The features that hold a line's words (as ln(1 + words) / 6) and whether an equal line stands above it.
+WORDS_OF, REPEATED = 1, 9
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -138,9 +141,10 @@ class LineField:
     weights: np.ndarray
     moves: np.ndarray
 
-    def viterbi(self, features: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The best label of each line; rows are stepped through together."""
+    def viterbi(self, features: np.ndarray, row: np.ndarray, bias: np.ndarray | float = 0.0) -> np.ndarray:
+        """The best label of each line, with ``bias`` log odds for content; rows are stepped through together."""
         score = features @ self.weights
+        score[:, 1] += bias
         begin, count = tk.runs(row)
         label = np.zeros(len(row), dtype=np.int64)
         if not len(row):
@@ -169,63 +173,106 @@ class LineField:
         return label
 
 
-def fit_field(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.5) -> LineField:
-    """Weights by Adam on the log likelihood of (features, label of all lines) sequences."""
-    field = LineField(np.zeros((WIDTH, 2)), np.zeros((2, 2)))
-    sequences = [s for s in sequences if len(s[0])]
-    if not sequences or len({y for _, y in sequences}) < 2:
-        field.weights[0, 1] = 1.0
-        return field
-    sequences = sorted(sequences, key=lambda s: -len(s[0]))
-    count = np.array([len(x) for x, _ in sequences])
-    x = np.concatenate([x for x, _ in sequences])
-    y = np.repeat([y for _, y in sequences], count)
-    begin = np.cumsum(count) - count
-    active = [int(np.searchsorted(-count, -t, side="left")) for t in range(int(count[0]))]
-    own = np.stack([x[y == k].sum(axis=0) for k in (0, 1)], axis=1)
-    own_moves = np.zeros((2, 2))
-    for (_, k), c in zip(sequences, count, strict=True):
-        own_moves[k, k] += c - 1
-    params, m, v = [field.weights, field.moves], [0.0, 0.0], [0.0, 0.0]
-    for r in range(1, rounds + 1):
-        weights, moves = params
+class _Chains:
+    """Sequences of lines laid end to end, the longest first, so that all of them are stepped through together."""
+
+    def __init__(self, features: list[np.ndarray]):
+        self.order = sorted(range(len(features)), key=lambda i: -len(features[i]))
+        self.count = np.array([len(features[i]) for i in self.order], dtype=np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.x = np.concatenate([features[i] for i in self.order]).astype(float)
+        self.active = [int(np.searchsorted(-self.count, -t, side="left")) for t in range(int(self.count[0]))]
+        self.chain = np.repeat(np.arange(len(self.count)), self.count)
+
+    def value_and_slopes(self, weights: np.ndarray, moves: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The log likelihood of the labels ``y`` and its slopes in weights and moves, by forward-backward."""
+        x, begin, count = self.x, self.begin, self.count
         score = x @ weights
         forward, backward = np.zeros((len(x), 2)), np.zeros((len(x), 2))
-        for t, n in enumerate(active):
+        for t, n in enumerate(self.active):
             here = begin[:n] + t
             forward[here] = score[here] + (np.logaddexp.reduce(forward[here - 1][:, :, None] + moves, axis=1) if t else 0)
         whole = np.logaddexp.reduce(forward[begin + count - 1], axis=1)
         pairs = np.zeros((2, 2))
-        for t in range(len(active) - 2, -1, -1):
-            n = active[t + 1]
+        for t in range(len(self.active) - 2, -1, -1):
+            n = self.active[t + 1]
             here = begin[:n] + t
             ahead = moves + (score[here + 1] + backward[here + 1])[:, None, :]
             backward[here] = np.logaddexp.reduce(ahead, axis=2)
             pairs += np.exp(forward[here][:, :, None] + ahead - whole[:n, None, None]).sum(axis=0)
         share = np.exp(forward + backward - np.repeat(whole, count)[:, None])
-        grads = [(own - x.T @ share) / len(x) - 1e-3 * weights, (own_moves - pairs) / len(x) - 1e-3 * moves]
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            params[i] = params[i] + rate * (m[i] / (1 - 0.9**r)) / (np.sqrt(v[i] / (1 - 0.999**r)) + 1e-8)
-    return LineField(*params)
-
-
-def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most_labelled: int = MOST_LABELLED) -> LineField:
-    """The field from at most ``most_labelled`` labelled rows."""
+        follows = np.flatnonzero(self.chain[1:] == self.chain[:-1])
+        own_moves = np.zeros((2, 2))
+        np.add.at(own_moves, (y[follows], y[follows + 1]), 1)
+        own = np.stack([x[y == k].sum(axis=0) for k in (0, 1)], axis=1)
+        value = score[np.arange(len(x)), y].sum() + (own_moves * moves).sum() - whole.sum()
+        return float(value), own - x.T @ share, own_moves - pairs
+
+    def fit(self, y: np.ndarray, rounds: int = 80, rate: float = 0.5, alone: bool = False) -> LineField:
+        """Weights and moves by Adam on the log likelihood a line, with a small penalty on their squares; no moves if lines stand ``alone``."""
+        params, m, v = [np.zeros((WIDTH, 2)), np.zeros((2, 2))], [0.0, 0.0], [0.0, 0.0]
+        for r in range(1, rounds + 1):
+            _, *slopes = self.value_and_slopes(*params, y)
+            for i, s in enumerate(slopes[: 1 if alone else 2]):
+                g = s / len(y) - 1e-3 * params[i]
+                m[i] = 0.9 * m[i] + 0.1 * g
+                v[i] = 0.999 * v[i] + 0.001 * g * g
+                params[i] = params[i] + rate * (m[i] / (1 - 0.9**r)) / (np.sqrt(v[i] / (1 - 0.999**r)) + 1e-8)
+        return LineField(*params)
+
+
+def fit_field(sequences: list[tuple[np.ndarray, int]], passes: int = 2, trust: float = 1.0) -> LineField:
+    """The field from (features, label of the document) sequences; the lines' own labels are latent.
+
+    At first a document's label stands for its lines, but for lines repeated in a good document, which
+    are boilerplate; lines are then fitted alone, for moves between equal labels would tie them. Each
+    further pass decodes the lines anew under the field, with ``trust`` log odds for the document's
+    label, and fits to what it finds: lines of one document may differ. A good document keeps at least
+    half of its words as content and a bad one less than half (trust grows for documents where the
+    decoding says otherwise).
+    """
+    sequences = [s for s in sequences if len(s[0])]
+    if not sequences or len({y for _, y in sequences}) < 2:
+        field = LineField(np.zeros((WIDTH, 2)), np.zeros((2, 2)))
+        field.weights[0, 1] = 1.0
+        return field
+    chains = _Chains([x for x, _ in sequences])
+    label = np.array([sequences[i][1] for i in chains.order], dtype=np.int64)
+    own = label[chains.chain]
+    y = np.where((own == 1) & (chains.x[:, REPEATED] > 0), 0, own)
+    words = np.expm1(6 * chains.x[:, WORDS_OF])
+    field = chains.fit(y, alone=True)
+    for _ in range(passes - 1):
+        extra = np.full(len(label), trust)
+        for _ in range(4):
+            bias = np.where(own == 1, 1, -1) * extra[chains.chain]
+            y = field.viterbi(chains.x, chains.chain, bias)
+            content = np.bincount(chains.chain, weights=words * y) - 0.5 * np.bincount(chains.chain, weights=words)
+            wrong = np.where(label == 1, content < 0, content >= 0) & (np.bincount(chains.chain, weights=words) > 0)
+            if not wrong.any():
+                break
+            extra[wrong] *= 3
+        still = wrong[chains.chain]
+        y[still] = own[still]
+        field = chains.fit(y)
+    return field
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most_labelled: int = MOST_LABELLED, most_lines: int = MOST_LINES) -> LineField:
+    """The field from at most ``most_labelled`` labelled rows, those of at most ``most_lines`` lines."""
 
     def lines(batches):
         for batch in batches:
             for rows, data, at in tk.slabs(batch):
                 found = Lines(data, at)
                 cut = np.searchsorted(found.line_row, np.arange(rows.num_rows + 1))
-                parts = [found.features[a:b].astype("<f8").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                parts = [found.features[a:b].astype("<f4").tobytes() if b - a <= most_lines else None for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(parts, pa.binary())], names=["target", "features"])
 
     sample = labelled_sample(docs, labels, label, id_col, text_col, most_labelled).select("text", "target")
-    found = sample.mapInArrow(lines, "target double, features binary").collect()
+    found = sample.mapInArrow(lines, "target double, features binary").where("features is not null").collect()
     found = sorted((int(r["target"] >= 0.5), bytes(r["features"])) for r in found)
-    return fit_field([(np.frombuffer(f, "<f8").reshape(-1, WIDTH), y) for y, f in found])
+    return fit_field([(np.frombuffer(f, "<f4").reshape(-1, WIDTH), y) for y, f in found])
 
 
 def judge_rules(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
