@@ -6,7 +6,11 @@ ordered: 0 for rows labelled clean; toxic rows have grade 1, 2 or 3 by how often
 clean rows of the sample never use (once, up to three times, more). One weight vector is shared by
 all thresholds, P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1 < t_2, fitted by gradient descent on
 the log likelihood. The result is the expected grade; a document is called toxic when P(grade > 0)
-reaches ``least``.
+reaches a threshold that is chosen within the training folds.
+
+The labels know two values only, so some rule has to order the toxic rows for an ordinal model; how
+often a row uses toxic words is one that the text itself supports. Only 0 against the rest is held
+against labels.
 
 The model is small and fitted on a bounded sample of labelled rows outside fold 0; scoring is one
 pass over whole texts without a shuffle. Null and empty texts hold no words. With no toxic or no
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
-from plumbline.llm.labelled import MOST_LABELLED, labelled_sample
+from plumbline.llm.labelled import MOST_LABELLED, fold, labelled_sample
 from plumbline.session import stored
 
 FEATURES, GRADES = 2000, 3
@@ -53,6 +57,7 @@ class ToxicityModel:
     words: np.ndarray  # ascending hashes
     weights: np.ndarray
     steps: np.ndarray  # ascending thresholds
+    least: float = 0.5  # P(grade > 0) from which a document is called toxic
 
     def __post_init__(self):
         self.seen = np.zeros(1 << 20, dtype=bool)
@@ -103,37 +108,44 @@ def _select(sample: DataFrame, n_yes: int, n_no: int, most: int) -> tuple[np.nda
     return tuple(np.sort(np.array(x, dtype=np.int64).view(np.uint64)) for x in (chosen, own))
 
 
-def _fit(x: tuple, n: int, grade: np.ndarray, width: int, epochs: int = 400, rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative links by Adam; thresholds stay ascending as a first one and exponents of gaps."""
+def _steps(g: np.ndarray) -> np.ndarray:
+    """Ascending thresholds from a first one and exponents of gaps."""
+    return np.cumsum(np.concatenate([g[:1], np.exp(np.clip(g[1:], -6, 4))]))
+
+
+def loss_and_slopes(x: tuple, grade: np.ndarray, w: np.ndarray, g: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades with a penalty on weights, and its slopes in ``w`` and ``g``."""
     row, feature, value = x
+    n = len(grade)
+    s = np.bincount(row, weights=value * w[feature], minlength=n)
+    up = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(s[:, None] - _steps(g), -60, 60))), np.zeros((n, 1))], axis=1)
+    slope = up * (1 - up)
+    i = np.arange(n)
+    p = np.maximum(up[i, grade] - up[i, grade + 1], 1e-9)
+    ds = (slope[i, grade] - slope[i, grade + 1]) / p  # of the log likelihood
+    dt = np.zeros(GRADES)
+    for k in range(GRADES):
+        dt[k] = (np.where(grade == k + 1, -slope[i, k + 1] / p, 0) + np.where(grade == k, slope[i, k + 1] / p, 0)).sum()
+    gap = np.array([dt[k:].sum() for k in range(GRADES)])
+    gap[1:] *= np.exp(np.clip(g[1:], -6, 4))
+    return float(-np.log(p).mean() + decay / 2 * (w @ w)), decay * w - np.bincount(feature, weights=value * ds[row], minlength=len(w)) / n, -gap / n
+
+
+def _fit(x: tuple, grade: np.ndarray, width: int, epochs: int = 400, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative links by Adam."""
     params = [np.zeros(width), np.concatenate([[2.0], np.zeros(GRADES - 1)])]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, epochs + 1):
-        w, g = params
-        steps = np.cumsum(np.concatenate([g[:1], np.exp(np.clip(g[1:], -6, 4))]))
-        s = np.bincount(row, weights=value * w[feature], minlength=n)
-        up = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(s[:, None] - steps, -60, 60))), np.zeros((n, 1))], axis=1)
-        slope = up * (1 - up)
-        i = np.arange(n)
-        p = np.maximum(up[i, grade] - up[i, grade + 1], 1e-9)
-        ds = (slope[i, grade] - slope[i, grade + 1]) / p  # of the log likelihood
-        dt = np.zeros(GRADES)
-        for k in range(GRADES):
-            dt[k] = (np.where(grade == k + 1, -slope[i, k + 1] / p, 0) + np.where(grade == k, slope[i, k + 1] / p, 0)).sum()
-        gap = np.array([dt[k:].sum() for k in range(GRADES)])
-        gap[1:] *= np.exp(np.clip(g[1:], -6, 4))
-        grads = [-np.bincount(feature, weights=value * ds[row], minlength=width) / n + decay * w / 10, -gap / n]
-        for j, d in enumerate(grads):
+        _, *slopes = loss_and_slopes(x, grade, *params, decay)
+        for j, d in enumerate(slopes):
             m[j] = 0.9 * m[j] + 0.1 * d
             v[j] = 0.999 * v[j] + 0.001 * d * d
             params[j] = params[j] - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
-    w, g = params
-    return w, np.cumsum(np.concatenate([g[:1], np.exp(np.clip(g[1:], -6, 4))]))
+    return params[0], _steps(params[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, features: int = FEATURES) -> ToxicityModel:
-    """The model from at most ``most_labelled`` labelled rows."""
-    sample = stored(labelled_sample(docs, labels, label, id_col, text_col, most_labelled))
+def _model(sample: DataFrame, features: int) -> ToxicityModel:
+    """The model of all rows of ``sample`` (text, target)."""
     n_yes, n_no = sample.agg(F.count_if(F.col("target") >= 0.5), F.count_if(F.col("target") < 0.5)).first()
     empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
     if not n_yes or not n_no:
@@ -162,13 +174,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     feature = np.array([x for r in found for x in r["features"]], dtype=np.int64)
     value = np.array([x for r in found for x in r["values"]], dtype=float)
     grade = np.where(toxic, np.digitize([r["used"] for r in found], [1.5, 3.5]) + 1, 0)
-    weights, steps = _fit((row, feature, value), len(found), grade, len(chosen))
+    weights, steps = _fit((row, feature, value), grade, len(chosen))
     return ToxicityModel(chosen, weights, steps)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.35) -> DataFrame:
+def choose_least(probability: np.ndarray, toxic: np.ndarray, cost: float = 5.0) -> float:
+    """The middle of the thresholds that catch most for ``cost`` times their share of false alarms; 0.5 without rows of both kinds."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    grid = np.linspace(0.05, 0.95, 91)
+    worth = np.array([(probability[toxic] >= t).mean() - cost * (probability[~toxic] >= t).mean() for t in grid])
+    best = grid[worth >= worth.max() - 1e-12]
+    return float(best[len(best) // 2])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most_labelled: int = MOST_LABELLED, features: int = FEATURES) -> ToxicityModel:
+    """The model from at most ``most_labelled`` labelled rows.
+
+    Its threshold is chosen on one fold of them under a model of the others; the model is then fitted
+    on all. Rows of fold 0 take no part in either.
+    """
+    sample = stored(labelled_sample(docs, labels, label, id_col, text_col, most_labelled))
+    apart = F.coalesce(fold(F.col("id")) == 1, F.lit(False))
+    judged = score_toxicity(sample.where(apart), _model(sample.where(~apart), features), "id").join(sample.where(apart).select("id", "target"), "id").select("probability", "target").collect()
+    model = _model(sample, features)
+    model.least = choose_least(np.array([r["probability"] for r in judged]), np.array([r["target"] >= 0.5 for r in judged], dtype=bool))
+    return model
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """(id, severity, grade, probability, toxic) of every row: expected and likeliest grade, P(grade > 0), the call."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    least = model.least if least is None else least
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
