@@ -7,7 +7,8 @@ and triple sums gives combinations that fill its gap to the token, each consumed
 counts allow; what is left is placed best-fit. Every pattern takes a range of ranks of each of its
 lengths, so a piece finds its sequence and offset from its length and rank alone.
 
-A hot length is ranked in ``salts`` parts whose counts are added up before, so no task holds it.
+A hot length is ranked in parts, as many as its pieces ask for, whose counts are added up before, so
+no task holds it.
 
 A null text is an empty one: its only token is the end mark. Each row is packed, repeated ids and
 repeated rows too; an empty table gives an empty result. Only the id and text columns are read.
@@ -55,7 +56,8 @@ class Encoder:
 
     The vocabulary file lists tokens in the order they were merged, so the rank-merging encoder
     over the same vocabulary gives a word the ids that the file's own tokenizer gives it, faster.
-    Texts with characters on which the two ways of splitting might differ go to the tokenizer whole.
+    Texts with characters on which the two ways of splitting might differ, or with the text of a special
+    token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -63,9 +65,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         byte_of = {c: i for i, c in enumerate(_byte_letters(pre_tokenizers.ByteLevel.alphabet()))}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = _Words(self.merge)
@@ -75,7 +77,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""
-        if _UNSURE.search(text):
+        if _UNSURE.search(text) or self.special.search(text):
             return self.whole(text)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
@@ -213,10 +215,14 @@ def _ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def pack(pieces: DataFrame, id_col: str = "id", capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; they are read twice, so pass a stored table."""
+def pack(pieces: DataFrame, id_col: str = "id", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; they are read twice, so pass a stored table.
+
+    The pieces of a length are ranked in ``salts`` parts: by default as many as hold a million pieces each, 64 at least.
+    """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    salts = salts or max(64, max(counts.values(), default=0) >> 20)
     plan = _ranges(plan_patterns(counts, capacity))
     ranges = spark.createDataFrame(plan, "length long, lo long, hi long, base long, offset long")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
