@@ -4,7 +4,11 @@ Each page has an outcome, good or bad, judged from its own content. Outcomes are
 hosts add up to registered domains, domains to public suffixes, suffixes to all. Going down again,
 each level's rate is shrunk towards its parent's with the strength that the spread between the
 parent's children supports (a beta-binomial fitted by moments). A host's posterior is then a beta
-distribution; the method allows its pages when the posterior's lower bound reaches ``least``.
+distribution; the method allows its pages when its rate is at least ``least`` with a probability of
+``sure`` or more, that is, when the posterior's quantile at 1 - ``sure`` reaches ``least``.
+
+The given tables label no pages, so an outcome is read off the page itself; there hosts differ by no
+more than chance (README), and no host is blocked for its reputation.
 
 A hot host is pre-aggregated before the shuffle and joined back by adaptive skew handling; the
 driver receives one row of totals. Null urls and urls without ``://`` have empty host and path and
@@ -83,8 +87,24 @@ def _strength(observed, sampling, weight) -> float:
     return (1 - share) / share
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.0) -> DataFrame:
-    """(host, n_pages, n_good, mean, bound) of (host, good) rows, shrunk host to domain to suffix to all."""
+#: Points at which a posterior is summed up, within so many deviations of its mean.
+POINTS, REACH = 512, 8.0
+
+
+def beta_above(a: Column, b: Column, least: float) -> Column:
+    """The share of a beta(a, b) distribution at or above ``least``, by the midpoint rule around its mean."""
+    mean = a / (a + b)
+    reach = REACH * F.sqrt(mean * (1 - mean) / (a + b + 1))
+    low, high = F.greatest(mean - reach, F.lit(0.0)), F.least(mean + reach, F.lit(1.0))
+    points = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: low + (high - low) * (i + 0.5) / POINTS)
+    logs = F.transform(points, lambda p: F.struct(p.alias("p"), ((a - 1) * F.ln(p) + (b - 1) * F.ln(1 - p)).alias("l")))
+    top = F.array_max(F.transform(logs, lambda x: x["l"]))
+    add = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + F.exp(x["l"] - top))
+    return add(F.filter(logs, lambda x: x["p"] >= least)) / add(logs)
+
+
+def host_reputation(outcomes: DataFrame, least: float = 0.5) -> DataFrame:
+    """(host, n_pages, n_good, mean, above) of (host, good) rows, shrunk host to domain to suffix to all; ``above`` is the probability of a rate of ``least`` or more."""
     hosts = checkpointed(outcomes.groupBy("host").agg(F.count("*").alias("host_n"), F.sum("good").alias("host_k")))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("host_n").alias("domain_n"), F.sum("host_k").alias("domain_k"))
@@ -106,23 +126,22 @@ def host_reputation(outcomes: DataFrame, z: float = 1.0) -> DataFrame:
     a, b = F.col("host_k") + s * levels["domain"], F.col("host_n") - F.col("host_k") + s * (1 - levels["domain"])
     joined = hosts.drop("suffix").join(domains, "domain").withColumn("a", a).withColumn("b", b)
     mean = F.col("a") / (F.col("a") + F.col("b"))
-    deviation = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    return joined.select("host", F.col("host_n").alias("n_pages"), F.col("host_k").alias("n_good"), mean.alias("mean"), (mean - z * deviation).alias("bound"))
+    return joined.select("host", F.col("host_n").alias("n_pages"), F.col("host_k").alias("n_good"), mean.alias("mean"), beta_above(F.col("a"), F.col("b"), least).alias("above"))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, least: float = 0.5, z: float = 1.0, outcomes: DataFrame | None = None) -> DataFrame:
-    """Every page with host, path, rule, verdict and its host's posterior bound.
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, least: float = 0.5, sure: float = 0.9, outcomes: DataFrame | None = None) -> DataFrame:
+    """Every page with host, path, rule, verdict, its host's shrunken rate and the probability that this is ``least`` or more.
 
     ``outcomes`` (host, good) may be given; else each page's content is its outcome.
     """
     host = host_of(F.col(url_col))
     outcomes = pages.select(host.alias("host"), good_page(F.col(html_col)).alias("good")) if outcomes is None else outcomes
-    reputation = host_reputation(outcomes, z)
+    reputation = host_reputation(outcomes, least)
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = judged.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).join(reputation.select("host", "bound"), "host", "left")
+    judged = judged.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).join(reputation.select("host", "mean", "above"), "host", "left")
     own = reduce(lambda w, r: w.when(F.col("rule") == r[0], r[1]), rules, F.when(F.lit(False), ""))
-    method = F.when(F.coalesce("bound", F.lit(0.5)) >= least, "allow").otherwise("block")
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(own, method).alias("verdict"), F.round("bound", 6).alias("bound"))
+    method = F.when(F.coalesce("above", F.lit(1.0)) >= sure, "allow").otherwise("block")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(own, method).alias("verdict"), F.round("mean", 6).alias("rate"), F.round("above", 6).alias("above"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -167,10 +186,17 @@ s2 AS ({_sums("host", "domain")} FROM hosts JOIN domains USING (domain)),
 means AS (
   SELECT host, host_n, host_k, s2.s AS s, (domain_k + s1.s * ((suffix_k + s0.s * (all_k::DOUBLE / all_n)) / (suffix_n + s0.s))) / (domain_n + s1.s) AS m FROM t, s0, s1, s2),
 beta AS (SELECT host, host_k + s * m AS a, host_n - host_k + s * (1 - m) AS b FROM means),
-bounds AS (SELECT host, a / (a + b) - sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM beta),
+spans AS (SELECT host, a, b, a / (a + b) AS mean, {REACH} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS reach FROM beta),
+points AS (
+  SELECT host, mean, a, b, greatest(mean - reach, 0) + (least(mean + reach, 1) - greatest(mean - reach, 0)) * (i + 0.5::DOUBLE) / {POINTS} AS p
+  FROM spans, range({POINTS}) AS r(i)),
+logs AS (SELECT host, mean, p, (a - 1) * ln(p) + (b - 1) * ln(1 - p) AS l FROM points),
+bounds AS (
+  SELECT host, mean, sum(exp(l - top)) FILTER (p >= 0.5) / sum(exp(l - top)) AS above
+  FROM (SELECT *, max(l) OVER (PARTITION BY host) AS top FROM logs) GROUP BY host, mean),
 fits AS (SELECT page_id, host, path, coalesce({_FITS}) AS rule FROM urls)
 SELECT page_id, f.host, path, rule,
-       CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)} WHEN coalesce(bound, 0.5) >= 0.5 THEN 'allow' ELSE 'block' END AS verdict,
-       round(bound, 6) AS bound
+       CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)} WHEN coalesce(above, 1) >= 0.9 THEN 'allow' ELSE 'block' END AS verdict,
+       round(mean, 6) AS rate, round(above, 6) AS above
 FROM fits f LEFT JOIN bounds b ON f.host = b.host
 """
