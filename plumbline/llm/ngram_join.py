@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
@@ -45,7 +45,7 @@ STEP = 32
 #: Parts of a sketch, classes of one n-gram that meet in one task, and rows taken together.
 PARTS, CROWD, ROWS = 256, 4096, 1 << 15
 #: N-grams of a cluster that meet in one block, whatever its sets.
-GRAMS = 1 << 20
+GRAMS = 1 << 19
 
 
 def _bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +65,12 @@ def rarity_levels(docs: DataFrame, n: int, block: int = 4096) -> np.ndarray:
             for _, data, at in tk.slabs(batch):
                 total += np.bincount(_bucket(tk.shingle_sets(data, at, n)[1])[1], minlength=BUCKETS)
         parts = [(i, p) for i, p in enumerate(total.reshape(-1, block)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for _, p in parts], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for _, p in parts], pa.binary())], names=["block", "values"])
 
-    def add(key, table):
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    found = tk.add_up(docs.select("text").mapInArrow(count, "block int, values binary"), "<u4", "<i8").collect()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in found:
-        counts[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], "<i8")
+        counts[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["values"], "<i8")
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (3 * counts.mean() + 24))) + 1).astype(np.uint8)
 
 
@@ -103,7 +99,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> Da
                 sketch = pa.array([x.tobytes() for x in np.minimum(part, 255).astype(np.uint8).reshape(-1, PARTS)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), prefix, sketch], names=["id", "key", "n_shingles", "d1", "d2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, f"id {kind}, key long, n_shingles long, d1 long, d2 long, prefix array<long>, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, key struct<k1:long,k2:long>, n_shingles long, d1 long, d2 long, prefix array<long>, sketch binary")
 
 
 def candidate_edges(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -261,15 +257,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
     """
     every = left + (right or [])
     union, out = _Union(len(every)), []
-    if len(every) <= 6:
-        for i in range(len(every)):
-            for j in range(i + 1, len(every)):
-                if (right is None or i < len(left) <= j) and union.root(i) != union.root(j):
-                    a, b = every[i], every[j]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if (num + den) * both >= num * (len(a) + len(b)):
-                        union.up[union.root(j)] = union.root(i)
-                        out.append((i, j))
+    if not left or right == [] or len(every) < 2:
         return out
     grams, ranks, df = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     order = np.argsort(df, kind="stable")
@@ -289,25 +277,36 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
 
 
 def _join_blocks(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, i, j): links of each block pair."""
-
-    def done(rows: list[tuple]):
-        once = list({(r[3], r[4]): r for r in rows}.values())
-        i, j = rows[0][1], rows[0][2]
-        left, right = ([r for r in once if r[4] == side] for side in ((i, j) if i != j else (i, -1)))
-        links = block_links([np.frombuffer(r[5], "<u8") for r in left], [np.frombuffer(r[5], "<u8") for r in right] if i != j else None, num, den)
-        nodes = [r[3] for r in left + right]
+    """Rows (cluster, i, j, node, mine, grams) sorted by (cluster, i, j): links of each block pair.
+
+    Sets are read where Arrow holds them; only those of a block pair that goes on in the next batch are copied.
+    """
+
+    def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        once = list({(node, mine): (node, mine, s) for node, mine, s in rows}.values())
+        _, i, j = key
+        left, right = ([r for r in once if r[1] == side] for side in ((i, j) if i != j else (i, -1)))
+        links = block_links([r[2] for r in left], [r[2] for r in right] if i != j else None, num, den)
+        nodes = [r[0] for r in left + right]
         return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.int64()), pa.array([nodes[y] for _, y in links], pa.int64())], names=["a", "b"])
 
-    held: list[tuple] = []
+    key, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if held and held[0][:3] != row[:3]:
-                yield done(held)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        raw, at = tk.flat(batch.column(5))
+        begin, count = runs(*columns[:3])
+        for b, n in zip(begin.tolist(), count.tolist(), strict=True):
+            this = tuple(int(c[b]) for c in columns[:3])
+            if key is not None and this != key:
+                yield done(key, held)
                 held = []
-            held.append(row)
+            key = this
+            held += [(int(columns[3][r]), int(columns[4][r]), raw[at[r] : at[r + 1]].view("<u8")) for r in range(b, b + n)]
+        held = [(node, mine, s.copy()) for node, mine, s in held]
     if held:
-        yield done(held)
+        yield done(key, held)
 
 
 def _read_sets(batches, n: int):
@@ -326,6 +325,11 @@ def _block_pairs(rows: DataFrame, split: str) -> DataFrame:
     return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
 
+def _keys(id_: Column, text: Column) -> list[Column]:
+    """Two hashes that stand for a row's id and text."""
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, id_, F.lit(29)).alias("k2")]
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, first_of_component) per row.
 
@@ -334,7 +338,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the one with the smallest id (and hash, where rows repeat an id).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.struct(*_keys(F.col("id"), F.col("text"))).alias("key"), "text")
     sets = checkpointed(_sets(rows, n, num, den, rarity_levels(rows, n)))
     classes = (
         sets.where("n_shingles > 0")
@@ -372,18 +376,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are first of their component; of repeated rows one.
+    """The rows of ``docs``, all columns as they are, that are first of their component.
 
-    Texts without words are linked with nothing and all stay.
+    Of rows that repeat id and text one stays, the one whose other columns come first as text. Texts
+    without words are linked with nothing and all stay.
     """
-    found = checkpointed(ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").select(F.col("key").alias("__key"), "first_of_component"))
-    lost = checkpointed(found.where(~F.col("first_of_component")).select("__key").distinct())
-    twice = checkpointed(found.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(sized(lost), "__key", "left_anti")
-    once = kept.join(sized(twice), "__key", "left_anti")
-    again = kept.join(sized(twice), "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(again).select(*docs.columns)
+    found = ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n"), F.max("first_of_component").alias("first"))
+    found = checkpointed(found.where("n > 1 or not first"))
+    lost = checkpointed(found.where("not first").select("key"))
+    twice = checkpointed(found.where("n > 1 and first").select("key"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text, id_ = (F.col(own[docs.columns.index(c)]) for c in (text_col, id_col))
+    keyed = docs.toDF(*own).withColumn("key", F.struct(*_keys(id_, F.coalesce(text.cast("string"), F.lit("")))))
+    kept = keyed.join(sized(lost), "key", "left_anti")
+    if not twice.isEmpty():
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.to_json(F.struct(*own))))
+        again = kept.join(sized(twice), "key", "left_semi").withColumn("rank", order).where("rank = 1").drop("rank")
+        kept = kept.join(sized(twice), "key", "left_anti").unionByName(again)
+    return kept.select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

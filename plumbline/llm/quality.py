@@ -65,17 +65,13 @@ def index_sums(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
                         total += np.bincount(own * WIDTH + _PLACES[other, k], weights=n * _SIGNS[other, k], minlength=BUCKETS * WIDTH)
         table = np.concatenate([total.reshape(BUCKETS, WIDTH), seen[:, None]], axis=1).reshape(-1, BLOCK * (WIDTH + 1))
         kept = [i for i in range(len(table)) if table[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([table[i].astype("<f4").tobytes() for i in kept], pa.binary())], names=["block", "sums"])
-
-    def add(key, parts):
-        total = sum(np.frombuffer(x, "<f4").astype(float) for x in parts["sums"].to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([np.asarray(total, dtype="<f8").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([table[i].astype("<f4").tobytes() for i in kept], pa.binary())], names=["block", "values"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    rows = docs.select(text).mapInArrow(count, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
+    rows = tk.add_up(docs.select(text).mapInArrow(count, "block int, values binary"), "<f4", "<f8").collect()
     table = np.zeros((BUCKETS // BLOCK, BLOCK * (WIDTH + 1)))
     for r in rows:
-        table[r["block"]] = np.frombuffer(r["sums"], "<f8")
+        table[r["block"]] = np.frombuffer(r["values"], "<f8")
     table = table.reshape(BUCKETS, WIDTH + 1)
     return table[:, :WIDTH], table[:, WIDTH]
 
@@ -112,18 +108,24 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logit(self.pool(data, at)) / self.temperature, -500, 500)))
 
 
+def loss_and_slopes(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """Mean log loss of the two layers with a penalty on their weights, and its slopes."""
+    w1, b1, w2, b2 = layers
+    h = np.tanh(x @ w1 + b1)
+    logit = h @ w2 + b2
+    loss = np.logaddexp(0, np.clip(logit, -500, 500)).mean() - (y * logit).mean() + decay / 2 * ((w1 * w1).sum() + (w2 * w2).sum())
+    d = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) / len(y)
+    back = d[:, None] * w2 * (1 - h * h)
+    return float(loss), [x.T @ back + decay * w1, back.sum(axis=0), h.T @ d + decay * w2, d.sum()]
+
+
 def _train(x: np.ndarray, y: np.ndarray, hidden: int = 16, epochs: int = 250, rate: float = 0.03, decay: float = 1e-4) -> tuple:
     """Two layers by Adam on the whole sample."""
     draw = np.random.default_rng(5)
     layers = [draw.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), draw.normal(0, 1 / np.sqrt(hidden), hidden), np.array(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))]
     m, v = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
     for t in range(1, epochs + 1):
-        w1, b1, w2, b2 = layers
-        h = np.tanh(x @ w1 + b1)
-        d = (1 / (1 + np.exp(-np.clip(h @ w2 + b2, -500, 500))) - y) / len(y)
-        back = d[:, None] * w2 * (1 - h * h)
-        grads = [x.T @ back + decay * w1, back.sum(axis=0), h.T @ d + decay * w2, d.sum()]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(loss_and_slopes(layers, x, y, decay)[1]):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             layers[i] = layers[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SLAB = 1 << 20
+SLAB = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SPREAD = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,6 +152,28 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     return rows[new], grams[new]
 
 
+def add_up(parts: DataFrame, sent: str, whole: str, salts: int = 256) -> DataFrame:
+    """(block, values) of the tables that tasks send as (block, values): the sums of each block's arrays.
+
+    ``sent`` and ``whole`` are the numpy types of what is sent and of the sums. Some of the tasks' parts
+    are added first and the sums of those then, so no group grows with the number of tasks alone.
+    """
+
+    def adder(kind):
+        def add(key, table):
+            total = np.zeros(0)
+            for x in table["values"]:
+                part = np.frombuffer(x.as_buffer(), kind)
+                total = part.astype(whole) if not len(total) else total + part
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([total.astype(whole).tobytes()], pa.binary())})
+
+        return add
+
+    some = parts.withColumn("salt", F.spark_partition_id() % salts)
+    some = some.groupBy("block", "salt").applyInArrow(adder(sent), "block int, values binary")
+    return some.groupBy("block").applyInArrow(adder(whole), "block int, values binary")
+
+
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the runs of equal keys in sorted arrays."""
     n = len(keys[0])
