@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textkit as tk
-from plumbline.session import checkpointed
+from plumbline.session import checkpointed, sized
 
 GRAM = 64
+#: Rows of 8 bytes that may be broadcast.
+HASHES = 2_000_000
 #: Contexts sorted together, in bytes, once whole groups are gathered.
 CHUNK = 2 << 20
 
@@ -277,8 +279,10 @@ def _shared(digests: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400, hot_classes: int = 20_000) -> DataFrame:
     """(k1, k2, spans): for each row of ``docs`` (k1, k2, text, ...) with repeats, the byte spans its repeated windows cover."""
     every = _anchors(docs, length)
-    repeated = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    anchors = checkpointed(every.join(repeated, "h"))  # computed twice, so that those of unique text are never stored
+    repeated = checkpointed(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    # computed twice, so that those of unique text are never stored; where the hashes are too many to be
+    # broadcast, both sides are plain shuffles, of which Spark splits a hot hash
+    anchors = checkpointed(every.join(sized(repeated, HASHES), "h"))
     classes = anchors.groupBy("c1", "c2").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"))
     classes = checkpointed(classes.join(groups, "h"))
