@@ -7,11 +7,11 @@ when some line before it, in an earlier document (by id) or above it in its own,
 judged is the input, so a removed line still removes those after it. Lines of fewer than ``least``
 words and blank lines are left as they are.
 
-1. Equal lines are one class, represented by its first place; only classes are joined.
-2. Screen: under any one order of tokens, matching sets share one among their first
-   ``size - need + 1``. Under the order by hash, tokens are counted (counts combine before the
-   shuffle) and only classes that share one go on; their first lines are tokenized whole, once.
-3. Rarity: tokens that more than ``CROWD`` classes hold go behind all others, by the binary
+1. Equal lines are one class, represented by its first place; only first lines are joined.
+2. Under any one order of tokens, matching sets share one among their first ``size - need + 1``.
+   Under the order by hash, the tokens of all prefixes are counted (counts combine before the
+   shuffle); only lines that share one go on, and are tokenized whole.
+3. Rarity: tokens that more than ``CROWD`` first lines hold go behind all others, by the binary
    logarithm of that count, then by hash. A prefix without such tokens is the same under both
    orders; the others are taken anew.
 4. Prefix tokens are joined with a length filter (sizes within the similarity), a positional filter
@@ -19,9 +19,10 @@ words and blank lines are left as they are.
    that hash to it. Two sketches differ in no more bits than the sets differ in tokens, so the filter
    loses nothing and leaves few that do not match.
 5. One match before a class settles it. Each class is held against the first and the most copied
-   class of each of its prefix tokens, the nearest of them being verified on all tokens. Classes that
-   this leaves open ask by semi-joins whether any earlier class matches, first by the filters alone,
-   then on all tokens: a class gives a row or none, so no pairs of a crowd are ever listed.
+   class of each of its prefix tokens, on all tokens where the filters let it pass. Classes that this
+   leaves open and that share a token with further classes ask by semi-joins whether any earlier class
+   matches, first by the filters alone, then on all tokens: an entry gives a row or none, so no pairs
+   of a crowd are ever listed.
 6. A class with a match before it loses all its lines, any other those behind its first.
 
 Text is not shuffled while what it meets is small: small sides are broadcast behind a count of their
@@ -32,20 +33,18 @@ may have any names; a result column takes the place of one of its own name.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed, sized, stored
+from plumbline.session import checkpointed, scratch, sized
 
-WORDS, CROWD = 5, 16
+WORDS, CROWD = 5, 512
 #: Words of 64 bits in a sketch.
 PARITY = 4
-#: Whitespace other than the space and the line's end, that of Unicode included.
-SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-#: Bytes of which one stands in every text that holds such whitespace.
-_SIGNS = (b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Whitespace of any kind, that of Unicode included, and any of it but the space.
+SPACE, ODD_SPACE = r"[\h\v]+", r"[\h\v&&[^ ]]"
 #: Rows of 16 bytes that may be broadcast.
 SHARED = 4_000_000
 
@@ -59,30 +58,26 @@ def _prefix(size: Column) -> Column:
     return size - _need(size) + 1
 
 
-def spaced(text: Column) -> Column:
-    """``text`` with every kind of whitespace but the line's end as a space; most texts are only looked through."""
-    raw = text.cast("binary")
-    return F.when(reduce(lambda a, b: a | b, (F.contains(raw, F.lit(s)) for s in _SIGNS)), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
-
-
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, k1, k2): null texts empty; the keys stand for id and text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(29)).alias("k2"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", *_keys(F.col("id"), F.col("text")))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(id, k1, k2, pos, line, h1, h2) of every line, whitespace as spaces."""
-    lines = rows.select("id", "k1", "k2", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("pos", "line"))
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
+def _keys(id_: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, id_, F.lit(29)).alias("k2")]
 
 
 def _tokenized(lines: DataFrame, least: int) -> DataFrame:
-    """Lines of at least ``least`` words with ``tokens`` for their text: words are hashed once, shingles from those."""
-    words = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).where(F.size("words") >= max(1, least)).drop("line")
-    hashed = words.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    """``lines`` with ``tokens`` for their text, none for lines of fewer than ``least`` words: words are hashed once, shingles from those.
+
+    No filter stands on the words, as Spark would split every line for it once more.
+    """
+    words = F.when(F.col("line").rlike(ODD_SPACE), F.split("line", SPACE)).otherwise(F.split("line", " "))
+    lines = lines.withColumn("words", F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))).drop("line")
     each = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WORDS))))
-    return hashed.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.size("words") - (WORDS - 1), F.lit(1))))).drop("words")
+    kept = F.when(F.size("words") < max(1, least), 0).otherwise(F.greatest(F.size("words") - (WORDS - 1), F.lit(1)))
+    return lines.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), kept))).drop("words")
 
 
 def _place() -> Column:
@@ -90,57 +85,67 @@ def _place() -> Column:
     return F.struct("id", "k1", "pos")
 
 
-def line_classes(rows: DataFrame, least: int) -> DataFrame:
-    """(class, h1, h2, first, copies, prefix) of the distinct lines, ``prefix`` by hash."""
-    lines = _tokenized(_lines(rows), least)
-    lines = lines.withColumn("prefix", F.slice(F.sort_array("tokens"), F.lit(1), _prefix(F.size("tokens"))))
-    classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    return classes.withColumn("class", F.monotonically_increasing_id())
+def line_prefixes(rows: DataFrame, least: int) -> DataFrame:
+    """(id, k1, k2, pos, h1, h2, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words."""
+    lines = rows.select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = _tokenized(lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line")), least)
+    return lines.select("id", "k1", "k2", "pos", "h1", "h2", F.slice(F.sort_array("tokens"), F.lit(1), F.least(F.size("tokens"), _prefix(F.size("tokens")))).alias("prefix"))
 
 
-def prefix_entries(rows: DataFrame, classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries (token, node, size, i, copies, s0..) of the classes that share a token, their sets (node, tokens) and names (node, h1, h2, ...).
+def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entries (token, node, size, i, copies, s0..) of the first lines that share a token, their sets (node, tokens), sketches (node, size, s0..) and names (node, h1, h2, ...).
 
-    Nodes are numbered in the order of the classes' first places.
+    Nodes are numbered in the order of the lines' places.
     """
-    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    shared = checkpointed(counts.where("n > 1"))
-    found = classes.select("class", F.posexplode("prefix").alias("i", "token")).join(sized(shared, SHARED), "token")
-    found = checkpointed(found.select("token", "n", "class", "i"))
-
-    asked = checkpointed(found.select("class").distinct())
-    asked = checkpointed(classes.join(sized(asked), "class").select("class", "h1", "h2", "first", "copies"))
-    asked = checkpointed(asked.orderBy("first", "h1", "h2").withColumn("node", F.monotonically_increasing_id()))
-    lines = _lines(rows).join(sized(asked), ["h1", "h2"]).where(_place() == F.col("first"))
-    sets = stored(_tokenized(lines, least).select("node", "tokens").dropDuplicates(["node"]))
+    firsts = lines.join(sized(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (_place() == F.col("first")))
+    counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    shared = keep(counts.where("n > 1"))
+    found = keep(firsts.select("h1", "h2", F.posexplode("prefix").alias("i", "token")).join(sized(shared, SHARED), "token"))
+    asked = checkpointed(found.select("h1", "h2").distinct())
+    names = firsts.select("h1", "h2", "id", "k1", "k2", "pos", F.coalesce("copies", F.lit(1)).alias("copies")).join(sized(asked), ["h1", "h2"])
+    names = names.dropDuplicates(["h1", "h2"])  # repeated rows have their lines at one place
+    names = keep(keep(names).orderBy("id", "k1", "pos").withColumn("node", F.monotonically_increasing_id()))
+
+    # only documents with such lines are split again; repeated rows give a line's set again
+    asked = names.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "node")).alias("asked"))
+    split = rows.join(sized(checkpointed(asked)), ["k1", "k2"]).select("asked", F.split("text", "\n").alias("lines"))
+    split = split.select(F.explode("asked").alias("a"), "lines").select("a.node", F.get("lines", F.col("a.pos")).alias("line"))
+    sets = keep(_tokenized(split, 1))
+    again = checkpointed(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if not again.isEmpty():
+        sets = keep(sets.join(sized(again), "node", "left_anti").unionByName(sets.join(sized(again), "node", "left_semi").dropDuplicates(["node"])))
 
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(63).cast("int"))
     part = F.shiftright("token", 6).bitwiseAND(PARITY - 1)
-    # tokens of a node stand together, so the sums are complete before the shuffle
+    # tokens of a node stand together, so its sums are complete before the shuffle
     sketch = sets.select("node", F.explode("tokens").alias("token")).groupBy("node").agg(
         F.count("*").cast("int").alias("size"), *(F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(PARITY))
     )
-    known = checkpointed(sketch.join(sized(asked.select("node", "class", "copies")), "node"))
+    known = keep(sketch.join(sized(names.select("node", "h1", "h2", "copies")), "node"))
+    found = found.select("token", "n", "h1", "h2", "i").join(sized(known.select("h1", "h2", "node")), ["h1", "h2"]).select("token", "n", "node", "i")
     crowd = checkpointed(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
-    found = found.join(sized(known.select("class", "node")), "class").select("token", "n", "node", "i")
     if crowd.isEmpty():
         entries = found.select("token", "node", "i")
     else:
-        found = checkpointed(found)
         again = checkpointed(found.where(F.col("n") > CROWD).select("node").distinct())
         tokens = sets.join(sized(again), "node").select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
         ordered = tokens.join(sized(crowd), "token", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "token"))).alias("ts"))
         fresh = ordered.select("node", F.posexplode(F.slice("ts", F.lit(1), _prefix(F.col("size")))).alias("i", "t")).select(F.col("t.token").alias("token"), "node", "i")
         entries = found.join(sized(again), "node", "left_anti").select("token", "node", "i").unionByName(fresh)
-    return checkpointed(entries.join(sized(known.drop("class")), "node")), sets, asked
+    return keep(entries.join(sized(known.drop("h1", "h2")), "node")), sets, known.drop("h1", "h2", "copies"), names
+
+
+def _fits(x: str, y: str) -> Column:
+    """Order, length and sketch filter of two classes: y may be an earlier match of x."""
+    c = lambda t, name: F.col(f"{t}.{name}")
+    length = F.least(c(x, "size"), c(y, "size")) * 5 >= F.greatest(c(x, "size"), c(y, "size")) * 4
+    return (c(y, "node") < c(x, "node")) & length & (_apart(x, y) * 9 <= c(x, "size") + c(y, "size"))
 
 
 def _near(x: str, y: str) -> Column:
-    """Order, length, positional and sketch filter of two entries that share a token: y may be an earlier match of x."""
+    """``_fits`` and the positional filter of two entries that share a token."""
     c = lambda t, name: F.col(f"{t}.{name}")
-    total = c(x, "size") + c(y, "size")
-    fits = (F.least(c(x, "size"), c(y, "size")) * 5 >= F.greatest(c(x, "size"), c(y, "size")) * 4) & (F.least(c(x, "size") - c(x, "i"), c(y, "size") - c(y, "i")) * 9 >= total * 4)
-    return (c(y, "node") < c(x, "node")) & fits & (_apart(x, y) * 9 <= total)
+    return (F.least(c(x, "size") - c(x, "i"), c(y, "size") - c(y, "i")) * 9 >= (c(x, "size") + c(y, "size")) * 4) & _fits(x, y)
 
 
 def _apart(x: str, y: str) -> Column:
@@ -152,63 +157,66 @@ def _equal_enough(x: str, y: str) -> Column:
     return F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
 
 
-def _settled(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node) of the classes that match the nearest of the hubs of their tokens."""
-    kept = ["node", "size", "i", *(f"s{k}" for k in range(PARITY))]
-    hubs = entries.groupBy("token").agg(F.min(F.struct(*kept)).alias("first"), F.max(F.struct("copies", (-F.col("node")).alias("early"), *kept)).alias("most"))
-    most = F.struct(*(F.col(f"most.{c}").alias(c) for c in kept))
-    hubs = hubs.select("token", F.explode(F.array_distinct(F.array("first", most))).alias("hub")).select("token", "hub.*")
-    pairs = entries.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & _near("x", "y"))
-    pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), _apart("x", "y").alias("apart"))
-    nearest = pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
-    left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(f"t{n}")) for n in ("x", "y"))
-    return nearest.join(left, "x").join(right, "y").where(_equal_enough("tx", "ty")).select(F.col("x").alias("node"))
+def _settled(entries: DataFrame, hubs: DataFrame, known: DataFrame, sets: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node) of the classes that match a hub, the first or the most copied class, of one of their tokens."""
+    heads = hubs.select("token", F.array_distinct(F.array("first", "most")).alias("heads"))
+    met = entries.drop("i", "copies").join(heads, "token").withColumn("head", F.explode("heads")).drop("token", "heads").where("head < node")
+    pairs = met.alias("x").join(sized(known).alias("y"), (F.col("x.head") == F.col("y.node")) & _fits("x", "y"))
+    pairs = keep(pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
+    left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")).join(sized(pairs), "x")
+    right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty")).join(sized(checkpointed(pairs.select("y").distinct())), "y")
+    return left.join(right, "y").where(_equal_enough("tx", "ty")).select(F.col("x").alias("node")).distinct()
+
 
+def _match_before(entries: DataFrame, crowded: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """(node) of the classes not in ``settled`` that match any class before them.
 
-def _match_before(entries: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """(node) of the classes not in ``settled`` that match any class before them: semi-joins, first by the filters, then on all tokens."""
+    A token of two classes has brought them together already; those of the tokens in ``crowded`` meet
+    in semi-joins, first by the filters, then on all tokens.
+    """
+    entries = entries.join(sized(crowded), "token", "left_semi")
     left = entries.join(sized(settled), "node", "left_anti")
     near = left.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & _near("x", "y"), "left_semi")
     near = checkpointed(near)
     tokens = checkpointed(near.select("token").distinct())
-    xs = near.join(sets, "node")
-    ys = entries.join(sized(tokens), "token", "left_semi").join(sets, "node")
+    held = checkpointed(entries.join(sized(tokens), "token", "left_semi"))
+    wanted = sets.join(sized(checkpointed(held.select("node").distinct())), "node")
+    xs, ys = near.join(wanted, "node"), held.join(wanted, "node")
     # the dearest test stands last, so it is made for what the filters leave
     match = (F.col("x.token") == F.col("y.token")) & _near("x", "y") & _equal_enough("x.tokens", "y.tokens")
     return xs.alias("x").join(ys.alias("y"), match, "left_semi").select("node").distinct()
 
 
 def removed_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
-    """(h1, h2, late) of the classes of lines that lose some: all of them where ``late`` is null, a class before it matching; else those behind ``late``.
-
-    A class of both kinds has a row for each.
-    """
-    classes = stored(line_classes(rows, least))
-    entries, sets, names = prefix_entries(rows, classes, least)
-    settled = checkpointed(_settled(entries, sets))
-    matched = checkpointed(settled.unionByName(_match_before(entries, sets, settled)))
-    copied = classes.where("copies > 1").select("h1", "h2", F.col("first").alias("late"))
-    hit = names.join(sized(matched), "node").select("h1", "h2", F.lit(None).cast(copied.schema["late"].dataType).alias("late"))
-    return checkpointed(copied.unionByName(hit))
+    """(k1, k2, gone) of the documents that lose lines: the positions of those."""
+    with scratch(rows.sparkSession) as keep:
+        lines = keep(line_prefixes(rows, least))
+        lines = lines.where(F.size("prefix") > 0)
+        places = lines.select("id", "k1", "k2", "pos", "h1", "h2")
+        copied = keep(places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+        entries, sets, known, names = prefix_entries(rows, lines, copied, keep)
+        hubs = keep(entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("node").alias("first"), F.max_by("node", "copies").alias("most")).where("holders > 1"))
+        settled = checkpointed(_settled(entries, hubs, known, sets, keep))
+        crowded = hubs.where("holders > 2").select("token")
+        matched = checkpointed(settled.unionByName(_match_before(entries, crowded, sets, settled)))
+        hit = names.join(sized(matched), "node").select("h1", "h2", F.lit(None).cast(copied.schema["first"].dataType).alias("first"))
+        late = keep(copied.select("h1", "h2", "first").unionByName(hit))  # no place: all lines go
+        gone = places.join(sized(late), ["h1", "h2"]).where(F.col("first").isNull() | (_place() > F.col("first")))
+        return checkpointed(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, list[str]]:
     """``docs`` with its columns renamed (to the names given), ``n_lines``, ``n_removed`` and ``kept``."""
-    rows = _documents(docs, id_col, text_col)
-    late = removed_lines(rows, least)
-    lines = _lines(rows).drop("line").join(sized(late), ["h1", "h2"]).where(F.col("late").isNull() | (_place() > F.col("late")))
-    gone = checkpointed(lines.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
+    gone = removed_lines(_documents(docs, id_col, text_col), least)
     own = [f"c{i}" for i in range(len(docs.columns))]
-    text = F.col(own[docs.columns.index(text_col)]).cast("string")
-    id_ = F.col(own[docs.columns.index(id_col)])
-    whole = F.coalesce(text, F.lit(""))
-    keyed = docs.toDF(*own).withColumn("k1", F.xxhash64(id_, whole)).withColumn("k2", F.xxhash64(whole, id_, F.lit(29)))
-    joined = keyed.join(sized(gone), ["k1", "k2"], "left")
+    text, id_ = (F.col(own[docs.columns.index(c)]) for c in (text_col, id_col))
+    text = text.cast("string")
+    joined = docs.toDF(*own).select(*own, *_keys(id_, F.coalesce(text, F.lit("")))).join(sized(gone), ["k1", "k2"], "left")
     parts = F.split(text, "\n")
-    lost = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(lost, i)), "\n")
-    judged = joined.select(*own, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.size(lost).alias("n_removed"), F.when(F.size(lost) == 0, text).otherwise(kept).alias("kept"))
-    return judged, own
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0))
+    return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.when(n_removed == 0, text).otherwise(kept).alias("kept")), own
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS) -> DataFrame:
@@ -225,7 +233,7 @@ def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     judged, own = _judged(docs, id_col, text_col, least)
     lost = F.col("n_removed") > 0
-    judged = judged.where(~lost | (F.trim(F.translate(F.col("kept"), "\n" + SPACES, " " * (1 + len(SPACES)))) != ""))
+    judged = judged.where(~lost | F.col("kept").rlike(r"[^\h\v]"))
 
     def column(own: str, name: str) -> Column:
         kind = docs.schema[name].dataType
