@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages, each of which works on what the one before it kept.
 
 A stage is a function of (spark, docs, sf_dir) that returns a DataFrame; ``run`` writes each result
-as Parquet in the cluster's shared folder and rereads it as the next stage's documents. All stages
-but the last return the columns of ``documents``.
+as Parquet in the cluster's shared folder and rereads it as the next stage's documents, and deletes
+these once the last stage is written. All stages but the last return the columns of ``documents``.
 
 Nulls, empty texts, repeated rows and empty tables pass through every stage as its operator defines.
 """
@@ -10,10 +10,9 @@ Nulls, empty texts, repeated rows and empty tables pass through every stage as i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from plumbline.session import stored
+from plumbline.session import scratch, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that match earlier lines; one that loses every word goes.
+    """Documents without the lines that match earlier lines, short ones too; one that loses every word goes.
 
     ``n_chars`` counts the text that is left.
     """
-    found = line_dedup.dedup_lines(docs)
-    left = F.col("n_removed") > 0
-    found = found.where(~left | (F.trim(F.translate("kept", "\n", " ")) != ""))
-    columns = [F.col("kept").alias(c) if c == "text" else F.when(left, F.length("kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    return line_dedup.keep_lines(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    with scratch(spark) as keep:
+        for _, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir))
+        return stored(STAGES[-1][1](spark, docs, sf_dir))
