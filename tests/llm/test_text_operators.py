@@ -102,9 +102,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     rng = random.Random(3)
-    texts = [None, "", "²½ Ⅳ <|endoftext|> x"] + [" ".join(rng.choices(["alpha", "béta", "don't", "12", "\n", "##"], k=rng.randint(1, 3000))) for _ in range(60)] + ["same"] * 5
+    texts = [None, "", "²½ Ⅳ <|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext |>"] + [" ".join(rng.choices(["alpha", "béta", "don't", "12", "\n", "##"], k=rng.randint(1, 3000))) for _ in range(60)] + ["same"] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     rows = packing.pack_documents(docs, with_ids=True).collect()
     by_doc, by_sequence = {}, {}
@@ -196,6 +195,44 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[row == r]) == max(product((0, 1), repeat=lengths[r]), key=value)
 
 
+def test_field_slopes_are_those_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    features = [rng.random((n, quality_rules.WIDTH)) for n in (1, 3, 2, 4)]
+    chains = quality_rules._Chains(features)
+    weights, moves, y = rng.normal(size=(quality_rules.WIDTH, 2)), rng.normal(size=(2, 2)), rng.integers(0, 2, 10)
+    value, *slopes = chains.value_and_slopes(weights, moves, y)
+    # by listing all labellings
+    want = 0.0
+    for c in range(4):
+        rows = np.flatnonzero(chains.chain == c)
+        score = chains.x[rows] @ weights
+        total = lambda path, score=score: sum(score[i, k] for i, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False))
+        want += total(y[rows]) - np.log(sum(np.exp(total(p)) for p in product((0, 1), repeat=len(rows))))
+    assert np.isclose(value, want)
+    for i, param in enumerate((weights, moves)):
+        for at in np.ndindex(param.shape):
+            moved = [weights.copy(), moves.copy()]
+            moved[i][at] += 1e-6
+            assert np.isclose((chains.value_and_slopes(*moved, y)[0] - value) / 1e-6, slopes[i][at], atol=1e-4)
+
+
+def test_lines_of_one_document_may_differ(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality_rules.fit_rules(docs, labels)
+    judged = quality_rules.judge_rules(docs, field)
+    assert judged.where("content_share > 0 and content_share < 1").count() > 0
+    held = judged.where(fold(F.col("doc_id")) == 0).join(labels, "doc_id").where("quality is not null and not base_failed").toPandas()
+    assert (held["kept"] == (held["quality"] == 1)).mean() > 0.85
+    assert held["kept"][held["quality"] == 1].mean() > 0.95
+    junk = "\n".join(["$$ ## || <> &&"] * 12)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("n_chars > 2000 and lang = 'en'").orderBy("doc_id").first()["text"]
+    both = quality_rules.judge_rules(spark.createDataFrame([(1, good + "\n" + junk)], SCHEMA), field).first()
+    assert 0 < both["content_share"] < 1
+
+
 def test_field_learns():
     rng = np.random.default_rng(0)
     make = lambda y, n: (np.clip(rng.normal(0.3 + 0.4 * y, 0.1, (n, quality_rules.WIDTH)), 0, 1), y)
@@ -217,14 +254,55 @@ def test_quality_on_held_out_rows(spark, sf):
     assert (held["predicted"] == held["quality"]).mean() > 0.9
 
 
+def test_slopes_are_those_of_the_losses():
+    rng = np.random.default_rng(6)
+    row, feature, value = np.repeat(np.arange(30), 3), rng.integers(0, 7, 90), rng.random(90)
+    grade, w, g = rng.integers(0, 4, 30), rng.normal(size=7), rng.normal(size=3)
+    loss, *slopes = toxicity.loss_and_slopes((row, feature, value), grade, w, g, 0.1)
+    dense = np.zeros((30, 7))
+    np.add.at(dense, (row, feature), value)
+    steps = [g[0], g[0] + np.exp(g[1]), g[0] + np.exp(g[1]) + np.exp(g[2])]
+    above = [[1.0] + [1 / (1 + np.exp(t - s)) for t in steps] + [0.0] for s in dense @ w]
+    assert np.isclose(loss, -np.mean([np.log(a[k] - a[k + 1]) for a, k in zip(above, grade, strict=True)]) + 0.05 * (w @ w))
+    layers = [rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), np.array(0.3)]
+    x, y = rng.normal(size=(20, 5)), rng.random(20)
+    whole, back = quality.loss_and_slopes(layers, x, y, 0.1)
+    naive = [np.tanh([sum(a * b for a, b in zip(r, layers[0][:, j], strict=True)) + layers[1][j] for j in range(3)]) @ layers[2] + 0.3 for r in x]
+    naive = np.mean([np.log1p(np.exp(z)) - t * z for z, t in zip(naive, y, strict=True)]) + 0.05 * ((layers[0] ** 2).sum() + (layers[2] ** 2).sum())
+    assert np.isclose(whole, naive)
+    for params, found, value_of, start in (([w, g], slopes, lambda p: toxicity.loss_and_slopes((row, feature, value), grade, *p, 0.1)[0], loss), (layers, back, lambda p: quality.loss_and_slopes(p, x, y, 0.1)[0], whole)):
+        for i, param in enumerate(params):
+            for at in np.ndindex(param.shape):
+                moved = [p.copy() for p in params]
+                moved[i][at] += 1e-6
+                assert np.isclose((value_of(moved) - start) / 1e-6, np.asarray(found[i])[at], atol=1e-4)
+
+
+def test_index_sums_equal_naive_ones(spark):
+    texts = ["a b c, a", None, "", "b b", "x " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    sums, counts = quality.index_sums(docs)
+    want, seen = np.zeros_like(sums), np.zeros_like(counts)
+    for text in texts:
+        data, at = tk.flat(pa.array([text], pa.string()))
+        _, bucket = quality.tokens(data, at)
+        for i, b in enumerate(bucket):
+            seen[b] += 1
+            for j in range(max(0, i - quality.REACH), min(len(bucket), i + quality.REACH + 1)):
+                if i != j:
+                    want[b, quality._PLACES[bucket[j]]] += quality._SIGNS[bucket[j]]
+    assert np.allclose(sums, want) and (counts == seen).all()
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
-    sf = sf.replace("sf0.001", "sf0.01")
+    sf = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels)
     assert (np.diff(model.steps) > 0).all()
-    found = toxicity.score_toxicity(docs, model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
+    held = docs.where(fold(F.col("doc_id")) == 0)
+    found = toxicity.score_toxicity(held, model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").where("label is not null").toPandas()
     assert found["severity"].between(0, 3).all()
-    assert (found["toxic"] & (found["label"] == 0)).sum() == 0 and found["toxic"][found["label"] == 1].mean() > 0.7
+    assert found["toxic"][found["label"] == 0].mean() < 0.02 and found["toxic"][found["label"] == 1].mean() > 0.8
     assert found["severity"][found["label"] == 1].mean() > found["severity"][found["label"] == 0].mean() + 0.5
 
 
@@ -293,6 +371,38 @@ def test_spoilt_grams_open_windows(n, max_edits):
     assert hit >= 49
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 14, 20, 35, 50])
+def test_recall_by_length(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(500)]
+    hit, trials = 0, 200
+    for _ in range(trials):
+        words = rng.choices(vocabulary, k=n)
+        items = decontaminate.Benchmark([7], [" ".join(words)])
+        piece = list(words)
+        for e in range(int(0.2 * n)):  # as many edits as may be, spread over the item
+            at = min(len(piece) - 1, int((e + rng.random()) * n / int(0.2 * n)))
+            piece[at : at + 1] = rng.choice([[], ["new"], [piece[at], "new"]])
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)) + piece + rng.choices(vocabulary, k=rng.randint(0, 40))).encode()
+        hit += len(items.search(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])))
+    assert hit >= 0.95 * trials
+
+
+def test_candidates_come_from_keys():
+    text = b"before one two three four five six seven after"
+    items = decontaminate.Benchmark(["x"], ["one two three four five six seven"])
+    data, at = np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])
+    assert [h[2:] for h in items.search(data, at)] == [(1, 7, 0)]
+    items.keys = {n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for n in items.keys}
+    assert items.search(data, at) == []
+
+
+def test_short_items_are_found_exactly(spark):
+    bench = spark.createDataFrame([(1.5, "Two words"), (2.5, "one"), (3.5, "of four words here"), (4.5, " ,;")], "item_id double, text string")
+    docs = spark.createDataFrame([(1, "just two, words."), (2, "two other words"), (3, "One"), (4, "of four words here"), (5, "of four word here")], SCHEMA)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 1.5), (3, 2.5), (4, 3.5)]
+
+
 def test_edge_rows(spark):
     docs = edge_rows(spark)
     n = len(EDGES)
