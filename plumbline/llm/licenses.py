@@ -100,6 +100,7 @@ class LicenseAutomaton:
         for state in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
             self.phrases[state] = whole[state] + self.phrases[self.link[state]]
         self.known = frozenset(w for edges in self.next for w in edges)
+        self.least = min([2, *(n for ends in self.phrases for n, _ in ends)])  # words of the shortest run worth a look
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -155,7 +156,7 @@ class LicenseAutomaton:
             while stop < len(known) and known[stop] == known[stop - 1] + 1:
                 stop += 1
             begin, before = known[at], (0, 0, 0)
-            if stop - at >= 2:
+            if stop - at >= self.least:
                 for i, length, state in self.statistics(words[begin : known[stop - 1] + 1]):
                     places += [(begin + i + 1 - n, label) for n, label in self.phrases[state] if n <= length]
                     if before[1] >= min_words and length <= before[1]:
