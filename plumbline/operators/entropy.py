@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators.scorers import linear_probabilities, linear_probabilities_by
+from plumbline.operators.scorers import linear_logits, linear_probabilities_by
 from plumbline.session import checkpointed, sized
 
 TRIGGER = 0.35
+#: Overlays that may be broadcast.
+OVERLAYS = 10_000
 
 
 def pair_with_overlays(samples: DataFrame, overlays: DataFrame, n_overlays: int, draws: int = 20) -> DataFrame:
@@ -17,9 +19,26 @@ def pair_with_overlays(samples: DataFrame, overlays: DataFrame, n_overlays: int,
 
     ``overlays`` is (position, overlay) with positions 0..n_overlays-1.
     """
-    drawn = samples.select("id", F.col("vector").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"))
-    drawn = drawn.withColumn("position", E.hash_pick(F.col("id"), F.col("k"), F.lit(n_overlays)))
-    return drawn.join(overlays, "position").select("id", "k", "sample", "overlay")
+    drawn = _drawn(samples.select("id", F.col("vector").alias("sample")), n_overlays, draws)
+    return drawn.join(sized(overlays, OVERLAYS), "position").select("id", "k", "sample", "overlay")
+
+
+def _drawn(samples: DataFrame, n_overlays: int, draws: int) -> DataFrame:
+    """``samples`` ``draws`` times, k = 0, 1, ..., each with the position of the overlay it draws."""
+    drawn = samples.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return drawn.withColumn("position", E.hash_pick(F.col("id"), F.col("k"), F.lit(n_overlays)))
+
+
+def score_blends(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, draws: int = 20, alpha: float = 0.5) -> DataFrame:
+    """(id, k, probs) of every blend under a linear scorer.
+
+    The logits of a blend are the blend of the logits, so samples and overlays are scored once each
+    and only those short arrays are paired.
+    """
+    own = linear_logits(samples.select("id", "vector"), weights, "vector").select("id", F.col("logits").alias("own"))
+    over = linear_logits(overlays.select("position", "overlay"), weights, "overlay").select("position", F.col("logits").alias("over"))
+    paired = _drawn(own, n_overlays, draws).join(sized(checkpointed(over), OVERLAYS), "position")
+    return paired.select("id", "k", E.softmax(E.blend(F.col("own"), F.col("over"), alpha)).alias("probs"))
 
 
 def blends(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -58,7 +77,7 @@ def trojan_finding(overall: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def strip_scan(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, draws: int = 20, alpha: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per sample, overall, finding) under a linear scorer."""
-    scored = linear_probabilities(blends(pair_with_overlays(samples, overlays, n_overlays, draws), alpha), weights, "vector")
+    scored = checkpointed(score_blends(samples, overlays, n_overlays, weights, draws, alpha))
     overall = entropy_overall(scored)
     return sample_entropy(scored), overall, trojan_finding(overall)
 

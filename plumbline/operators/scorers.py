@@ -19,14 +19,19 @@ def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") ->
     return means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("ms")).select(label, F.transform("ms", lambda x: x["m"]).alias("centroid"))
 
 
-def linear_probabilities(df: DataFrame, weights: DataFrame, vector: str, label: str = "label") -> DataFrame:
-    """``df`` with ``probs``: softmax of dot products with the weights, one row a class, in label order.
+def linear_logits(df: DataFrame, weights: DataFrame, vector: str, label: str = "label") -> DataFrame:
+    """``df`` with ``logits``: dot products with the weights, one row a class, in label order.
 
     The classes come as one row; their number is a model's, not the data's.
     """
     row = weights.agg(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("centroid")))).alias("__w")).withColumn("__one", F.lit(1))
     logits = E.let(E.doubles(F.col(vector)), lambda v: F.transform("__w", lambda w: E.dot(v, w["centroid"])))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(row), "__one").withColumn("probs", E.softmax(logits)).drop("__w", "__one")
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(row), "__one").withColumn("logits", logits).drop("__w", "__one")
+
+
+def linear_probabilities(df: DataFrame, weights: DataFrame, vector: str, label: str = "label") -> DataFrame:
+    """``df`` with ``probs``: the softmax of its ``linear_logits``."""
+    return linear_logits(df, weights, vector, label).withColumn("probs", E.softmax(F.col("logits"))).drop("logits")
 
 
 def linear_probabilities_by(df: DataFrame, sets: DataFrame, vector: str) -> DataFrame:

@@ -315,8 +315,7 @@ def _blended(spark, sf) -> DataFrame:
     rows = _embeddings(spark, sf)
     samples = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     overlays = rows.where("vec_id < 50").select(F.col("vec_id").alias("position"), F.col("embedding").alias("overlay"))
-    pairs = entropy.pair_with_overlays(samples, overlays, 50)
-    return scorers.linear_probabilities(entropy.blends(pairs), scorers.centroids(rows), "vector")
+    return entropy.score_blends(samples, overlays, 50, scorers.centroids(rows))
 
 
 @query("entropy_samples", f"WITH {_BLEND} SELECT id, round(avg(h), 6) AS mean_entropy, round(min(h), 6) AS min_entropy, round(max(h), 6) AS max_entropy, list(cls ORDER BY k)[1:5] AS top_classes FROM h GROUP BY 1")
@@ -719,10 +718,17 @@ def resource_gate(spark, sf):
     return gated.select("page_id", "reason", kind.alias("finding_type"), F.when(kind.isNotNull(), triage.rejection_risk(kind)).alias("risk_score"))
 
 
-@query("triage_pages", "SELECT url AS path, strlen(html) AS length, CASE WHEN strlen(html) > 5242880 OR strlen(html) = 0 THEN NULL ELSE sha256(html) END AS sha256, 'REJECTED' AS status FROM pages")
+@query(
+    "triage_pages",
+    """WITH p AS (SELECT url, html, strlen(html) AS n, lower(html[1:512]) LIKE '%<svg%' AS svg FROM pages)
+SELECT url AS path, n AS length, CASE WHEN n > 5242880 OR n = 0 THEN NULL ELSE sha256(html) END AS sha256, CASE WHEN n > 5242880 OR n = 0 THEN NULL WHEN svg THEN 'REJECTED_SVG' ELSE 'UNKNOWN' END AS format, 'REJECTED' AS status,
+       CASE WHEN n > 5242880 THEN 'REJECTED_RESOURCE_LIMIT' ELSE 'REJECTED_MALFORMED_IMAGE' END AS finding_type, CASE WHEN n > 5242880 THEN 0.0 ELSE 100.0 END::DOUBLE AS risk_score,
+       CASE WHEN n = 0 THEN 'empty file' WHEN n > 5242880 THEN 'file size exceeds the limit' WHEN svg THEN 'unsupported format REJECTED_SVG' ELSE 'unsupported format UNKNOWN' END AS reasons FROM p""",
+)
 def triage_pages(spark, sf):
     files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
-    return triage.triage(files, "Demo").select("path", "length", "sha256", "status")
+    found = triage.triage(files, "Demo")
+    return found.select("path", "length", "sha256", "format", "status", "finding_type", "risk_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 # ------------------------------------------------------------ provenance
@@ -895,13 +901,11 @@ def cert_layouts(spark, sf):
 # ------------------------------------------------------------ generators and whole scans
 
 
-@query("inject_duplicates", "SELECT vec_id AS id, CASE WHEN vec_id % 40 = 7 THEN vec_id - 7 ELSE vec_id END AS source_id FROM embeddings WHERE vec_id % 40 = 7")
+@query("inject_duplicates", "SELECT a.vec_id AS id, round(list_sum(b.embedding::DOUBLE[]), 4) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN a.vec_id % 40 = 7 THEN a.vec_id - 7 ELSE a.vec_id END")
 def inject_duplicates(spark, sf):
     rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
     mapping = rows.where("id % 40 = 7").select((F.col("id") - 7).alias("src"), F.col("id").alias("dst"))
-    changed = generators.inject_duplicates(rows, mapping)
-    source = rows.select(F.col("id").alias("source_id"), "pixels")
-    return changed.where("id % 40 = 7").join(source, "pixels").select("id", "source_id")
+    return generators.inject_duplicates(rows, mapping).select("id", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
 
 
 @query("inject_trigger", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE label END AS label, round(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN vec_id % 5 = 0 AND i // 8 BETWEEN 5 AND 7 AND i % 8 BETWEEN 5 AND 7 THEN 1.0 ELSE embedding[i + 1]::DOUBLE END)), 4) AS total FROM embeddings")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, entropy, inventory, policy, stability, triage
 from plumbline.operators.duplicates import one_row
+from plumbline.session import checkpointed
 
 
 def validate_shape(samples: DataFrame) -> DataFrame:
@@ -31,8 +32,9 @@ def load_failure_report(loaded: DataFrame) -> DataFrame:
 def scan_dataset(samples: DataFrame, role: str, hash_bits: int, threshold: float = anomalies.THRESHOLD) -> DataFrame:
     """One report row of samples (id, pixels, hash, shape): summary, duplicates, anomalies, merged risk and verdict."""
     vectors = samples.select("id", F.col("pixels").alias("vector"))
-    scores = anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors))
-    pairs = duplicates.near_duplicate_pairs(samples.select("id", "pixels", "hash"), hash_bits)
+    # each is read by several rows of the report
+    scores = checkpointed(anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors)))
+    pairs = checkpointed(duplicates.near_duplicate_pairs(samples.select("id", "pixels", "hash"), hash_bits))
     dup = duplicates.duplicate_risk(pairs, samples.agg(F.count("*").alias("n")))
     odd = anomalies.anomaly_risk(scores, threshold)
     merged = anomalies.dataset_risk(dup, odd)
