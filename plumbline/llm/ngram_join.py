@@ -168,6 +168,7 @@ def _edges(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
         sketch = tk.flat(table.column(5))[0].reshape(-1, PARTS)
         found = candidate_edges(group, node, size, sketch, num, den)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        tk.give_back()
 
 
 # ---------------------------------------------------------------- trie join
@@ -305,6 +306,8 @@ def _join_blocks(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
             key = this
             held += [(int(columns[3][r]), int(columns[4][r]), raw[at[r] : at[r + 1]].view("<u8")) for r in range(b, b + n)]
         held = [(node, mine, s.copy()) for node, mine, s in held]
+        del raw, at
+        tk.give_back()
     if held:
         yield done(key, held)
 

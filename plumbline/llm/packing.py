@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.textkit import give_back
 from plumbline.session import checkpointed
 
 CAPACITY = 1024
 END_ID = 2
 #: Words kept encoded by a task; beyond it the memory is emptied and fills again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 #: Fixed pattern: how the byte-level vocabulary splits text, with letters as all of \\w but digits and _.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -125,6 +126,8 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if with_ids:
                 columns, names = [*columns, pa.array(out["ids"], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            del columns, out
+            give_back()
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -6,6 +6,7 @@ longer text), so the arrays of a task stay small whatever the batch or the table
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +91,17 @@ def slabs(batch: pa.RecordBatch, column: str = "text", size: int | None = None)
         j = max(i + 1, int(np.searchsorted(at, at[i] + (size or SLAB), side="right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    del data, at
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on for later stages, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class Words:
