@@ -21,7 +21,7 @@ and are linked with nothing; shorter texts are one n-gram. Other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import textkit as tk
 from plumbline.llm.textkit import runs
 from plumbline.llm.graph import connected_components
-from plumbline.session import checkpointed, sized
+from plumbline.session import checkpointed, scratch, sized, stored
 
 #: Buckets of the rarity table, over the lowest quarter of the hash range, where prefixes lie.
 BUCKETS, LOWEST = 1 << 20, 62
@@ -43,7 +43,7 @@ SMALL = 1_000_000
 #: Tokens of a trie level.
 STEP = 32
 #: Parts of a sketch, classes of one n-gram that meet in one task, and rows taken together.
-PARTS, CROWD, ROWS = 256, 4096, 1 << 15
+PARTS, CROWD, ROWS = 512, 4096, 1 << 15
 #: N-grams of a cluster that meet in one block, whatever its sets.
 GRAMS = 1 << 19
 
@@ -333,8 +333,8 @@ def _keys(id_: Column, text: Column) -> list[Column]:
     return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, id_, F.lit(29)).alias("k2")]
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, first_of_component) per row.
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 9, den: int = 10, block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(id, n_shingles, component_id, first_of_component) per row; ``keep`` stores tables that the result reads.
 
     Rows link when the Jaccard similarity of their ``n``-gram sets is at least num / den; the
     component is the smallest id reachable. ``first_of_component`` marks one row of each component,
@@ -342,14 +342,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.struct(*_keys(F.col("id"), F.col("text"))).alias("key"), "text")
-    sets = checkpointed(_sets(rows, n, num, den, rarity_levels(rows, n)))
+    sets = keep(_sets(rows, n, num, den, rarity_levels(rows, n)))
     classes = (
         sets.where("n_shingles > 0")
         .groupBy("d1", "d2")
         .agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    classes = checkpointed(classes)
+    classes = keep(classes)
     tokens = classes.select("node", F.explode("prefix").alias("token"))
     crowds = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     split = F.ceil(F.col("n") / CROWD).cast("int")
@@ -384,8 +384,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat id and text one stays, the one whose other columns come first as text. Texts
     without words are linked with nothing and all stay.
     """
-    found = ngram_components(docs, id_col, text_col, n, num, den).where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n"), F.max("first_of_component").alias("first"))
-    found = checkpointed(found.where("n > 1 or not first"))
+    with scratch(docs.sparkSession) as keep:
+        found = ngram_components(docs, id_col, text_col, n, num, den, keep=keep).where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n"), F.max("first_of_component").alias("first"))
+        found = checkpointed(found.where("n > 1 or not first"))
     lost = checkpointed(found.where("not first").select("key"))
     twice = checkpointed(found.where("n > 1 and first").select("key"))
     own = [f"c{i}" for i in range(len(docs.columns))]
