@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, licenses, line_dedup, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter
+from plumbline.llm import decontaminate, divergence, html_text, licenses, line_dedup, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_line_dedup": line_dedup.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_html_text": html_text.query,
+    "op12_divergence_audit": divergence.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
+    "op12_divergence_audit": divergence.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
