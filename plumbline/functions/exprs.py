@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions import counter
+
 CLIP = 1e-12
 GENESIS = "0" * 64
 
@@ -145,16 +147,11 @@ def blur(x: Column, width: int, sigma: float = 0.8, reach: int = 2) -> Column:
     return let(let(doubles(x), lambda v: along(v, 1)), lambda v: along(v, width))
 
 
-def uniform(seed: Column, position: Column, salt: int) -> Column:
-    """A number in (0, 1) that depends on its arguments alone, whatever the partitioning."""
-    return (F.pmod(F.xxhash64(seed, position, F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-
 def noise(x: Column, sigma: float, seed: Column) -> Column:
-    """Normal noise by Box and Muller from hashes of seed and position, clipped to [0, 1]."""
+    """Normal noise by Box and Muller from counters of seed and position, clipped to [0, 1]."""
 
     def moved(v, i):
-        normal = F.sqrt(-2 * F.ln(uniform(seed, i, 1))) * F.cos(2 * F.pi() * uniform(seed, i, 2))
+        normal = F.sqrt(-2 * F.ln(counter.unit(seed, i, seed=1))) * F.cos(2 * F.pi() * counter.unit(seed, i, seed=2))
         return F.least(F.greatest(v + normal * sigma, F.lit(0.0)), F.lit(1.0))
 
     return F.transform(doubles(x), moved)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import counter
 from plumbline.functions import exprs as E
 from plumbline.operators.duplicates import one_row
 
@@ -21,41 +22,40 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def fit_isolation_forest(vectors: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(tree, node, feature, cut, left, right, depth_left) rows of a forest over (id, vector).
+    """(tree, node, feature, cut, path) rows of a forest over (id, vector); node 1 is a root, n has the children 2n and 2n + 1.
 
-    Each tree takes the ``sample`` rows of the smallest seeded hashes: by a threshold first, so that
-    only about twice the sample is sent to a tree, whatever the table holds.
+    All choices are counters of ids, trees and nodes (``counter``), so SQL can grow the same forest.
+    A row stands for the draw of as many trees as the table's size asks for, of one in large tables; a
+    tree takes the ``sample`` rows of the smallest draws, of which some four times as many are sent to it.
     """
-    n = vectors.count()
-    share = min(1.0, 2.0 * sample / max(1, n) + 0.02 * (n < 50_000))
-    span = float(1 << 40)
-    draw = F.pmod(F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed)), F.lit(1 << 40))
-    # a row is sent to the trees that draw it, and carries its vector to no others
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.pmod(F.xxhash64(F.col("id"), tree, F.lit(seed)), F.lit(1 << 40)) < share * span)
-    taken = vectors.withColumn("tree", F.explode(drawn)).withColumn("draw", draw)
+    n = max(1, vectors.count())
+    each = min(trees, -(-4 * sample * trees // n))
+    most = min(counter.PRIME, 4 * sample * trees * counter.PRIME // (n * each))
+    own = [F.col("id"), F.shiftright(F.col("id").cast("bigint"), 31)]
+    taken = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), counter.draw(*own, seed=seed).alias("first"))
+    taken = taken.withColumn("tree", F.explode(F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: ((F.col("first") + j) % trees).cast("int"))))
+    taken = taken.withColumn("draw", counter.draw(*own, F.col("tree"), seed=seed + 1)).where(F.col("draw") < most)
 
     def grow(key, pdf):
+        tree = int(key[0])
         pdf = pdf.sort_values(["draw", "id"]).head(sample)
         x = np.stack(pdf["vector"].to_numpy())
-        rng = np.random.default_rng([seed, int(key[0])])
-        limit, rows, todo = int(np.ceil(np.log2(max(2, len(x))))), [], [(0, np.arange(len(x)), 0)]
-        made = 1
+        limit, rows, todo = int(np.ceil(np.log2(max(2, len(x))))), [], [(1, np.arange(len(x)), 0)]
         while todo:
             node, at, depth = todo.pop()
             low, high = x[at].min(axis=0), x[at].max(axis=0)
             free = np.flatnonzero(high > low)
             if depth >= limit or len(at) <= 1 or not len(free):
-                rows.append((int(key[0]), node, -1, 0.0, -1, -1, depth + float(_average_path(len(at)))))
+                rows.append((tree, node, -1, 0.0, depth + float(_average_path(len(at)))))
                 continue
-            f = int(rng.choice(free))
-            cut = float(rng.uniform(low[f], high[f]))
+            f = int(free[int(counter.draw_array(tree, node, seed=seed + 2)) % len(free)])
+            cut = float(low[f] + float(counter.unit_array(tree, node, seed=seed + 3)) * (high[f] - low[f]))
             less = x[at, f] < cut
-            rows.append((int(key[0]), node, f, cut, made, made + 1, 0.0))
-            todo += [(made, at[less], depth + 1), (made + 1, at[~less], depth + 1)]
-            made += 2
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "left", "right", "path"])
+            rows.append((tree, node, f, cut, 0.0))
+            todo += [(2 * node, at[less], depth + 1), (2 * node + 1, at[~less], depth + 1)]
+        return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "path"])
 
-    return taken.select("tree", "id", "draw", F.col("vector").cast("array<double>").alias("vector")).groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, path double")
+    return taken.select("tree", "id", "draw", "vector").groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, path double")
 
 
 def score_isolation_forest(vectors: DataFrame, forest: DataFrame, sample: int = 256) -> DataFrame:
@@ -63,9 +63,14 @@ def score_isolation_forest(vectors: DataFrame, forest: DataFrame, sample: int =
 
     The forest holds at most 2 * sample nodes a tree, so its rows are collected and sent to the tasks.
     """
-    nodes = forest.toPandas().sort_values(["tree", "node"])
-    parts = [g.to_dict("list") for _, g in nodes.groupby("tree")]
-    trees = vectors.sparkSession.sparkContext.broadcast([{k: np.array(g[k]) for k in ("feature", "cut", "left", "right", "path")} for g in parts])
+    nodes = forest.toPandas()
+    grown = []
+    for _, g in nodes.groupby("tree"):
+        tree = {"feature": np.full(int(g["node"].max()) + 1, -1), "cut": np.zeros(int(g["node"].max()) + 1), "path": np.zeros(int(g["node"].max()) + 1)}
+        for name in tree:
+            tree[name][g["node"].to_numpy()] = g[name].to_numpy()
+        grown.append(tree)
+    trees = vectors.sparkSession.sparkContext.broadcast(grown)
     expected = float(_average_path(min(sample, max(2, vectors.count()))))
 
     def run(batches):
@@ -73,12 +78,11 @@ def score_isolation_forest(vectors: DataFrame, forest: DataFrame, sample: int =
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
             path = np.zeros(len(x))
             for t in trees.value:
-                at = np.zeros(len(x), dtype=np.int64)
+                at = np.ones(len(x), dtype=np.int64)
                 inner = np.flatnonzero(t["feature"][at] >= 0)
                 while len(inner):
                     here = at[inner]
-                    less = x[inner, t["feature"][here]] < t["cut"][here]
-                    at[inner] = np.where(less, t["left"][here], t["right"][here])
+                    at[inner] = 2 * here + (x[inner, t["feature"][here]] >= t["cut"][here])
                     inner = inner[t["feature"][at[inner]] >= 0]
                 path += t["path"][at]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(0.5 - 2 ** (-path / max(1, len(trees.value)) / expected))], names=["id", "score"])

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import counter
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
 from plumbline.plans import pipelines
-from plumbline.session import table
+from plumbline.session import checkpointed, table
 from plumbline.streaming import streams
 
 QUERIES: dict = {}
@@ -192,7 +193,8 @@ risk AS (SELECT n, p AS n_pairs, x AS n_exact, k AS n_members, CASE WHEN p = 0 T
 @query("dup_near_risk", f"WITH {_NEAR}, {_DUP_RISK} SELECT * FROM risk")
 def dup_near_risk(spark, sf):
     samples = _samples(spark, sf)
-    return duplicates.duplicate_risk(duplicates.near_duplicate_pairs(samples, 56), samples.agg(F.count("*").alias("n")))
+    _, classes, links = duplicates.near_duplicate_classes(samples, 56)
+    return duplicates.class_risk(classes, checkpointed(links), samples.agg(F.count("*").alias("n")))
 
 
 @query(
@@ -207,7 +209,7 @@ def dup_finding(spark, sf):
 
 @query("page_pairs", "SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id) ORDER BY i, j LIMIT 10 OFFSET 10")
 def page_pairs(spark, sf):
-    return duplicates.page(dup_exact_docs(spark, sf), 1)
+    return duplicates.page_exact(table(spark, sf, "documents"), "doc_id", F.col("text"), 1)
 
 
 @query("leak_docs_benchmark", "WITH t AS (SELECT md5(text) AS d, count(*) AS copies, min(doc_id) AS f FROM documents GROUP BY 1) SELECT item_id AS test_id, copies, f AS first_train_id FROM benchmark JOIN t ON md5(text) = d")
@@ -346,11 +348,8 @@ def _variants(spark, sf) -> DataFrame:
     return scorers.linear_probabilities(shown, weights, "vector")
 
 
-_VARIANTS = f"""{_SCORE}, x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
-v AS (SELECT id, 'baseline' AS variant, b AS v FROM x UNION ALL SELECT id, 'brightness', list_transform(b, lambda a: least(a * 1.1::DOUBLE, 1.0)) FROM x
-      UNION ALL SELECT id, 'translation', list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= 1 AND i >= 8 THEN b[i - 8] ELSE 0.0 END) FROM x UNION ALL SELECT id, 'mirror', list_reverse(b) FROM x),
-l AS (SELECT id, variant, list_transform(ws, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: z[1] * 20 * z[2]))) AS l FROM v, w),
-e AS (SELECT id, variant, list_transform(l, lambda a: exp(a - list_max(l))) AS e FROM l), p AS (SELECT id, variant, list_transform(e, lambda a: a / list_sum(e)) AS p FROM e),
+#: From logits l (id, variant, l) to metrics.
+_METRICS = """e AS (SELECT id, variant, list_transform(l, lambda a: exp(a - list_max(l))) AS e FROM l), p AS (SELECT id, variant, list_transform(e, lambda a: a / list_sum(e)) AS p FROM e),
 j AS (SELECT a.id, a.p AS p, b.p AS q, (list_position(a.p, list_max(a.p)))::INTEGER AS top FROM p a JOIN p b ON a.id = b.id AND a.variant = 'baseline' AND b.variant <> 'baseline'),
 m AS (SELECT id, any_value(p) AS base, avg((top <> list_position(q, list_max(q)))::INTEGER) AS flip,
        avg(greatest(0.0, list_sum(list_transform(list_zip(p, q), lambda z: (greatest(z[1], 1e-12) * ln(greatest(z[1], 1e-12) / ((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2)) + greatest(z[2], 1e-12) * ln(greatest(z[2], 1e-12) / ((greatest(z[1], 1e-12) + greatest(z[2], 1e-12)) / 2))) / 2)))) AS js,
@@ -358,6 +357,12 @@ m AS (SELECT id, any_value(p) AS base, avg((top <> list_position(q, list_max(q))
 metrics AS (SELECT id, base, (list_position(base, list_max(base)) - 1)::INTEGER AS baseline_class, round(list_max(base), 4) AS baseline_confidence, -list_sum(list_transform(base, lambda a: greatest(a, 1e-12) * ln(greatest(a, 1e-12)))) AS h0,
        round(flip, 4) AS flip_rate, round(js, 4) AS mean_js, round(greatest(0.0, drop), 4) AS max_confidence_drop, h FROM m)"""
 
+_VARIANTS = f"""{_SCORE}, x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
+v AS (SELECT id, 'baseline' AS variant, b AS v FROM x UNION ALL SELECT id, 'brightness', list_transform(b, lambda a: least(a * 1.1::DOUBLE, 1.0)) FROM x
+      UNION ALL SELECT id, 'translation', list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= 1 AND i >= 8 THEN b[i - 8] ELSE 0.0 END) FROM x UNION ALL SELECT id, 'mirror', list_reverse(b) FROM x),
+l AS (SELECT id, variant, list_transform(ws, lambda c: list_sum(list_transform(list_zip(c, v), lambda z: z[1] * 20 * z[2]))) AS l FROM v, w),
+{_METRICS}"""
+
 
 @query("stability_metrics", f"WITH {_VARIANTS} SELECT id, baseline_class, baseline_confidence, flip_rate, mean_js, max_confidence_drop, round(h - h0, 4) AS entropy_change FROM metrics")
 def stability_metrics(spark, sf):
@@ -389,11 +394,21 @@ def stability_verdict(spark, sf):
     return stability.stability_verdict(stability.stability_metrics(scored), stability.fit_calibration(scored.where("variant = 'baseline'")))
 
 
-@query("noise_sweep")
+_NOISE = f"sqrt(-2 * ln({counter.unit_sql('id', 'z[2]', seed=1)})) * cos(2 * pi() * {counter.unit_sql('id', 'z[2]', seed=2)})"
+
+
+@query(
+    "noise_sweep",
+    f"""WITH {_SCORE}, x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
+z AS (SELECT id, b, list_transform(list_zip(b, range(64)), lambda z: {_NOISE}) AS z FROM x),
+v AS (SELECT id, 'baseline' AS variant, b AS v FROM x UNION ALL SELECT id, 'noise', list_transform(list_zip(b, z), lambda a: least(greatest(a[1] + a[2] * s, 0.0), 1.0)) FROM z, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.2::DOUBLE)) AS t(s)),
+l AS (SELECT id, variant, {_LOGITS} AS l FROM v, w),
+{_METRICS} SELECT id, baseline_class, baseline_confidence, round(h0, 4) AS baseline_entropy, flip_rate, mean_js, max_confidence_drop, round(h - h0, 4) AS entropy_change FROM metrics""",
+)
 def noise_sweep(spark, sf):
     rows = _embeddings(spark, sf)
     noisy = stability.noise_sweep(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
-    return stability.stability_metrics(scorers.linear_probabilities(noisy, scorers.centroids(rows), "vector")).drop("base")
+    return stability.stability_metrics(scorers.linear_probabilities(noisy, scorers.centroids(rows), "vector")).drop("base").withColumn("baseline_entropy", F.round("baseline_entropy", 4))
 
 
 #: The blur's weights, which the SQL takes as literals.
@@ -431,21 +446,54 @@ def _vectors(spark, sf) -> DataFrame:
     return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query("anomaly_scores")
-def anomaly_scores(spark, sf):
+def _forest_sql(rows: str = "e", dims: int = 64, trees: int = 100, sample: int = 256, seed: int = 42) -> str:
+    """The isolation forest of ``rows`` (id, v) as a table of nodes, level by level, and the walk of every row through it: sc (id, score)."""
+    depth = sample.bit_length() - 1
+    path = "CASE WHEN m > 2 THEN 2 * (ln(m - 1) + 0.5772156649015329::DOUBLE) - 2 * (m - 1)::DOUBLE / m WHEN m = 2 THEN 1.0 ELSE 0.0 END"
+    out = [
+        f"fn AS (SELECT count(*) AS n FROM {rows})",
+        f"fr AS (SELECT n, least({trees}, ({4 * sample * trees} + n - 1) // n) AS r FROM fn)",
+        f"fcand AS (SELECT id, v, n, r, (f + j) % {trees} AS tree FROM (SELECT id, v, {counter.draw_sql('id', 'id >> 31', seed=seed)} AS f FROM {rows}), fr, range({trees}) t(j) WHERE j < r)",
+        f"fdrawn AS (SELECT *, {counter.draw_sql('id', 'id >> 31', 'tree', seed=seed + 1)} AS d FROM fcand)",
+        f"fs AS (SELECT tree, id, v FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY d, id) AS k FROM fdrawn WHERE d < least({counter.PRIME}, ({4 * sample * trees * counter.PRIME}::HUGEINT // (n * r)))) WHERE k <= {sample})",
+        "flim AS (SELECT tree, ceil(log2(greatest(2, count(*)))) AS lim FROM fs GROUP BY tree)",
+        "l0 AS (SELECT tree, id, v, 1::BIGINT AS node FROM fs)",
+        f"w0 AS (SELECT id, v, tree, 1::BIGINT AS node FROM {rows}, (SELECT DISTINCT tree FROM fs))",
+    ]
+    lows, highs = (", ".join(f"{f}(v[{i + 1}])" for i in range(dims)) for f in ("min", "max"))
+    for d in range(depth + 1):
+        out += [
+            f"g{d} AS (SELECT tree, node, count(*) AS m, [{lows}] AS lo, [{highs}] AS hi FROM l{d} GROUP BY tree, node)",
+            f"f{d} AS (SELECT tree, node, m, lo, hi, CASE WHEN {d} >= lim OR m <= 1 THEN [] ELSE list_filter(range({dims}), lambda i: hi[i + 1] > lo[i + 1]) END AS free FROM g{d} JOIN flim USING (tree))",
+            f"t{d} AS (SELECT tree, node, {d} + {path} AS path, lo, hi, CASE WHEN len(free) > 0 THEN free[1 + {counter.draw_sql('tree', 'node', seed=seed + 2)} % len(free)] + 1 END AS f FROM f{d})",
+            f"n{d} AS (SELECT tree, node, path, f, lo[f] + {counter.unit_sql('tree', 'node', seed=seed + 3)} * (hi[f] - lo[f]) AS cut FROM t{d})",
+            f"l{d + 1} AS (SELECT tree, id, v, node * 2 + (v[f] >= cut)::INTEGER AS node FROM l{d} JOIN n{d} USING (tree, node) WHERE f IS NOT NULL)",
+            f"w{d + 1} AS (SELECT id, v, tree, node * 2 + (v[f] >= cut)::INTEGER AS node FROM w{d} JOIN n{d} USING (tree, node) WHERE f IS NOT NULL)",
+            f"p{d} AS (SELECT id, tree, path FROM w{d} JOIN n{d} USING (tree, node) WHERE f IS NULL)",
+        ]
+    paths = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(depth + 1))
+    expected = "(SELECT " + path.replace("m", "x.k") + f" FROM (SELECT least({sample}, greatest(2, n)) AS k FROM fn) x)"
+    out += [f"paths AS ({paths})", f"sc AS (SELECT id, 0.5 - pow(2, -avg(path) / {expected}) AS score FROM paths GROUP BY id)"]
+    return ",\n".join(out)
+
+
+_FOREST = f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {_forest_sql()}"
+
+
+def _forest_scores(spark, sf) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return anomalies.flag_anomalies(anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors)))
+    return anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors))
+
+
+@query("anomaly_scores", f"WITH {_FOREST} SELECT id, round(score, 6) AS score, score < -0.07 AS is_anomaly FROM sc")
+def anomaly_scores(spark, sf):
+    return anomalies.flag_anomalies(_forest_scores(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("anomaly_points")
 def anomaly_points(spark, sf):
     vectors = _vectors(spark, sf)
-    return anomalies.chart_points(anomaly_scores(spark, sf).drop("is_anomaly"), anomalies.pca_2d(vectors))
-
-
-@query("anomaly_risk")
-def anomaly_risk(spark, sf):
-    return anomalies.anomaly_risk(anomaly_scores(spark, sf))
+    return anomalies.chart_points(_forest_scores(spark, sf), anomalies.pca_2d(vectors))
 
 
 @query("anomaly_embed")
@@ -474,6 +522,11 @@ _ANOMALY_RISK = """ar AS (SELECT count(*) AS n, count(*) FILTER (WHERE score < -
 arisk AS (SELECT n, k AS n_anomalies, CASE WHEN k = 0 THEN 0.0 ELSE round(least(95.0, greatest(20.0, 35 + 45 * (k::DOUBLE / n) + 300 * depth)), 1) END::DOUBLE AS risk FROM ar)"""
 
 
+@query("anomaly_risk", f"WITH {_FOREST}, {_ANOMALY_RISK} SELECT * FROM arisk")
+def anomaly_risk(spark, sf):
+    return anomalies.anomaly_risk(_forest_scores(spark, sf))
+
+
 @query("anomaly_distance_risk", f"WITH {_DISTANCE}, {_ANOMALY_RISK} SELECT * FROM arisk")
 def anomaly_distance_risk(spark, sf):
     return anomalies.anomaly_risk(_distance_scores(spark, sf))
@@ -921,7 +974,15 @@ def inject_outliers(spark, sf):
     return generators.inject_outliers(rows, [3, 5, 8], "checkerboard", 8).select("id", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
 
 
-@query("scan_dataset")
+@query(
+    "scan_dataset",
+    f"""WITH {_NEAR}, {_DUP_RISK}, fe AS (SELECT id, p AS v FROM s), {_forest_sql("fe")}, {_ANOMALY_RISK},
+px AS (SELECT count(*) AS samples, sum(list_sum(p)) / sum(len(p)) AS m, sum(list_sum(list_transform(p, lambda x: x * x))) / sum(len(p)) AS q, min(list_min(p)) AS lo, max(list_max(p)) AS hi FROM s)
+SELECT samples, '8 × 8' AS shape, 1 AS shapes, round(m, 4) AS mean, round(sqrt(q - m * m), 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max, n_pairs, n_exact, n_members, n_anomalies, d.risk AS duplicate_risk, a.risk AS anomaly_risk,
+CASE WHEN n_pairs > 0 AND n_anomalies > 0 THEN round(least(98.0, greatest(d.risk, a.risk) + 0.15::DOUBLE * least(d.risk, a.risk)), 1) WHEN n_pairs > 0 OR n_anomalies > 0 THEN greatest(d.risk, a.risk) ELSE 0.0 END AS risk,
+CASE WHEN n_pairs > 0 OR n_anomalies > 0 THEN 'MEDIUM' ELSE 'HIGH' END AS evidence_strength, CASE WHEN n_pairs > 0 OR n_anomalies > 0 THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict,
+true AS shape_ok, NULL::VARCHAR AS shape_finding, 'training_eval' AS role, 'Training / Evaluation Dataset Assurance' AS protocol FROM px, risk d, arisk a""",
+)
 def scan_dataset(spark, sf):
     return pipelines.scan_dataset(_samples(spark, sf).withColumn("shape", F.array(F.lit(8), F.lit(8))), "training_eval", hash_bits=56)
 

@@ -34,8 +34,8 @@ def scan_dataset(samples: DataFrame, role: str, hash_bits: int, threshold: float
     vectors = samples.select("id", F.col("pixels").alias("vector"))
     # each is read by several rows of the report
     scores = checkpointed(anomalies.score_isolation_forest(vectors, anomalies.fit_isolation_forest(vectors)))
-    pairs = checkpointed(duplicates.near_duplicate_pairs(samples.select("id", "pixels", "hash"), hash_bits))
-    dup = duplicates.duplicate_risk(pairs, samples.agg(F.count("*").alias("n")))
+    _, classes, links = duplicates.near_duplicate_classes(samples.select("id", "pixels", "hash"), hash_bits)
+    dup = checkpointed(duplicates.class_risk(checkpointed(classes), checkpointed(links), samples.agg(F.count("*").alias("n"))))
     odd = anomalies.anomaly_risk(scores, threshold)
     merged = anomalies.dataset_risk(dup, odd)
     summary = stability.pixel_summary(samples, "pixels", "shape")

@@ -311,3 +311,69 @@ def test_scan_models_sees_strip(spark):
     assert (got[2]["verdict"], got[2]["risk_score"], got[2]["hard_gates"]) == ("QUARANTINE", 95.0, ["High-Strength Trojan Indicator"])
     assert got[3]["hard_gates"] == ["Invalid Artifact Format"] and got[3]["n_findings"] == 2
     assert scan(samples.limit(0))[2]["risk_score"] == 2.5
+
+
+# ------------------------------------------------------------ classes, counters, pages
+
+
+def test_counter_draws_alike_everywhere(spark):
+    import duckdb
+
+    from plumbline.functions import counter
+
+    keys = np.array([0, 1, 2, 50, 2**31 - 2, 2**31, 2**40 + 3, 2**62])
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    got = [tuple(r) for r in df.select("k", counter.draw(F.col("k"), F.lit(7), seed=3).alias("d"), counter.unit(F.col("k"), seed=4).alias("u")).collect()]
+    assert [r[1] for r in got] == counter.draw_array(keys, 7, seed=3).tolist()
+    assert [r[2] for r in got] == counter.unit_array(keys, seed=4).tolist()
+    sql = duckdb.sql(f"SELECT {counter.draw_sql('k', '7', seed=3)}, {counter.unit_sql('k', seed=4)} FROM (SELECT unnest({keys.tolist()}::BIGINT[]) AS k)").fetchall()
+    assert [tuple(r) for r in sql] == [(r[1], r[2]) for r in got]
+    many = counter.unit_array(np.arange(20_000), 3, seed=9)
+    assert abs(many.mean() - 0.5) < 0.01 and abs(np.corrcoef(many[1:], many[:-1])[0, 1]) < 0.03
+    assert np.bincount((many * 16).astype(int)).std() < 60
+    assert abs(np.corrcoef(counter.unit_array(np.arange(20_000), 4, seed=9), many)[0, 1]) < 0.03
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_class_risk_equals_that_of_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.random(64).tolist() for _ in range(6)]
+    rows = []
+    for i in range(60):
+        pixels = list(base[rng.integers(0, 6)])
+        if rng.random() < 0.4:
+            pixels[int(rng.integers(0, 64))] += float(rng.choice([0.001, 0.2]))
+        rows.append((i, pixels))
+    df = spark.createDataFrame(rows, "id long, pixels array<double>").withColumn("hash", E.dhash(F.col("pixels"), 8, 8)).cache()
+    n = df.agg(F.count("*").alias("n"))
+    _, classes, links = duplicates.near_duplicate_classes(df, 56)
+    want = duplicates.duplicate_risk(duplicates.near_duplicate_pairs(df, 56), n).collect()
+    assert duplicates.class_risk(classes, links, n).collect() == want and want[0]["n_pairs"] > 100
+    none = df.limit(0)
+    _, classes, links = duplicates.near_duplicate_classes(none, 56)
+    assert duplicates.class_risk(classes, links, none.agg(F.count("*").alias("n"))).collect()[0]["risk"] == 0.0
+
+
+def test_class_risk_of_a_million_copies(spark):
+    df = spark.range(1_000_000).select("id", F.array(*(F.lit(float(k % 5)) for k in range(16))).alias("pixels"), F.lit(5).cast("long").alias("hash"))
+    _, classes, links = duplicates.near_duplicate_classes(df, 56)
+    row = duplicates.class_risk(classes, links, df.agg(F.count("*").alias("n"))).collect()[0]
+    assert (row["n_pairs"], row["n_members"], row["risk"]) == (1_000_000 * 999_999 // 2, 1_000_000, 95.0)
+
+
+def test_pages_open_only_the_groups_they_reach(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), str(rng.choice(["a", "b", "c", f"x{i}"], p=[0.5, 0.1, 0.05, 0.35]))) for i in rng.permutation(120)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    every = sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0])
+    for number, size in ((0, 10), (3, 7), (40, 10), (10_000, 10)):
+        assert [tuple(r) for r in duplicates.page_exact(df, "id", F.col("text"), number, size).collect()] == every[number * size : (number + 1) * size]
+
+
+def test_forest_over_many_rows_sends_a_bounded_sample(spark):
+    df = spark.range(60_000).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("vector"))
+    forest = anomalies.fit_isolation_forest(df, trees=10, sample=64).collect()
+    assert {r["tree"] for r in forest} == set(range(10)) and max(r["node"] for r in forest) < 128
+    odd = df.where("id < 500").unionByName(spark.createDataFrame([(100_000, [9.0, 9.0, 9.0])], "id long, vector array<double>"))
+    scores = {r["id"]: r["score"] for r in anomalies.score_isolation_forest(odd, anomalies.fit_isolation_forest(df.unionByName(odd.where("id = 100000")), trees=10, sample=64), 64).collect()}
+    assert min(scores, key=scores.get) == 100_000
