@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.exprs import let
 from plumbline.session import checkpointed
 
 #: Rule (host and path) and verdict.
@@ -97,10 +98,17 @@ def beta_above(a: Column, b: Column, least: float) -> Column:
     reach = REACH * F.sqrt(mean * (1 - mean) / (a + b + 1))
     low, high = F.greatest(mean - reach, F.lit(0.0)), F.least(mean + reach, F.lit(1.0))
     points = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: low + (high - low) * (i + 0.5) / POINTS)
-    logs = F.transform(points, lambda p: F.struct(p.alias("p"), ((a - 1) * F.ln(p) + (b - 1) * F.ln(1 - p)).alias("l")))
-    top = F.array_max(F.transform(logs, lambda x: x["l"]))
-    add = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + F.exp(x["l"] - top))
-    return add(F.filter(logs, lambda x: x["p"] >= least)) / add(logs)
+    log = lambda p: (a - 1) * F.ln(p) + (b - 1) * F.ln(1 - p)
+
+    def share(found: Column) -> Column:
+        def of(top: Column) -> Column:
+            add = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + F.exp(x["l"] - top))
+            return add(F.filter(found, lambda x: x["p"] >= least)) / add(found)
+
+        return let(F.array_max(F.transform(found, lambda x: x["l"])), of)
+
+    # each point's logarithms are taken once, and so is their maximum
+    return let(F.transform(points, lambda p: F.struct(p.alias("p"), log(p).alias("l"))), share)
 
 
 def host_reputation(outcomes: DataFrame, least: float = 0.5) -> DataFrame:
