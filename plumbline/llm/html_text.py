@@ -198,7 +198,10 @@ def fit_pages(pages: list[str], composed: int = COMPOSED, seed: int = 11, steps:
 def fit_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = MOST_PAGES, longest: int = MOST_CHARS) -> TextModel:
     """The model fitted on at most ``most`` of the pages."""
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).where(F.length("html").between(1, longest))
-    sample = rows.orderBy(F.xxhash64("id"), F.xxhash64("html")).limit(most).collect()
+    rows = rows.select(F.xxhash64("id").alias("a"), F.xxhash64("html").alias("b"), "html")
+    last = rows.select("a", "b").orderBy("a", "b").limit(most).collect()
+    # tasks first send hashes alone; pages come from those tasks that hold some of the sample
+    sample = rows.where(F.col("a") <= last[-1]["a"]).orderBy("a", "b").limit(most).collect() if last else []
     return fit_pages([r["html"] for r in sample])
 
 

@@ -4,7 +4,7 @@ Spark tokenizes, counts how many pieces have each length and ranks the pieces of
 planned on the driver is only that histogram, at most ``capacity`` counts whatever the corpus
 holds. The plan is by exact complements: for each length, longest first, the index of single, pair
 and triple sums gives combinations that fill its gap to the token, each consumed as often as the
-counts allow; what is left is placed best-fit. Every pattern takes a range of ranks of each of its
+counts allow, up to the point from which best fit places the rest in fewest sequences. Every pattern takes a range of ranks of each of its
 lengths, so a piece finds its sequence and offset from its length and rank alone.
 
 A hot length is ranked in parts, as many as its pieces ask for, whose counts are added up before, so
@@ -133,56 +133,89 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _fit(left: Counter, capacity: int, length: int, avail: np.ndarray, most_parts: int) -> list[int] | None:
-    """Lengths that fill the gap of ``length`` exactly: one, else two, else three, the longest first."""
-    gap = capacity - length
-    enough = lambda combo: all(left[x] >= k for x, k in Counter([length, *combo]).items())
-    if gap == 0:
-        return []
-    if most_parts and avail[gap] and enough([gap]):
-        return [gap]
-    for parts in range(2, most_parts + 1):
-        for a in range(gap - parts + 1, (gap - 1) // parts, -1) if parts == 3 else (gap,):
-            rest = gap - a if parts == 3 else gap
-            if parts == 3 and not avail[a]:
-                continue
-            low, high = (rest + 1) // 2, min(a, rest - 1)
-            if high < low:
-                continue
-            b = np.arange(low, high + 1)
-            for x in b[avail[b] & avail[rest - b]][::-1][:8]:
-                combo = [int(x), rest - int(x)] if parts == 2 else [a, int(x), rest - int(x)]
-                if enough(combo):
-                    return combo
-    return None
-
-
-def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) that use up all ``counts``.
+def _complement(gap: int, length: int, left: np.ndarray) -> list[int] | None:
+    """Lengths in stock that fill ``gap`` exactly beside ``length``: one, else two, else three.
 
-    Long combinations may spend lengths that best fit needs later, so plans with combinations of up
-    to three, two, one and no complements are made, and the one of fewest sequences is taken.
+    Of the sums of two and three the most even is taken: short lengths fit anywhere, and best fit needs
+    them later.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
+    def enough(combo: list[int]) -> bool:
+        return all(left[x] >= k for x, k in Counter([length, *combo]).items())
+
+    def pair(rest: int, least: int, before: list[int]) -> list[int] | None:
+        low = np.arange(rest // 2, least - 1, -1)
+        for x in low[(left[low] > 0) & (left[rest - low] > 0)].tolist():
+            if enough([*before, x, rest - x]):
+                return [*before, x, rest - x]
+        return None
 
-def _plan(counts: dict[int, int], capacity: int, most_parts: int) -> list[tuple[tuple[int, ...], int]]:
-    left = Counter({k: v for k, v in counts.items() if v})
-    avail = np.zeros(capacity + 1, dtype=bool)
-    avail[list(left)] = True
-    patterns: list[tuple[tuple[int, ...], int]] = []
-    for length in sorted(left, reverse=True):
+    if gap == 0:
+        return []
+    if left[gap] and enough([gap]):
+        return [gap]
+    found = pair(gap, 1, [])
+    for a in range(gap // 3, 0, -1):
+        if found is not None:
+            break
+        found = pair(gap - a, a, [a]) if left[a] else None
+    return found
+
+
+def complements(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths that fill a sequence exactly, how many such sequences), longest lengths first, as far as the counts go."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    patterns = []
+    for length in sorted(counts, reverse=True):
         while left[length]:
-            combo = _fit(left, capacity, length, avail, most_parts)
+            combo = _complement(capacity - length, length, left)
             if combo is None:
                 break
             use = Counter([length, *combo])
-            n = min(left[x] // k for x, k in use.items())
+            n = min(int(left[x]) // k for x, k in use.items())
             for x, k in use.items():
                 left[x] -= n * k
-                avail[x] = left[x] > 0
             patterns.append((tuple(use.elements()), n))
+    return patterns
+
+
+#: Stopping points tried at each of two rounds.
+TRIED = 16
+
+
+def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences) that use up all ``counts``.
+
+    Exact complements waste nothing, but taken to the end they leave a stock whose lengths no longer fit
+    each other. So they are taken in order up to some point, and the rest is placed best-fit; of the
+    points tried (evenly spread, then around the best) that of fewest sequences is kept, the latest of several.
+    """
+    counts = {k: v for k, v in counts.items() if v}
+    exact = complements(counts, capacity)
+    plans: dict[int, tuple[int, list]] = {}
+
+    def try_at(points) -> int:
+        for at in points:
+            if at not in plans:
+                rest = Counter(counts)
+                for slots, n in exact[:at]:
+                    for x in slots:
+                        rest[x] -= n
+                plan = exact[:at] + best_fit({k: v for k, v in rest.items() if v}, capacity)
+                plans[at] = (sum(n for _, n in plan), plan)
+        return min(plans, key=lambda at: (plans[at][0], -at))
+
+    step = max(1, len(exact) // TRIED)
+    best = try_at({*range(0, len(exact) + 1, step), len(exact)})
+    best = try_at(range(max(0, best - step), min(len(exact), best + step) + 1, max(1, 2 * step // TRIED)))
+    return plans[best][1]
+
+
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Plan of ``counts`` by decreasing length, each into the smallest gap that holds it."""
+    left = counts
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # gap -> open sequences
     for length in sorted((x for x in left if left[x]), reverse=True):
         n = left[length]
@@ -201,7 +234,7 @@ def _plan(counts: dict[int, int], capacity: int, most_parts: int) -> list[tuple[
                 bins.setdefault(capacity - k * length, []).append(((length,) * k, n // k))
             if n % k:
                 bins.setdefault(capacity - n % k * length, []).append(((length,) * (n % k), 1))
-    return patterns + [x for open_ in bins.values() for x in open_]
+    return [x for open_ in bins.values() for x in open_]
 
 
 def _ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:

@@ -90,7 +90,11 @@ def integers(df: DataFrame, id_col: str, vector_col: str, label_col: str, scale:
 
 def train_codebooks(rows: DataFrame, parts: int, entries: int, rounds: int) -> np.ndarray | None:
     """(parts, entries, width) integers; None without vectors. ``rows`` as ``fit_transform`` prepares them."""
-    first = rows.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).select("v").collect()
+    order = F.col("id").asc_nulls_last()
+    ids = [r["id"] for r in rows.select("id").orderBy(order).limit(entries).collect()]
+    # tasks first send ids alone; vectors come from those tasks that hold some of the first
+    some = rows.where(F.col("id") <= F.lit(ids[-1])) if len(ids) == entries and ids[-1] is not None else rows
+    first = some.orderBy(order, "v").limit(entries).select("v").collect()
     if not first:
         return None
     books = np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2).copy()

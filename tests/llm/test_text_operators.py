@@ -1,8 +1,10 @@
 """Per-document operators against brute force, with their edge cases."""
 
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,32 @@ def test_packing_round_trip(spark):
     assert len(by_sequence) <= -(-total // 1024) + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_complements_fill_sequences_and_never_lose_to_best_fit(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 100): rng.randint(1, 30) for _ in range(60)}
+    exact = packing.complements(counts, 100)
+    assert exact and all(sum(slots) == 100 and 1 <= len(slots) <= 4 for slots, _ in exact)
+    spent = {x: sum(slots.count(x) * n for slots, n in exact) for x in counts}
+    assert all(spent[x] <= n for x, n in counts.items())
+    left = [x for x in counts for _ in range(min(4, counts[x] - spent[x]))]  # no length has a complement of one to three left
+    sums = {0: 1} | {sum(c): 1 for k in (1, 2, 3, 4) for c in itertools.combinations(left[:40], k)}
+    assert 100 not in sums
+    plan = packing.plan_patterns(counts, 100)
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 100))
+
+
+def test_the_query_uses_pairs_and_triples(spark, sf):
+    rows = packing.query(spark, sf).select("sequence_id", "length").collect()
+    sizes, filled = Counter(r["sequence_id"] for r in rows), Counter()
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    exact = Counter(sizes[s] for s, n in filled.items() if n == 1024)
+    assert exact[2] and exact[3] and exact[4]
+    lengths = Counter(r["length"] for r in rows)
+    assert len(sizes) <= min(193, sum(n for _, n in packing.best_fit(dict(lengths))))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_up_all_counts(seed):
     rng = random.Random(seed)
