@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators.scorers import linear_logits, linear_probabilities_by
+from plumbline.operators.scorers import linear_logits
 from plumbline.session import checkpointed, sized
 
 TRIGGER = 0.35
@@ -82,15 +82,42 @@ def strip_scan(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights
     return sample_entropy(scored), overall, trojan_finding(overall)
 
 
+#: Numbers that the scorers and their overlays' logits may hold together to be broadcast.
+BROADCAST_CELLS = 4_000_000
+
+
 def strip_by_model(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, draws: int = 20, alpha: float = 0.5) -> DataFrame:
-    """The finding of each model of ``weights`` (model_id, label, centroid), keyed by model_id.
+    """The finding of each model of ``weights`` (model_id, label, centroid), keyed by model_id; ``overall_by_model`` says how."""
+    return trojan_finding(overall_by_model(samples, overlays, n_overlays, weights, draws, alpha), ("model_id",))
+
+
+def overall_by_model(samples: DataFrame, overlays: DataFrame, n_overlays: int, weights: DataFrame, draws: int = 20, alpha: float = 0.5, trigger: float = TRIGGER) -> DataFrame:
+    """The ``entropy_overall`` row of each model.
 
-    Every model scores every blend; models of equal weights are scored once.
+    The logits of a blend are the blend of the logits. So a scorer meets every sample and every overlay
+    once; a scorer's overlays are one short array of logits, and a sample's blends are made of two short
+    arrays inside its own row, which sends the sums of their entropies on. Models of equal weights are
+    scored once. Scorers are broadcast while they and their overlays hold at most ``BROADCAST_CELLS`` numbers.
     """
     each = weights.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("w"))
     each = checkpointed(each.withColumn("scorer", F.sha2(F.to_json("w"), 256)))
-    sets = sized(checkpointed(each.select("scorer", "w").dropDuplicates(["scorer"])), 1000)
-    scored = linear_probabilities_by(blends(pair_with_overlays(samples, overlays, n_overlays, draws), alpha), sets, "vector")
-    overall = each.select("model_id", "scorer").join(entropy_overall(scored, by=("scorer",)), "scorer", "left")
-    overall = overall.withColumns({"variants": F.coalesce("variants", F.lit(0)), "triggered": F.coalesce("triggered", F.lit(False))})
-    return trojan_finding(overall, ("model_id",))
+    scorers = each.select("scorer", "w").dropDuplicates(["scorer"])
+    logits = lambda vector: E.let(E.doubles(F.col(vector)), lambda v: F.transform("w", lambda w: E.dot(v, w["centroid"])))
+    over = overlays.select("position", "overlay").crossJoin(scorers).select("scorer", F.struct("position", logits("overlay").alias("l")).alias("o"))
+    over = over.groupBy("scorer").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["l"]).alias("over"))
+    sets = checkpointed(scorers.join(over, "scorer"))
+    size = sets.agg(F.max(F.size("w") * (F.size(F.col("w")[0]["centroid"]) + n_overlays))).first()[0] or 1
+    own = samples.select("id", "vector").crossJoin(sized(sets, max(1, BROADCAST_CELLS // size)))
+    own = own.select("scorer", "id", "over", logits("vector").alias("own"))
+
+    def entropies(over, own):
+        picked = lambda k: F.element_at(over, (E.hash_pick(F.col("id"), k, F.lit(n_overlays)) + 1).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: E.entropy_bits(E.softmax(E.blend(own, picked(k), alpha))))
+
+    h = own.select("scorer", entropies(F.col("over"), F.col("own")).alias("h"))
+    h = h.select("scorer", F.size("h").alias("n"), E.total(F.col("h")).alias("s"), E.total(F.transform("h", lambda x: x * x)).alias("q"), F.array_min("h").alias("low"))
+    row = h.groupBy("scorer").agg(F.sum("n").alias("variants"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("low").alias("min_entropy"))
+    mean = F.col("s") / F.col("variants")
+    row = row.select("scorer", "variants", mean.alias("mean_entropy"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("variants") - mean * mean)).alias("std_entropy"), "min_entropy")
+    out = each.select("model_id", "scorer").join(row, "scorer", "left")
+    return out.select("model_id", "mean_entropy", "std_entropy", "min_entropy", F.coalesce("variants", F.lit(0)).alias("variants"), F.coalesce(F.col("mean_entropy") < trigger, F.lit(False)).alias("triggered"))

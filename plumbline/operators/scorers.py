@@ -34,12 +34,6 @@ def linear_probabilities(df: DataFrame, weights: DataFrame, vector: str, label:
     return linear_logits(df, weights, vector, label).withColumn("probs", E.softmax(F.col("logits"))).drop("logits")
 
 
-def linear_probabilities_by(df: DataFrame, sets: DataFrame, vector: str) -> DataFrame:
-    """Each row of ``df`` under each of ``sets`` (scorer, w), w being an array of (label, centroid) in label order, with ``probs``."""
-    logits = E.let(E.doubles(F.col(vector)), lambda v: F.transform("w", lambda w: E.dot(v, w["centroid"])))
-    return df.crossJoin(sets).withColumn("probs", E.softmax(logits)).drop("w")
-
-
 def score_vectors(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], vector: str = "pixels", batch: int = 64) -> DataFrame:
     """``df`` with ``probs``: ``scorer`` maps (rows, width) to logits, ``batch`` rows at a time; softmax follows, always.
 

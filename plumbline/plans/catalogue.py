@@ -635,14 +635,18 @@ def manifest_check(spark, sf):
 
 
 def _nodes(spark, sf) -> DataFrame:
-    kind = F.when(F.col("event_type") == "click", "Relu").when(F.col("event_type") == "view", "Conv").otherwise(F.initcap("event_type"))
+    """Clicks and views are nodes of allowed operators, all of them in turn; other events of operators that are not; some of a foreign domain."""
+    allowed = F.element_at(F.array(*map(F.lit, inventory.ALLOWED_OPERATORS)), (F.col("event_id") % len(inventory.ALLOWED_OPERATORS) + 1).cast("int"))
+    kind = F.when(F.col("event_type").isin("click", "view"), allowed).otherwise(F.initcap("event_type"))
     return table(spark, sf, "events").select(F.col("user_id").alias("model_id"), F.col("event_id").cast("string").alias("node_path"), F.when(F.col("event_id") % 97 == 0, "custom.domain").otherwise("").alias("domain"), kind.alias("op_type"))
 
 
-_NODES = """nodes AS (SELECT user_id AS model_id, event_id, CASE WHEN event_id % 97 = 0 THEN 'custom.domain' ELSE '' END AS domain, CASE event_type WHEN 'click' THEN 'Relu' WHEN 'view' THEN 'Conv' ELSE upper(event_type[1]) || event_type[2:] END AS op_type FROM events)"""
+_ALLOWED = "[" + ", ".join(f"'{name}'" for name in inventory.ALLOWED_OPERATORS) + "]"
+_NODES = f"""nodes AS (SELECT user_id AS model_id, event_id, CASE WHEN event_id % 97 = 0 THEN 'custom.domain' ELSE '' END AS domain,
+  CASE WHEN event_type IN ('click', 'view') THEN {_ALLOWED}[event_id % {len(inventory.ALLOWED_OPERATORS)} + 1] ELSE upper(event_type[1]) || event_type[2:] END AS op_type FROM events)"""
 
 
-@query("allowlist_audit", f"WITH {_NODES} SELECT op_type, count(*) AS nodes, count(DISTINCT model_id) AS models FROM nodes WHERE op_type NOT IN ('Relu', 'Conv') GROUP BY 1")
+@query("allowlist_audit", f"WITH {_NODES} SELECT op_type, count(*) AS nodes, count(DISTINCT model_id) AS models FROM nodes WHERE NOT list_contains({_ALLOWED}, op_type) GROUP BY 1")
 def allowlist_audit(spark, sf):
     return inventory.disallowed_operators(_nodes(spark, sf)).groupBy("op_type").agg(F.count("*").alias("nodes"), F.count_distinct("model_id").alias("models"))
 
@@ -652,7 +656,7 @@ def domain_audit(spark, sf):
     return inventory.disallowed_domains(_nodes(spark, sf)).groupBy("offence").agg(F.count("*").alias("nodes"))
 
 
-@query("operator_inventory", f"WITH {_NODES} SELECT model_id, count(*) AS n_nodes, list_sort(list(DISTINCT op_type)) AS operators, coalesce(list_sort(list(DISTINCT op_type) FILTER (WHERE op_type NOT IN ('Relu', 'Conv'))), []::VARCHAR[]) AS disallowed, count(*) <= 50000 AS within_limit FROM nodes GROUP BY 1")
+@query("operator_inventory", f"WITH {_NODES} SELECT model_id, count(*) AS n_nodes, list_sort(list(DISTINCT op_type)) AS operators, coalesce(list_sort(list(DISTINCT op_type) FILTER (WHERE NOT list_contains({_ALLOWED}, op_type))), []::VARCHAR[]) AS disallowed, count(*) <= 50000 AS within_limit FROM nodes GROUP BY 1")
 def operator_inventory(spark, sf):
     return inventory.operator_inventory(_nodes(spark, sf))
 
@@ -665,6 +669,19 @@ def _inputs(spark, sf) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("input_name"), F.col("l_linenumber").cast("int").alias("dim_pos"), value.alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))
 
 
+def _filled(spark, sf) -> DataFrame:
+    """Inputs of finished orders are filled by initializers."""
+    return table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("name"))
+
+
+#: The dims of what is fed, the elements of each input, and the violations of each model.
+_FED = """fed AS (SELECT o_custkey AS model_id, o_orderkey AS i, l_linenumber AS pos, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 0 ELSE l_partkey % 97 END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'),
+el AS (SELECT model_id, i, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN v IS NULL OR v = 0 THEN 1 ELSE v END::HUGEINT)), lambda a, b: a * b) AS p FROM fed GROUP BY 1, 2)"""
+_WALL = f"""{_NODES}, {_FED},
+v AS (SELECT model_id, 'DISALLOWED_OPERATOR: ' || op_type AS x FROM nodes WHERE NOT list_contains({_ALLOWED}, op_type) UNION ALL SELECT model_id, 'DISALLOWED_DOMAIN: ' || domain || '::' || op_type FROM nodes WHERE domain <> ''
+  UNION ALL SELECT model_id, 'INPUT_ELEMENTS: ' || i FROM el WHERE p > 16000000 UNION ALL SELECT model_id, 'TOTAL_INPUT_ELEMENTS' FROM el GROUP BY 1 HAVING sum(p) > 16000000)"""
+
+
 @query(
     "input_budget",
     """WITH d AS (SELECT o_custkey AS model_id, o_orderkey AS i, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 0 ELSE l_partkey % 97 END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -684,52 +701,65 @@ SELECT model_id, sum(p)::DOUBLE AS total_elements, max(p)::DOUBLE AS largest_inp
 )
 def feed_budget(spark, sf):
     """The budget of what is fed: inputs of finished orders are filled by initializers."""
-    filled = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("name"))
-    out = inventory.input_budget(inventory.feed_inputs(_inputs(spark, sf), filled))
+    out = inventory.input_budget(inventory.feed_inputs(_inputs(spark, sf), _filled(spark, sf)))
     return out.withColumns({c: F.col(c).cast("double") for c in ("total_elements", "largest_input")})
 
 
-@query("graph_io", "WITH i AS (SELECT o_custkey AS m, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), o AS (SELECT o_custkey AS m, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT c_custkey AS model_id, coalesce(i.n, 0) AS n_inputs, coalesce(o.n, 0) AS n_outputs, CASE WHEN i.n IS NULL THEN 'NO_INPUTS' WHEN o.n IS NULL THEN 'NO_OUTPUTS' ELSE 'OK' END AS status FROM customer LEFT JOIN i ON i.m = c_custkey LEFT JOIN o ON o.m = c_custkey")
+@query(
+    "graph_io",
+    """WITH d AS (SELECT o_custkey AS m, o_orderkey AS i, string_agg(d, ',' ORDER BY l_linenumber, d) AS s FROM (SELECT o_custkey, o_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN '?' WHEN l_partkey % 13 = 0 THEN '0' ELSE (l_partkey % 97)::VARCHAR END AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1, 2),
+i AS (SELECT m, count(*) AS n, string_agg(i || '[' || s || ']', '|' ORDER BY i || '[' || s || ']') AS shapes FROM d GROUP BY 1), o AS (SELECT o_custkey AS m, count(*) AS n, string_agg(o_orderkey || '[batch,10]', '|' ORDER BY o_orderkey || '[batch,10]') AS shapes FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT c_custkey AS model_id, coalesce(i.n, 0) AS n_inputs, coalesce(o.n, 0) AS n_outputs, i.shapes AS inputs, o.shapes AS outputs, CASE WHEN i.n IS NULL THEN 'NO_INPUTS' WHEN o.n IS NULL THEN 'NO_OUTPUTS' ELSE 'OK' END AS status FROM customer LEFT JOIN i ON i.m = c_custkey LEFT JOIN o ON o.m = c_custkey""",
+)
 def graph_io(spark, sf):
-    outputs = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("output_name"), F.lit(0).alias("dim_pos"), F.lit(10).cast("bigint").alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))
+    """Outputs have a batch dim by name and ten classes."""
+    dim = F.explode(F.array(F.struct(F.lit(0).alias("dim_pos"), F.lit(None).cast("bigint").alias("dim_value"), F.lit("batch").alias("dim_param")), F.struct(F.lit(1).alias("dim_pos"), F.lit(10).cast("bigint").alias("dim_value"), F.lit(None).cast("string").alias("dim_param"))))
+    outputs = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("model_id"), F.col("o_orderkey").cast("string").alias("output_name"), dim.alias("d")).select("model_id", "output_name", "d.*")
     models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"))
-    return inventory.graph_io_check(models, _inputs(spark, sf), outputs).select("model_id", "n_inputs", "n_outputs", "status")
+    return inventory.graph_io_check(models, _inputs(spark, sf), outputs).select("model_id", "n_inputs", "n_outputs", F.array_join("inputs", "|").alias("inputs"), F.array_join("outputs", "|").alias("outputs"), "status")
 
 
 @query(
     "firewall_report",
-    f"""WITH {_NODES}, v AS (SELECT model_id, 'DISALLOWED_OPERATOR: ' || op_type AS x FROM nodes WHERE op_type NOT IN ('Relu', 'Conv') UNION ALL SELECT model_id, 'DISALLOWED_DOMAIN: ' || domain || '::' || op_type FROM nodes WHERE domain <> ''
-UNION ALL SELECT o_custkey, 'INPUT_ELEMENTS: ' || i FROM (SELECT o_custkey, o_orderkey AS i, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 OR l_partkey % 97 = 0 THEN 1 ELSE l_partkey % 97 END::HUGEINT)), lambda a, b: a * b) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE p > 16000000
-UNION ALL SELECT m, 'TOTAL_INPUT_ELEMENTS' FROM (SELECT o_custkey AS m, sum(p) AS t FROM (SELECT o_custkey, o_orderkey, list_reduce(list_prepend(1::HUGEINT, list(CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 OR l_partkey % 97 = 0 THEN 1 ELSE l_partkey % 97 END::HUGEINT)), lambda a, b: a * b) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1) WHERE t > 16000000)
-SELECT c_custkey AS model_id, count(x) AS n_violations, md5(coalesce(string_agg(x, '|' ORDER BY x), '')) AS digest, count(x) = 0 AS passed FROM customer LEFT JOIN v ON v.model_id = c_custkey GROUP BY 1""",
+    f"""WITH {_WALL} SELECT c_custkey AS model_id, count(x) AS n_violations, md5(coalesce(string_agg(x, '|' ORDER BY x), '')) AS digest, count(x) = 0 AS passed FROM customer LEFT JOIN v ON v.model_id = c_custkey GROUP BY 1""",
 )
 def firewall_report(spark, sf):
     models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"))
-    none = spark.createDataFrame([], "model_id long, name string")
-    rows = inventory.firewall_report(models, _nodes(spark, sf), _inputs(spark, sf), none)
+    rows = inventory.firewall_report(models, _nodes(spark, sf), _inputs(spark, sf), _filled(spark, sf))
     return rows.select("model_id", F.size("violations").cast("bigint").alias("n_violations"), F.md5(F.array_join("violations", "|")).alias("digest"), "passed")
 
 
+def _artifacts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers are models, every fourth of them approved, every 17th of a bad format; errors are a scanner's issues."""
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), (F.col("c_custkey") % 17 != 0).alias("format_ok"))
+    manifest = models.where("model_id % 4 = 0").select(F.col("model_id").alias("position"), "model_id", "sha256")
+    return models, manifest, _issues(spark, sf)
+
+
+def _issues(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
+
+
+#: Findings of the gate: (subject_id, pos, finding_type, title, r).
+_GATE = f"""{_WALL}, m AS (SELECT c_custkey AS id, c_custkey % 17 <> 0 AS ok FROM customer),
+gate AS (SELECT DISTINCT id AS subject_id, 0 AS pos, 'ONNX_GRAPH_FIREWALL' AS finding_type, 'ONNX Graph Firewall Violation' AS title, 100.0 AS r FROM m JOIN v ON model_id = id
+  UNION ALL SELECT id, 1, 'INVALID_FILE_FORMAT', 'Invalid Artifact Format', 100.0 FROM m WHERE NOT ok UNION ALL SELECT id, 2, 'MANIFEST_MISMATCH', 'Unapproved Model Hash / Manifest Mismatch', 95.0 FROM m WHERE id % 4 <> 0
+  UNION ALL SELECT DISTINCT id, 3, 'UNSAFE_SERIALIZATION_INDICATOR', 'ModelScan Unsafe Serialization Detection', 100.0 FROM m JOIN events ON user_id = id WHERE event_type = 'error' AND ok)"""
+
+
 @query(
     "safety_gate",
-    """WITH s AS (SELECT user_id AS model_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), m AS (SELECT c_custkey AS id, sha256(c_custkey::VARCHAR) AS h, c_custkey % 17 <> 0 AS ok FROM customer),
-f AS (SELECT id AS subject_id, 1 AS pos, 'INVALID_FILE_FORMAT' AS finding_type, 100.0 AS r FROM m WHERE NOT ok UNION ALL SELECT id, 2, 'MANIFEST_MISMATCH', 95.0 FROM m WHERE id % 4 <> 0 UNION ALL SELECT id, 3, 'UNSAFE_SERIALIZATION_INDICATOR', 100.0 FROM m JOIN s ON model_id = id WHERE ok)
-SELECT subject_id, count(*) AS n_findings, round(avg(r), 2)::DOUBLE AS mean_risk, string_agg(finding_type, ',' ORDER BY pos) AS findings FROM f GROUP BY 1""",
+    f"""WITH {_GATE} SELECT subject_id, count(*) AS n_findings, round(avg(r), 2)::DOUBLE AS mean_risk, string_agg(finding_type, ',' ORDER BY pos) AS findings FROM gate GROUP BY 1""",
 )
 def safety_gate(spark, sf):
-    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), (F.col("c_custkey") % 17 != 0).alias("format_ok"))
-    manifest = models.where("model_id % 4 = 0").select(F.col("model_id").alias("position"), "model_id", "sha256")
-    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
-    nodes = _nodes(spark, sf).where("domain = ''").withColumn("op_type", F.lit("Relu"))
-    inputs = _inputs(spark, sf).withColumn("dim_value", F.lit(1).cast("bigint"))
-    found = inventory.safety_gate(models, manifest, nodes, inputs, spark.createDataFrame([], "model_id long, name string"), issues)
+    models, manifest, issues = _artifacts(spark, sf)
+    found = inventory.safety_gate(models, manifest, _nodes(spark, sf), _inputs(spark, sf), _filled(spark, sf), issues)
     return found.groupBy("subject_id").agg(F.count("*").alias("n_findings"), F.round(F.avg("risk_score"), 2).alias("mean_risk"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding_type"))), lambda x: x["finding_type"]), ",").alias("findings"))
 
 
-@query("issue_rollup", "SELECT user_id AS model_id, count(*) AS n_issues, 'UNSAFE_SERIALIZATION_INDICATOR' AS finding_type FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("issue_rollup", "SELECT user_id AS model_id, count(*) AS n_issues, md5(string_agg(concat_ws(': ', 'HIGH', props), '|' ORDER BY concat_ws(': ', 'HIGH', props))) AS issues, 'UNSAFE_SERIALIZATION_INDICATOR' AS finding_type FROM events WHERE event_type = 'error' GROUP BY 1")
 def issue_rollup(spark, sf):
-    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
-    return inventory.issue_rollup(issues).drop("issues")
+    return inventory.issue_rollup(_issues(spark, sf)).withColumn("issues", F.md5(F.array_join("issues", "|")))
 
 
 @query("artifact_precheck", "SELECT url AS path, CASE WHEN length(html) > 3000 THEN 'FILE_NOT_FOUND' WHEN NOT ends_with(lower(url), '/') THEN 'INVALID_FILE_EXTENSION' WHEN length(html) = 0 THEN 'EMPTY_FILE' ELSE 'OK' END AS status FROM pages")
@@ -987,22 +1017,53 @@ def scan_dataset(spark, sf):
     return pipelines.scan_dataset(_samples(spark, sf).withColumn("shape", F.array(F.lit(8), F.lit(8))), "training_eval", hash_bits=56)
 
 
-@query("scan_model")
+def _model_weights(spark, sf, models: DataFrame) -> DataFrame:
+    """The tables hold no models: every fifth has sharper weights, whose predictions no overlay unsettles; some lie between."""
+    sharp = F.when(F.col("model_id") % 5 == 0, 1000.0).when(F.col("model_id") % 5 == 1, 40.0).otherwise(1.0)
+    return models.select("model_id").crossJoin(F.broadcast(scorers.centroids(_embeddings(spark, sf)))).withColumn("centroid", F.transform("centroid", lambda x: x * sharp))
+
+
+def _strip_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = _embeddings(spark, sf)
+    samples = rows.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return samples, rows.where("vec_id < 50").select(F.col("vec_id").alias("position"), F.col("embedding").alias("overlay"))
+
+
+#: Mean, deviation and least entropy of the blends of odd samples under each sharpness of the weights.
+_STRIP = f"""{_SCORE}, o AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS o FROM embeddings WHERE vec_id < 50),
+d AS (SELECT vec_id AS id, k, embedding::DOUBLE[] AS s, ('0x' || substr(md5(vec_id || ':' || k), 1, 8))::BIGINT % 50 AS pos FROM embeddings, range(0, 20) t(k) WHERE vec_id % 2 = 1),
+bl AS (SELECT id, k, list_transform(list_zip(s, o), lambda z: z[1] * 0.5 + z[2] * 0.5) AS v FROM d JOIN o USING (pos)),
+lo AS (SELECT sharp, list_transform({_LOGITS}, lambda a: a * sharp) AS l FROM bl, w, (VALUES (1000.0::DOUBLE), (40.0::DOUBLE), (1.0::DOUBLE)) AS t(sharp)), ex AS (SELECT sharp, list_transform(l, lambda a: exp(a - list_max(l))) AS e FROM lo),
+pr AS (SELECT sharp, list_transform(e, lambda a: a / list_sum(e)) AS p FROM ex), en AS (SELECT sharp, -list_sum(list_transform(p, lambda a: greatest(a, 1e-12) * log2(greatest(a, 1e-12)))) AS h FROM pr),
+strip AS (SELECT sharp, avg(h) AS m, stddev_pop(h) AS s, min(h) AS lo, count(*) AS n FROM en GROUP BY 1),
+sharps AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 1000.0 WHEN 1 THEN 40.0 ELSE 1.0 END::DOUBLE AS sharp FROM customer)"""
+
+
+@query("strip_models", f"WITH {_STRIP} SELECT id AS model_id, round(m, 4) AS mean_entropy, round(s, 4) AS std_entropy, round(lo, 4) AS min_entropy, n AS variants, m < 0.35 AS triggered FROM sharps JOIN strip USING (sharp)")
+def strip_models(spark, sf):
+    """The entropy of many models over the same samples and overlays."""
+    out = entropy.overall_by_model(*_strip_inputs(spark, sf), 50, _model_weights(spark, sf, _artifacts(spark, sf)[0]))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_entropy", "std_entropy", "min_entropy")})
+
+
+@query(
+    "scan_model",
+    f"""WITH {_GATE}, {_STRIP}, {_CDF.replace("v AS", "dv AS", 1).replace("FROM v GROUP", "FROM dv GROUP").replace("c AS (SELECT dim", "dc AS (SELECT dim").replace("FROM c WINDOW", "FROM dc WINDOW")}, {_TAMPER},
+drift AS (SELECT avg(ks) AS k FROM ks),
+found AS (SELECT subject_id, pos, finding_type, title, r, 3 AS rank, true AS gate FROM gate
+  UNION ALL SELECT chain_id, -1, 'BROKEN_AUDIT_CHAIN', 'Broken Audit Ledger Chain', 100.0, 3, true FROM bad JOIN m ON chain_id = id WHERE b IS NOT NULL
+  UNION ALL SELECT id, 9, NULL, CASE WHEN x.m < 0.35 THEN 'High-Strength Trojan Indicator' ELSE 'Trojan Behavioral Analysis Passed' END, CASE WHEN x.m < 0.35 THEN 95.0 ELSE 5.0 END, 3, x.m < 0.35 FROM m JOIN sharps USING (id) JOIN strip x USING (sharp) WHERE ok
+  UNION ALL SELECT id, 10, NULL, 'distribution-shift / input-anomaly indicator', CASE WHEN k >= 0.5 THEN 70.0 WHEN k >= 0.25 THEN 40.0 ELSE 0.0 END, CASE WHEN k >= 0.5 OR k < 0.25 THEN 3 ELSE 2 END, false FROM m, drift),
+each AS (SELECT subject_id, count(*) AS n, round(avg(r), 2)::DOUBLE AS mean, max(rank) AS rank, coalesce(list(title ORDER BY pos) FILTER (WHERE gate), []::VARCHAR[]) AS hard_gates FROM found GROUP BY 1)
+SELECT subject_id, n AS n_findings, CASE WHEN len(hard_gates) > 0 THEN 'QUARANTINE' WHEN mean >= 50 THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict, CASE WHEN len(hard_gates) > 0 THEN greatest(mean, 95.0) ELSE mean END AS risk_score,
+  ['LOW', 'MEDIUM', 'HIGH'][rank] AS evidence_strength, len(hard_gates) > 0 AS hard_gate_fired, hard_gates FROM each""",
+)
 def scan_model(spark, sf):
-    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), (F.col("c_custkey") % 17 != 0).alias("format_ok"))
-    manifest = models.where("model_id % 4 = 0").select(F.col("model_id").alias("position"), "model_id", "sha256")
-    issues = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("model_id"), F.lit("HIGH").alias("severity"), F.col("props").alias("description"))
-    nodes = _nodes(spark, sf)
-    none = spark.createDataFrame([], "model_id long, name string")
+    models, manifest, issues = _artifacts(spark, sf)
     rows = _embeddings(spark, sf)
     chains = provenance.validate_chain(_tampered(spark, sf)).withColumnRenamed("chain_id", "subject_id")
-    live = rows.where("vec_id % 2 = 1")
-    samples = live.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    overlays = rows.where("vec_id < 50").select(F.col("vec_id").alias("position"), F.col("embedding").alias("overlay"))
-    # the tables hold no models: every fifth has sharper weights, whose predictions no overlay unsettles
-    sharp = F.when(F.col("model_id") % 5 == 0, 1000.0).otherwise(1.0)
-    weights = models.select("model_id").crossJoin(F.broadcast(scorers.centroids(rows))).withColumn("centroid", F.transform("centroid", lambda x: x * sharp))
-    return pipelines.scan_models(models, manifest, nodes, _inputs(spark, sf), none, issues, rows.where("vec_id % 2 = 0"), live, chains, samples, overlays, 50, weights)
+    samples, overlays = _strip_inputs(spark, sf)
+    return pipelines.scan_models(models, manifest, _nodes(spark, sf), _inputs(spark, sf), _filled(spark, sf), issues, rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), chains, samples, overlays, 50, _model_weights(spark, sf, models))
 
 
 # ------------------------------------------------------------ shapes and charts

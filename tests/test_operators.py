@@ -377,3 +377,21 @@ def test_forest_over_many_rows_sends_a_bounded_sample(spark):
     odd = df.where("id < 500").unionByName(spark.createDataFrame([(100_000, [9.0, 9.0, 9.0])], "id long, vector array<double>"))
     scores = {r["id"]: r["score"] for r in anomalies.score_isolation_forest(odd, anomalies.fit_isolation_forest(df.unionByName(odd.where("id = 100000")), trees=10, sample=64), 64).collect()}
     assert min(scores, key=scores.get) == 100_000
+
+
+def test_entropy_by_model_equals_scoring_every_blend(spark):
+    rng = np.random.default_rng(5)
+    samples = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(12)], "id long, vector array<double>")
+    overlays = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(6)], "position long, overlay array<double>")
+    sets = {m: rng.normal(size=(3, 4)) * s for m, s in ((1, 1.0), (2, 30.0), (3, 0.1))}
+    sets[4] = sets[2]  # scored once
+    weights = spark.createDataFrame([(m, c, w[c].tolist()) for m, w in sets.items() for c in range(3)], "model_id long, label int, centroid array<double>")
+    got = {r["model_id"]: r for r in entropy.overall_by_model(samples, overlays, 6, weights, draws=7).collect()}
+    for m, w in sets.items():
+        own = spark.createDataFrame([(c, w[c].tolist()) for c in range(3)], "label int, centroid array<double>")
+        scored = scorers.linear_probabilities(entropy.blends(entropy.pair_with_overlays(samples, overlays, 6, 7)), own, "vector")
+        want = entropy.entropy_overall(scored).first()
+        assert got[m]["variants"] == want["variants"] == 84 and got[m]["triggered"] == want["triggered"]
+        assert all(abs(got[m][c] - want[c]) < 1e-9 for c in ("mean_entropy", "std_entropy", "min_entropy"))
+    none = entropy.overall_by_model(samples.limit(0), overlays, 6, weights).collect()
+    assert [(r["variants"], r["triggered"]) for r in none] == [(0, False)] * 4
