@@ -167,28 +167,3 @@ def dataset_risk(duplicate: DataFrame, anomaly: DataFrame) -> DataFrame:
     dup, odd = F.col("n_pairs") > 0, F.col("n_anomalies") > 0
     risk = F.when(dup & odd, F.round(F.least(F.lit(98.0), F.greatest("d", "a") + 0.15 * F.least("d", "a")), 1)).when(dup | odd, F.greatest("d", "a")).otherwise(0.0)
     return row.select(F.col("d").alias("duplicate_risk"), F.col("a").alias("anomaly_risk"), risk.alias("risk"), F.when(dup | odd, "MEDIUM").otherwise("HIGH").alias("evidence_strength"), F.when(dup | odd, "REVIEW").otherwise("ACCEPT").alias("verdict"))
-
-
-def embed(samples: DataFrame, side: int, dim: int = 64, seed: int = 42, filters: int = 8) -> DataFrame:
-    """(id, vector): a fixed, never-trained projection of side x side pixels.
-
-    3x3 filters, rectified and averaged over a 4x4 grid, then an orthogonal map; weights come from
-    the seed alone, so the result is the same in every task and run.
-    """
-    rng = np.random.default_rng(seed)
-    kernels = rng.normal(0, 1 / 3, (filters, 3, 3))
-    grid = np.array_split(np.arange(side), 4)
-    mix, _ = np.linalg.qr(rng.normal(size=(max(dim, filters * 16), max(dim, filters * 16))))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.column(1).to_pylist():  # a row at a time: sums are in one order whatever the batch holds
-                padded = np.pad(np.array(row, dtype=float).reshape(side, side), 1)
-                maps = sum(kernels[:, a, b, None, None] * padded[None, a : a + side, b : b + side] for a in range(3) for b in range(3))
-                maps = np.maximum(maps, 0)
-                pooled = np.stack([maps[:, r][:, :, c].mean(axis=(1, 2)) for r in grid for c in grid], axis=1).reshape(-1)
-                out.append((pooled[:, None] * mix[: len(pooled), :dim]).sum(axis=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
-
-    return samples.select("id", E.doubles(F.col("pixels")).alias("pixels")).mapInArrow(run, "id long, vector array<double>")

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import exprs as E
+from plumbline.functions import counter
 
 
-def synthesize_samples(spark: SparkSession, n: int, side: int = 28, seed: int = 0) -> DataFrame:
-    """(id, label, pixels): uniform background up to 0.3 and a 4x4 patch of +0.7 placed by the label."""
+def synthesize_samples(spark: SparkSession, n: int, side: int = 28, seed: int = 5) -> DataFrame:
+    """``samples_of`` the ids 0 to n - 1."""
+    return samples_of(spark.range(n), side, seed)
+
+
+def samples_of(ids: DataFrame, side: int = 28, seed: int = 5) -> DataFrame:
+    """(id, label, pixels) of ids: uniform background up to 0.3 and a 4x4 patch of +0.7 placed by the label."""
     label = (F.col("id") % 10).cast("int")
     top, left = (2 * label) % 20 + 2, (2 * label + 1) % 20 + 2
 
     def pixel(i):
         row, column = F.floor(i / side), i % side
         inside = (row >= top) & (row < top + 4) & (column >= left) & (column < left + 4)
-        return F.least(E.uniform(F.col("id") + F.lit(seed) * 1_000_003, i, 5) * 0.3 + F.when(inside, 0.7).otherwise(0.0), F.lit(1.0)).cast("float")
+        return F.least(counter.unit(F.col("id"), i, seed=seed) * 0.3 + F.when(inside, 0.7).otherwise(0.0), F.lit(1.0)).cast("float")
 
-    return spark.range(n).select("id", label.alias("label"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel).alias("pixels"))
+    return ids.select("id", label.alias("label"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel).alias("pixels"))
 
 
 def inject_duplicates(df: DataFrame, mapping: DataFrame, value: str = "pixels") -> DataFrame:
@@ -35,7 +40,7 @@ def inject_outliers(df: DataFrame, ids: list[int], kind: str, side: int, value:
     """Rows of ``ids`` become a checkerboard, a constant 0.95, or get a burst of bright noise in the middle."""
     pixels = F.col(value)
     low, high = side * 2 // 7, side * 5 // 7
-    burst = F.transform(pixels, lambda x, i: F.when((F.floor(i / side).between(low, high - 1)) & (i % side).between(low, high - 1), 0.7 + 0.3 * E.uniform(F.col("id"), i, 9)).otherwise(x).cast("float"))
+    burst = F.transform(pixels, lambda x, i: F.when((F.floor(i / side).between(low, high - 1)) & (i % side).between(low, high - 1), 0.7 + 0.3 * counter.unit(F.col("id"), i, seed=9)).otherwise(x).cast("float"))
     new = {"checkerboard": checkerboard(side), "constant": F.transform(pixels, lambda x: F.lit(0.95).cast("float")), "burst": burst}[kind]
     return df.withColumn(value, F.when(F.col("id").isin(*ids), new).otherwise(pixels))
 
@@ -47,5 +52,10 @@ def inject_trigger(df: DataFrame, side: int, poisoned: Column, target: int = 0,
 
 
 def shifted_batch(spark: SparkSession, n: int, width: int = 784, reach: float = 10.0) -> DataFrame:
-    """(id, pixels): the same sine wave in every row."""
-    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.sin(i * (reach / (width - 1))).cast("float")).alias("pixels"))
+    """``waves_of`` the ids 0 to n - 1."""
+    return waves_of(spark.range(n), width, reach)
+
+
+def waves_of(ids: DataFrame, width: int = 784, reach: float = 10.0) -> DataFrame:
+    """(id, pixels) of ids: the same sine wave in every row."""
+    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.sin(i * (reach / (width - 1))).cast("float")).alias("pixels"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import counter
 from plumbline.functions import exprs as E
-from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
+from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, scorers, stability, triage
 from plumbline.plans import pipelines
 from plumbline.session import checkpointed, table
 from plumbline.streaming import streams
@@ -496,9 +496,22 @@ def anomaly_points(spark, sf):
     return anomalies.chart_points(_forest_scores(spark, sf), anomalies.pca_2d(vectors))
 
 
-@query("anomaly_embed")
+_PROJECTION = embedders.FixedProjection(8)
+_KERNELS = "[" + ", ".join(f"{k!r}::DOUBLE" for k in _PROJECTION.kernels.ravel().tolist()) + "]"
+_SIGNS = "[" + ", ".join(f"{k:.0f}" for k in _PROJECTION.signs.tolist()) + "]"
+
+
+@query(
+    "anomaly_embed",
+    f"""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {_KERNELS} AS k, {_SIGNS} AS s FROM embeddings),
+pos AS (SELECT f, g, p, p // 2 + g // 4 * 2 AS r, p % 2 + g % 4 * 2 AS c FROM range(8) a(f), range(16) b(g), range(4) d(p)),
+lit AS (SELECT id, f, g, greatest(0.0, list_sum(list_transform(range(9), lambda t: k[f * 9 + t + 1] * CASE WHEN r + t // 3 BETWEEN 1 AND 8 AND c + t % 3 BETWEEN 1 AND 8 THEN v[(r + t // 3 - 1) * 8 + c + t % 3] ELSE 0.0 END))) AS y FROM x, pos),
+pooled AS (SELECT id, list(y ORDER BY q) AS y FROM (SELECT id, f * 16 + g AS q, sum(y) / 4 AS y FROM lit GROUP BY 1, 2) GROUP BY 1)
+SELECT id, list_transform(range(64), lambda j: round(list_sum(list_transform(range(128), lambda q: y[q + 1] * s[q + 1] * CASE WHEN bit_count((37 * j + 11) % 128 & q) % 2 = 0 THEN 1 ELSE -1 END)) / sqrt(128), 6)) AS vector FROM pooled JOIN x USING (id)""",
+)
 def anomaly_embed(spark, sf):
-    return anomalies.embed(_embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels")), 8)
+    rows = embedders.embed(_embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels")), _PROJECTION)
+    return rows.select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 # A score that SQL can follow: minus the distance from the mean vector.
@@ -998,10 +1011,45 @@ def inject_trigger(spark, sf):
     return changed.select("id", "label", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
 
 
-@query("inject_outliers", "SELECT vec_id AS id, round(CASE WHEN vec_id IN (3, 5, 8) THEN 32.0 ELSE list_sum(embedding::DOUBLE[]) END, 4) AS total FROM embeddings")
+_BURST = f"CASE WHEN z[2] // 8 BETWEEN 2 AND 4 AND z[2] % 8 BETWEEN 2 AND 4 THEN (0.7::DOUBLE + 0.3::DOUBLE * {counter.unit_sql('id', 'z[2]', seed=9)})::FLOAT ELSE z[1] END"
+
+
+@query(
+    "inject_outliers",
+    f"""WITH e AS (SELECT vec_id AS id, embedding AS p FROM embeddings)
+SELECT kind, id, round(CASE WHEN id NOT IN (3, 5, 8) THEN list_sum(p::DOUBLE[]) WHEN kind = 'checkerboard' THEN 32.0 WHEN kind = 'constant' THEN 64 * 0.95::FLOAT::DOUBLE ELSE list_sum(list_transform(list_zip(p, range(64)), lambda z: {_BURST})::DOUBLE[]) END, 4) AS total
+FROM e, (VALUES ('checkerboard'), ('constant'), ('burst')) AS t(kind)""",
+)
 def inject_outliers(spark, sf):
     rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
-    return generators.inject_outliers(rows, [3, 5, 8], "checkerboard", 8).select("id", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
+    each = [generators.inject_outliers(rows, [3, 5, 8], kind, 8).select(F.lit(kind).alias("kind"), "id", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total")) for kind in ("checkerboard", "constant", "burst")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(
+    "synthesize_samples",
+    f"""WITH c AS (SELECT c_custkey AS id, (c_custkey % 10)::INTEGER AS label FROM customer), b AS (SELECT id, label, 2 * label % 20 + 2 AS t, (2 * label + 1) % 20 + 2 AS l FROM c)
+SELECT id, label, round(list_sum(list_transform(range(784), lambda i: least({counter.unit_sql('id', 'i', seed=5)} * 0.3::DOUBLE + CASE WHEN i // 28 BETWEEN t AND t + 3 AND i % 28 BETWEEN l AND l + 3 THEN 0.7::DOUBLE ELSE 0.0 END, 1.0)::FLOAT::DOUBLE)), 4) AS total FROM b""",
+)
+def synthesize_samples(spark, sf):
+    """A synthetic image for each customer's id."""
+    rows = generators.samples_of(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
+    return rows.select("id", "label", F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"))
+
+
+@query(
+    "shifted_drift",
+    """WITH v AS (SELECT true AS ref, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings UNION ALL SELECT false, sin(i * (10.0::DOUBLE / 63))::FLOAT::DOUBLE, i FROM embeddings, range(64) t(i) WHERE vec_id % 2 = 1),
+n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT dim, min(value) AS w FROM v WHERE NOT ref GROUP BY 1),
+k AS (SELECT dim, greatest(count(*) FILTER (WHERE value < w), n.n - count(*) FILTER (WHERE value <= w))::DOUBLE / n.n AS ks FROM v JOIN w USING (dim), n WHERE ref GROUP BY dim, n.n)
+SELECT dim, round(ks, 6) AS ks FROM k""",
+)
+def shifted_drift(spark, sf):
+    """A batch of sine waves, one for each odd sample, against all samples: every dimension drifts."""
+    rows = _embeddings(spark, sf)
+    waves = generators.waves_of(rows.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id")), 64)
+    values = drift.explode_dims(rows, "embedding", "ref").unionByName(drift.explode_dims(waves, "pixels", "live"))
+    return drift.ks_per_dim(values).select("dim", F.round("ks", 6).alias("ks"))
 
 
 @query(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators import anomalies, drift, duplicates, entropy, generators, inventory, policy, provenance, scorers, stability, triage
+from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, scorers, stability, triage
 from plumbline.plans import pipelines
 from plumbline.sources import readers
 
@@ -107,9 +107,20 @@ def test_isolation_forest_flags_outliers(spark):
 
 
 def test_embedding_is_fixed(spark):
-    samples = generators.synthesize_samples(spark, 20, side=16)
-    a, b = (anomalies.embed(s.select("id", "pixels"), 16).orderBy("id").collect() for s in (samples, samples.repartition(3)))
-    assert a == b and len(a[0]["vector"]) == 64
+    samples = generators.synthesize_samples(spark, 70, side=16)
+    fixed = embedders.FixedProjection(16)
+    a, b, c = (embedders.embed(s.select("id", "pixels"), fixed, batch=n).orderBy("id").collect() for s, n in ((samples, 64), (samples.repartition(3), 1), (samples.repartition(5), 7)))
+    assert a == b == c and len(a[0]["vector"]) == 64
+    mix = fixed.mix()
+    assert np.allclose(mix @ mix.T, np.eye(64))
+    other = embedders.embed(samples.select("id", "pixels"), embedders.FixedProjection(16, seed=99)).orderBy("id").collect()
+    assert other != a
+
+
+def test_any_embedder(spark):
+    samples = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "id string, pixels array<float>")
+    got = embedders.embed(samples, lambda x: x.sum(axis=1, keepdims=True)).collect()
+    assert sorted(tuple(r) for r in got) == [("a", [3.0]), ("b", [7.0])]
 
 
 def test_stability_without_calibration(spark):
