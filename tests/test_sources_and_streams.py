@@ -100,3 +100,44 @@ def test_scan_dataset_flags_copies(spark):
     rows = rows.withColumn("hash", E.dhash(F.col("pixels"), 8, 8)).withColumn("shape", F.array(F.lit(9), F.lit(8)))
     report = scan_dataset(rows, "no such role", 56).first()
     assert report["n_exact"] == 1 and report["verdict"] == "REVIEW" and report["role"] == "training_eval"
+
+
+def test_late_events_within_the_bound_give_the_batch_chain(spark, tmp_path):
+    schema = "chain_id long, seq long, model_sha256 string, manifest string, ts_us long"
+    event = lambda c, s: (c, s, "ab" * 32, f'{{"k":{s}}}', 1000 * s)
+    arriving = [[0, 2, 5], [1, 3, 9], [4, 8, 7], [6, 20], [2, 13, 12], [40]]  # 2 comes a second time, far too late
+    for part, seqs in enumerate(arriving):
+        df = spark.createDataFrame([event(c, s + (part == 5) * c) for c in (1, 2) for s in seqs], schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streams.stream_ledger(live, late_us=8000).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.table("late").collect()
+    kept = sorted({s for seqs in arriving[:5] for s in seqs})
+    want = provenance.build_chain(spark.createDataFrame([event(c, s) for c in (1, 2) for s in kept], schema)).collect()
+    assert {(r["chain_id"], r["seq"], r["event_hash"]) for r in got if r["status"] == "APPENDED"} == {(r["chain_id"], r["seq"], r["event_hash"]) for r in want}
+    assert sorted((r["chain_id"], r["seq"], r["event_hash"]) for r in got if r["status"] == "LATE") == [(1, 2, None), (2, 2, None)]
+
+
+def test_summaries_stay_within_their_stated_error(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    batches = [np.concatenate([rng.normal(i / 20, 1, 700), np.round(rng.normal(0, 1, 300), 1)]) for i in range(7)]
+    for part, values in enumerate(batches):
+        rows = [(part * 10_000 + i, [float(v), float(-v * v)]) for i, v in enumerate(values)]
+        spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / f"b{part}"))
+    seen = {}
+    (tmp_path / "in").mkdir()
+    for part in range(len(batches)):
+        (file,) = (tmp_path / f"b{part}").glob("*.parquet")
+        file.rename(tmp_path / "in" / f"{part}.parquet")
+        live = spark.readStream.schema("id long, embedding array<double>").parquet(str(tmp_path / "in"))
+        writer = streams.stream_drift_from_past(live, str(tmp_path / "past"), lambda df, n: seen.update({n: {r["dim"]: (r["ks"], r["error"]) for r in df.collect()}}), k=60)
+        writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[0] == {} and len(seen) == len(batches)
+    for n in range(1, len(batches)):
+        for dim, f in ((0, lambda v: v), (1, lambda v: -v * v)):
+            now, past = np.sort(f(batches[n])), np.sort(f(np.concatenate(batches[:n])))
+            at = np.concatenate([now, past])
+            exact = np.abs(np.searchsorted(now, at, "right") / len(now) - np.searchsorted(past, at, "right") / len(past)).max()
+            ks, error = seen[n][dim]
+            assert abs(ks - exact) <= error + 1e-9 and 0 < error < 0.06
