@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed
+from plumbline.operators.ranges import scan
 
 ELEVATED, HIGH = 0.25, 0.50
 
@@ -15,34 +15,13 @@ def explode_dims(df: DataFrame, vector: str, side: str) -> DataFrame:
     return df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "value")).withColumn("side", F.lit(side))
 
 
-def running(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """``rows`` with, for each column c, ``c_upto`` (its sum in ``group`` up to the row in ``order``) and ``c_total``, and ``next`` (the following ``order``).
-
-    Ranges of (group, order) are summed apart and start from what the ranges before them hold, so one
-    large group spreads over tasks. ``order`` is distinct within a group.
-    """
-    parts = checkpointed(rows.repartitionByRange(group, order).withColumn("part", F.spark_partition_id()))
-    sums = parts.groupBy(group, "part").agg(*(F.sum(c).alias(c) for c in columns), F.min(order).alias("first"))
-    after = Window.partitionBy(group).orderBy("part")  # a row a range
-    before, whole = after.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(group)
-    starts = sums.select(
-        group, "part", F.lead("first").over(after).alias("next_first"),
-        *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns), *(F.sum(c).over(whole).alias(f"{c}_total") for c in columns),
-    )
-    within = Window.partitionBy(group, "part").orderBy(order)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parts.select("*", F.lead(order).over(within).alias("next"), *(F.sum(c).over(upto).alias(f"{c}_upto") for c in columns))
-    joined = local.join(starts, [group, "part"])
-    return joined.select(*rows.columns, F.coalesce("next", "next_first").alias("next"), *((F.col(f"{c}_upto") + F.col(f"{c}_before")).alias(f"{c}_upto") for c in columns), *(f"{c}_total" for c in columns))
-
-
 def ecdf(values: DataFrame) -> DataFrame:
     """(dim, value, f_ref, f_live, next_value): both empirical distribution functions at every observed value.
 
     Equal values are counted first, so sums run over distinct values, in ranges that spread over tasks.
     """
     counts = values.groupBy("dim", "value").agg(F.count(F.when(F.col("side") == "ref", 1)).alias("r"), F.count(F.when(F.col("side") == "live", 1)).alias("l"))
-    summed = running(counts, "dim", "value", ["r", "l"]).where("r_total > 0 and l_total > 0")
+    summed = scan(counts, "dim", "value", sums=("r", "l"), lead=True).where("r_total > 0 and l_total > 0")
     return summed.select("dim", "value", (F.col("r_upto") / F.col("r_total")).alias("f_ref"), (F.col("l_upto") / F.col("l_total")).alias("f_live"), F.col("next").alias("next_value"))
 
 

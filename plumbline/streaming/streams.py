@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import exprs as E
 from plumbline.operators import drift, policy, sketches
 from plumbline.operators.provenance import event_payload
+from plumbline.operators.ranges import scan
 from plumbline.operators.triage import triage
 from plumbline.session import checkpointed
 
@@ -95,8 +96,8 @@ def windowed_drift(events: DataFrame, ts: str, value: str, width: str = "1 day")
     """
     counts = events.select(F.window(ts, width).start.alias("dim"), F.col(value).alias("value")).where(F.col("value").isNotNull()).groupBy("dim", "value").agg(F.count("*").alias("l"))
     whole = counts.groupBy("value").agg(F.sum("l").alias("all")).withColumn("one", F.lit(1))
-    own = drift.running(counts, "dim", "value", ["l"]).drop("next")
-    rows = own.join(drift.running(whole, "one", "value", ["all"]).drop("next", "one"), "value").where("all_total > l_total")
+    own = scan(counts, "dim", "value", sums=("l",))
+    rows = own.join(scan(whole, "one", "value", sums=("all",)).drop("one"), "value").where("all_total > l_total")
 
     def gap(upto, all_upto):
         return F.abs(upto / F.col("l_total") - (all_upto - upto) / (F.col("all_total") - F.col("l_total")))

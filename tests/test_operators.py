@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as E
-from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, scorers, stability, triage
+from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, ranges, scorers, stability, triage
 from plumbline.plans import pipelines
 from plumbline.sources import readers
 
@@ -406,3 +406,42 @@ def test_entropy_by_model_equals_scoring_every_blend(spark):
         assert all(abs(got[m][c] - want[c]) < 1e-9 for c in ("mean_entropy", "std_entropy", "min_entropy"))
     none = entropy.overall_by_model(samples.limit(0), overlays, 6, weights).collect()
     assert [(r["variants"], r["triggered"]) for r in none] == [(0, False)] * 4
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scans_over_ranges_equal_windows(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for group in [None, "a", "b", "c", "longest"]:
+        for k in range({"longest": 150, "a": 1}.get(group, rng.randint(2, 25))):
+            rows.append((group, k * rng.choice([1, 1, 3]) + k, rng.choice([None, rng.randint(-5, 5)]), rng.choice([None, f"h{rng.randint(0, 9)}"])))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o long, v long, h string").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rng.choice(["3", "7", "10000"]))
+    try:
+        got = ranges.scan(df, "g", "o", sums=("v",), lags=("h",), maxima=("v",), lead=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for group in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: r[1])
+        for i, r in enumerate(own):
+            earlier = [x[2] for x in own[:i] if x[2] is not None]
+            want.append((*r, sum(x[2] or 0 for x in own[: i + 1]), sum(x[2] or 0 for x in own), own[i - 1][3] if i else None, max(earlier) if earlier else None, own[i + 1][1] if i + 1 < len(own) else None))
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert ranges.scan(df.limit(0), "g", "o", sums=("v",), lead=True).count() == 0
+
+
+def test_one_long_chain_spreads_over_tasks(spark):
+    events = spark.range(20_000).select(F.lit(7).alias("chain_id"), F.col("id").alias("seq"), F.sha2(F.lit("m"), 256).alias("model_sha256"), F.lit("{}").alias("manifest"), (F.col("id") * 10).alias("ts_us"))
+    built = provenance.well_formed(provenance.build_chain(events))
+    assert provenance.validate_chain(built).collect()[0]["status"] == "VALID_AUDIT_CHAIN (20000 events verified)"
+    bad = built.withColumn("ts_us", F.when(F.col("seq") == 15_000, 5).otherwise(F.col("ts_us")))
+    assert provenance.validate_chain(bad).collect()[0]["status"] == "INCORRECT_EVENT_HASH (Line 15001)"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        checked = provenance.validate_events(built, "chain_id")
+        assert checked.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and checked.where("code is not null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
