@@ -7,6 +7,8 @@ artifacts; part and lineitem give input dimensions. Floats are rounded alike in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from plumbline.functions import counter
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, scorers, stability, triage
 from plumbline.plans import pipelines
-from plumbline.session import checkpointed, table
+from plumbline.session import checkpointed, ensure_checkpoint_dir, table
+from plumbline.sources import arrays, readers
 from plumbline.streaming import streams
 
 QUERIES: dict = {}
@@ -1114,6 +1117,47 @@ def scan_model(spark, sf):
     return pipelines.scan_models(models, manifest, _nodes(spark, sf), _inputs(spark, sf), _filled(spark, sf), issues, rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), chains, samples, overlays, 50, _model_weights(spark, sf, models))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("array_files", "SELECT round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding)::BIGINT AS width, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def array_files(spark, sf):
+    """All vectors written as .npy files and read back by row ranges."""
+    folder = _folder(spark, "arrays")
+    checkpointed(arrays.write_arrays(_embeddings(spark, sf), folder, "embedding"))  # writes
+    rows = readers.read_samples(spark, folder, "npy", whole=0)
+    return rows.groupBy(F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"), F.element_at("shape", 1).cast("bigint").alias("width")).agg(F.count("*").alias("n"))
+
+
+_WIDE = "[" + ", ".join("[" + ", ".join(f"{w!r}::DOUBLE" for w in row) + "]" for row in E.resize_weights(8, 9)) + "]"
+_BITS = " + ".join(f"(CASE WHEN r[{y * 9 + x + 1}] > r[{y * 9 + x + 2}] THEN {1 << (31 - (y % 4 * 8 + x))} ELSE 0 END)::BIGINT" for y in range(4) for x in range(8))
+
+
+@query(
+    "scan_images",
+    f"""WITH g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(greatest(0.0, least(255.0, 128 + 255 * x::DOUBLE)))::INTEGER) AS p FROM embeddings),
+r AS (SELECT id, list_transform(range(72), lambda i: round(list_sum(list_transform(range(8), lambda k: {_WIDE}[i % 9 + 1][k + 1] * (p[i // 9 * 8 + k + 1] / 255.0::DOUBLE))), 9)) AS r FROM g)
+SELECT id, 'PNG' AS format, lower(printf('%08x', hi) || printf('%08x', lo)) AS hash, 'UNGUARANTEED' AS status, 'UNGUARANTEED_NO_CALIBRATION' AS finding_type, 0.0::DOUBLE AS risk_score
+FROM (SELECT id, {_BITS} AS hi, {_BITS.replace("r[", "r[36 + ")} AS lo FROM r)
+UNION ALL SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'REJECTED_GIF' ELSE 'PNG' END, NULL, 'REJECTED', 'REJECTED_MALFORMED_IMAGE', 100.0 FROM pages WHERE page_id % 50 < 2""",
+)
+def scan_images(spark, sf):
+    """Vectors as PNG files of 8 x 8 gray pixels, and some pages' bytes behind leading bytes of images; hashes and outcomes of all, without a calibration."""
+    folder = _folder(spark, "images")
+    gray = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 255 * x.cast("double")))).cast("int"))
+    written = checkpointed(arrays.write_images(_embeddings(spark, sf).select(F.concat(F.lit("v"), "vec_id").alias("name"), gray.alias("pixels")), folder, 8))
+    head = F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("474946383961"))).otherwise(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452000000080000000808000000")))
+    broken = table(spark, sf, "pages").where("page_id % 50 < 2").select(F.concat(F.lit("p"), "page_id", F.lit(".png")).alias("path"), F.concat(head, F.encode(F.col("html"), "UTF-8")).alias("content"))
+    files = readers.read_artifacts(spark, folder).select("path", "length", "content", "sha256")
+    files = files.unionByName(broken.select("path", F.length("content").cast("bigint").alias("length"), "content", F.sha2("content", 256).alias("sha256")))
+    none = spark.createDataFrame([], "num_samples long, mean_entropy double, anomaly_entropy_threshold double, max_prediction_distribution_distance double, max_flip_rate_threshold double, max_js_divergence_threshold double, pred_class_distribution array<double>")
+    score = lambda df: scorers.linear_probabilities(df.withColumn("vector", F.slice("vector", 1, 64)), scorers.centroids(_embeddings(spark, sf)), "vector")
+    out = pipelines.scan_images(files, readers.read_images(spark, folder), score, none, side=8)
+    return out.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("id"), "format", "hash", "status", "finding_type", "risk_score")
+
+
 # ------------------------------------------------------------ shapes and charts
 
 

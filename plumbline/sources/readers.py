@@ -5,30 +5,27 @@ from __future__ import annotations
 import io
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources import arrays
+
 LEDGER_FIELDS = ("previous_event_hash", "event_hash", "timestamp", "model_sha256", "provenance_manifest")
 
 
-def read_samples(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+def read_samples(spark: SparkSession, path: str, kind: str = "parquet", whole: int = arrays.WHOLE) -> DataFrame:
     """Samples: Parquet as it is, or npy / npz files (first array), a row per first-axis entry.
 
-    Array files give (path, sample_id, shape, pixels, error); one that cannot be read gives one row with ``error``.
+    Array files give (path, sample_id, shape, pixels, error); one that cannot be read gives one row with
+    ``error``. A .npy file beyond ``whole`` bytes is read by row ranges, many tasks a file (``arrays``); an
+    .npz file is compressed and is read by one task.
     """
     if kind == "parquet":
         return spark.read.parquet(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
 
     def load(batches):
-        names = ["path", "sample_id", "shape", "pixels", "error"]
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.string()]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
         for rows in batches:
             for name, content in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 try:
@@ -38,14 +35,18 @@ def read_samples(spark: SparkSession, path: str, kind: str = "parquet") -> DataF
                     if array.ndim < 1:
                         raise ValueError("no first axis")
                 except Exception as error:  # any unreadable file is a row, not a failed job
-                    yield batch([(name, None, None, None, str(error)[:200])])
+                    yield arrays.batch_of([(name, None, None, None, str(error)[:200])])
                     continue
                 shape = list(array.shape[1:])
                 for i in range(0, len(array), 1000):
                     part = array[i : i + 1000].reshape(len(array[i : i + 1000]), -1).astype(np.float32)
-                    yield batch([(name, i + k, shape, row, None) for k, row in enumerate(part)])
+                    yield arrays.batch_of([(name, i + k, shape, row, None) for k, row in enumerate(part)])
 
-    return files.select("path", "content").mapInArrow(load, "path string, sample_id long, shape array<int>, pixels array<float>, error string")
+    small = files.where(F.col("length") <= whole) if kind == "npy" else files
+    rows = small.select("path", "content").mapInArrow(load, arrays.SAMPLES)
+    if kind != "npy":
+        return rows
+    return rows.unionByName(arrays.read_ranges(arrays.array_ranges(files.where(F.col("length") > whole))))
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:

@@ -141,3 +141,39 @@ def test_summaries_stay_within_their_stated_error(spark, tmp_path):
             exact = np.abs(np.searchsorted(now, at, "right") / len(now) - np.searchsorted(past, at, "right") / len(past)).max()
             ks, error = seen[n][dim]
             assert abs(ks - exact) <= error + 1e-9 and 0 < error < 0.06
+
+
+def test_large_arrays_are_read_by_ranges(spark, tmp_path):
+    from plumbline.sources import arrays
+
+    data = np.arange(7 * 6, dtype=np.float64).reshape(7, 2, 3)
+    np.save(tmp_path / "rows.npy", data)
+    np.save(tmp_path / "ints.npy", np.arange(5, dtype=np.int16))
+    np.save(tmp_path / "columns.npy", np.asfortranarray(data.reshape(7, 6)))
+    np.save(tmp_path / "empty.npy", np.zeros((0, 4), np.float32))
+    (tmp_path / "junk.npy").write_bytes(b"junk" * 30)
+    (tmp_path / "short.npy").write_bytes((tmp_path / "rows.npy").read_bytes()[:-8])
+    files = spark.createDataFrame([(f"file:{p}",) for p in sorted(map(str, tmp_path.glob("*.npy")))], "path string")
+    ranges = arrays.array_ranges(files, size=96)  # two rows of 48 bytes
+    plan = {(r["path"].rsplit("/", 1)[1], r["first"], r["rows"]) for r in ranges.collect() if r["error"] is None}
+    assert {x for x in plan if x[0] == "rows.npy"} == {("rows.npy", 0, 2), ("rows.npy", 2, 2), ("rows.npy", 4, 2), ("rows.npy", 6, 1)} and not any(x[0] == "empty.npy" for x in plan)
+    rows = arrays.read_ranges(ranges).collect()
+    got = {(r["path"].rsplit("/", 1)[1], r["sample_id"]): (r["shape"], r["pixels"]) for r in rows if r["error"] is None}
+    assert all(got["rows.npy", i] == ([2, 3], data[i].ravel().tolist()) for i in range(7)) and got["ints.npy", 3] == ([], [3.0])
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["columns.npy", "junk.npy", "short.npy"]
+    both = readers.read_samples(spark, str(tmp_path), "npy", whole=200)
+    assert both.where("error is null and path like '%rows.npy'").count() == 7 and both.where("path like '%ints.npy'").count() == 5
+
+
+def test_arrays_and_images_written_and_read(spark, tmp_path):
+    from plumbline.sources import arrays
+
+    df = spark.range(250).select(F.array(*(F.col("id") * k for k in range(3))).alias("pixels"))
+    written = arrays.write_arrays(df.repartition(3), str(tmp_path / "a"), rows=40).collect()
+    assert sum(r["rows"] for r in written) == 250
+    back = readers.read_samples(spark, str(tmp_path / "a"), "npy", whole=0).collect()
+    assert sorted(tuple(r["pixels"]) for r in back) == [(0.0, float(i), 2.0 * i) for i in range(250)]
+    images = spark.createDataFrame([(f"i{i}", [(i * 7 + k) % 256 for k in range(12)]) for i in range(5)], "name string, pixels array<int>")
+    assert arrays.write_images(images, str(tmp_path / "p"), 4).count() == 5
+    seen = {r["origin"].rsplit("/", 1)[1]: (r["height"], r["width"], list(r["data"])) for r in readers.read_images(spark, str(tmp_path / "p")).collect()}
+    assert seen["i3.png"] == (3, 4, [(21 + k) % 256 for k in range(12)])
