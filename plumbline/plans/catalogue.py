@@ -273,11 +273,56 @@ def difference_hash(spark, sf):
     return _embeddings(spark, sf).select(F.col("vec_id").alias("id"), E.dhash(F.col("embedding"), 8, 8).alias("hash"))
 
 
-@query("resized_hash")
+#: Weights from 8 to 9 pixels across, and half of the bits of the hash over them.
+_WIDE = "[" + ", ".join("[" + ", ".join(f"{w!r}::DOUBLE" for w in row) + "]" for row in E.resize_weights(8, 9)) + "]"
+_BITS = " + ".join(f"(CASE WHEN r[{y * 9 + x + 1}] > r[{y * 9 + x + 2}] THEN {1 << (31 - (y % 4 * 8 + x))} ELSE 0 END)::BIGINT" for y in range(4) for x in range(8))
+
+
+@query(
+    "resized_hash",
+    f"""WITH r AS (SELECT vec_id AS id, list_transform(range(72), lambda i: list_sum(list_transform(range(8), lambda k: {_WIDE}[i % 9 + 1][k + 1] * embedding[i // 9 * 8 + k + 1]::DOUBLE))) AS r FROM embeddings)
+SELECT id, lower(printf('%08x', {_BITS}) || printf('%08x', {_BITS.replace("r[", "r[36 + ")})) AS hash FROM r""",
+)
 def resized_hash(spark, sf):
     return triage.image_hashes(_embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels")), 8)
 
 
+def _tall(spark, sf) -> DataFrame:
+    """(id, pixels, hash): embeddings as 9 x 8 pixels, the last eight being the first again, and perturbed copies; hashes of 64 bits."""
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("pixels"))
+    rows = rows.withColumn("pixels", F.concat("pixels", F.slice("pixels", 1, 8)))
+    moved = F.transform("pixels", lambda x, i: F.when(i == 10, x + 0.25).otherwise(x))
+    copies = rows.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), moved.alias("pixels"))
+    return rows.unionByName(copies).withColumn("hash", E.dhash(F.col("pixels"), 9, 8))
+
+
+_HASH_64 = " + ".join(f"(CASE WHEN p[{r * 9 + c + 1}] > p[{r * 9 + c + 2}] THEN {1 << (63 - (r * 8 + c))} ELSE 0 END)::UBIGINT" for r in range(8) for c in range(8))
+
+
+@query(
+    "dup_near_pairs_64",
+    f"""WITH e AS (SELECT vec_id AS id, list_concat(embedding, embedding[1:8])::DOUBLE[] AS p FROM embeddings),
+s AS (SELECT id, p FROM e UNION ALL SELECT id + 1000000, list_transform(p, lambda x, i: CASE WHEN i = 11 THEN x + 0.25 ELSE x END) FROM e WHERE id % 50 = 0), h AS (SELECT id, p, {_HASH_64} AS h FROM s),
+b AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.h, b.h)) AS hamming, list_sum(list_transform(list_zip(a.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 72 AS mse, a.p = b.p AS exact FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4)
+SELECT i, j, hamming::INTEGER AS hamming, round(mse, 6) AS mse, exact FROM b WHERE exact OR mse <= 0.001""",
+)
+def dup_near_pairs_64(spark, sf):
+    return duplicates.near_duplicate_pairs(_tall(spark, sf), 64)
+
+
+@query("hash_seeds", "SELECT doc_id, ('0x' || substr(sha256(coalesce(text, '')), 1, 8))::BIGINT AS seed FROM documents")
+def hash_seeds(spark, sf):
+    """The noise seed that a document's digest gives."""
+    return table(spark, sf, "documents").select("doc_id", E.seed_from_hash(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("seed"))
+
+
+@query("load_failures", "SELECT url AS subject_id, 'UNGUARANTEED_CORRUPT_DATASET' AS finding_type, 100.0::DOUBLE AS risk_score, 'HIGH' AS evidence_strength, true AS is_hard_gate, 'not an array: ' || length(html) || ' characters' AS explanation FROM pages WHERE length(html) % 3 = 0")
+def load_failures(spark, sf):
+    """Pages as files, a third of which could not be read."""
+    error = F.when(F.length("html") % 3 == 0, F.concat(F.lit("not an array: "), F.length("html").cast("string"), F.lit(" characters")))
+    return pipelines.load_failure_report(table(spark, sf, "pages").select(F.col("url").alias("path"), error.alias("error")))
+
+
 _SOFT = """x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 e AS (SELECT id, v, list_transform(v, lambda a: exp(a - list_max(v))) AS w FROM x), p AS (SELECT id, list_transform(w, lambda a: a / list_sum(w)) AS p FROM e)"""
 
@@ -797,10 +842,18 @@ def roles(spark, sf):
 # ------------------------------------------------------------ triage
 
 
-@query("sniff_formats", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'REJECTED_GIF' WHEN 3 THEN 'REJECTED_PDF' WHEN 4 THEN 'REJECTED_SVG' ELSE 'UNKNOWN' END AS format FROM pages")
+#: Leading bytes of every kind of file that is told apart, in hex.
+_HEADS = (*(magic for magic, _ in E.MAGIC), "524946460000000057454250", "52494646000000005741564520", "20203C537647", "0A3C737667", "", "89504E47")
+
+
+@query(
+    "sniff_formats",
+    f"""SELECT page_id, ['PNG', 'JPEG', 'REJECTED_GIF', 'REJECTED_GIF', 'REJECTED_TIFF', 'REJECTED_TIFF', 'REJECTED_PDF', 'REJECTED_ARCHIVE', 'REJECTED_ARCHIVE', 'REJECTED_ARCHIVE', 'REJECTED_ARCHIVE', 'REJECTED_EXECUTABLE', 'REJECTED_EXECUTABLE',
+'WEBP', 'UNKNOWN', 'REJECTED_SVG', 'REJECTED_SVG', 'UNKNOWN', 'UNKNOWN'][page_id % {len(_HEADS)} + 1] AS format FROM pages""",
+)
 def sniff_formats(spark, sf):
-    heads = F.array(*(F.lit(h) for h in ("89504E470D0A1A0A", "FFD8FFE0", "474946383961", "25504446", "20203C537647", "")))
-    content = F.concat(F.unhex(F.element_at(heads, (F.col("page_id") % 6 + 1).cast("int"))), F.col("html").cast("binary"))
+    heads = F.array(*map(F.lit, _HEADS))
+    content = F.concat(F.unhex(F.element_at(heads, (F.col("page_id") % len(_HEADS) + 1).cast("int"))), F.col("html").cast("binary"))
     return table(spark, sf, "pages").select("page_id", E.sniff_format(E.head_hex(content)).alias("format"))
 
 
@@ -1131,9 +1184,6 @@ def array_files(spark, sf):
     return rows.groupBy(F.round(E.total(E.doubles(F.col("pixels"))), 4).alias("total"), F.element_at("shape", 1).cast("bigint").alias("width")).agg(F.count("*").alias("n"))
 
 
-_WIDE = "[" + ", ".join("[" + ", ".join(f"{w!r}::DOUBLE" for w in row) + "]" for row in E.resize_weights(8, 9)) + "]"
-_BITS = " + ".join(f"(CASE WHEN r[{y * 9 + x + 1}] > r[{y * 9 + x + 2}] THEN {1 << (31 - (y % 4 * 8 + x))} ELSE 0 END)::BIGINT" for y in range(4) for x in range(8))
-
 
 @query(
     "scan_images",
