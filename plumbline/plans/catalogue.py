@@ -538,7 +538,37 @@ def anomaly_scores(spark, sf):
     return anomalies.flag_anomalies(_forest_scores(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("anomaly_points")
+def _power_sql(name: str, source: str, squarings: int = 24) -> str:
+    """The leading eigenvector of the matrix ``source`` (i, j, x), by squaring it: ``name`` (i, x), its largest entry positive."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM {source}) AS x FROM {source})"]
+    for k in range(squarings):
+        out += [
+            f"{name}s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY 1, 2)",
+            f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM {name}s{k}) AS x FROM {name}s{k})",
+        ]
+    last = f"{name}{squarings}"
+    out += [
+        f"{name}c AS (SELECT i, x FROM {last} WHERE j = (SELECT arg_max(j, x) FROM {last} WHERE i = j))",
+        f"{name} AS MATERIALIZED (SELECT i, x / (SELECT sqrt(sum(x * x)) FROM {name}c) * (SELECT sign(arg_max(x, abs(x))) FROM {name}c) AS x FROM {name}c)",
+    ]
+    return ",\n".join(out)
+
+
+_PCA = f"""cells AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centred AS MATERIALIZED (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cells),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM centred a JOIN centred b ON a.id = b.id GROUP BY 1, 2),
+{_power_sql("pa", "cov")},
+lam AS (SELECT sum(u.x * c.x * v.x) AS l FROM cov c JOIN pa u ON u.i = c.i JOIN pa v ON v.i = c.j),
+rest AS MATERIALIZED (SELECT c.i, c.j, c.x - l * u.x * v.x AS x FROM cov c JOIN pa u ON u.i = c.i JOIN pa v ON v.i = c.j, lam),
+{_power_sql("pb", "rest")},
+coords AS MATERIALIZED (SELECT id, sum(c.x * a.x) AS x, sum(c.x * b.x) AS y FROM centred c JOIN pa a USING (i) JOIN pb b USING (i) GROUP BY 1),
+most AS (SELECT max(greatest(abs(x), abs(y))) AS m FROM coords)"""
+
+
+@query(
+    "anomaly_points",
+    f"WITH {_FOREST}, {_PCA} SELECT id, round(x / CASE WHEN m > 1e-6 THEN m ELSE 1 END, 4) AS x, round(y / CASE WHEN m > 1e-6 THEN m ELSE 1 END, 4) AS y, round(score, 4) AS score, score < -0.07 AS is_anomaly FROM coords JOIN sc USING (id), most",
+)
 def anomaly_points(spark, sf):
     vectors = _vectors(spark, sf)
     return anomalies.chart_points(_forest_scores(spark, sf), anomalies.pca_2d(vectors))
