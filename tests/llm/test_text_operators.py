@@ -448,3 +448,55 @@ def test_edge_rows(spark):
     assert {r["score"] for r in quality.score_quality(docs, quality.fit_quality(docs, no_labels)).collect()} == {0.5}
     assert {r["toxic"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, no_labels)).collect()} == {False}
     assert quality_rules.judge_rules(none, quality_rules.fit_rules(none, labels)).count() == quality.keep_quality(none, quality.fit_quality(none, labels)).count() == 0
+
+
+# ------------------------------------------------------------ selection of words and thresholds
+
+
+def test_words_are_selected_as_by_hand(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for i in range(300):
+        toxic = i % 4 == 0
+        words = rng.choices(vocabulary, k=rng.randint(0, 12)) + (["bad"] * rng.randint(0, 3) if toxic else []) + (["nice"] if not toxic and rng.random() < 0.8 else [])
+        rng.shuffle(words)
+        rows.append((" ".join(words), float(toxic)))
+    sample = spark.createDataFrame(rows, "text string, target double").repartition(4)
+    n_yes, n_no = sum(t for _, t in rows), sum(1 - t for _, t in rows)
+    want, own = {}, set()
+    for word in {w for text, _ in rows for w in text.split()}:
+        yes, no = sum(t for text, t in rows if word in text.split()), sum(1 - t for text, t in rows if word in text.split())
+        if yes + no < 3:
+            continue
+        a, b = yes + 0.5, no + 0.5
+        z = (np.log(a / (n_yes + 1 - a)) - np.log(b / (n_no + 1 - b))) / np.sqrt(1 / a + 1 / (n_yes + 1 - a) + 1 / b + 1 / (n_no + 1 - b))
+        if abs(z) >= 3:
+            want[word] = z
+        if no == 0 and z >= 3 and yes >= max(3, 0.02 * n_yes):
+            own.add(word)
+    hashed = {}
+    for word in want:
+        data = np.frombuffer(word.encode(), np.uint8)
+        hashed[word] = toxicity._words(data, np.array([0, len(data)]))[1][0]
+    chosen, only = toxicity._select(sample, int(n_yes), int(n_no), 50)
+    assert {"bad", "nice"} <= set(want) and "bad" in own
+    assert chosen.tolist() == sorted(hashed.values()) and only.tolist() == sorted(hashed[w] for w in own)
+    strongest = sorted(want, key=lambda w: -abs(want[w]))[:1]
+    assert toxicity._select(sample, int(n_yes), int(n_no), 1)[0].tolist() == [hashed[w] for w in strongest]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_threshold_is_the_middle_of_the_best(seed):
+    draw = np.random.default_rng(seed)
+    toxic = draw.random(200) < 0.3
+    probability = np.clip(draw.normal(0.3 + 0.4 * toxic, 0.15), 0, 1)
+    worth = {}
+    for k in range(91):
+        t = 0.05 + 0.01 * k
+        caught = sum(1 for p, y in zip(probability, toxic, strict=True) if y and p >= t - 1e-12) / toxic.sum()
+        false = sum(1 for p, y in zip(probability, toxic, strict=True) if not y and p >= t - 1e-12) / (~toxic).sum()
+        worth[t] = caught - 5 * false
+    best = [t for t, w in worth.items() if w >= max(worth.values()) - 1e-9]
+    assert abs(toxicity.choose_least(probability, toxic) - best[len(best) // 2]) < 1e-9
+    assert toxicity.choose_least(probability, np.zeros(200, bool)) == toxicity.choose_least(probability, np.ones(200, bool)) == 0.5
