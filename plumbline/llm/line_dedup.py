@@ -85,6 +85,11 @@ def _place() -> Column:
     return F.struct("id", "k1", "pos")
 
 
+def _place_hash(place: str = "") -> Column:
+    """A place as one number: what is broadcast of a class tells its first place from its others by this alone."""
+    return F.xxhash64(*(f"{place}{c}" for c in ("id", "k1", "pos")))
+
+
 def line_prefixes(rows: DataFrame, least: int) -> DataFrame:
     """(id, k1, k2, pos, h1, h2, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words."""
     lines = rows.select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -97,10 +102,10 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
 
     Nodes are numbered in the order of the lines' places.
     """
-    firsts = lines.join(sized(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (_place() == F.col("first")))
+    firsts = lines.join(sized(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (_place_hash() == F.col("first")))
     counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     shared = keep(counts.where("n > 1"))
-    found = keep(firsts.select("h1", "h2", F.posexplode("prefix").alias("i", "token")).join(sized(shared, SHARED), "token"))
+    found = keep(firsts.select("h1", "h2", F.posexplode("prefix").alias("i", "token")).join(sized(shared.select("token"), SHARED), "token", "left_semi"))
     asked = checkpointed(found.select("h1", "h2").distinct())
     names = firsts.select("h1", "h2", "id", "k1", "k2", "pos", F.coalesce("copies", F.lit(1)).alias("copies")).join(sized(asked), ["h1", "h2"])
     names = names.dropDuplicates(["h1", "h2"])  # repeated rows have their lines at one place
@@ -122,16 +127,14 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
         F.count("*").cast("int").alias("size"), *(F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(PARITY))
     )
     known = keep(sketch.join(sized(names.select("node", "h1", "h2", "copies")), "node"))
-    found = found.select("token", "n", "h1", "h2", "i").join(sized(known.select("h1", "h2", "node")), ["h1", "h2"]).select("token", "n", "node", "i")
+    entries = found.join(sized(known.select("h1", "h2", "node")), ["h1", "h2"]).select("token", "node", "i")
     crowd = checkpointed(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
-    if crowd.isEmpty():
-        entries = found.select("token", "node", "i")
-    else:
-        again = checkpointed(found.where(F.col("n") > CROWD).select("node").distinct())
+    if not crowd.isEmpty():
+        again = checkpointed(entries.join(sized(crowd.select("token")), "token", "left_semi").select("node").distinct())
         tokens = sets.join(sized(again), "node").select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
         ordered = tokens.join(sized(crowd), "token", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "token"))).alias("ts"))
         fresh = ordered.select("node", F.posexplode(F.slice("ts", F.lit(1), _prefix(F.col("size")))).alias("i", "t")).select(F.col("t.token").alias("token"), "node", "i")
-        entries = found.join(sized(again), "node", "left_anti").select("token", "node", "i").unionByName(fresh)
+        entries = entries.join(sized(again), "node", "left_anti").unionByName(fresh)
     return keep(entries.join(sized(known.drop("h1", "h2")), "node")), sets, known.drop("h1", "h2", "copies"), names
 
 
@@ -193,7 +196,8 @@ def removed_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
         lines = keep(line_prefixes(rows, least))
         lines = lines.where(F.size("prefix") > 0)
         places = lines.select("id", "k1", "k2", "pos", "h1", "h2")
-        copied = keep(places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+        copied = places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+        copied = keep(copied.select("h1", "h2", _place_hash("first.").alias("first"), "copies"))
         entries, sets, known, names = prefix_entries(rows, lines, copied, keep)
         hubs = keep(entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("node").alias("first"), F.max_by("node", "copies").alias("most")).where("holders > 1"))
         settled = checkpointed(_settled(entries, hubs, known, sets, keep))
@@ -201,7 +205,7 @@ def removed_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
         matched = checkpointed(settled.unionByName(_match_before(entries, crowded, sets, settled)))
         hit = names.join(sized(matched), "node").select("h1", "h2", F.lit(None).cast(copied.schema["first"].dataType).alias("first"))
         late = keep(copied.select("h1", "h2", "first").unionByName(hit))  # no place: all lines go
-        gone = places.join(sized(late), ["h1", "h2"]).where(F.col("first").isNull() | (_place() > F.col("first")))
+        gone = places.join(sized(late), ["h1", "h2"]).where(F.col("first").isNull() | (_place_hash() != F.col("first")))
         return checkpointed(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone")))
 
 
