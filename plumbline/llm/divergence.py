@@ -34,7 +34,7 @@ from plumbline.session import scratch, sized, stored
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 #: Bytes of text counted at a time, and counts of a part of the vocabulary held at a time.
-TEXT, CELLS = 1 << 23, 1 << 22
+TEXT, CELLS = 1 << 23, 1 << 18
 
 
 def _unique_sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
