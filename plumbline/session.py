@@ -18,6 +18,7 @@ def build_session(app: str = "plumbline", master: str | None = None, shuffle_par
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files go when nothing refers to them
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -46,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so its lineage ends there.
 
-    The files outlive any executor. Used where a result is read more than once and is dear to
+    The files outlive any executor, and go with the last reference to them where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``build_session`` sets it. Used where a result is read more than once and is dear to
     compute again, and in loops whose plan would grow without end.
     """
     ensure_checkpoint_dir(df.sparkSession)
