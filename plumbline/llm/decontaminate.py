@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm import textkit as tk
+from plumbline.session import checkpointed
 
 #: Lengths of the runs that windows are looked through for.
 RUNS = (2, 3)
@@ -234,11 +235,13 @@ def _closest(item: np.ndarray, part: np.ndarray, column: np.ndarray) -> tuple[in
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int, **settings):
-    """Benchmarks of at most about ``block`` items each."""
+    """Benchmarks of at most about ``block`` items each; repeated items are dealt like others."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
     parts = -(-items.count() // block)
+    if parts > 1:
+        items = checkpointed(items.withColumn("place", F.monotonically_increasing_id()))  # so that each row stays where it is dealt
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
+        rows = (items.where(F.pmod(F.xxhash64("place"), F.lit(parts)) == part) if parts > 1 else items).collect()
         yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], **settings)
 
 

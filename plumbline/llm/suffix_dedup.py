@@ -268,9 +268,9 @@ def _digests(batches, length: int, block: int):
 
 
 def _shared(digests: DataFrame) -> DataFrame:
-    """The rows whose digest another context has too."""
-    twice = digests.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return digests.join(twice, ["w1", "w2"]).select("c1", "c2", "low", "high")
+    """The rows whose digest another context has too; the digests come as a plain table, so that a hot one can be split."""
+    twice = checkpointed(digests.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return digests.join(sized(twice), ["w1", "w2"], "left_semi").select("c1", "c2", "low", "high")
 
 
 # ---------------------------------------------------------------- the operator
@@ -284,8 +284,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot_classes: int = 20_000
     # broadcast, both sides are plain shuffles, of which Spark splits a hot hash
     anchors = checkpointed(every.join(sized(repeated, HASHES), "h"))
     classes = anchors.groupBy("c1", "c2").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
-    groups = classes.groupBy("h").agg(F.count("*").alias("classes"))
-    classes = checkpointed(classes.join(groups, "h"))
+    classes = checkpointed(classes)
+    groups = checkpointed(classes.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1"))
+    classes = checkpointed(classes.join(sized(groups), "h", "left").withColumn("classes", F.coalesce("classes", F.lit(1))))
     whole = classes.where("classes = 1 or n > 1").select("c1", "c2", F.col("near").alias("low"), F.col("far").alias("high"))
 
     wanted = (
