@@ -296,7 +296,7 @@ def test_appended_events_go_on_with_their_chain(spark):
 def test_running_sums_over_ranges(spark):
     rng = random.Random(1)
     rows = [(g, v, rng.randrange(9)) for g in ("a", "b") for v in rng.sample(range(10_000), 300)]
-    got = drift.running(spark.createDataFrame(rows, "g string, v long, n long").repartition(7), "g", "v", ["n"]).collect()
+    got = ranges.scan(spark.createDataFrame(rows, "g string, v long, n long").repartition(7), "g", "v", sums=("n",), lead=True).collect()
     for g in ("a", "b"):
         own, total = sorted((v, n) for h, v, n in rows if h == g), 0
         by = {r["v"]: r for r in got if r["g"] == g}
