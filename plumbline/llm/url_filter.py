@@ -30,7 +30,7 @@ from plumbline.session import checkpointed
 RULES = (
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),
-    ("net/de/", "block"),
+    ("net/de/", "allow"),
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )

@@ -294,6 +294,14 @@ def test_urls(spark):
     assert tuple(domains[12]) == ("a.co.uk", "co.uk") and tuple(domains[0]) == ("example.com", "com")
 
 
+def test_rules_give_the_contracts_verdicts(spark):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert dict(url_filter.RULES) == rules
+    pages = spark.createDataFrame([(i, f"http://{r}") for i, r in enumerate(rules)], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))  # null html: the method blocks
+    assert {r["rule"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()} == rules
+    assert all(f"WHEN rule = '{rule}' THEN '{verdict}'" in url_filter.ORACLE for rule, verdict in rules.items())
+
+
 def test_reputation_shrinks(spark):
     rows = [("big.a.com", int(i < 95)) for i in range(100)] + [("bad.b.com", int(i < 5)) for i in range(100)] + [("new.a.com", 0), ("fresh.b.com", 1)] + [(f"h{i}.c.org", i % 2) for i in range(40)]
     got = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
