@@ -48,6 +48,18 @@ def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["grayscale"])
+def test_rounded_lists_match_sql_to_the_sign(spark, tmp_path, name):
+    """Means just below zero, ties and infinite values: rounded to one and the same number, never to minus zero."""
+    vectors = [[-1e-7] * 64, [1e-7] * 64, [-0.0] * 64, [0.0078125] * 64, [-0.0078125] * 64, [1e-6 * (i - 32) / 3 for i in range(64)]]
+    vectors += [[float("inf")] * 64] if name == "grayscale" else []
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    exact = lambda rows: sorted(repr((r[0], list(r[1]))) for r in rows)
+    assert exact(QUERIES[name](spark, str(tmp_path)).collect()) == exact(con.sql(ORACLES[name]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
