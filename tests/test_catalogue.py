@@ -48,7 +48,7 @@ def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["grayscale"])
+@pytest.mark.parametrize("name", ["grayscale", "anomaly_embed"])
 def test_rounded_lists_match_sql_to_the_sign(spark, tmp_path, name):
     """Means just below zero, ties and infinite values: rounded to one and the same number, never to minus zero."""
     vectors = [[-1e-7] * 64, [1e-7] * 64, [-0.0] * 64, [0.0078125] * 64, [-0.0078125] * 64, [1e-6 * (i - 32) / 3 for i in range(64)]]
