@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import counter
 
@@ -13,17 +16,37 @@ def synthesize_samples(spark: SparkSession, n: int, side: int = 28, seed: int =
     return samples_of(spark.range(n), side, seed)
 
 
+#: Images that a task makes, and those it makes at a time.
+TASK_ROWS, BATCH_ROWS = 2048, 128
+
+
 def samples_of(ids: DataFrame, side: int = 28, seed: int = 5) -> DataFrame:
-    """(id, label, pixels) of ids: uniform background up to 0.3 and a 4x4 patch of +0.7 placed by the label."""
-    label = (F.col("id") % 10).cast("int")
-    top, left = (2 * label) % 20 + 2, (2 * label + 1) % 20 + 2
+    """(id, label, pixels) of ids: uniform background up to 0.3 and a 4x4 patch of +0.7 placed by the label.
 
-    def pixel(i):
-        row, column = F.floor(i / side), i % side
-        inside = (row >= top) & (row < top + 4) & (column >= left) & (column < left + 4)
-        return F.least(counter.unit(F.col("id"), i, seed=seed) * 0.3 + F.when(inside, 0.7).otherwise(0.0), F.lit(1.0)).cast("float")
+    A few bytes of ids become images, so ids are dealt over tasks by their number, not by their bytes. The
+    counters of a batch's pixels are drawn at once. A null id has a null label and pixels of 1.
+    """
+    at = np.arange(side * side)
+    row, column = at // side, at % side
 
-    return ids.select("id", label.alias("label"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel).alias("pixels"))
+    def images(keys: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        top, left = (np.fmod(2 * labels + k, 20)[:, None] + 2 for k in (0, 1))  # signs as in Spark's %
+        inside = (row >= top) & (row < top + 4) & (column >= left) & (column < left + 4)
+        return np.minimum(counter.unit_array(keys[:, None], at, seed=seed) * 0.3 + np.where(inside, 0.7, 0.0), 1.0).astype(np.float32)
+
+    def run(batches):
+        for rows in batches:
+            for i in range(0, rows.num_rows, BATCH_ROWS):
+                part = rows.slice(i, BATCH_ROWS)
+                keys, labels = (part.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 1))
+                pixels = images(keys, labels)
+                pixels[part.column(2).is_null().to_numpy(zero_copy_only=False)] = 1.0
+                ends = pa.array(np.arange(len(pixels) + 1) * len(at), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(pixels.reshape(-1)))], names=["id", "label", "pixels"])
+
+    rows = ids.select("id", (F.col("id") % 10).cast("int").alias("label"), F.col("id").cast("bigint").alias("key"))
+    schema = T.StructType([ids.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.FloatType()))])
+    return rows.repartition(ids.count() // TASK_ROWS + 1).mapInArrow(run, schema)
 
 
 def inject_duplicates(df: DataFrame, mapping: DataFrame, value: str = "pixels") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import counter
 from plumbline.functions import exprs as E
 from plumbline.operators import anomalies, drift, duplicates, embedders, entropy, generators, inventory, policy, provenance, ranges, scorers, stability, triage
 from plumbline.plans import pipelines
@@ -229,6 +230,25 @@ def test_resource_limits(spark):
     assert one(spark, triage.classify_rejection(F.array(F.lit("pixel count exceeds the limit")))) == "REJECTED_RESOURCE_LIMIT"
 
 
+def test_images_of_ids_are_dealt_over_tasks(spark):
+    """Ids that one file's only part holds; odd ones have the pixels that the column expressions of the rule give."""
+    assert generators.samples_of(spark.range(0, 5000, 1, 1)).rdd.getNumPartitions() >= 3
+    ids = spark.createDataFrame([(0,), (7,), (-13,), (-3,), (None,), (1 << 31,), ((1 << 62) + 9,), (7,)], "id long").coalesce(1)
+    label = (F.col("id") % 10).cast("int")
+    top, left = (2 * label) % 20 + 2, (2 * label + 1) % 20 + 2
+
+    def pixel(i):
+        row, column = F.floor(i / 28), i % 28
+        inside = (row >= top) & (row < top + 4) & (column >= left) & (column < left + 4)
+        return F.least(counter.unit(F.col("id"), i, seed=5) * 0.3 + F.when(inside, 0.7).otherwise(0.0), F.lit(1.0)).cast("float")
+
+    want = ids.select("id", label.alias("label"), F.transform(F.sequence(F.lit(0), F.lit(783)), pixel).alias("pixels"))
+    got = generators.samples_of(ids)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert generators.samples_of(ids.limit(0)).count() == 0
+
+
 def test_generators(spark):
     samples = generators.synthesize_samples(spark, 30, side=28)
     assert samples.select(F.max(F.array_max("pixels"))).first()[0] <= 1.0
