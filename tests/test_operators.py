@@ -230,6 +230,21 @@ def test_resource_limits(spark):
     assert one(spark, triage.classify_rejection(F.array(F.lit("pixel count exceeds the limit")))) == "REJECTED_RESOURCE_LIMIT"
 
 
+def test_digests_of_weights(spark):
+    """Models of equal weights share a scorer, whatever the order of their rows."""
+    w = [[0.5, -1.0], [2.0, 0.0], [2.0, None], [2.0], None]
+    rows = [(1, 0, w[0]), (1, 1, w[1]), (2, 1, w[1]), (2, 0, w[0]), (3, 0, w[1]), (3, 1, w[0]), (4, 0, w[0]), (4, 1, w[2]), (5, 0, w[0]), (5, 1, w[3]), (6, 0, w[0]), (6, 1, w[4]), (None, 0, w[0]), (None, 1, w[1])]
+    for n in (1, 5):
+        weights = spark.createDataFrame(rows, "model_id long, label int, centroid array<double>").repartition(n)
+        got = {r["model_id"]: r["scorer"] for r in entropy.scorer_digests(weights).collect()}
+        assert got[1] == got[2] == got[None] and len({got[i] for i in (1, 3, 4, 5, 6)}) == 5
+    samples = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(600)], "id long, vector array<double>").coalesce(1)
+    overlays = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "position long, overlay array<double>")
+    equal = spark.createDataFrame([r for r in rows if r[0] in (None, 1, 2, 3)], "model_id long, label int, centroid array<double>")
+    out = {r["model_id"]: tuple(r)[1:] for r in entropy.overall_by_model(samples, overlays, 2, equal, draws=3).collect()}
+    assert out[1] == out[2] == out[None] and out[1][3] == 1800 and set(out) == {1, 2, 3, None}
+
+
 def test_images_of_ids_are_dealt_over_tasks(spark):
     """Ids that one file's only part holds; odd ones have the pixels that the column expressions of the rule give."""
     assert generators.samples_of(spark.range(0, 5000, 1, 1)).rdd.getNumPartitions() >= 3
