@@ -230,6 +230,17 @@ def test_resource_limits(spark):
     assert one(spark, triage.classify_rejection(F.array(F.lit("pixel count exceeds the limit")))) == "REJECTED_RESOURCE_LIMIT"
 
 
+def test_scan_images_opens_files_once(spark, tmp_path):
+    """The plan of a scan reads what was stored of the files, not the files again for every branch."""
+    (tmp_path / "a.png").write_bytes(png([[0, 255, 10], [5, 6, 7], [9, 1, 0]]))
+    none = spark.createDataFrame([], "pred_class_distribution array<double>")
+    score = lambda df: df.withColumn("probs", F.array(F.lit(0.5), F.lit(0.5)))
+    out = pipelines.scan_images(readers.read_artifacts(spark, str(tmp_path)), readers.read_images(spark, str(tmp_path)), score, none, side=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and " image" not in plan
+    assert [r["status"] for r in out.collect()] == ["UNGUARANTEED"]
+
+
 def test_digests_of_weights(spark):
     """Models of equal weights share a scorer, whatever the order of their rows."""
     w = [[0.5, -1.0], [2.0, 0.0], [2.0, None], [2.0], None]
