@@ -10,7 +10,8 @@ words and blank lines are left as they are.
 1. Equal lines are one class, represented by its first place; only first lines are joined.
 2. Under any one order of tokens, matching sets share one among their first ``size - need + 1``.
    Under the order by hash, the tokens of all prefixes are counted (counts combine before the
-   shuffle); only lines that share one go on, and are tokenized whole.
+   shuffle); only lines that share one go on, and are tokenized whole. Of tokens with the same
+   holders the first one is enough, and one of two lines only must pass the filters of 4.
 3. Rarity: tokens that more than ``CROWD`` first lines hold go behind all others, by the binary
    logarithm of that count, then by hash. A prefix without such tokens is the same under both
    orders; the others are taken anew.
@@ -91,10 +92,11 @@ def _place_hash(place: str = "") -> Column:
 
 
 def line_prefixes(rows: DataFrame, least: int) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words."""
+    """(id, k1, k2, pos, h1, h2, size, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words."""
     lines = rows.select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = _tokenized(lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line")), least)
-    return lines.select("id", "k1", "k2", "pos", "h1", "h2", F.slice(F.sort_array("tokens"), F.lit(1), F.least(F.size("tokens"), _prefix(F.size("tokens")))).alias("prefix"))
+    size = F.size("tokens")
+    return lines.select("id", "k1", "k2", "pos", "h1", "h2", size.alias("size"), F.slice(F.sort_array("tokens"), F.lit(1), F.least(size, _prefix(size))).alias("prefix"))
 
 
 def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -105,7 +107,8 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     firsts = lines.join(sized(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (_place_hash() == F.col("first")))
     counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     shared = keep(counts.where("n > 1"))
-    found = keep(firsts.select("h1", "h2", F.posexplode("prefix").alias("i", "token")).join(sized(shared.select("token"), SHARED), "token", "left_semi"))
+    found = keep(firsts.select("h1", "h2", "size", F.posexplode("prefix").alias("i", "token")).join(sized(shared.select("token"), SHARED), "token", "left_semi"))
+    found = keep(found.drop("size").join(sized(checkpointed(_telling(found)), SHARED), "token", "left_semi"))
     asked = checkpointed(found.select("h1", "h2").distinct())
     names = firsts.select("h1", "h2", "id", "k1", "k2", "pos", F.coalesce("copies", F.lit(1)).alias("copies")).join(sized(asked), ["h1", "h2"])
     names = names.dropDuplicates(["h1", "h2"])  # repeated rows have their lines at one place
@@ -131,13 +134,39 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     crowd = checkpointed(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
     if not crowd.isEmpty():
         again = checkpointed(entries.join(sized(crowd.select("token")), "token", "left_semi").select("node").distinct())
-        tokens = sets.join(sized(again), "node").select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-        ordered = tokens.join(sized(crowd), "token", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(0)).alias("level"), "token"))).alias("ts"))
-        fresh = ordered.select("node", F.posexplode(F.slice("ts", F.lit(1), _prefix(F.col("size")))).alias("i", "t")).select(F.col("t.token").alias("token"), "node", "i")
+        fresh = _reordered(sets.join(sized(again), "node"), crowd).select("node", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("i", "token")).select("token", "node", "i")
         entries = entries.join(sized(again), "node", "left_anti").unionByName(fresh)
     return keep(entries.join(sized(known.drop("h1", "h2")), "node")), sets, known.drop("h1", "h2", "copies"), names
 
 
+def _telling(found: DataFrame) -> DataFrame:
+    """(token) of ``found`` (h1, h2, size, i, token) that can be the first one of a matching pair.
+
+    The first token that two matching sets share is, of all tokens with the same holders, the first in
+    order, so one of each such group is enough. Where only two lines hold it, they must pass the
+    length and the positional filter.
+    """
+    low, high = (lambda c: F.sum(F.col(c).bitwiseAND(2**32 - 1))), (lambda c: F.sum(F.shiftrightunsigned(c, 32)))
+    tokens = found.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("i").alias("i"), F.min("size").alias("small"), F.max("size").alias("large"), F.min(F.col("size") - F.col("i")).alias("rest"),
+        low("h1").alias("a"), high("h1").alias("b"), low("h2").alias("c"), high("h2").alias("d"),
+    )
+    both = (F.col("small") * 5 >= F.col("large") * 4) & (F.col("rest") * 9 >= (F.col("small") + F.col("large")) * 4)
+    firsts = tokens.groupBy("n", "a", "b", "c", "d").agg(F.min("i").alias("i"), F.min_by("token", "i").alias("token"), F.min_by("rest", "i").alias("rest"), F.first("small").alias("small"), F.first("large").alias("large"))
+    return firsts.where((F.col("n") > 2) | both).select("token")
+
+
+def _reordered(sets: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(node, tokens) of those sets that hold tokens of ``crowd`` (token, level): the others by hash, then these by level and hash.
+
+    Only a set's crowded tokens are joined and gathered, the others stay in their array.
+    """
+    behind = sets.select("node", F.explode("tokens").alias("token")).join(sized(crowd), "token")
+    behind = behind.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("level", "token"))).alias("behind"))
+    late = F.col("behind.token")
+    return sets.join(behind, "node").select("node", F.concat(F.sort_array(F.array_except("tokens", late)), late).alias("tokens"))
+
+
 def _fits(x: str, y: str) -> Column:
     """Order, length and sketch filter of two classes: y may be an earlier match of x."""
     c = lambda t, name: F.col(f"{t}.{name}")

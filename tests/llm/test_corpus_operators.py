@@ -247,6 +247,23 @@ def test_lines_of_repeated_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_only_crowded_tokens_are_joined(spark):
+    sets = spark.createDataFrame([(1, [9, 2, 7, 4]), (2, [3, 2, 1]), (3, [5, 6])], "node long, tokens array<long>")
+    crowd = spark.createDataFrame([(2, 10), (7, 9), (8, 9)], "token long, level int")
+    found = line_dedup._reordered(sets, crowd)
+    assert sorted((r["node"], r["tokens"]) for r in found.collect()) == [(1, [4, 9, 7, 2]), (2, [1, 3, 2])]
+    assert "LeftOuter" not in found._jdf.queryExecution().toString()
+
+
+def test_telling_tokens_of_lines(spark):
+    rows = [(1, 10, 0, 100), (2, 10, 0, 100), (1, 10, 1, 101), (2, 10, 1, 101)]  # same holders: the first in order
+    rows += [(3, 10, 0, 102), (4, 14, 0, 102), (5, 10, 6, 103), (6, 10, 6, 103)]  # too far apart in size; too late in both
+    rows += [(7, 10, 0, 104), (7, 10, 0, 104), (8, 10, 0, 105), (8, 10, 0, 105)]  # a repeated row's line
+    rows += [(1, 10, 2, 106), (2, 10, 2, 106), (3, 10, 1, 106)]
+    found = spark.createDataFrame(rows, "h1 long, size int, i int, token long").withColumn("h2", F.xxhash64("h1"))
+    assert sorted(r["token"] for r in line_dedup._telling(found).collect()) == [100, 104, 105, 106]
+
+
 def brute_all_lines(rows):
     sets, out = [], []
     for d, t in sorted(rows):
