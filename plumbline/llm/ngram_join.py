@@ -8,8 +8,9 @@
 3. Two classes that share a prefix n-gram are candidates if their sizes and their sketches allow the
    needed overlap. A sketch counts a set's n-grams in ``PARTS`` parts of the hash range; the sum of
    the smaller counts bounds the overlap from above, so no link is lost. Candidates are not listed:
-   each n-gram's classes, in blocks of bounded size, give edges that span their candidate graph. The
-   components of those edges are clusters; a cluster's sets meet once, again in blocks.
+   each n-gram's classes, in blocks of bounded size, give edges that span their candidate graph;
+   n-grams of exactly the same classes give the same graph, so one of them is taken. The components
+   of those edges are clusters; a cluster's sets meet once, again in blocks.
 4. In a block the sets, in the cluster's order, rarest first, stand in a trie. A set walks it level by
    level: partial overlaps are shared by all sets below a node, and a subtree is left as soon as what
    remains of it, or of the walker, cannot reach the needed overlap. Sets already connected are not
@@ -137,6 +138,16 @@ def candidate_edges(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketc
     return out
 
 
+def telling_tokens(held: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, n) of ``held`` (token, node, size): one n-gram of those that the same classes hold, and none of two classes whose sizes are too far apart.
+
+    Equal groups of classes have the same candidates, so nothing is lost; groups are told apart by 128 bits.
+    """
+    groups = held.groupBy("token").agg(F.count("*").alias("n"), F.min("size").alias("small"), F.max("size").alias("large"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+    groups = groups.where((F.col("n") > 2) | (F.col("small") * den >= F.col("large") * num))
+    return groups.groupBy("n", "x1", "x2").agg(F.min("token").alias("token")).select("token", "n")
+
+
 def _whole_groups(batches, keys: int, least: int) -> Iterator[list[pa.RecordBatch]]:
     """Parts of sorted batches that hold whole groups (equal first ``keys`` columns) and ``least`` rows or more."""
     held: list[pa.RecordBatch] = []
@@ -350,10 +361,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = keep(classes)
-    tokens = classes.select("node", F.explode("prefix").alias("token"))
-    crowds = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = classes.select("node", "size", F.explode("prefix").alias("token"))
+    held = keep(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token"))
+    crowds = telling_tokens(held, num, den)
     split = F.ceil(F.col("n") / CROWD).cast("int")
-    shared = tokens.join(crowds, "token").join(classes.select("node", "size", "sketch"), "node").select("token", split.alias("split"), "size", "node", "sketch")
+    shared = held.join(crowds, "token").join(classes.select("node", "sketch"), "node").select("token", split.alias("split"), "size", "node", "sketch")
     shared = _block_pairs(shared, "split").select("token", "i", "j", "size", "node", "sketch")
     edges = shared.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "node").mapInArrow(lambda b: _edges(b, num, den), "a long, b long")
     clusters = checkpointed(connected_components(edges).select("node", F.col("component").alias("cluster")))

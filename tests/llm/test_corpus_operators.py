@@ -138,6 +138,12 @@ def test_components_equal_brute_force(spark, monkeypatch, n, num, den, block, cr
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (k, c) in want.items() if k == 0 or c == d)
 
 
+def test_ngrams_of_the_same_classes_count_once(spark):
+    rows = [(t, n, 10) for t in range(5) for n in (1, 2)] + [(7, n, 10) for n in (1, 2, 3)] + [(8, 4, 10), (8, 5, 12)] + [(9, 4, 9), (9, 6, 10)]
+    held = spark.createDataFrame(rows, "token long, node long, size long")
+    assert sorted(tuple(r) for r in ngram_join.telling_tokens(held, 9, 10).collect()) == [(0, 2), (7, 3), (9, 2)]
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, ""), (3, "")], SCHEMA)
     assert [r["component_id"] for r in ngram_join.ngram_components(docs).where("n_shingles > 0").collect()] == [1] * 4
