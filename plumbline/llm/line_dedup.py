@@ -39,6 +39,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.exprs import let
 from plumbline.session import checkpointed, scratch, sized
 
 WORDS, CROWD = 5, 512
@@ -46,6 +47,8 @@ WORDS, CROWD = 5, 512
 PARITY = 4
 #: Whitespace of any kind, that of Unicode included, and any of it but the space.
 SPACE, ODD_SPACE = r"[\h\v]+", r"[\h\v&&[^ ]]"
+#: Anything but the ASCII and Latin-1 characters that are no odd space. Listed one by one they are a set of bits, in which Java looks up a character some times faster than in ``ODD_SPACE``.
+UNUSUAL = "[^" + "".join(rf"\x{c:02X}" for c in (*range(0x20, 0x7F), *range(0xA1, 0x100))) + "]"
 #: Rows of 16 bytes that may be broadcast.
 SHARED = 4_000_000
 
@@ -74,11 +77,14 @@ def _tokenized(lines: DataFrame, least: int) -> DataFrame:
 
     No filter stands on the words, as Spark would split every line for it once more.
     """
-    words = F.when(F.col("line").rlike(ODD_SPACE), F.split("line", SPACE)).otherwise(F.split("line", " "))
-    lines = lines.withColumn("words", F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))).drop("line")
-    each = F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, WORDS))))
-    kept = F.when(F.size("words") < max(1, least), 0).otherwise(F.greatest(F.size("words") - (WORDS - 1), F.lit(1)))
-    return lines.withColumn("tokens", F.array_distinct(F.slice(each, F.lit(1), kept))).drop("words")
+    odd = F.col("line").rlike(UNUSUAL) & F.col("line").rlike(ODD_SPACE)
+    words = F.array_remove(F.when(odd, F.split("line", SPACE)).otherwise(F.split("line", " ")), "")
+
+    def shingles(hashes: Column) -> Column:
+        kept = F.when(F.size(hashes) < max(1, least), 0).otherwise(F.greatest(F.size(hashes) - (WORDS - 1), F.lit(1)))
+        return F.slice(F.transform(hashes, lambda w, i: F.xxhash64(w, *(F.get(hashes, i + k) for k in range(1, WORDS)))), F.lit(1), kept)
+
+    return lines.withColumn("tokens", F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), shingles))).drop("line")
 
 
 def _place() -> Column:
@@ -108,18 +114,20 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     shared = keep(counts.where("n > 1"))
     found = keep(firsts.select("h1", "h2", "size", F.posexplode("prefix").alias("i", "token")).join(sized(shared.select("token"), SHARED), "token", "left_semi"))
-    found = keep(found.drop("size").join(sized(checkpointed(_telling(found)), SHARED), "token", "left_semi"))
-    asked = checkpointed(found.select("h1", "h2").distinct())
+    found = keep(found.drop("size").join(sized(keep(_telling(found)), SHARED), "token", "left_semi"))
+    asked = keep(found.select("h1", "h2").distinct())
     names = firsts.select("h1", "h2", "id", "k1", "k2", "pos", F.coalesce("copies", F.lit(1)).alias("copies")).join(sized(asked), ["h1", "h2"])
     names = names.dropDuplicates(["h1", "h2"])  # repeated rows have their lines at one place
     names = keep(keep(names).orderBy("id", "k1", "pos").withColumn("node", F.monotonically_increasing_id()))
 
     # only documents with such lines are split again; repeated rows give a line's set again
     asked = names.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "node")).alias("asked"))
-    split = rows.join(sized(checkpointed(asked)), ["k1", "k2"]).select("asked", F.split("text", "\n").alias("lines"))
-    split = split.select(F.explode("asked").alias("a"), "lines").select("a.node", F.get("lines", F.col("a.pos")).alias("line"))
+    split = rows.join(sized(keep(asked)), ["k1", "k2"])
+    # lines are picked before they are dealt out, so no line carries its whole document
+    picked = let(F.split("text", "\n"), lambda lines: F.transform("asked", lambda a: F.struct(a["node"].alias("node"), F.get(lines, a["pos"]).alias("line"))))
+    split = split.select(F.inline(picked))
     sets = keep(_tokenized(split, 1))
-    again = checkpointed(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    again = keep(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
     if not again.isEmpty():
         sets = keep(sets.join(sized(again), "node", "left_anti").unionByName(sets.join(sized(again), "node", "left_semi").dropDuplicates(["node"])))
 
@@ -131,9 +139,9 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     )
     known = keep(sketch.join(sized(names.select("node", "h1", "h2", "copies")), "node"))
     entries = found.join(sized(known.select("h1", "h2", "node")), ["h1", "h2"]).select("token", "node", "i")
-    crowd = checkpointed(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
+    crowd = keep(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
     if not crowd.isEmpty():
-        again = checkpointed(entries.join(sized(crowd.select("token")), "token", "left_semi").select("node").distinct())
+        again = keep(entries.join(sized(crowd.select("token")), "token", "left_semi").select("node").distinct())
         fresh = _reordered(sets.join(sized(again), "node"), crowd).select("node", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("i", "token")).select("token", "node", "i")
         entries = entries.join(sized(again), "node", "left_anti").unionByName(fresh)
     return keep(entries.join(sized(known.drop("h1", "h2")), "node")), sets, known.drop("h1", "h2", "copies"), names
@@ -196,11 +204,11 @@ def _settled(entries: DataFrame, hubs: DataFrame, known: DataFrame, sets: DataFr
     pairs = met.alias("x").join(sized(known).alias("y"), (F.col("x.head") == F.col("y.node")) & _fits("x", "y"))
     pairs = keep(pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
     left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")).join(sized(pairs), "x")
-    right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty")).join(sized(checkpointed(pairs.select("y").distinct())), "y")
+    right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty")).join(sized(keep(pairs.select("y").distinct())), "y")
     return left.join(right, "y").where(_equal_enough("tx", "ty")).select(F.col("x").alias("node")).distinct()
 
 
-def _match_before(entries: DataFrame, crowded: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
+def _match_before(entries: DataFrame, crowded: DataFrame, sets: DataFrame, settled: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node) of the classes not in ``settled`` that match any class before them.
 
     A token of two classes has brought them together already; those of the tokens in ``crowded`` meet
@@ -209,10 +217,10 @@ def _match_before(entries: DataFrame, crowded: DataFrame, sets: DataFrame, settl
     entries = entries.join(sized(crowded), "token", "left_semi")
     left = entries.join(sized(settled), "node", "left_anti")
     near = left.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & _near("x", "y"), "left_semi")
-    near = checkpointed(near)
-    tokens = checkpointed(near.select("token").distinct())
-    held = checkpointed(entries.join(sized(tokens), "token", "left_semi"))
-    wanted = sets.join(sized(checkpointed(held.select("node").distinct())), "node")
+    near = keep(near)
+    tokens = keep(near.select("token").distinct())
+    held = keep(entries.join(sized(tokens), "token", "left_semi"))
+    wanted = sets.join(sized(keep(held.select("node").distinct())), "node")
     xs, ys = near.join(wanted, "node"), held.join(wanted, "node")
     # the dearest test stands last, so it is made for what the filters leave
     match = (F.col("x.token") == F.col("y.token")) & _near("x", "y") & _equal_enough("x.tokens", "y.tokens")
@@ -229,9 +237,9 @@ def removed_lines(rows: DataFrame, least: int = WORDS) -> DataFrame:
         copied = keep(copied.select("h1", "h2", _place_hash("first.").alias("first"), "copies"))
         entries, sets, known, names = prefix_entries(rows, lines, copied, keep)
         hubs = keep(entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("node").alias("first"), F.max_by("node", "copies").alias("most")).where("holders > 1"))
-        settled = checkpointed(_settled(entries, hubs, known, sets, keep))
+        settled = keep(_settled(entries, hubs, known, sets, keep))
         crowded = hubs.where("holders > 2").select("token")
-        matched = checkpointed(settled.unionByName(_match_before(entries, crowded, sets, settled)))
+        matched = keep(settled.unionByName(_match_before(entries, crowded, sets, settled, keep)))
         hit = names.join(sized(matched), "node").select("h1", "h2", F.lit(None).cast(copied.schema["first"].dataType).alias("first"))
         late = keep(copied.select("h1", "h2", "first").unionByName(hit))  # no place: all lines go
         gone = places.join(sized(late), ["h1", "h2"]).where(F.col("first").isNull() | (_place_hash() != F.col("first")))

@@ -270,6 +270,21 @@ def test_telling_tokens_of_lines(spark):
     assert sorted(r["token"] for r in line_dedup._telling(found).collect()) == [100, 104, 105, 106]
 
 
+def test_tables_of_lines_are_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(line_dedup, "checkpointed", lambda df, real=line_dedup.checkpointed: made.append(df.columns) or real(df))
+    docs = spark.createDataFrame([(1, "a b c d e f\nshort"), (2, "a b c d e f g"), (3, "short\nb c d e f")], SCHEMA)
+    assert line_dedup.dedup_lines(docs, least=1).orderBy("doc_id").collect()[2]["kept"] == "b c d e f"
+    assert made == [["k1", "k2", "gone"]]  # a checkpoint computes its last stage twice
+
+
+def test_unusual_characters_hold_odd_space(spark):
+    signs = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("sign"))
+    found = signs.select("id", F.col("sign").rlike(line_dedup.ODD_SPACE).alias("odd"), F.col("sign").rlike(line_dedup.UNUSUAL).alias("unusual"))
+    assert found.where("odd").count() == 25 and found.where("odd and not unusual").count() == 0
+    assert found.where("not unusual").count() == 95 + 95
+
+
 def brute_all_lines(rows):
     sets, out = [], []
     for d, t in sorted(rows):
