@@ -8,10 +8,12 @@ judged is the input, so a removed line still removes those after it. Lines of fe
 words and blank lines are left as they are.
 
 1. Equal lines are one class, represented by its first place; only first lines are joined.
-2. Under any one order of tokens, matching sets share one among their first ``size - need + 1``.
-   Under the order by hash, the tokens of all prefixes are counted (counts combine before the
-   shuffle); only lines that share one go on, and are tokenized whole. Of tokens with the same
-   holders the first one is enough, and one of two lines only must pass the filters of 4.
+2. Under any one order of tokens, matching sets share one among their first ``size - need + 1``, and
+   each token more that both must share is among one token more. Under the order by hash (that of the
+   first word leads, so shingles outside the prefix are not hashed), the tokens of all prefixes are
+   counted (counts combine before the shuffle); only lines that share ``COMMON`` go on, and are
+   tokenized whole. Of tokens with the same holders the first one is enough, and one of two lines only
+   must pass the filters of 4, by the bounds that are known of their sizes.
 3. Rarity: tokens that more than ``CROWD`` first lines hold go behind all others, by the binary
    logarithm of that count, then by hash. A prefix without such tokens is the same under both
    orders; the others are taken anew.
@@ -43,6 +45,10 @@ from plumbline.functions.exprs import let
 from plumbline.session import checkpointed, scratch, sized
 
 WORDS, CROWD = 5, 512
+#: Tokens that a line must share with others to be tokenized whole, or all that it must share with a match if those are fewer.
+COMMON = 3
+#: Bits of a token that stand for the whole shingle; those above are of its first word's hash.
+LOW = (1 << 48) - 1
 #: Words of 64 bits in a sketch.
 PARITY = 4
 #: Whitespace of any kind, that of Unicode included, and any of it but the space.
@@ -72,19 +78,34 @@ def _keys(id_: Column, text: Column) -> list[Column]:
     return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, id_, F.lit(29)).alias("k2")]
 
 
-def _tokenized(lines: DataFrame, least: int) -> DataFrame:
-    """``lines`` with ``tokens`` for their text, none for lines of fewer than ``least`` words: words are hashed once, shingles from those.
+def _words() -> Column:
+    """Hashes of the words of ``line``.
 
     No filter stands on the words, as Spark would split every line for it once more.
     """
     odd = F.col("line").rlike(UNUSUAL) & F.col("line").rlike(ODD_SPACE)
     words = F.array_remove(F.when(odd, F.split("line", SPACE)).otherwise(F.split("line", " ")), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _shingle(word: Column, i: Column, hashes: Column) -> Column:
+    """The token at place ``i``, whose word is ``word``: tokens stand in the order of their first words' hashes, by the upper bits."""
+    whole = F.xxhash64(word, *(F.get(hashes, i + k) for k in range(1, WORDS)))
+    return word.bitwiseAND(~LOW).bitwiseOR(whole.bitwiseAND(LOW))
+
+
+def _starts(hashes: Column, least: int = 1) -> Column:
+    """How many tokens start in a line, repeated ones too: none if it has fewer than ``least`` words."""
+    return F.when(F.size(hashes) < max(1, least), 0).otherwise(F.greatest(F.size(hashes) - (WORDS - 1), F.lit(1)))
+
+
+def _tokenized(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``tokens`` for their text: words are hashed once, shingles from those."""
 
     def shingles(hashes: Column) -> Column:
-        kept = F.when(F.size(hashes) < max(1, least), 0).otherwise(F.greatest(F.size(hashes) - (WORDS - 1), F.lit(1)))
-        return F.slice(F.transform(hashes, lambda w, i: F.xxhash64(w, *(F.get(hashes, i + k) for k in range(1, WORDS)))), F.lit(1), kept)
+        return F.slice(F.transform(hashes, lambda w, i: _shingle(w, i, hashes)), F.lit(1), _starts(hashes))
 
-    return lines.withColumn("tokens", F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), shingles))).drop("line")
+    return lines.withColumn("tokens", F.array_distinct(let(_words(), shingles))).drop("line")
 
 
 def _place() -> Column:
@@ -98,11 +119,24 @@ def _place_hash(place: str = "") -> Column:
 
 
 def line_prefixes(rows: DataFrame, least: int) -> DataFrame:
-    """(id, k1, k2, pos, h1, h2, size, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words."""
+    """(id, k1, k2, pos, h1, h2, size, low, prefix) of every line, ``prefix`` by hash, empty for lines of fewer than ``least`` words.
+
+    ``size`` is at least the number of the line's tokens and ``low`` at most that, as shingles of
+    different first words differ. As many first words as the prefix has tokens, the smallest by hash,
+    start all that can be in it; only these shingles are hashed. The steps are projections of their
+    own, as a lambda would compute again for each element what stands outside it.
+    """
+    own = ["id", "k1", "k2", "pos", "h1", "h2"]
     lines = rows.select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = _tokenized(lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line")), least)
-    size = F.size("tokens")
-    return lines.select("id", "k1", "k2", "pos", "h1", "h2", size.alias("size"), F.slice(F.sort_array("tokens"), F.lit(1), F.least(size, _prefix(size))).alias("prefix"))
+    lines = lines.select("id", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"), _words().alias("hashes"))
+    size = _starts(F.col("hashes"), least)
+    lines = lines.select(*own, "hashes", size.alias("size"), F.slice("hashes", F.lit(1), size).alias("starts"))
+    first, most = F.array_distinct("starts"), F.least(F.col("size"), _prefix(F.col("size")) + (COMMON - 1))
+    bound = F.get(F.sort_array(first), F.least(most, F.size(first)) - 1).bitwiseOR(LOW)
+    lines = lines.select(*own, "hashes", "size", "starts", F.size(first).alias("low"), F.coalesce(bound, F.lit(0).cast("long")).alias("bound"))
+    tokens = F.transform("starts", lambda w, i: F.when(w <= F.col("bound"), _shingle(w, i, F.col("hashes"))).otherwise(F.col("bound")))
+    prefix = F.slice(F.array_remove(F.sort_array(F.array_distinct(tokens)), F.col("bound")), F.lit(1), most)
+    return lines.select(*own, "size", "low", prefix.alias("prefix"))
 
 
 def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -112,9 +146,17 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     """
     firsts = lines.join(sized(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (_place_hash() == F.col("first")))
     counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    shared = keep(counts.where("n > 1"))
-    found = keep(firsts.select("h1", "h2", "size", F.posexplode("prefix").alias("i", "token")).join(sized(shared.select("token"), SHARED), "token", "left_semi"))
-    found = keep(found.drop("size").join(sized(keep(_telling(found)), SHARED), "token", "left_semi"))
+    shared = keep(counts.where("n > 1").select("token"))
+    found = firsts.select("h1", "h2", "size", "low", F.size("prefix").alias("taken"), F.posexplode("prefix").alias("i", "token"))
+    found = keep(found.join(sized(shared, SHARED), "token", "left_semi"))
+    # a prefix of fewer tokens than it may have holds all of the line's
+    common = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("taken").alias("taken"))
+    common = keep(common.where(F.col("n") >= F.least(F.lit(COMMON), _need(F.col("taken")))).select("h1", "h2"))
+    found = keep(found.where(F.col("i") < _prefix(F.col("size"))).drop("taken").join(sized(common), ["h1", "h2"], "left_semi"))
+    # counted anew: tokens with the same holders are crowded alike, so one of them tells it of all
+    crowd = found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowd = keep(crowd.select("token", F.log2("n").cast("int").alias("level")))
+    found = keep(found.drop("size", "low").join(sized(keep(_telling(found)), SHARED), "token", "left_semi"))
     asked = keep(found.select("h1", "h2").distinct())
     names = firsts.select("h1", "h2", "id", "k1", "k2", "pos", F.coalesce("copies", F.lit(1)).alias("copies")).join(sized(asked), ["h1", "h2"])
     names = names.dropDuplicates(["h1", "h2"])  # repeated rows have their lines at one place
@@ -126,7 +168,7 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     # lines are picked before they are dealt out, so no line carries its whole document
     picked = let(F.split("text", "\n"), lambda lines: F.transform("asked", lambda a: F.struct(a["node"].alias("node"), F.get(lines, a["pos"]).alias("line"))))
     split = split.select(F.inline(picked))
-    sets = keep(_tokenized(split, 1))
+    sets = keep(_tokenized(split))
     again = keep(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
     if not again.isEmpty():
         sets = keep(sets.join(sized(again), "node", "left_anti").unionByName(sets.join(sized(again), "node", "left_semi").dropDuplicates(["node"])))
@@ -139,7 +181,6 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
     )
     known = keep(sketch.join(sized(names.select("node", "h1", "h2", "copies")), "node"))
     entries = found.join(sized(known.select("h1", "h2", "node")), ["h1", "h2"]).select("token", "node", "i")
-    crowd = keep(shared.where(F.col("n") > CROWD).select("token", F.log2("n").cast("int").alias("level")))
     if not crowd.isEmpty():
         again = keep(entries.join(sized(crowd.select("token")), "token", "left_semi").select("node").distinct())
         fresh = _reordered(sets.join(sized(again), "node"), crowd).select("node", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("i", "token")).select("token", "node", "i")
@@ -148,19 +189,20 @@ def prefix_entries(rows: DataFrame, lines: DataFrame, copied: DataFrame, keep: C
 
 
 def _telling(found: DataFrame) -> DataFrame:
-    """(token) of ``found`` (h1, h2, size, i, token) that can be the first one of a matching pair.
+    """(token) of ``found`` (h1, h2, size, i, token) that can be the first one of a matching pair; ``low``, if it is there, makes ``size`` a range.
 
     The first token that two matching sets share is, of all tokens with the same holders, the first in
     order, so one of each such group is enough. Where only two lines hold it, they must pass the
     length and the positional filter.
     """
+    least = "low" if "low" in found.columns else "size"
     low, high = (lambda c: F.sum(F.col(c).bitwiseAND(2**32 - 1))), (lambda c: F.sum(F.shiftrightunsigned(c, 32)))
     tokens = found.groupBy("token").agg(
-        F.count("*").alias("n"), F.min("i").alias("i"), F.min("size").alias("small"), F.max("size").alias("large"), F.min(F.col("size") - F.col("i")).alias("rest"),
+        F.count("*").alias("n"), F.min("i").alias("i"), F.min("size").alias("most"), F.min(least).alias("small"), F.max(least).alias("large"), F.min(F.col("size") - F.col("i")).alias("rest"),
         low("h1").alias("a"), high("h1").alias("b"), low("h2").alias("c"), high("h2").alias("d"),
     )
-    both = (F.col("small") * 5 >= F.col("large") * 4) & (F.col("rest") * 9 >= (F.col("small") + F.col("large")) * 4)
-    firsts = tokens.groupBy("n", "a", "b", "c", "d").agg(F.min("i").alias("i"), F.min_by("token", "i").alias("token"), F.min_by("rest", "i").alias("rest"), F.first("small").alias("small"), F.first("large").alias("large"))
+    both = (F.col("n") == 2) & (F.col("most") * 5 >= F.col("large") * 4) & (F.col("rest") * 9 >= (F.col("small") + F.col("large")) * 4)
+    firsts = tokens.groupBy("n", "a", "b", "c", "d").agg(F.min("i").alias("i"), F.min_by("token", "i").alias("token"), F.min_by("rest", "i").alias("rest"), *(F.first(c).alias(c) for c in ("most", "small", "large")))
     return firsts.where((F.col("n") > 2) | both).select("token")
 
 
@@ -255,7 +297,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
     joined = docs.toDF(*own).select(*own, *_keys(id_, F.coalesce(text, F.lit("")))).join(sized(gone), ["k1", "k2"], "left")
     parts = F.split(text, "\n")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n")
-    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     n_removed = F.coalesce(F.size("gone"), F.lit(0))
     return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.when(n_removed == 0, text).otherwise(kept).alias("kept")), own
 

@@ -278,6 +278,33 @@ def test_tables_of_lines_are_made_once(spark, monkeypatch):
     assert made == [["k1", "k2", "gone"]]  # a checkpoint computes its last stage twice
 
 
+def test_prefixes_are_the_first_tokens(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choices("abcdefghijklmnopqrstuvw"[:v], k=rng.randint(0, 70))) for _ in range(20)) for v in (1, 2, 4, 23)]
+    rows = line_dedup._documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "doc_id", "text")
+    whole = line_dedup._tokenized(rows.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+    tokens = {(r["id"], r["pos"]): sorted(r["tokens"]) for r in whole.collect()}
+    got = line_dedup.line_prefixes(rows, 1).collect()
+    assert len(got) == 80 and any(r["low"] < len(tokens[r["id"], r["pos"]]) < r["size"] for r in got)
+    for r in got:
+        want, taken = tokens[r["id"], r["pos"]], r["size"] // 5 + line_dedup.COMMON
+        assert r["low"] <= len(want) <= r["size"] and r["prefix"] == want[:taken]
+
+
+def test_lines_of_a_common_phrase_are_not_tokenized_again(spark, monkeypatch):
+    made = []
+
+    def tokenized(lines, *least, real=line_dedup._tokenized):
+        made.append(lines.count())
+        return real(lines, *least)
+
+    monkeypatch.setattr(line_dedup, "_tokenized", tokenized)
+    lines = ["in the middle of the night " + " ".join(f"w{i}x{k}" for k in range(34)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*lines, lines[7] + " more"])], SCHEMA)
+    assert [r["doc_id"] for r in line_dedup.dedup_lines(docs).where("n_removed > 0").collect()] == [60]
+    assert made == [2]  # the lines share two shingles, three are asked for
+
+
 def test_unusual_characters_hold_odd_space(spark):
     signs = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("sign"))
     found = signs.select("id", F.col("sign").rlike(line_dedup.ODD_SPACE).alias("odd"), F.col("sign").rlike(line_dedup.UNUSUAL).alias("unusual"))
